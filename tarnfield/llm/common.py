@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: A key that holds more than 1/HEAVY_PARTS of all rows is heavy; there can be at most HEAVY_PARTS of them.
 HEAVY_PARTS = 4096
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,8 +28,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and a lost executor costs nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = fresh_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")  # what this write shuffled is not needed again
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
