@@ -1,13 +1,27 @@
-"""The corpus pipeline: each stage applies one corpus operator to all that the stage before it kept."""
+"""The corpus pipeline: each stage applies one corpus operator to all that the stage before it kept.
 
-from __future__ import annotations
+Language ID rejects documents without letters and those that the network finds no language for; exact and near
+duplicates leave one document of each group; documents that hold a benchmark item go; what stays is packed.
+
+Each stage passes on rows with null ids or texts as its operator defines it and works on empty tables.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarnfield.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
+from tarnfield.llm.common import crc32_of_id, fresh_path
 
-from tarnfield.llm import exact_dedup
-from tarnfield.llm.common import fresh_path
+#: Below this the best language's probability is hardly more than chance.
+LEAST_SCORE = 0.35
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language: not ``und``, and a probability of LEAST_SCORE or more."""
+    net = language_id.fit(docs, F.coalesce(crc32_of_id("doc_id") % 5 != 0, F.lit(True)))
+    return language_id.identify(docs, net).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +29,32 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return exact_dedup.deduplicate(docs)
 
 
-STAGES = [("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays (five words, similarity 0.8)."""
+    return near_dedup.keep_representatives(docs, width=5, percent=80)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of at most 2048 ids, none of which crosses documents."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("exact dedup", exact_copies),
+    ("near dedup", near_copies),
+    ("decontamination", benchmark_free),
+    ("packing", packed),
+]
 
+#: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
@@ -24,7 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to ``documents``; each result is written as Parquet and read again for the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = fresh_path(spark, f"pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex[:8]}")
+        path = fresh_path(spark, f"pipeline-{name.replace(' ', '-')}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -109,7 +109,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, error_rate: fl
     count = size // ITEM_BYTES + 1
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows
-        texts = sorted((r.id, normalised(r.text)) for r in part.collect())
+        texts = sorted(((r.id, normalised(r.text)) for r in part.collect()), key=lambda x: (x[1], x[0] is not None, x[0] or 0))
         yield tuple((i, t, budget(len(t), error_rate, min_chars)) for i, t in texts if t)
 
 

@@ -4,8 +4,8 @@ The index is a table bucketed and sorted by digest. A new batch is reduced to on
 are found by a sort-merge anti-join with the index, and these are appended. Everything is DataFrame expressions.
 
 Defined results for edge cases: a null text counts as the empty text, so all null and empty texts form one group; ties
-on the id cannot arise for distinct ids (repeated ids count as separate rows of one group); an empty batch gives an
-empty result and leaves the index as it was; other columns of the batch are carried through untouched.
+on the id cannot arise for distinct ids (rows that repeat the smallest id all stay, as do rows without an id in a group
+that has none); an empty batch gives an empty result and leaves the index as it was; other columns of the batch are carried through untouched.
 """
 
 from __future__ import annotations
@@ -63,7 +63,7 @@ class DigestIndex:
         self._write(stage(unseen.select("digest", F.col("first_id").alias("keep_id")), "digest-new"))
         groups = found.join(self.read().hint("merge"), "digest", "left").select("digest", "group_size", "keep_id")
         groups = stage(groups, "digest-kept")
-        return join_groups(digests, groups, "digest", "group_size", total).withColumn("kept", F.col(id_col) == F.col("keep_id"))
+        return join_groups(digests, groups, "digest", "group_size", total).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DigestIndex | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ keys, and narrows the bracket of each splitter. Only then does the data move, in
 A splitter is first sought between hash values, which keeps a group of equal texts in one shard; only where a group is
 too large to meet the tolerance do probes go on among the ids inside it.
 
-Edge cases: a null text weighs ``overhead`` bytes only; an empty table gives an empty result; fewer rows than shards
+Edge cases: a null text weighs ``overhead`` bytes only; a null id sorts first; an empty table gives an empty result; fewer rows than shards
 leave shards empty; columns named like the results are replaced.
 """
 
@@ -105,15 +105,15 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_co
 
     ``parts_per_shard`` cuts each shard's key range further for the exchange, so that no task holds a whole shard.
     """
-    docs = docs.drop(*({"size", "shard", "slot", "_hash", "_part"} & set(docs.columns)))
-    keyed = docs.withColumns({"_hash": F.xxhash64(text_or_empty(text_col)), "size": F.octet_length(text_or_empty(text_col)).cast("bigint") + overhead})
-    keys = stage(keyed.select(F.col("_hash").alias("hash"), F.col(id_col).cast("bigint").alias("id"), "size"), "shard-keys")
+    docs = docs.drop(*({"size", "shard", "slot", "_hash", "_id", "_part"} & set(docs.columns)))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOW + 1)), "_hash": F.xxhash64(text_or_empty(text_col)), "size": F.octet_length(text_or_empty(text_col)).cast("bigint") + overhead})
+    keys = stage(keyed.select(F.col("_hash").alias("hash"), F.col("_id").alias("id"), "size"), "shard-keys")
     cuts, rows = find_splitters(keys, shards * parts_per_shard, parts_per_shard, tolerance)
-    key = F.struct(F.col("_hash").alias("h"), F.col(id_col).cast("bigint").alias("i"))
+    key = F.struct(F.col("_hash").alias("h"), F.col("_id").alias("i"))
     literal = F.array(*[F.struct(F.lit(h).cast("bigint").alias("h"), F.lit(i).cast("bigint").alias("i")) for h, i in cuts])
     part = F.size(F.filter(literal, lambda cut: cut <= key)) if cuts else F.lit(0)
     below = [0, *rows]
     before = F.array(*[F.lit(below[k] - below[k - k % parts_per_shard]).cast("bigint") for k in range(len(below))])
-    order = W.partitionBy("_part").orderBy("_hash", id_col)
+    order = W.partitionBy("_part").orderBy("_hash", "_id")
     placed = keyed.withColumn("_part", part).withColumn("slot", (F.row_number().over(order) - 1).cast("bigint") + F.get(before, F.col("_part")))
-    return placed.withColumn("shard", F.floor(F.col("_part") / parts_per_shard).cast("int")).drop("_hash", "_part")
+    return placed.withColumn("shard", F.floor(F.col("_part") / parts_per_shard).cast("int")).drop("_hash", "_id", "_part")
