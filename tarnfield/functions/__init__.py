@@ -1 +1,3 @@
+"""Column expressions."""
 
+from tarnfield.functions.scalar import *  # noqa: F403

@@ -1 +1 @@
-
+"""Operators: functions from DataFrames and column names to DataFrames."""
