@@ -85,7 +85,7 @@ def group_sizes(df: DataFrame, key: str, tops: Sequence[int] = (1, 10, 50, 100))
     """One row: n_groups, mean, median, min and max size, and the share of all rows in the largest groups."""
     sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     stats = sizes.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("_total"), F.avg("n").alias("mean_size"), quantile("n", 0.5).alias("median_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"))
-    largest = sizes.orderBy(F.desc("n"), key).limit(max(tops)).agg(F.array_sort(F.collect_list("n"), lambda a, b: b - a).alias("_n"))
+    largest = sizes.orderBy(F.desc("n"), key).limit(max(tops)).agg(F.sort_array(F.collect_list("n"), False).alias("_n"))
     top = {f"top{k}_share": safe_ratio(F.aggregate(F.slice("_n", 1, k), F.lit(0).cast("bigint"), lambda s, x: s + x), F.col("_total")) for k in tops}
     return with_row(stats, largest).withColumns(top).drop("_n", "_total")
 
