@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tarnfield import functions as fn
 from tarnfield.operators import clean, features, matrix, relations, select, stats
+from tarnfield.plans import datasets, profile
 from tarnfield.session import table
 from tarnfield.sources import documents as docs_io
 from tarnfield.sources import tables as tables_io
+from tarnfield.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -772,7 +774,122 @@ UNION ALL SELECT 'imbalance_ratio', round(max(n) / CAST(min(n) AS DOUBLE), 6) FR
 """)
 def executive_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Headline figures of one dataset as a long table."""
-    from tarnfield.plans.profile import executive_summary as summary
-
     lines = table(spark, sf, "lineitem")
-    return rounded(summary(lines, _sparse(spark, sf), ["tax", "flag"], ["l_orderkey", "l_linenumber"], "l_returnflag"))
+    return rounded(profile.executive_summary(lines, _sparse(spark, sf), ["tax", "flag"], ["l_orderkey", "l_linenumber"], "l_returnflag"))
+
+
+# domain pipelines: the star schema cast into their tables -------------------------------------------------------------
+
+
+def game_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Customers as clans, orders as memberships, orders as players, lines as their progression."""
+    orders, customers, lines = table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "lineitem")
+    tag = lambda c: F.concat(F.lit("#"), F.col(c).cast("string"))
+    mod = lambda c, n, k=0: ((F.col(c) * 7 + k) % n).cast("bigint")
+    player = orders.withColumns({"player_tag": tag("o_orderkey"), "clan_tag": tag("o_custkey")})
+    price = F.floor("o_totalprice").cast("bigint")
+    base = {"town_hall_level": mod("o_orderkey", 18, 1), "exp_level": mod("o_orderkey", 97), "trophies": price, "best_trophies": price + mod("o_orderkey", 1000), "war_stars": mod("o_orderkey", 131), "attack_wins": mod("o_orderkey", 53), "defense_wins": mod("o_orderkey", 11), "builder_hall_level": mod("o_orderkey", 10), "builder_base_trophies": mod("o_orderkey", 3001), "best_builder_base_trophies": mod("o_orderkey", 5), "donations": mod("o_orderkey", 701), "donations_received": mod("o_orderkey", 13), "clan_capital_contributions": mod("o_orderkey", 1009)}
+    players = player.select("player_tag", F.lit("p").alias("name"), *[e.alias(c) for c, e in base.items()], "clan_tag")
+    members = player.select("clan_tag", "player_tag", F.col("o_orderpriority").alias("role"), *[base[c].alias(c) for c in ("town_hall_level", "exp_level", "trophies", "builder_base_trophies", "donations", "donations_received")], base["clan_capital_contributions"].alias("capital_contributions"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("clan_rank"), mod("o_orderkey", 50).alias("previous_clan_rank"))
+    state = lambda s: F.count_if(F.col("o_orderstatus") == s)
+    wars = orders.groupBy("o_custkey").agg(state("F").alias("war_wins"), state("O").alias("war_losses"), state("P").alias("war_ties"))
+    clans = customers.join(wars, F.col("c_custkey") == F.col("o_custkey"), "left").select(tag("c_custkey").alias("clan_tag"), mod("c_custkey", 30).alias("clan_level"), F.col("c_custkey").alias("clan_points"), F.col("c_mktsegment").alias("war_frequency"), F.col("c_nationkey").cast("bigint").alias("location_id"), "war_wins", "war_losses", "war_ties")
+    line = lines.select(tag("l_orderkey").alias("player_tag"), F.col("l_quantity").cast("bigint").alias("level"), F.round(F.col("l_tax") * 100).cast("bigint").alias("max_level"), "l_linenumber", F.col("l_partkey").alias("value"), F.col("l_suppkey").alias("target"))
+    part = lambda k: line.where(F.col("l_linenumber") % 4 == k)
+    return {"players": players, "clan_members": members, "clans": clans, "player_troops": part(0), "player_heroes": part(1), "player_spells": part(2), "player_hero_equipment": part(3), "player_achievements": line}
+
+
+_PLAYER = """SELECT '#' || o_orderkey AS player_tag, '#' || o_custkey AS clan_tag, o_orderkey AS k, CAST((o_orderkey * 7 + 1) % 18 AS DOUBLE) AS th, CAST((o_orderkey * 7) % 97 AS DOUBLE) AS xp, CAST(floor(o_totalprice) AS DOUBLE) AS tr,
+  CAST((o_orderkey * 7) % 131 AS DOUBLE) AS ws, CAST((o_orderkey * 7) % 701 AS DOUBLE) AS don, CAST((o_orderkey * 7) % 13 AS DOUBLE) AS rec, CAST((o_orderkey * 7) % 1009 AS DOUBLE) AS cap, o_orderpriority AS role FROM orders"""
+
+
+@query(f"""
+WITH p AS ({_PLAYER}), t AS (SELECT '#' || l_orderkey AS player_tag, count(*) AS n, coalesce(sum(CAST(trunc(l_quantity) AS BIGINT)), 0) / CAST(count(*) AS DOUBLE) AS lv, avg(CAST(trunc(l_quantity) AS DOUBLE) / nullif(round(l_tax * 100), 0)) AS r FROM lineitem WHERE l_linenumber % 4 = 0 GROUP BY 1),
+a AS (SELECT '#' || l_orderkey AS player_tag, count(*) AS n, avg(CAST(l_partkey AS DOUBLE) / nullif(l_suppkey, 0)) AS r FROM lineitem GROUP BY 1)
+SELECT p.player_tag, th AS town_hall_level, don - rec AS donation_balance, round(coalesce(don / nullif(rec, 0), 0), 6) AS donation_ratio, CAST(coalesce(t.n, 0) AS DOUBLE) AS troop_count, round(coalesce(t.lv, 0), 6) AS troop_mean_level, round(coalesce(t.r, 0), 6) AS troop_mean_completion_ratio,
+  CAST(coalesce(a.n, 0) AS DOUBLE) AS achievement_count, round(coalesce(a.r, 0), 6) AS achievement_completion_ratio FROM p LEFT JOIN t ON p.player_tag = t.player_tag LEFT JOIN a ON p.player_tag = a.player_tag
+""")
+def player_feature_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """Player features from six tables."""
+    out = datasets.player_features(game_tables(spark, sf))
+    return rounded(out.select("player_tag", "town_hall_level", "donation_balance", "donation_ratio", "troop_count", "troop_mean_level", "troop_mean_completion_ratio", "achievement_count", "achievement_completion_ratio"))
+
+
+@query(f"""
+WITH p AS ({_PLAYER}), w AS (SELECT *, avg(tr) OVER g AS mt, avg(ws) OVER g AS mw, count(*) OVER g AS n, rank() OVER (PARTITION BY clan_tag ORDER BY ws) + (count(*) OVER (PARTITION BY clan_tag, ws) - 1) / CAST(2 AS DOUBLE) AS r FROM p WINDOW g AS (PARTITION BY clan_tag))
+SELECT w.clan_tag, w.player_tag, round(tr - mt, 6) + 0.0 AS trophies_diff_from_clan_mean, round(coalesce(ws / nullif(mw, 0), 0), 6) AS war_stars_ratio_to_clan_mean, round(r / n, 6) AS war_stars_clan_pct, c_mktsegment AS war_frequency, cap AS clan_capital_contributions, role
+FROM w LEFT JOIN customer ON w.clan_tag = '#' || c_custkey
+""")
+def role_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """The role dataset: relative features, clan context, player features, target."""
+    t = game_tables(spark, sf)
+    out = datasets.role_dataset(t, datasets.player_features(t))
+    return rounded(out.select("clan_tag", "player_tag", "trophies_diff_from_clan_mean", "war_stars_ratio_to_clan_mean", "war_stars_clan_pct", "war_frequency", "clan_capital_contributions", "role"))
+
+
+@query(f"""
+WITH p AS ({_PLAYER}), w AS (SELECT *, avg(don) OVER g AS m, count(*) OVER g AS n, rank() OVER (PARTITION BY clan_tag ORDER BY don) + (count(*) OVER (PARTITION BY clan_tag, don) - 1) / CAST(2 AS DOUBLE) AS r FROM p WINDOW g AS (PARTITION BY clan_tag))
+SELECT w.clan_tag, w.player_tag, round(don - m, 6) + 0.0 AS donations_diff_from_clan_mean, round(m, 6) AS clan_mean_donations, round(r / n, 6) AS donations_clan_pct, CAST(epoch(o_orderdate) AS BIGINT) AS clan_rank FROM w JOIN orders ON w.k = o_orderkey
+""")
+def rank_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """The rank dataset without trophies."""
+    t = game_tables(spark, sf)
+    out = datasets.rank_datasets(t, datasets.player_features(t))["without_trophies"]
+    return rounded(out.select("clan_tag", "player_tag", "donations_diff_from_clan_mean", "clan_mean_donations", "donations_clan_pct", "clan_rank"))
+
+
+_WAR = f"""SELECT '#' || o_custkey AS clan_tag, win_rate FROM ({_RATES})"""
+
+
+@query(f"""
+WITH p AS ({_PLAYER}), v AS ({_WAR})
+SELECT v.clan_tag, c_mktsegment AS war_frequency, count(p.k) AS member_count, round(avg(tr), 4) AS mean_trophies, round(quantile_cont(tr, 0.5), 4) AS median_trophies, round(coalesce(stddev_samp(tr), 0), 4) AS std_trophies,
+  round(avg(CASE WHEN th >= 17 THEN 1.0 ELSE 0.0 END), 4) AS th17_plus_percentage, CAST(sum(don) AS DOUBLE) AS total_donations, round(sum(don) / count(p.k), 4) AS donation_rate, round(any_value(win_rate), 4) AS war_success_rate
+FROM v JOIN customer ON v.clan_tag = '#' || c_custkey JOIN p ON p.clan_tag = v.clan_tag GROUP BY v.clan_tag, c_mktsegment
+""")
+def war_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """The war dataset: composition of each clan with enough history, and its success rate."""
+    t = game_tables(spark, sf)
+    out = datasets.war_dataset(t, datasets.player_features(t))
+    return rounded(out.select("clan_tag", "war_frequency", "member_count", "mean_trophies", "median_trophies", "std_trophies", "th17_plus_percentage", F.col("total_donations").cast("double").alias("total_donations"), "donation_rate", "war_success_rate"), digits=4)
+
+
+@query(f"""
+WITH v AS ({_WAR}), q AS (SELECT quantile_cont(win_rate, 1.0 / 3) AS lo, quantile_cont(win_rate, 2.0 / 3) AS hi FROM v)
+SELECT clan_tag, CASE WHEN win_rate < lo THEN 'low' WHEN win_rate < hi THEN 'medium' ELSE 'high' END AS performance_class FROM v, q
+""")
+def class_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """Performance classes of the war dataset by terciles."""
+    t = game_tables(spark, sf)
+    return datasets.class_dataset(datasets.war_dataset(t, datasets.player_features(t)))[0].select("clan_tag", "performance_class")
+
+
+@query(f"SELECT player_tag, th AS town_hall_level, xp AS exp_level, ws AS war_stars, round(coalesce(don / nullif(rec, 0), 0), 6) AS donation_ratio FROM ({_PLAYER})")
+def clustering_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """The clustering matrix of player features."""
+    out, _ = datasets.clustering_dataset(datasets.player_features(game_tables(spark, sf)))
+    return rounded(out.select("player_tag", "town_hall_level", "exp_level", "war_stars", "donation_ratio"))
+
+
+@query()
+def profile_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """Headlines of the exploratory profile of lines: outliers, correlation and information per feature."""
+    found = profile.profile(table(spark, sf, "lineitem"), _AUDIT_COLS, ["l_returnflag"], "l_extendedprice", {"money": "price"})
+    return rounded(found["outliers"].join(found["target_correlation"], "feature").join(found["mutual_information"], "feature"), digits=4)
+
+
+@query("""
+WITH e AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS clan, * FROM orders), d AS (SELECT 100.0 * max(n) / sum(n) AS dom FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)), s AS (SELECT 100.0 * max(n) / sum(n) AS top FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey))
+SELECT count(*) AS n_rows, round(100.0 * count(*) FILTER (clan IS NULL) / count(*), 6) AS without_group, CAST(0 AS DOUBLE) AS mean_missing_pct, round(any_value(dom), 6) AS dominance, round(any_value(top), 6) AS top1,
+  CASE WHEN count(*) < 1000 THEN 'Limited coverage' WHEN count(*) >= 10000 AND any_value(dom) < 40 AND any_value(top) < 40 AND 100.0 * count(*) FILTER (clan IS NULL) / count(*) < 10 THEN 'Excellent coverage' WHEN count(*) >= 5000 AND any_value(dom) < 50 AND any_value(top) < 50 THEN 'Good coverage' ELSE 'Moderate coverage' END AS grade FROM e, d, s
+""")
+def audit_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """The grade of a raw audit of orders."""
+    orders = table(spark, sf, "orders").withColumn("clan", F.when(F.col("o_orderstatus") != "P", F.col("o_custkey")))
+    return rounded(profile.raw_audit(orders, ["o_totalprice"], ["o_orderstatus"], orders, "o_custkey", "clan", "o_orderkey")["grade"])
+
+
+@query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events per hour and type, by the expression that a stream runs."""
+    return state.windowed_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

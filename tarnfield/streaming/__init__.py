@@ -1 +1 @@
-
+"""Incremental maintenance of features from streams of child rows."""
