@@ -36,7 +36,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"))
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +74,54 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_token_counts, op4_url_filter, op5_sharding, op6_exact_dedup, op7_phrase_dedup, op8_language_id, op9_lm_score, op10_packing)}
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _tree_level(k: int) -> str:
+    """SQL of one level of the path-template tree: fat nodes, then the prefixes one segment longer."""
+    return f"""
+f{k} AS (SELECT host, prefix, true AS fat FROM t{k} WHERE segs[{k + 1}] IS NOT NULL GROUP BY host, prefix HAVING count(DISTINCT segs[{k + 1}]) > 30),
+t{k + 1} AS (SELECT t.host, t.path, n_block, n_allow, segs, CASE WHEN segs[{k + 1}] IS NOT NULL THEN t.prefix ELSE parent END AS parent,
+  CASE WHEN segs[{k + 1}] IS NOT NULL THEN t.prefix || '/' || CASE WHEN fat THEN '*' ELSE segs[{k + 1}] END ELSE t.prefix END AS prefix FROM t{k} t LEFT JOIN f{k} f ON t.host = f.host AND t.prefix = f.prefix),"""
+
+
+_RULE_SQL = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{r}'" for _, r in sorted(URL_RULES, key=lambda x: -len(x[1])) for h, _, p in [r.partition("/")]) + " END"
+_VERDICT_SQL = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in URL_RULES) + " END"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("text"))} AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + 4], ' ') AS sh FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 4) + 1)) AS k FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT m.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, m.doc_id = component_id AS kept FROM m LEFT JOIN n ON m.doc_id = n.doc_id""",
+    "op4_url_filter": f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+j AS (SELECT *, {_VERDICT_SQL} AS own FROM (SELECT *, {_RULE_SQL} AS rule FROM h)),
+c AS (SELECT host, path, count(*) FILTER (own = 'block') AS n_block, count(*) FILTER (own = 'allow') AS n_allow FROM j GROUP BY host, path),
+t0 AS (SELECT host, path, n_block, n_allow, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS segs, '' AS parent, '' AS prefix FROM c),
+{_tree_level(0)}{_tree_level(1)}{_tree_level(2)}
+tree AS (SELECT host, path, parent, CASE WHEN len(segs) > 3 THEN prefix || '/**' ELSE prefix END AS template, n_block, n_allow FROM t3),
+l AS (SELECT host, parent, template, sum(n_block) AS b, sum(n_block + n_allow) AS m FROM tree GROUP BY ALL),
+k AS (SELECT *, sum(b) OVER w AS bs, sum(m) OVER w AS ms FROM l WINDOW w AS (PARTITION BY host, parent)),
+d AS (SELECT *, m > 0 AND ms > m AND abs(CAST(b AS DOUBLE) / nullif(m, 0) - CAST(bs - b AS DOUBLE) / nullif(ms - m, 0)) <= CAST(1.96 AS DOUBLE) * sqrt(CAST(bs AS DOUBLE) / nullif(ms, 0) * (1 - CAST(bs AS DOUBLE) / nullif(ms, 0)) * (CAST(1 AS DOUBLE) / nullif(m, 0) + CAST(1 AS DOUBLE) / nullif(ms - m, 0))) AS merged FROM k),
+g AS (SELECT *, CAST(sum(b) OVER w + 1 AS DOUBLE) / (sum(m) OVER w + 2) AS purity FROM d WINDOW w AS (PARTITION BY host, parent, CASE WHEN merged THEN '{{merged}}' ELSE template END))
+SELECT page_id, j.host, j.path, rule, coalesce(own, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, tree.template, round(purity, 6) AS purity
+FROM j JOIN tree ON j.host = tree.host AND j.path = tree.path JOIN g ON g.host = tree.host AND g.parent = tree.parent AND g.template = tree.template""",
+    "op6_exact_dedup": r"""
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",
+    "op7_phrase_dedup": f"""
+WITH w AS (SELECT doc_id, {_WORDS.format("text")} AS ws FROM documents),
+p AS (SELECT doc_id, k, array_to_string(ws[k:k + 12], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS k FROM w WHERE len(ws) > 12)),
+f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY s),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS at FROM p JOIN f ON p.s = f.s WHERE first < doc_id),
+x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at FROM w),
+k AS (SELECT x.doc_id, count(g.at) AS n, string_agg(word, ' ' ORDER BY x.at) FILTER (g.at IS NULL) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.at = g.at GROUP BY x.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+}
