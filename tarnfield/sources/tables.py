@@ -48,7 +48,7 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str, schemas: Mapping[
 
 def append_new(df: DataFrame, existing: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows of ``df`` whose key is not in ``existing``: what an append that may be repeated writes."""
-    return df.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+    return df.join(existing.select(*keys).distinct(), list(keys), "left_anti").select(*df.columns)
 
 
 def read_history(spark: SparkSession, path: str, names: Mapping[str, str]) -> DataFrame:
