@@ -90,7 +90,7 @@ def group_composition(df: DataFrame, group: str, stat_cols: Sequence[str] = (),
         aggs += [F.avg(x).alias(f"mean_{c}"), quantile(c, 0.5).alias(f"median_{c}"), F.stddev_samp(x).alias(f"std_{c}")]
     aggs += [F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in mean_cols]
     aggs += [F.avg(F.when(cond, 1.0).otherwise(0.0)).alias(k) for k, cond in (shares or {}).items()]
-    aggs += [F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in sum_cols]
+    aggs += [F.coalesce(F.sum(c), F.lit(0)).alias(f"sum_{c}") for c in sum_cols]
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs)
 
 

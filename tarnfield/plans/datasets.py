@@ -97,8 +97,8 @@ def war_dataset(t: Tables, players: DataFrame, minimum: int = 5) -> DataFrame:
     shares = {"th18_percentage": F.col("town_hall_level") >= 18, "th17_plus_percentage": F.col("town_hall_level") >= 17}
     teams = features.group_composition(profiles, "clan_tag", S.WAR_STATS, S.WAR_MEANS, shares, S.WAR_SUMS)
     teams = teams.withColumns({
-        "donation_balance": F.col("total_donations") - F.col("total_donations_received"), "donation_ratio": safe_ratio("total_donations", "total_donations_received"),
-        "donation_rate": safe_ratio("total_donations", "member_count"), "capital_contribution_rate": safe_ratio("total_clan_capital_contributions", "member_count"),
+        "donation_balance": F.col("sum_donations") - F.col("sum_donations_received"), "donation_ratio": safe_ratio("sum_donations", "sum_donations_received"),
+        "donation_rate": safe_ratio("sum_donations", "member_count"), "capital_contribution_rate": safe_ratio("sum_clan_capital_contributions", "member_count"),
     })
     context = select.whitelist(valid, ["clan_tag", *S.WAR_CONTEXT])
     target = valid.select("clan_tag", "war_success_rate")

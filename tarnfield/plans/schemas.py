@@ -21,7 +21,7 @@ def _fields(spec: str, paths: dict[str, str] | None = None) -> dict[str, tuple[s
 CLANS = _fields(
     "clan_tag:s name:s description:s clan_level:n clan_points:n clan_builder_base_points:n clan_capital_points:n members:n required_trophies:n war_frequency:s "
     "war_win_streak:n war_wins:n war_ties:n war_losses:n war_log_public:b location_id:n location_name:s type:s is_family_friendly:b",
-    {"clan_tag": "$.tag", "war_log_public": "$.isWarLogPublic", "location_id": "$.location.id", "location_name": "$.location.name"},
+    {"clan_tag": "$.tag", "location_id": "$.location.id", "location_name": "$.location.name"},
 )
 #: Nested objects that are kept as canonical text, and the place in the table after which they stand.
 CLAN_TEXTS = {"war_league": "$.warLeague", "capital_league": "$.capitalLeague"}
@@ -55,15 +55,19 @@ RANK_BANNED = ["clan_rank", "previous_clan_rank", "role"]
 TROPHY_BANNED = ["trophies", "trophies_diff_from_clan_mean", "trophies_ratio_to_clan_mean", "trophies_clan_pct", "best_trophies", "progression_ratio_trophies", "clan_mean_trophies", "required_trophies"]
 PROXY_VARIABLES = "trophies town_hall_level exp_level war_stars attack_wins defense_wins donations donations_received capital_contributions builder_base_trophies".split()
 
-WAR_CONTEXT = "clan_level clan_points clan_builder_base_points clan_capital_points members required_trophies war_frequency war_league capital_league type is_family_friendly location_id".split()
+WAR_CONTEXT = "clan_level clan_points clan_capital_points members required_trophies war_frequency war_league capital_league type is_family_friendly location_id location_name".split()
 WAR_STATS = ["town_hall_level", "exp_level", "trophies", "donations", "donations_received", "clan_capital_contributions"]
 WAR_MEANS = [f"{p}_{m}" for p in ("troop", "hero", "spell", "equipment") for m in ("mean_level", "mean_completion_ratio")] + ["achievement_completion_ratio"]
 WAR_SUMS = ["donations", "donations_received", "clan_capital_contributions"]
 WAR_LEAKS = "war_wins war_losses war_ties war_win_streak war_points war_total war_success_rate win_rate loss_rate tie_rate".split()
 WAR_BINS = ([0, 1, 2, 3, 4, 5, 10, 20, 50, 100], ["0", "1", "2", "3", "4", "5-9", "10-19", "20-49", "50-99", "100+"])
 
-CLUSTER_FEATURES = PLAYER_BASE + "donation_balance donation_ratio combat_activity_total progression_ratio_trophies builder_progression_ratio".split() + [f"{p}_{m}" for p in ("troop", "hero", "spell", "equipment") for m in ("mean_level", "mean_completion_ratio")] + ["achievement_count", "achievement_completion_ratio"]
-CLUSTER_EXCLUDED = (["player_tag", "clan_tag", "role", "clan_rank", "previous_clan_rank"], ["war_success", "performance_class", "league_name", "clan_name"])
+CLUSTER_FEATURES = (
+    "town_hall_level builder_hall_level exp_level trophies best_trophies war_stars attack_wins defense_wins donations donations_received clan_capital_contributions".split()
+    + [f"{p}_{m}" for p in ("troop", "hero", "spell", "equipment") for m in ("count", "mean_level", "mean_completion_ratio")]
+    + "achievement_count achievement_completion_ratio donation_balance donation_ratio combat_activity_total progression_ratio_trophies builder_progression_ratio".split()
+)
+CLUSTER_EXCLUDED = ("player_tag clan_tag role clan_rank previous_clan_rank war_success_rate war_win_rate performance_class".split(), "target label prediction cluster clan_rank role".split())
 
 
 def schema_of(fields: dict[str, tuple[str, str]], first: str = "", texts: tuple[str, ...] = ()) -> T.StructType:

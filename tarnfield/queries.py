@@ -111,13 +111,13 @@ def group_relative(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""
 SELECT c_nationkey, count(*) AS member_count, round(avg(c_acctbal), 6) AS mean_c_acctbal, round(quantile_cont(c_acctbal, 0.5), 6) AS median_c_acctbal, round(stddev_samp(c_acctbal), 6) AS std_c_acctbal,
-  round(avg(CAST(c_custkey AS DOUBLE)), 6) AS mean_c_custkey, round(avg(CASE WHEN c_acctbal >= 5000 THEN 1.0 ELSE 0.0 END), 6) AS rich_share, round(sum(c_acctbal), 2) AS total_c_acctbal
+  round(avg(CAST(c_custkey AS DOUBLE)), 6) AS mean_c_custkey, round(avg(CASE WHEN c_acctbal >= 5000 THEN 1.0 ELSE 0.0 END), 6) AS rich_share, round(sum(c_acctbal), 2) AS sum_c_acctbal
 FROM customer GROUP BY c_nationkey
 """)
 def group_composition(spark: SparkSession, sf: str) -> DataFrame:
     """Mean, median, deviation, shares, sums and size per nation, in one aggregate."""
     out = features.group_composition(table(spark, sf, "customer"), "c_nationkey", ["c_acctbal"], ["c_custkey"], {"rich_share": F.col("c_acctbal") >= 5000}, ["c_acctbal"])
-    return rounded(rounded(out, ["total_c_acctbal"], 2))
+    return rounded(rounded(out, ["sum_c_acctbal"], 2))
 
 
 def _history(spark: SparkSession, sf: str) -> DataFrame:
@@ -844,14 +844,14 @@ _WAR = f"""SELECT '#' || o_custkey AS clan_tag, win_rate FROM ({_RATES})"""
 @query(f"""
 WITH p AS ({_PLAYER}), v AS ({_WAR})
 SELECT v.clan_tag, c_mktsegment AS war_frequency, count(p.k) AS member_count, round(avg(tr), 4) AS mean_trophies, round(quantile_cont(tr, 0.5), 4) AS median_trophies, round(coalesce(stddev_samp(tr), 0), 4) AS std_trophies,
-  round(avg(CASE WHEN th >= 17 THEN 1.0 ELSE 0.0 END), 4) AS th17_plus_percentage, CAST(sum(don) AS DOUBLE) AS total_donations, round(sum(don) / count(p.k), 4) AS donation_rate, round(any_value(win_rate), 4) AS war_success_rate
+  round(avg(CASE WHEN th >= 17 THEN 1.0 ELSE 0.0 END), 4) AS th17_plus_percentage, CAST(sum(don) AS DOUBLE) AS sum_donations, round(sum(don) / count(p.k), 4) AS donation_rate, round(any_value(win_rate), 4) AS war_success_rate
 FROM v JOIN customer ON v.clan_tag = '#' || c_custkey JOIN p ON p.clan_tag = v.clan_tag GROUP BY v.clan_tag, c_mktsegment
 """)
 def war_preset(spark: SparkSession, sf: str) -> DataFrame:
     """The war dataset: composition of each clan with enough history, and its success rate."""
     t = game_tables(spark, sf)
     out = datasets.war_dataset(t, datasets.player_features(t))
-    return rounded(out.select("clan_tag", "war_frequency", "member_count", "mean_trophies", "median_trophies", "std_trophies", "th17_plus_percentage", F.col("total_donations").cast("double").alias("total_donations"), "donation_rate", "war_success_rate"), digits=4)
+    return rounded(out.select("clan_tag", "war_frequency", "member_count", "mean_trophies", "median_trophies", "std_trophies", "th17_plus_percentage", F.col("sum_donations").cast("double").alias("sum_donations"), "donation_rate", "war_success_rate"), digits=4)
 
 
 @query(f"""

@@ -73,7 +73,7 @@ def test_datasets(spark, rows, raw, tmp_path):
     assert rank["with_trophies"].count() == 1 and "role" not in rank["with_trophies"].columns and not any(c.startswith("trophies") for c in rank["without_trophies"].columns)
     war = datasets.war_dataset(t, players)
     w = war.first()
-    assert (w.member_count, w.war_success_rate, w.std_trophies, w.war_frequency) == (2, 0.6, 0.0, "unknown") and "war_wins" not in war.columns
+    assert (w.member_count, w.war_success_rate, w.std_trophies, w.war_frequency) == (2, 0.6, 0.0, "unknown") and "war_wins" not in war.columns and len(war.columns) == 51
     assert datasets.war_dataset(t, players, 11).count() == 0
     with pytest.raises(tio.ContractError):
         datasets.war_dataset(t, players.unionByName(players))
@@ -83,7 +83,7 @@ def test_datasets(spark, rows, raw, tmp_path):
     with pytest.raises(tio.ContractError):
         datasets.class_dataset(rates.unionByName(rates))
     matrix, report = datasets.clustering_dataset(players)
-    assert matrix.columns == ["player_tag", *[c for c in schemas.CLUSTER_FEATURES if c in players.columns]] and report.first().n_rows == 2
+    assert matrix.columns == ["player_tag", *schemas.CLUSTER_FEATURES] and len(matrix.columns) == 31 and report.first().n_rows == 2
 
 
 def test_contracts_and_sinks(spark, rows, tmp_path):
