@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tarnfield import functions as fn
 from tarnfield.operators import clean, features, matrix, relations, select, stats
-from tarnfield.plans import datasets, profile
+from tarnfield.plans import candidates, datasets, profile
 from tarnfield.session import table
 from tarnfield.sources import documents as docs_io
 from tarnfield.sources import tables as tables_io
@@ -893,3 +893,22 @@ def audit_preset(spark: SparkSession, sf: str) -> DataFrame:
 def windowed_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Events per hour and type, by the expression that a stream runs."""
     return state.windowed_counts(table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"]).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"""
+WITH l AS (SELECT DISTINCT CASE WHEN regexp_matches(symbol, '^[0-9]+$') THEN symbol WHEN lower(symbol) = 'global' THEN 'global' ELSE CAST(n_nationkey AS VARCHAR) END AS location FROM ({_SYMBOLS}) LEFT JOIN nation ON lower(trim(symbol)) = lower(n_name) WHERE symbol NOT LIKE 'nowhere%'),
+s AS (SELECT DISTINCT 'min_size=' || (p_size // 10) AS fingerprint FROM part), n AS (SELECT max(ts) AS t FROM events),
+h AS (SELECT DISTINCT CAST(user_id % 25 AS VARCHAR) AS location, 'min_size=' || (event_id % 5) AS fingerprint FROM events, n WHERE ts > t - INTERVAL 240 MINUTE)
+SELECT location, fingerprint FROM l, s WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.location = l.location AND h.fingerprint = s.fingerprint) QUALIFY row_number() OVER (PARTITION BY location ORDER BY fingerprint) <= 3
+""")
+def candidate_preset(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches to run next: regions by symbol, size ranges, and a log of events as past searches."""
+    nation, events = table(spark, sf, "nation"), table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = table(spark, sf, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    at = F.col("s_suppkey") % 4
+    symbol = F.when(at == 0, F.col("s_nationkey").cast("string")).when(at == 1, "Global").when(at == 2, F.concat(F.lit(" "), F.lower("n_name"), F.lit(" "))).otherwise(F.concat(F.lit("nowhere "), F.col("s_suppkey").cast("string")))
+    segments = table(spark, sf, "part").select(F.floor(F.col("p_size") / 10).alias("min_size")).distinct()
+    log = events.select((F.col("user_id") % 25).alias("location_id"), F.create_map(F.lit("minSize"), F.col("event_id") % 5).alias("filters"), F.col("ts").alias("used_at"))
+    now = str(events.agg(F.max("ts")).first()[0])
+    out = candidates.candidate_table(rows.select(symbol.alias("symbol")), "symbol", nation, "n_name", "n_nationkey", segments, log, now, {"minSize": "min_size"}, 240, 3)
+    return out.select("location", "fingerprint")
