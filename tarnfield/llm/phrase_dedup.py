@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfield.llm.common import stage, text_or_empty
-from tarnfield.llm.words import WordHashes, shingle_hashes
+from tarnfield.llm.words import portions, shingle_hashes, words_of
 
-SHARD_WORDS = 200_000  #: words of whole anchor groups from which a shard's automaton is compiled
-DOCS_AT_ONCE = 256
+SHARD_WORDS = 1500  #: words of whole anchor groups from which a shard's automaton is compiled
 
 
 def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -48,19 +47,15 @@ def _anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
 
 
 def _document_anchors(window: int, anchor: int):
+    """(id, print, anchor): the different anchors of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
-            for low in range(0, b.num_rows, DOCS_AT_ONCE):
-                part = b.slice(low, DOCS_AT_ONCE)
-                found, lengths = [], []
-                for text in part.column(2).cast(pa.binary()).to_pylist():
-                    words = text.split()
-                    got = np.unique(_anchors(known.of(words), window, anchor)) if len(words) >= window else np.zeros(0, np.int64)
-                    found.append(got)
-                    lengths.append(len(got))
-                row = np.repeat(np.arange(part.num_rows), lengths)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], ["id", "print", "anchor"])
+            for part, texts in portions(b, 2):
+                words = words_of(texts)
+                found = [np.unique(_anchors(words.hashes[low:high], window, anchor)) if high - low >= window else np.zeros(0, np.int64) for low, high in zip(words.bounds, words.bounds[1:], strict=False)]
+                row = pa.array(np.repeat(np.arange(len(texts)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), pa.array(np.concatenate(found))], ["id", "print", "anchor"])
 
     return run
 
@@ -69,24 +64,27 @@ def _segments(window: int, anchor: int):
     """(anchor, id, print, start, segment, key) for each stretch of windows with one recurring anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
-            for low in range(0, b.num_rows, DOCS_AT_ONCE):
-                part = b.slice(low, DOCS_AT_ONCE)
-                out = ([], [], [], [], [], [])
-                for doc, mark, text, wanted in zip(*(part.column(k).to_pylist() for k in (0, 1)), part.column(2).cast(pa.binary()).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    words = text.split()
-                    own = _anchors(known.of(words), window, anchor)
-                    hit = np.isin(own, np.array(wanted, np.int64))
-                    new = np.ones(len(own), bool)
-                    new[1:] = own[1:] != own[:-1]
-                    begins = np.flatnonzero(new)
+            for part, texts in portions(b, 2):
+                words = words_of(texts)
+                rows, at, first, last = [], [], [], []
+                for k, wanted in enumerate(part.column(3)):
+                    low, high = words.bounds[k : k + 2]
+                    own = _anchors(words.hashes[low:high], window, anchor)
+                    begins = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                     ends = np.append(begins[1:], len(own))
-                    for a, z in zip(begins[hit[begins]].tolist(), ends[hit[begins]].tolist(), strict=True):
-                        segment = b" ".join(words[a : z + window - 1])
-                        for to, x in zip(out, (int(own[a]), doc, mark, a, segment, xxhash.xxh3_128_digest(segment)), strict=True):
-                            to.append(x)
-                yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in range(4)), *(pa.array(out[k], pa.binary()) for k in (4, 5))], ["anchor", "id", "print", "start", "segment", "key"])
+                    hit = np.isin(own[begins], wanted.values.to_numpy())
+                    begins, ends = begins[hit], ends[hit]
+                    rows.append(np.full(len(begins), k))
+                    at.append(np.column_stack([own[begins], begins]))
+                    first.append(words.starts[low + begins])
+                    last.append(words.ends[low + ends + window - 2])
+                row, own = pa.array(np.concatenate(rows)), np.concatenate(at)
+                stretches = [words.buffer[x:y] for x, y in zip(np.concatenate(first).tolist(), np.concatenate(last).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(own[:, 0].copy()), part.column(0).take(row), part.column(1).take(row), pa.array(own[:, 1].copy()),
+                    pa.array(stretches, pa.binary()), pa.array([xxhash.xxh3_128_digest(x) for x in stretches], pa.binary()),
+                ], ["anchor", "id", "print", "start", "segment", "key"])
 
     return run
 
@@ -94,43 +92,67 @@ def _segments(window: int, anchor: int):
 def _locate(window: int):
     """For each segment, the first document of each of its windows that occurs in two documents or more, else null."""
 
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
+    def shard(rows: list[tuple], out: tuple[list, list]) -> None:
         numbers: dict[bytes, int] = {}
-        texts = [tuple(numbers.setdefault(w, len(numbers)) for w in r[1].split(b" ")) for r in rows]
-        seen: dict[tuple, list[int]] = {}
-        for words, r in zip(texts, rows, strict=True):
+        texts = [tuple([numbers.setdefault(w, len(numbers)) for w in r[1].split()]) for r in rows]
+        seen: dict[tuple, tuple[int, int]] = {}
+        for words, (_, _, _, low, high) in zip(texts, rows, strict=True):
             for k in range(len(words) - window + 1):
-                at = seen.setdefault(words[k : k + window], [r[3], r[4]])
-                at[0], at[1] = min(at[0], r[3]), max(at[1], r[4])
+                passage = words[k : k + window]
+                at = seen.get(passage)
+                seen[passage] = (low, high) if at is None else (min(at[0], low), max(at[1], high))
         automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for passage, (first, last) in seen.items():
-            if first < last:
-                automaton.add_word(passage, first)
-        out: tuple[list, list] = ([], [])
-        if len(automaton):
-            automaton.make_automaton()
-            for words, r in zip(texts, rows, strict=True):
-                firsts: list[int | None] = [None] * (len(words) - window + 1)
-                for end, first in automaton.iter(words):
-                    firsts[end - window + 1] = first
-                if any(f is not None and f < r[4] for f in firsts):
-                    out[0].append(r[2])
-                    out[1].append(firsts)
-        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64()))], ["key", "firsts"])
+        for passage, (low, high) in seen.items():
+            if low < high:
+                automaton.add_word(passage, low)
+        if not len(automaton):
+            return
+        automaton.make_automaton()
+        for words, r in zip(texts, rows, strict=True):
+            firsts: list[int | None] = [None] * (len(words) - window + 1)
+            for end, first in automaton.iter(words):
+                firsts[end - window + 1] = first
+            if any(f is not None and f < r[4] for f in firsts):
+                out[0].append(r[2])
+                out[1].append(firsts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: tuple[list, list] = ([], [])
+        group: list[tuple] = []
         rows: list[tuple] = []
         size, last = 0, None
+
+        def close() -> None:
+            """Take the finished anchor group into the shard; compile the shard once it is large."""
+            nonlocal size
+            if len(group) == 1:  # the one segment of its anchor is itself the passage, in each of its documents
+                (_, text, key, low, high), = group
+                if low < high:
+                    out[0].append(key)
+                    out[1].append([low] * (len(text.split()) - window + 1))
+            else:
+                rows.extend(group)
+                size += sum(len(r[1]) for r in group) // 6
+            if size >= SHARD_WORDS:
+                shard(rows, out)
+                rows.clear()
+                size = 0
+            group.clear()
+
         for b in batches:
             for r in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if size >= SHARD_WORDS and r[0] != last:
-                    yield shard(rows)
-                    rows, size = [], 0
-                rows.append(r)
-                size += r[1].count(b" ")
+                if r[0] != last and group:
+                    close()
                 last = r[0]
+                group.append(r)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64()))], ["key", "firsts"])
+            out[0].clear()
+            out[1].clear()
+        if group:
+            close()
         if rows:
-            yield shard(rows)
+            shard(rows, out)
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.int64()))], ["key", "firsts"])
 
     return run
 

@@ -1,31 +1,58 @@
-"""Word hashing inside tasks. Words are the runs of anything but ASCII white space, as bytes.split() finds them."""
+"""Word and shingle hashes of many texts at once, in array operations over their bytes.
+
+Words are the runs of anything but ASCII white space (space, tab to carriage return), as ``bytes.split()`` finds them.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
-import xxhash
+import pyarrow as pa
 
-MEMORY = 400_000
-#: Odd multipliers for the places of a shingle, from one seed.
-PLACES = np.random.default_rng(20_240_601).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+BYTES_AT_ONCE = 1_000_000
+_RANDOM = np.random.default_rng(20_240_601)
+#: Odd multipliers for the places of a shingle; values of bytes; powers of an odd number for the places in a word.
+PLACES = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
+BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
+POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15 | 5, np.uint64))
+IS_WORD = np.ones(256, bool)
+IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered up to MEMORY words."""
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMORY:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+@dataclass
+class Words:
+    """The words of several texts in one buffer."""
 
+    buffer: bytes
+    starts: np.ndarray  #: of each word in the buffer
+    ends: np.ndarray
+    hashes: np.ndarray  #: 64 bits of each word
+    bounds: np.ndarray  #: text k has the words bounds[k] to bounds[k + 1]
 
-def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-    return h ^ (h >> np.uint64(29))
+
+def words_of(texts: list[bytes]) -> Words:
+    buffer = b" ".join(texts) + b" "
+    raw = np.frombuffer(buffer, np.uint8)
+    word = IS_WORD[raw]
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    starts, ends = edges[::2], edges[1::2]
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    bounds = np.searchsorted(starts, offsets)
+    if not len(starts):
+        return Words(buffer, starts, ends, np.zeros(0, np.uint64), bounds)
+    lengths = ends - starts
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    place &= 4095  # a word of over 4096 bytes uses the powers again
+    hashes = np.add.reduceat(BYTE_VALUES[raw[word]] * POWERS[place], first)
+    return Words(buffer, starts, ends, mix(hashes + lengths.astype(np.uint64)), bounds)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -38,3 +65,16 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     for k in range(1, width):
         h = (h ^ (h >> np.uint64(31))) + words[k : k + n] * PLACES[k]
     return mix(h + np.uint64(width))
+
+
+def portions(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch of about BYTES_AT_ONCE bytes of text, one text at least, with their texts."""
+    texts = batch.column(text_at).cast(pa.binary()).to_pylist()
+    low = size = 0
+    for k, t in enumerate(texts):
+        if k > low and size + len(t) > BYTES_AT_ONCE:
+            yield batch.slice(low, k - low), texts[low:k]
+            low, size = k, 0
+        size += len(t)
+    if texts:
+        yield batch.slice(low), texts[low:]
