@@ -15,7 +15,7 @@ from tarnfield.llm import decontaminate, exact_dedup, language_id, near_dedup, p
 from tarnfield.llm.common import crc32_of_id, fresh_path
 
 #: Below this the best language's probability is hardly more than chance.
-LEAST_SCORE = 0.35
+LEAST_SCORE = 0.3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
