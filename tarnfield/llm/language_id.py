@@ -186,7 +186,12 @@ def fit(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col: st
     """Train on SAMPLE_DOCS documents, those with the smallest hash of their id, one snippet from a place given by that hash."""
     key = F.xxhash64(F.col(id_col), F.lit(1))
     start = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.greatest(F.lit(1), F.length(text_col) - SNIPPET + 1))
-    usable = docs.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    labelled = docs.where(trainable & F.col(lang_col).isNotNull())
+    # a first cut by the hash, so that tasks send about twice the sample in all, however many they are
+    share = 2 * SAMPLE_DOCS / max(1, labelled.count())
+    if share < 1:
+        labelled = labelled.where(key < int(-(2**63) + 2**64 * share))
+    usable = labelled.where(F.col(text_col).rlike(r"\p{L}"))
     sample = usable.select(key.alias("key"), F.col(text_col).substr(start.cast("int"), F.lit(SNIPPET)).alias("snippet"), F.col(lang_col).cast("string").alias("lang"))
     rows = sample.orderBy("key", "snippet").limit(SAMPLE_DOCS).collect()
     return train([r.snippet.encode() for r in rows], [r.lang for r in rows]) if rows else None
