@@ -21,9 +21,12 @@ from pyspark.sql import Window as W
 
 from tarnfield.llm.common import stage, text_or_empty
 from tarnfield.llm.tokens import UnitIds
+from tarnfield.llm.words import portions
 
 #: Up to so many rows (tasks times lengths) go out by broadcast; more are joined by a shuffle.
 SMALL = 200_000
+#: Bytes of text whose words are looked up together.
+TEXTS_AT_ONCE = 4_000_000
 
 
 def piece_lengths(n: int, max_length: int) -> list[int]:
@@ -36,10 +39,9 @@ def _pieces(path: str, end_id: int, max_length: int):
         encoder, end, task = UnitIds(path), end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         made: Counter[int] = Counter()
         for b in batches:
-            for low in range(0, b.num_rows, 512):
-                part = b.slice(low, 512)
+            for part, texts in portions(b, 1, TEXTS_AT_ONCE):
                 out = ([], [], [], [], [], [])
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).cast(pa.binary()).to_pylist()), strict=True):
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(texts), strict=True):
                     ids += end
                     n, start = len(ids) // 4, 0
                     for length in piece_lengths(n, max_length):

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 
 from tarnfield.llm.common import stage, text_or_empty
 from tarnfield.llm.tokens import UnitCounts, load
+from tarnfield.llm.words import portions
 
 CANDIDATES = 8  #: stable positions that a chunk reports for each side
 CHUNKS = "row bigint, chunk int, start bigint, first boolean, last boolean, piece string"
@@ -31,8 +32,8 @@ def _count_short(path: str, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = UnitCounts(path)
         for b in batches:
-            texts = b.column(text_at).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if k != text_at), pa.array(counter.count(texts), pa.int64())], [*(n for k, n in enumerate(b.schema.names) if k != text_at), "n_tokens"])
+            for part, texts in portions(b, text_at):
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(b.num_columns) if k != text_at), pa.array(counter.count(texts), pa.int64())], [*(n for k, n in enumerate(b.schema.names) if k != text_at), "n_tokens"])
 
     return run
 

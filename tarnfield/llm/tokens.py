@@ -6,13 +6,18 @@ the encodings of its units, cut there, one after the other. Most units recur; on
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: Entries after which a worker's memory of units starts anew.
-MEMORY = 300_000
+#: Entries of a worker's memory of units.
+MEMORY = 400_000
 SPACE = rb" \t\n\r\x0b\x0c"
 #: An ASCII space run with the non-spaces that follow it.
 UNIT = re.compile(rb"[%s]*[^%s]+|[%s]+" % (SPACE, SPACE, SPACE))
@@ -30,37 +35,104 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+def encode_apart(tokenizer, units: list[bytes], separator: str) -> list[np.ndarray]:
+    """Ids of each unit. Many units are encoded as one text with a special token between, at which the library cuts first."""
+    out: list[np.ndarray] = []
+    mark = tokenizer.token_to_id(separator)
+    if mark is None:  # a vocabulary without that token
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
+    for at in range(0, len(units), 2000):
+        texts = [u.decode() for u in units[at : at + 2000]]
+        odd = {k: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for k, t in enumerate(texts) if "<|" in t}
+        ids = np.array(tokenizer.encode(separator.join("" if k in odd else t for k, t in enumerate(texts)), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ids == mark)
+        starts, ends = np.append(0, cuts + 1).tolist(), np.append(cuts, len(ids)).tolist()
+        out += [odd[k] if k in odd else ids[a:z] for k, (a, z) in enumerate(zip(starts, ends, strict=True))]
+    return out
+
+
+class Memory(dict):
+    """What units encode to. Units met first, the frequent ones among them, stay; once full, others are kept for one call only."""
+
+    def recall(self, units: Iterable[bytes], find: Callable[[list[bytes]], list]) -> dict:
+        """A dictionary with what each of ``units`` encodes to."""
+        every = set(units)
+        new = list(every.difference(self))
+        found = dict(zip(new, find(new), strict=True))
+        if len(self) + len(found) <= MEMORY:
+            self.update(found)
+            return self
+        return {u: self[u] for u in every.difference(found)} | found
+
+
 class UnitCounts:
     """Token counts of texts for a byte-level vocabulary whose words carry their leading space."""
 
-    def __init__(self, path: str):
-        self.tokenizer, self.seen = load(path), {}
+    def __init__(self, path: str, separator: str = "<|endoftext|>"):
+        self.tokenizer, self.seen, self.separator = load(path), Memory(), separator
 
     def count(self, texts: list[bytes]) -> list[int]:
-        seen, cut = self.seen, [None if WIDE_SPACE.search(t) else UNIT.findall(t) for t in texts]
-        new = list({u for units in cut if units for u in units if u not in seen})
-        if len(seen) + len(new) > MEMORY:
-            seen.clear()
-            new = list({u for units in cut if units for u in units})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            seen.update(zip(part, map(len, self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False)), strict=True))
-        return [sum(map(seen.__getitem__, units)) if units is not None else len(self.tokenizer.encode(t.decode(), add_special_tokens=False)) for t, units in zip(texts, cut, strict=True)]
+        cut = [None if WIDE_SPACE.search(t) else UNIT.findall(t) for t in texts]
+        known = self.seen.recall(chain.from_iterable(filter(None, cut)), lambda new: list(map(len, encode_apart(self.tokenizer, new, self.separator))))
+        return [sum(map(known.__getitem__, units)) if units is not None else len(self.tokenizer.encode(t.decode(), add_special_tokens=False)) for t, units in zip(texts, cut, strict=True)]
+
+
+#: How a vocabulary of lower-case words cuts a text.
+WORD_STEPS = ["NFC", "Replace", "Lowercase"]
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters of ASCII and Latin-1 with ASCII signs after them: under that rule two tokens' worth of text, cut between.
+CORE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it prints, else one above 255."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+def cuts_words(tokenizer) -> bool:
+    """Whether a tokenizer lower-cases, cuts by WORD_SPLIT and then works on bytes."""
+    config = json.loads(tokenizer.to_str())
+    steps, cuts = (config.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    cuts = cuts.get("pretokenizers", [])
+    return [n["type"] for n in steps.get("normalizers", [])] == WORD_STEPS and [c["type"] for c in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": WORD_SPLIT} and not cuts[1]["use_regex"]
 
 
 class UnitIds:
     """Ids (little-endian unsigned 32 bit, as bytes) of texts for a vocabulary that drops white space."""
 
-    def __init__(self, path: str):
-        self.tokenizer, self.seen = load(path), {}
+    def __init__(self, path: str, separator: str = "<|startoftext|>"):
+        self.tokenizer, self.seen, self.separator = load(path), Memory(), separator
+        if array("I").itemsize != 4 or sys.byteorder != "little":
+            raise RuntimeError("ids are packed as this machine's unsigned integers, which must be little-endian and of 32 bits")
+        self.words, self.parts, self.letters, self.tokenize = cuts_words(self.tokenizer), {}, byte_letters(), self.tokenizer.model.tokenize
+
+    def _part(self, part: str) -> bytes:
+        text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
+        ids = array("I", [t.id for t in self.tokenize(text)]).tobytes()
+        if len(self.parts) < MEMORY:
+            self.parts[part] = ids
+        return ids
+
+    def _find(self, units: list[bytes]) -> list[bytes]:
+        """New units: letters and the signs after them go to the model as they are, all others through the whole library."""
+        out, odd, known, match, part = [], [], self.parts.get, CORE.fullmatch, self._part
+        for unit in units:
+            cut = match(unit.decode()) if self.words else None
+            if cut is None:
+                odd.append(len(out))
+                out.append(b"")
+                continue
+            letters, signs = cut.groups()
+            letters = letters.lower()
+            ids = known(letters) or part(letters)
+            out.append(ids + (known(signs) or part(signs)) if signs else ids)
+        for k, ids in zip(odd, encode_apart(self.tokenizer, [units[k] for k in odd], self.separator), strict=True):
+            out[k] = ids.tobytes()
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        seen, cut = self.seen, [t.split() for t in texts]  # bytes.split(): ASCII white space only
-        new = list({u for units in cut for u in units if u not in seen})
-        if len(seen) + len(new) > MEMORY:
-            seen.clear()
-            new = list({u for units in cut for u in units})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            seen.update((u, np.array(e.ids, "<u4").tobytes()) for u, e in zip(part, self.tokenizer.encode_batch_fast([u.decode() for u in part], add_special_tokens=False), strict=True))
-        return [b"".join(map(seen.__getitem__, units)) for units in cut]
+        cut = [t.split() for t in texts]  # bytes.split(): ASCII white space only
+        known = self.seen.recall(chain.from_iterable(cut), self._find)
+        return [b"".join(map(known.__getitem__, units)) for units in cut]

@@ -67,12 +67,12 @@ def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h + np.uint64(width))
 
 
-def portions(batch: pa.RecordBatch, text_at: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch of about BYTES_AT_ONCE bytes of text, one text at least, with their texts."""
+def portions(batch: pa.RecordBatch, text_at: int, most: int = BYTES_AT_ONCE) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch of about ``most`` bytes of text, one text at least, with their texts."""
     texts = batch.column(text_at).cast(pa.binary()).to_pylist()
     low = size = 0
     for k, t in enumerate(texts):
-        if k > low and size + len(t) > BYTES_AT_ONCE:
+        if k > low and size + len(t) > most:
             yield batch.slice(low, k - low), texts[low:k]
             low, size = k, 0
         size += len(t)
