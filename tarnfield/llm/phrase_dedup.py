@@ -7,7 +7,8 @@ document with a smaller id. All windows are judged on the input.
    Anchors that occur in a single document rule their windows out; about a fifth of the words start an anchor.
 2. In the documents that are left, each stretch of windows with one recurring anchor is a segment. Equal segments are
    aggregated to the smallest and largest document before anything is gathered.
-3. Segments are sharded by anchor. Each shard confirms the windows that occur in two documents or more, compiles these
+3. Segments are sharded by anchor; those of an anchor that holds more than 1/HEAVY_PARTS of all of them are first split
+   into their windows, each of which is a shard of its own. Each shard confirms the windows that occur in two documents or more, compiles these
    passages into an automaton over word numbers, and streams its segments through it, which locates every occurrence.
 4. Each occurrence whose first document is an earlier one marks its words; the marked words are cut from the text.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarnfield.llm.common import stage, text_or_empty
+from tarnfield.llm.common import HEAVY_PARTS, stage, text_or_empty
 from tarnfield.llm.words import portions, shingle_hashes, words_of
 
 SHARD_WORDS = 1500  #: words of whole anchor groups from which a shard's automaton is compiled
@@ -184,6 +185,22 @@ def _cut(window: int, carried: int):
     return run
 
 
+def _split_heavy(segments: DataFrame, window: int) -> DataFrame:
+    """``segments``, those of heavy anchors as one row per window under the window's own hash.
+
+    Around a passage that very many documents share, the segments at its edges differ in each of them: such an anchor
+    would be one large group. There are at most HEAVY_PARTS heavy anchors, so a broadcast tells them.
+    """
+    total = segments.count()
+    heavy = segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("a"), F.max("key").alias("z"))
+    heavy = F.broadcast(stage(heavy.where((F.col("n") * HEAVY_PARTS > total) & (F.col("a") != F.col("z"))).select("anchor"), "heavy-anchors"))
+    words = F.split(F.decode("segment", "UTF-8"), r"[\x20\x09-\x0D]+")
+    windows = F.transform(F.sequence(F.lit(1), F.size("words") - window + 1), lambda k: F.array_join(F.slice("words", k, window), " "))
+    apart = segments.join(heavy, "anchor", "left_semi").select("id", "print", "start", words.alias("words")).select("id", "print", "start", F.posexplode(windows).alias("at", "text"))
+    apart = apart.select(F.xxhash64("text").alias("anchor"), "id", "print", (F.col("start") + F.col("at")).alias("start"), F.encode("text", "UTF-8").alias("segment"), F.unhex(F.md5(F.encode("text", "UTF-8"))).alias("key"))
+    return segments.join(heavy, "anchor", "left_anti").unionByName(apart)
+
+
 def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, anchor: int = 6) -> DataFrame:
     """All rows of ``docs`` without the text, with n_words, n_removed and kept_text (the words left, joined by a space)."""
     docs = docs.drop(*({"n_words", "n_removed", "kept_text"} & set(docs.columns)))
@@ -194,7 +211,7 @@ def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col:
     anchors = plain.mapInArrow(_document_anchors(window, anchor), "id bigint, print bigint, anchor bigint")
     recurring = stage(anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("anchor"), "recurring-anchors")
     wanted = stage(anchors.join(recurring.hint("merge"), "anchor").groupBy("id", "print").agg(F.collect_set("anchor").alias("wanted")), "anchored-documents")
-    segments = stage(plain.join(wanted.hint("merge"), ["id", "print"]).select("id", "print", "text", "wanted").mapInArrow(_segments(window, anchor), "anchor bigint, id bigint, print bigint, start bigint, segment binary, key binary"), "segments")
+    segments = _split_heavy(stage(plain.join(wanted.hint("merge"), ["id", "print"]).select("id", "print", "text", "wanted").mapInArrow(_segments(window, anchor), "anchor bigint, id bigint, print bigint, start bigint, segment binary, key binary"), "segments"), window)
     distinct = segments.groupBy("anchor", "segment", "key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
     located = stage(distinct.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_locate(window), "key binary, firsts array<bigint>"), "located")
     hits = segments.select("id", "print", "start", "key").join(located.hint("merge"), "key").where(F.exists("firsts", lambda f: f < F.col("id")))
