@@ -1,7 +1,10 @@
 """URL filtering by a path-template tree, in DataFrame expressions only.
 
-Per host, the segments of a path form a tree. Segments that contain a digit, and all segments below a node with more
-than ``max_children`` different ones, become wildcards; what lies deeper than ``depth`` levels becomes ``**``. Sibling
+Per host, the segments of a path form a tree, down to the last segment of the longest path. Segments that contain a
+digit become wildcards. Below a node with more than ``max_children`` different segments, a segment stays if it has at
+least ``support`` different paths and its labels set it apart from its siblings: its block rate, or the share of its
+paths that have a label, differs from that of all others by a two-proportion test. The other segments of that node
+become one wildcard (the one of segments with a digit, if that stays, is then ``#``). Sibling
 templates whose labelled block rates do not differ by a two-proportion test are merged. A template is rejected if its
 smoothed labelled purity, (blocked + 1) / (labelled + 2), reaches ``purity``. The labels are the urls that the given
 rules decide; a rule's verdict always stands, the template's verdict serves all other urls.
@@ -48,22 +51,54 @@ def match_rules(host: Column, path: Column, rules: list[Rule]) -> tuple[Column,
     return pick(2), pick(1)
 
 
-def template_verdicts(urls: DataFrame, depth: int = 3, max_children: int = 30, z: float = 1.96, purity: float = 0.8) -> DataFrame:
-    """Template, purity and verdict of each (host, path). ``urls``: host, path, n_block, n_allow, one row per (host, path)."""
+def _differ(own_b: Column, own_m: Column, all_b: Column, all_m: Column, z: float) -> Column:
+    """Whether own_b of own_m differs from the rest of all_b of all_m by a two-proportion test; false where a side is empty."""
+    rest_b, rest_m, pool = all_b - own_b, all_m - own_m, all_b / all_m
+    spread = F.sqrt(pool * (1 - pool) * (1 / own_m + 1 / rest_m))
+    return F.when((own_m > 0) & (rest_m > 0), F.abs(own_b / own_m - rest_b / rest_m) > z * spread).otherwise(F.lit(False))
+
+
+def _templates(urls: DataFrame, max_children: int, support: int, z: float) -> DataFrame:
+    """``urls`` with the template of each path and the ``_parent`` of that template.
+
+    One round per level. A node of no more than ``max_children`` paths cannot have a wide node below it: its paths are
+    finished at once, so that rounds go on only where many paths share a long prefix.
+    """
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     tree = urls.withColumn("_segs", F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s)))
-    tree = tree.withColumns({"_prefix": F.lit(""), "_parent": F.lit("")})
-    for level in range(depth):
-        tree = stage(tree.withColumn("_seg", F.get("_segs", F.lit(level))), "url-tree")
-        fat = tree.where(F.col("_seg").isNotNull()).groupBy("host", "_prefix").agg(F.count_distinct("_seg").alias("_kids")).where(F.col("_kids") > max_children)
-        tree = tree.join(fat.withColumnsRenamed({"host": "_f_host", "_prefix": "_f_prefix"}).hint("merge"), (F.col("host") == F.col("_f_host")) & (F.col("_prefix") == F.col("_f_prefix")), "left")
-        seg = F.when(F.col("_kids").isNotNull(), F.lit("*")).otherwise(F.col("_seg"))
+    tree = stage(tree.withColumns({"template": F.lit(""), "_parent": F.lit(""), "_open": F.size("_segs") > 0}), "url-tree")
+    columns, done, level = tree.columns, tree.where(~F.col("_open")), 0
+    while not (tree := tree.where("_open")).isEmpty():
+        tree = tree.withColumn("_seg", F.get("_segs", F.lit(level)))
+        labelled = F.col("n_block") + F.col("n_allow")
+        kids = tree.groupBy("host", "template", "_seg").agg(F.count(F.lit(1)).alias("_n"), F.count_if(labelled > 0).alias("_l"), F.sum("n_block").alias("_b"), F.sum(labelled).alias("_m"))
+        kids = stage(kids, "url-nodes")
+        nodes = kids.groupBy(F.col("host").alias("_n_host"), F.col("template").alias("_n_prefix")).agg(F.count(F.lit(1)).alias("_kids"), *[F.sum(c).alias(f"_all{c}") for c in ("_n", "_l", "_b", "_m")])
+        node = (F.col("host") == F.col("_n_host")) & (F.col("template") == F.col("_n_prefix"))
+        apart = _differ(F.col("_b"), F.col("_m"), F.col("_all_b"), F.col("_all_m"), z) | _differ(F.col("_l"), F.col("_n"), F.col("_all_l"), F.col("_all_n"), z)
+        stay = kids.where(F.col("_n") >= support).join(nodes.where(F.col("_kids") > max_children).hint("merge"), node).where(apart)
+        stay = stay.select(F.col("host").alias("_s_host"), F.col("template").alias("_s_prefix"), F.col("_seg").alias("_s_seg"))
+        tree = tree.join(nodes.select("_n_host", "_n_prefix", "_kids", "_all_n").hint("merge"), node)
+        tree = tree.join(stay.hint("merge"), (F.col("host") == F.col("_s_host")) & (F.col("template") == F.col("_s_prefix")) & (F.col("_seg") == F.col("_s_seg")), "left")
+        seg = F.when(F.col("_kids") <= max_children, F.col("_seg")).when(F.col("_s_seg").isNull(), F.lit("*")).when(F.col("_seg") == "*", F.lit("#")).otherwise(F.col("_seg"))
+        small, left = F.col("_all_n") <= max_children, F.size("_segs") - level
+        down = lambda n: F.concat("template", F.array_join(F.transform(F.slice("_segs", F.lit(level + 1), n), lambda s: F.concat(F.lit("/"), s)), ""))
         tree = tree.withColumns({
-            "_parent": F.when(F.col("_seg").isNotNull(), F.col("_prefix")).otherwise(F.col("_parent")),
-            "_prefix": F.when(F.col("_seg").isNotNull(), F.concat("_prefix", F.lit("/"), seg)).otherwise(F.col("_prefix")),
-        }).drop("_seg", "_f_host", "_f_prefix", "_kids")
-    tree = tree.withColumn("template", F.when(F.size("_segs") > depth, F.concat("_prefix", F.lit("/**"))).otherwise(F.col("_prefix")))
-    tree = stage(tree, "url-tree")
+            "_parent": F.when(small, down(left - 1)).otherwise(F.col("template")),
+            "template": F.when(small, down(left)).otherwise(F.concat("template", F.lit("/"), seg)),
+            "_open": ~small & (left > 1),
+        }).select(columns)
+        tree = stage(tree, "url-tree")
+        done, level = done.unionByName(tree.where(~F.col("_open"))), level + 1
+    return done.drop("_segs", "_open")
+
+
+def template_verdicts(urls: DataFrame, max_children: int = 30, support: int = 3, z: float = 1.96, purity: float = 0.8) -> DataFrame:
+    """Template, purity and verdict of each (host, path). ``urls``: host, path, n_block, n_allow, one row per (host, path).
+
+    At the default purity, a segment of fewer labelled paths than ``support`` cannot reject a wildcard by itself.
+    """
+    tree = _templates(urls, max_children, support, z)
     leaves = tree.groupBy("host", "_parent", "template").agg(F.sum("n_block").alias("b"), F.sum(F.col("n_block") + F.col("n_allow")).alias("m"))
     # a branch is merged with its siblings if its block rate does not differ from theirs
     kin = W.partitionBy("host", "_parent")

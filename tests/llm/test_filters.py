@@ -111,6 +111,28 @@ def test_templates_reject_by_purity(spark):
     assert all(out[k].template == "/*/x" for k in range(200, 280))
 
 
+def test_templates_follow_the_labels(spark):
+    """Sections with labels of their own stay apart in wide nodes at every depth; long paths are no common template."""
+    two = lambda k: chr(97 + k % 26) + chr(97 + k // 26)
+    pages = [(k, f"http://a.com/en/{k}") for k in range(40)]  # blocked by rule
+    pages += [(100 + k, f"http://a.com/{two(k)}/{k}") for k in range(100)]  # many other sections, no label
+    pages += [(300 + k, f"http://b.net/w/x/y/bad/{two(k)}/view") for k in range(60)]
+    pages += [(400 + k, f"http://b.net/w/x/y/good/{two(k)}/view") for k in range(60)]
+    pages += [(500 + k, f"http://b.net/w/x/y/{two(k)}{k}/z") for k in range(40)] + [(600, "http://b.net/w/x/y/bad/new/view")]
+    pages += [(700 + k, f"http://c.org/{k}") for k in range(40)] + [(800 + k, f"http://c.org/{two(k)}") for k in range(40)]
+    rules = [("block", "a.com/en/")] + [("block", f"b.net/w/x/y/bad/{two(k)}") for k in range(50)] + [("allow", f"b.net/w/x/y/good/{two(k)}") for k in range(50)]
+    rules += [("block", f"c.org/{k}") for k in range(1, 10)]
+    out = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string"), rules).collect()}
+    assert len(out) == len(pages)
+    assert all(out[k].verdict == "block" and out[k].template == "/en/*" for k in range(40))
+    assert all(out[k].verdict == "allow" and out[k].template == "/*/*" for k in range(100, 200))
+    assert all(out[k].verdict == "block" and out[k].template == "/w/x/y/bad/*/view" for k in [*range(300, 360), 600])
+    assert all(out[k].verdict == "allow" and out[k].template == "/w/x/y/good/*/view" for k in range(400, 460))
+    assert all(out[k].verdict == "allow" and out[k].template == "/w/x/y/*/z" for k in range(500, 540))
+    assert out[700].template == "/#" and out[700].verdict == "block"
+    assert all(out[k].template == "/*" and out[k].verdict == "allow" for k in range(800, 840))
+
+
 WORDS = {"en": "the and of with house water people think", "fr": "le la et avec maison été où garçon", "de": "der und mit haus wässer straße größe nicht"}
 
 
