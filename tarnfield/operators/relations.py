@@ -56,11 +56,17 @@ def pairwise_segments(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def expand_frontier(edges: DataFrame, seeds: DataFrame, rounds: int, member: str = "member", group: str = "group") -> DataFrame:
-    """(group, round): groups reached from ``seeds`` over shared members, with the round that reached them (seeds 0)."""
+def expand_frontier(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, member: str = "member", group: str = "group") -> DataFrame:
+    """(group, round): groups reached from ``seeds`` over shared members, with the round that reached them (seeds 0).
+
+    Rounds go on until one finds no new group, or for ``rounds`` of them. Each runs at once and is cut by a checkpoint
+    where the session has a checkpoint folder; without one, only few rounds are possible.
+    """
+    edges = edges.where(F.col(group).isNotNull())  # a null would be new in every round
     reached = seeds.select(group).distinct().withColumn("round", F.lit(0))
-    frontier = reached
-    for k in range(1, rounds + 1):
+    frontier, k = reached, 0
+    while rounds is None or k < rounds:
+        k += 1
         members = edges.join(frontier.select(group), group, "left_semi").select(member).distinct()
         found = edges.join(members, member, "left_semi").select(group).distinct().join(reached.select(group), group, "left_anti")
         frontier = found.withColumn("round", F.lit(k))

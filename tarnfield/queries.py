@@ -720,6 +720,17 @@ def expand_frontier(spark: SparkSession, sf: str) -> DataFrame:
     return relations.expand_frontier(edges, edges.select("group").where("group = 1").unionByName(spark.range(1, 2).select(F.col("id").alias("group"))), 2)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS m FROM lineitem), r(g, round) USING KEY (g) AS (SELECT min(s_suppkey), 0 FROM supplier UNION
+SELECT DISTINCT b.g, r.round + 1 FROM r JOIN e a ON a.g = r.g JOIN e b ON a.m = b.m WHERE NOT EXISTS (SELECT 1 FROM recurring.r x WHERE x.g = b.g))
+SELECT g AS "group", round FROM r
+""")
+def expand_frontier_to_end(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers reached from the first one over shared parts of all lines, until no round finds another."""
+    edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("group"), F.col("l_partkey").alias("member")).distinct()
+    return relations.expand_frontier(edges, table(spark, sf, "supplier").agg(F.min("s_suppkey").alias("group")))
+
+
 # matrices -----------------------------------------------------------------------------------------------------------
 
 

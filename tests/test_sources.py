@@ -1,6 +1,7 @@
 """Documents, tables, relations, presets, streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -126,6 +127,35 @@ def test_relations(spark, rows):
     assert rows(relations.expand_frontier(edges, spark.createDataFrame([("g1",)], "`group` string"), 5)) == [("g1", 0), ("g2", 1), ("g3", 2)]
 
 
+def test_frontier_runs_to_its_end(spark, rows):
+    """A chain longer than any guess of rounds, a ring, a null group: each with the breadth-first round of plain Python."""
+    pairs = [(k, f"m{k + j}") for k in range(9) for j in (0, 1)] + [(20, "x"), (21, "x"), (21, "y"), (20, "y"), (None, "m0"), (3, None), (30, None)]
+    reached, frontier = {0: 0}, {0}
+    while frontier:
+        members = {m for g, m in pairs if g in frontier and m}
+        frontier = {g for g, m in pairs if m in members and g is not None} - set(reached)
+        reached |= dict.fromkeys(frontier, max(reached.values()) + 1)
+    assert max(reached.values()) == 8
+    edges = spark.createDataFrame(pairs, "`group` int, member string")
+    seeds = spark.createDataFrame([(0,)], "`group` int")
+    assert rows(relations.expand_frontier(edges, seeds)) == sorted(reached.items(), key=repr)
+    assert rows(relations.expand_frontier(edges, seeds, 2)) == [(0, 0), (1, 1), (2, 2)]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_frontier_query_equals_sql(spark, rows):
+    import duckdb
+
+    from tarnfield import queries
+
+    sf = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    for name in ("lineitem", "supplier"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
+    found = rows(queries.QUERIES["expand_frontier_to_end"](spark, sf))
+    assert found and found == sorted(db.sql(queries.ORACLE_SQL["expand_frontier_to_end"]).fetchall(), key=repr)
+
+
 def test_stream_state_equals_batch(spark, rows, tmp_path):
     lines = spark.createDataFrame([(f"#{k % 5}", k % 9, k % 4) for k in range(100)], "k string, level bigint, max_level bigint")
     lines.repartition(4).write.parquet(f"{tmp_path}/in")
