@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from tarnfield.llm.common import text_or_empty
 
 UNKNOWN = "und"
 SAMPLE_DOCS = 3000  #: labelled documents of which the network is fitted, one snippet each
+LEAST_DOCS = 200  #: the sample is filled up to so many of each language, or all that it has
 SNIPPET = 256  #: characters of a snippet
 SPAN = 64  #: bytes that are read from a zero state
 WIDTH = 8  #: states of each direction
@@ -183,18 +185,29 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """Train on SAMPLE_DOCS documents, those with the smallest hash of their id, one snippet from a place given by that hash."""
+    """Train on the SAMPLE_DOCS documents with the smallest hash of their id and, of each language, on the LEAST_DOCS with the smallest.
+
+    Of each document one snippet is taken, from a place given by that hash.
+    """
     key = F.xxhash64(F.col(id_col), F.lit(1))
     start = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.greatest(F.lit(1), F.length(text_col) - SNIPPET + 1))
-    labelled = docs.where(trainable & F.col(lang_col).isNotNull())
+    usable = docs.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    usable = usable.select(key.alias("key"), F.col(text_col).substr(start.cast("int"), F.lit(SNIPPET)).alias("snippet"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not sizes:
+        return None
     # a first cut by the hash, so that tasks send about twice the sample in all, however many they are
-    share = 2 * SAMPLE_DOCS / max(1, labelled.count())
-    if share < 1:
-        labelled = labelled.where(key < int(-(2**63) + 2**64 * share))
-    usable = labelled.where(F.col(text_col).rlike(r"\p{L}"))
-    sample = usable.select(key.alias("key"), F.col(text_col).substr(start.cast("int"), F.lit(SNIPPET)).alias("snippet"), F.col(lang_col).cast("string").alias("lang"))
-    rows = sample.orderBy("key", "snippet").limit(SAMPLE_DOCS).collect()
-    return train([r.snippet.encode() for r in rows], [r.lang for r in rows]) if rows else None
+    total = sum(r.n for r in sizes)
+    shares = [(r.lang, max(2 * SAMPLE_DOCS / total, 2 * LEAST_DOCS / r.n)) for r in sizes]
+    limits = docs.sparkSession.createDataFrame([(lang, min(2**63 - 1, int(-(2**63) + 2**64 * share))) for lang, share in shares], "lang string, _limit bigint")
+    cut = usable.join(F.broadcast(limits), "lang").where("key <= _limit").select("key", "snippet", "lang")
+    rows = cut.orderBy("key", "snippet").limit(SAMPLE_DOCS).collect()
+    if len(rows) < total:
+        nth = F.row_number().over(W.partitionBy("lang").orderBy("key", "snippet"))
+        last = (rows[-1].key, rows[-1].snippet)
+        least = cut.withColumn("_nth", nth).where(F.col("_nth") <= LEAST_DOCS).where(F.col("key") >= last[0]).select("key", "snippet", "lang").collect()
+        rows += sorted((r for r in least if (r.key, r.snippet) > last), key=lambda r: (r.key, r.snippet))
+    return train([r.snippet.encode() for r in rows], [r.lang for r in rows])
 
 
 def _label(net: Network, text_at: int):

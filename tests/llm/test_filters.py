@@ -176,6 +176,23 @@ def test_language_accuracy_and_edge_cases(spark):
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    """A language with few labelled documents is in the sample, whatever the number of others."""
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 100)
+    monkeypatch.setattr(language_id, "LEAST_DOCS", 60)
+    samples = []
+    fitted = language_id.train
+    monkeypatch.setattr(language_id, "train", lambda texts, labels: samples.append(labels) or fitted(texts, labels))
+    r = random.Random(6)
+    word = {"en": WORDS["en"].split(), "xx": "qzu kvok zzyk wqo xuqz kwyz".split()}
+    data = [(k, " ".join(r.choice(word[lang]) for _ in range(30)), lang) for k in range(4000) for lang in ["xx" if k % 100 == 7 else "en"]]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string")
+    net = language_id.fit(docs, F.col("doc_id") < 3900)
+    assert samples[0].count("xx") == 39 and 61 <= samples[0].count("en") <= 100
+    held = language_id.identify(docs.where("doc_id >= 3900"), net).collect()
+    assert all(x.lang_pred == x.lang for x in held)
+
+
 def test_spans_cover_every_byte():
     texts = [b"", b"a" * 64, b"b" * 65, b"", b"c"]
     spans, used, owner = language_id.spans_of(texts)
