@@ -14,14 +14,22 @@ from pyspark.sql import functions as F
 from tarnfield.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
 from tarnfield.llm.common import crc32_of_id, fresh_path
 
-#: Below this the best language's probability is hardly more than chance.
-LEAST_SCORE = 0.3
+#: A best language must be so far on the way from chance, 1 / number of languages, to certainty (0.3 with four languages).
+MARGIN = 1 / 15
+
+
+def least_score(languages: int) -> float:
+    """Below this the best of ``languages`` probabilities is hardly more than chance; a single one tells nothing."""
+    return (1 + MARGIN * (languages - 1)) / languages if languages > 1 else 0.0
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not ``und``, and a probability of LEAST_SCORE or more."""
+    """Documents with a language: not ``und``, and a probability of ``least_score`` or more. All, if no label was there to learn from."""
     net = language_id.fit(docs, F.coalesce(crc32_of_id("doc_id") % 5 != 0, F.lit(True)))
-    return language_id.identify(docs, net).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    if net is None:
+        return docs
+    least = least_score(len(net.languages))
+    return language_id.identify(docs, net).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,3 +157,12 @@ def test_pipeline_stages(spark, tmp_path):
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         assert stage(spark, empty, str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_language_stage_without_labels_and_its_threshold(spark):
+    docs = spark.createDataFrame([(1, "some words", None), (2, None, None)], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()) == [1, 2]
+    one = spark.createDataFrame([(k, "some words of one language", "en") for k in range(20)], "doc_id bigint, text string, lang string")
+    assert corpus_pipeline.known_language(spark, one, "").count() == 20
+    assert abs(corpus_pipeline.least_score(4) - 0.3) < 1e-12
+    assert all(1 / n < corpus_pipeline.least_score(n) < 1 / n + 0.07 for n in range(2, 200))
