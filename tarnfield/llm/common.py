@@ -8,8 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key that holds more than 1/HEAVY_PARTS of all rows is heavy; there can be at most HEAVY_PARTS of them.
-HEAVY_PARTS = 4096
+#: A key that holds more than 1/HEAVY_PARTS of all rows, and more than LIGHT, is heavy; there can be at most HEAVY_PARTS of them.
+HEAVY_PARTS = 32_768
+LIGHT = 1000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -35,7 +36,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(CLEANUP, before)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` returned, once all that was made of them is staged itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._staged_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_or_empty(column: str | Column) -> Column:
@@ -55,14 +66,15 @@ def crc32_of_id(column: str | Column) -> Column:
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left-join per-key ``groups`` (one row per key, with the key's row count ``size``) onto ``rows``.
 
-    Keys with more than ``total / HEAVY_PARTS`` rows number at most HEAVY_PARTS, so these few go out by broadcast;
+    Keys with more than ``total / HEAVY_PARTS`` rows and more than LIGHT number at most HEAVY_PARTS, so these few go out by broadcast;
     their rows get a salt, which spreads them over all tasks of the sort-merge join that serves every other key.
     """
-    heavy = groups.where(F.col(size) * HEAVY_PARTS > total).withColumn("_heavy", F.lit(True))
+    most = max(total // HEAVY_PARTS, LIGHT)
+    heavy = groups.where(F.col(size) > most).withColumn("_heavy", F.lit(True))
     values = [c for c in groups.columns if c != key]
     marked = rows.join(F.broadcast(heavy.select(key, "_heavy", *[F.col(c).alias(f"_h_{c}") for c in values])), key, "left")
     marked = marked.withColumn("_salt", F.when(F.col("_heavy"), F.lit(1) + F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(4096))).otherwise(F.lit(0)))
-    rest = groups.where(F.col(size) * HEAVY_PARTS <= total).withColumn("_salt", F.lit(0).cast("bigint"))
+    rest = groups.where(F.col(size) <= most).withColumn("_salt", F.lit(0).cast("bigint"))
     joined = marked.join(rest.hint("merge"), [key, "_salt"], "left")
     out = [F.coalesce(F.col(f"_h_{c}"), F.col(c)).alias(c) for c in values]
     return joined.select(*rows.columns, *out)

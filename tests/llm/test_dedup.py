@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,34 +94,51 @@ def brute_components(data, width=5, percent=85):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("percent", [85, 50])
+@pytest.mark.parametrize("percent", [95, 85, 80, 50])
 def test_near_components_against_brute_force(spark, percent):
     data = corpus(3, 120)
     out = near_dedup.near_duplicates(frame(spark, data), percent=percent).collect()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in out}
-    expected = brute_components(data, percent=percent)
-    if percent == 85:
-        assert got == expected
-    else:  # the bands are laid out for 0.8 and more: below, links may be missed but none is made up
-        assert all(got[i][0] == e[0] and got[i][1] >= e[1] for i, e in expected.items())
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == brute_components(data, percent=percent)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out)
 
 
-def test_near_group_of_many_variants(spark, monkeypatch):
-    """One group of edited copies in which not all are linked, in blocks of a few rows."""
-    monkeypatch.setattr(near_dedup, "BLOCK", 8)
-    r = random.Random(5)
+def test_bands_follow_the_threshold():
+    for percent in range(30, 101):
+        rows, bands = near_dedup.bands_for(percent)
+        assert rows * bands <= near_dedup.VALUES and (1 - (percent / 100) ** rows) ** bands <= near_dedup.MISS
+    with pytest.raises(ValueError, match="too low"):
+        near_dedup.bands_for(5)
+
+
+def variants(n, seed=5, most=6):
+    """Edited copies of one text, of which not all are linked."""
+    r = random.Random(seed)
     base = [f"b{k}" for k in range(150)]
-    data = []
-    for k in range(120):
+    for k in range(n):
         t = list(base)
-        for _ in range(r.randint(0, 6)):
+        for _ in range(r.randint(0, most)):
             t[r.randrange(len(t))] = f"x{r.randrange(40)}"
-        data.append((k, " ".join(t)))
+        yield k, " ".join(t)
+
+
+@pytest.mark.parametrize("nodes", [4, 8, 1024])
+def test_near_group_of_many_variants(spark, monkeypatch, nodes):
+    """In blocks of a few rows, too: what one block leaves open is found by visits to the others."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", nodes)
+    data = list(variants(120))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(frame(spark, data)).collect()}
     assert got == brute_components(data)
 
 
+def test_blocks_hand_on_forests():
+    data = list(variants(80))
+    rows = [(0, k, k, False, t) for k, t in data]
+    found = near_dedup._block_links(5, 85)(iter([pa.RecordBatch.from_pylist([dict(zip("kncvt", r, strict=True)) for r in rows])]))
+    links = [x for b in found for x in zip(*(b.column(k).to_pylist() for k in (0, 1)), strict=True)]
+    components = {c for _, c in brute_components(data).values()}
+    assert len(links) == len(data) - len(components) and all(u > v for u, v in links)
+
+
 def test_near_edge_cases(spark):
     data = [*EDGES, (10, "x " * 60_000), (11, "x " * 60_000)]
     out = near_dedup.near_duplicates(frame(spark, data).withColumn("n_shingles", F.lit(7)))
