@@ -188,17 +188,28 @@ def brute_passages(data, window=13):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize(("seed", "parts"), [(1, 1), (2, 4096), (3, 30)])
-def test_passages_against_brute_force(spark, rows, monkeypatch, seed, parts):
-    monkeypatch.setattr(phrase_dedup, "HEAVY_PARTS", parts)  # no anchor is heavy, all are, some are
+@pytest.mark.parametrize(("seed", "group"), [(1, 16_384), (2, 1), (3, 3)])
+def test_passages_against_brute_force(spark, rows, monkeypatch, seed, group):
+    monkeypatch.setattr(phrase_dedup, "GROUP", group)  # no anchor is dealt out, all with two segments are, some are
     data = corpus(seed, 90)
-    assert rows(phrase_dedup.remove_repeated_passages(frame(spark, data))) == brute_passages(data)
+    clash = frame(spark, data).withColumns({"_id": F.lit(1), "_TEXT": F.lit("x"), "_print": F.lit(2)})
+    out = phrase_dedup.remove_repeated_passages(clash)
+    assert out.columns == ["doc_id", "_id", "_TEXT", "_print", "n_words", "n_removed", "kept_text"]
+    assert rows(out.drop("_id", "_TEXT", "_print")) == brute_passages(data)
+
+
+def test_shard_joins_windows_into_passages():
+    texts = [b"a b c d e f g", b"x b c d e f y", b"b c d"]
+    shard = phrase_dedup._Shard([(t, bytes([k]), k, k, 1, 0) for k, t in enumerate(texts)], 3)
+    n = {w: k for k, w in enumerate([b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"x", b"y"])}
+    assert shard.passages() == {tuple(n[w] for w in p.split()): 0 for p in (b"b c d e f", b"b c d")}
+    assert dict(shard.locate()) == {b"\x01": [(1, 5, 0)], b"\x02": [(0, 3, 0)]}
 
 
 def test_passages_edge_cases(spark, rows):
     long = " ".join(f"v{k % 977}" for k in range(50_000))
     same = " ".join(f"t{k}" for k in range(20))
     ties = "a a a a a a a a a a a a a a a a a"
-    data = [*EDGES, (20, long), (21, f"begin {long} end"), (22, same), (22, same), (23, ties), (24, f"b {ties} c"), (25, same + " é—x"), (26, None)]
+    data = [*EDGES, (20, long), (21, f"begin {long} end"), (22, same), (22, same), (23, ties), (24, f"b {ties} c"), (25, same + " é—x"), (26, None), (None, same), (None, same)]
     assert rows(phrase_dedup.remove_repeated_passages(frame(spark, data).withColumn("n_words", F.lit(0)))) == brute_passages(data)
     assert phrase_dedup.remove_repeated_passages(frame(spark, [])).count() == 0
