@@ -46,7 +46,9 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = exact_dedup.DigestIndex(spark).add(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    index = exact_dedup.DigestIndex(spark)
+    judged = index.add(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    index.drop()
     return judged.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
@@ -78,12 +80,22 @@ _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+_DIFFER = "({m} > 0 AND {om} > {m} AND abs(CAST({b} AS DOUBLE) / nullif({m}, 0) - CAST({ob} - {b} AS DOUBLE) / nullif({om} - {m}, 0)) > CAST(1.96 AS DOUBLE) * sqrt(CAST({ob} AS DOUBLE) / nullif({om}, 0) * (1 - CAST({ob} AS DOUBLE) / nullif({om}, 0)) * (CAST(1 AS DOUBLE) / nullif({m}, 0) + CAST(1 AS DOUBLE) / nullif({om} - {m}, 0))))"
+
+
 def _tree_level(k: int) -> str:
-    """SQL of one level of the path-template tree: fat nodes, then the prefixes one segment longer."""
+    """SQL of one level of the path-template tree: kids, what becomes of them, and the paths one segment further down."""
+    rate, share = _DIFFER.format(b="b", m="m", ob="ab", om="am"), _DIFFER.format(b="l", m="n", ob="al", om="an")
     return f"""
-f{k} AS (SELECT host, prefix, true AS fat FROM t{k} WHERE segs[{k + 1}] IS NOT NULL GROUP BY host, prefix HAVING count(DISTINCT segs[{k + 1}]) > 30),
-t{k + 1} AS (SELECT t.host, t.path, n_block, n_allow, segs, CASE WHEN segs[{k + 1}] IS NOT NULL THEN t.prefix ELSE parent END AS parent,
-  CASE WHEN segs[{k + 1}] IS NOT NULL THEN t.prefix || '/' || CASE WHEN fat THEN '*' ELSE segs[{k + 1}] END ELSE t.prefix END AS prefix FROM t{k} t LEFT JOIN f{k} f ON t.host = f.host AND t.prefix = f.prefix),"""
+k{k} AS (SELECT host, node, est, segs[{k + 1}] AS seg, count(*) AS n, count(*) FILTER (n_block + n_allow > 0) AS l, sum(n_block) AS b, sum(n_block + n_allow) AS m FROM t{k} WHERE open GROUP BY ALL),
+w{k} AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS an, sum(l) OVER w AS al, sum(b) OVER w AS ab, sum(m) OVER w AS am FROM k{k} WINDOW w AS (PARTITION BY host, node)),
+g{k} AS (SELECT *, CASE WHEN kids <= 30 THEN seg WHEN NOT (n >= 3 AND ({rate} OR {share})) THEN '*' WHEN seg = '*' THEN '#' ELSE seg END AS gen FROM w{k}),
+b{k} AS (SELECT host, node, est, gen, ab, am, sum(b) AS b, sum(m) AS m FROM g{k} GROUP BY ALL),
+f{k} AS (SELECT *, CASE WHEN m > 0 AND am > m AND NOT {rate} THEN '~' ELSE gen END AS fin FROM b{k}),
+e{k} AS (SELECT *, (sum(b) OVER w + 2 * est) / (sum(m) OVER w + 2) AS fest FROM f{k} WINDOW w AS (PARTITION BY host, node, fin)),
+j{k} AS (SELECT t.*, g.an, e.fin, e.fest, t.node || '/' || array_to_string(segs[{k + 1}:], '/') AS leaf FROM t{k} t JOIN g{k} g ON t.host = g.host AND t.node = g.node AND segs[{k + 1}] = g.seg JOIN e{k} e ON e.host = g.host AND e.node = g.node AND e.gen = g.gen WHERE t.open),
+t{k + 1} AS (SELECT host, path, n_block, n_allow, segs, node || '/' || fin AS node, fest AS est, len(segs) > {k + 1} AS open FROM j{k} WHERE an > 30
+  UNION ALL SELECT host, path, n_block, n_allow, segs, leaf, (sum(n_block) OVER w + 2 * est) / (sum(n_block + n_allow) OVER w + 2), false FROM j{k} WHERE an <= 30 WINDOW w AS (PARTITION BY host, leaf)),"""
 
 
 _RULE_SQL = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{r}'" for _, r in sorted(URL_RULES, key=lambda x: -len(x[1])) for h, _, p in [r.partition("/")]) + " END"
@@ -104,15 +116,13 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 h AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 j AS (SELECT *, {_VERDICT_SQL} AS own FROM (SELECT *, {_RULE_SQL} AS rule FROM h)),
 c AS (SELECT host, path, count(*) FILTER (own = 'block') AS n_block, count(*) FILTER (own = 'allow') AS n_allow FROM j GROUP BY host, path),
-t0 AS (SELECT host, path, n_block, n_allow, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS segs, '' AS parent, '' AS prefix FROM c),
-{_tree_level(0)}{_tree_level(1)}{_tree_level(2)}
-tree AS (SELECT host, path, parent, CASE WHEN len(segs) > 3 THEN prefix || '/**' ELSE prefix END AS template, n_block, n_allow FROM t3),
-l AS (SELECT host, parent, template, sum(n_block) AS b, sum(n_block + n_allow) AS m FROM tree GROUP BY ALL),
-k AS (SELECT *, sum(b) OVER w AS bs, sum(m) OVER w AS ms FROM l WINDOW w AS (PARTITION BY host, parent)),
-d AS (SELECT *, m > 0 AND ms > m AND abs(CAST(b AS DOUBLE) / nullif(m, 0) - CAST(bs - b AS DOUBLE) / nullif(ms - m, 0)) <= CAST(1.96 AS DOUBLE) * sqrt(CAST(bs AS DOUBLE) / nullif(ms, 0) * (1 - CAST(bs AS DOUBLE) / nullif(ms, 0)) * (CAST(1 AS DOUBLE) / nullif(m, 0) + CAST(1 AS DOUBLE) / nullif(ms - m, 0))) AS merged FROM k),
-g AS (SELECT *, CAST(sum(b) OVER w + 1 AS DOUBLE) / (sum(m) OVER w + 2) AS purity FROM d WINDOW w AS (PARTITION BY host, parent, CASE WHEN merged THEN '{{merged}}' ELSE template END))
-SELECT page_id, j.host, j.path, rule, coalesce(own, CASE WHEN purity >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, tree.template, round(purity, 6) AS purity
-FROM j JOIN tree ON j.host = tree.host AND j.path = tree.path JOIN g ON g.host = tree.host AND g.parent = tree.parent AND g.template = tree.template""",
+r0 AS (SELECT host, (sum(n_block) + 2 * CAST(0.5 AS DOUBLE)) / (sum(n_block + n_allow) + 2) AS est FROM c GROUP BY host),
+s0 AS (SELECT host, path, n_block, n_allow, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS segs FROM c),
+t0 AS (SELECT s0.*, '' AS node, est, len(segs) > 0 AS open FROM s0 JOIN r0 ON s0.host = r0.host),
+{_tree_level(0)}{_tree_level(1)}{_tree_level(2)}{_tree_level(3)}
+tree AS ({" UNION ALL ".join(f"SELECT * FROM t{k} WHERE NOT open" for k in range(5))})
+SELECT page_id, j.host, j.path, rule, coalesce(own, CASE WHEN est >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, node AS template, round(est, 6) AS purity
+FROM j JOIN tree ON j.host = tree.host AND j.path = tree.path""",
     "op6_exact_dedup": r"""
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",

@@ -1,16 +1,25 @@
 """URL filtering by a path-template tree, in DataFrame expressions only.
 
-Per host, the segments of a path form a tree, down to the last segment of the longest path. Segments that contain a
-digit become wildcards. Below a node with more than ``max_children`` different segments, a segment stays if it has at
-least ``support`` different paths and its labels set it apart from its siblings: its block rate, or the share of its
-paths that have a label, differs from that of all others by a two-proportion test. The other segments of that node
-become one wildcard (the one of segments with a digit, if that stays, is then ``#``). Sibling
-templates whose labelled block rates do not differ by a two-proportion test are merged. A template is rejected if its
-smoothed labelled purity, (blocked + 1) / (labelled + 2), reaches ``purity``. The labels are the urls that the given
-rules decide; a rule's verdict always stands, the template's verdict serves all other urls.
-
-Edge cases: a null url or one without ``://`` has an empty host and path, no rule and the verdict of the empty
-template; repeated urls count as often as they occur; an empty table gives an empty result.
+Per host, the segments of a path form a tree, which is built from the root down, a level a round.
+
+1. Segments that contain a digit become wildcards. Below a node with more than ``max_children`` different segments, a
+   segment stays if it has at least ``support`` different paths and its labels set it apart from its siblings: its block
+   rate, or the share of its paths that have a label, differs from that of all others by a two-proportion test. The
+   other segments of that node become one wildcard (that of segments with a digit, if it stays, is then ``#``).
+2. At every level, branches with labels whose block rate does not differ from that of their siblings are merged into
+   one branch, ``~``, which is then descended as one.
+3. The estimate of a branch is its smoothed labelled purity, (blocked + K * parent) / (labelled + K): its parent counts
+   like K labelled urls. A host's own parent is 0.5. A branch without labels so has the estimate of the nearest branch
+   above it that has some, or of its host; one with few is drawn towards it.
+4. A template is rejected if its estimate reaches ``purity``.
+
+A node of no more than ``max_children`` paths is not generalised: its paths are templates at once, which keeps the
+rounds to places where many paths share a long prefix. The labels are the urls that the given rules decide; a rule's
+verdict always stands, the template's verdict serves all other urls.
+
+Edge cases: a null url or one without ``://`` has an empty host and path and no rule, and the verdict of the empty host;
+repeated urls count as often as they occur; an empty table gives an empty result. Large hosts and branches are looked up
+by broadcast (``join_groups``), all others by salted sort-merge joins.
 """
 
 from __future__ import annotations
@@ -21,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tarnfield.llm.common import lower_ascii, stage
+from tarnfield.llm.common import join_groups, lower_ascii, stage, unstage
 
 Rule = tuple[str, str]  #: (verdict, host + path)
+PARENT_WEIGHT = 2.0  #: K: the labelled urls that the estimate of the branch above counts for
 
 
 def url_parts(url: str | Column) -> tuple[Column, Column]:
@@ -58,62 +68,59 @@ def _differ(own_b: Column, own_m: Column, all_b: Column, all_m: Column, z: float
     return F.when((own_m > 0) & (rest_m > 0), F.abs(own_b / own_m - rest_b / rest_m) > z * spread).otherwise(F.lit(False))
 
 
-def _templates(urls: DataFrame, max_children: int, support: int, z: float) -> DataFrame:
-    """``urls`` with the template of each path and the ``_parent`` of that template.
+def _estimate(b: str, m: str, parent: str | Column) -> Column:
+    parent = F.col(parent) if isinstance(parent, str) else parent
+    return (F.col(b) + PARENT_WEIGHT * parent) / (F.col(m) + PARENT_WEIGHT)
+
+
+def _branches(kids: DataFrame, total: int, max_children: int, support: int, z: float) -> DataFrame:
+    """Of each kid of a node (node, parent's estimate, _seg, counts): the branch ``_seg`` goes to, its estimate, and the node's paths."""
+    sums = [F.sum(c).alias(f"_all{c}") for c in ("_n", "_l", "_b", "_m")]
+    nodes = kids.groupBy("_node").agg(F.count(F.lit(1)).alias("_kids"), *sums)
+    at = join_groups(kids, nodes, "_node", "_kids", total)
+    apart = _differ(F.col("_b"), F.col("_m"), F.col("_all_b"), F.col("_all_m"), z) | _differ(F.col("_l"), F.col("_n"), F.col("_all_l"), F.col("_all_n"), z)
+    general = F.when(F.col("_kids") <= max_children, F.col("_seg")).when(~((F.col("_n") >= support) & apart), F.lit("*")).when(F.col("_seg") == "*", F.lit("#")).otherwise(F.col("_seg"))
+    at = at.withColumn("_branch", F.concat("_node", F.lit("/"), general))
+    # branches alike are merged
+    branches = at.groupBy("_branch").agg(F.any_value("_node").alias("_node"), F.any_value("_above").alias("_above"), F.any_value("_all_b").alias("_all_b"), F.any_value("_all_m").alias("_all_m"), F.sum("_b").alias("_b"), F.sum("_m").alias("_m"), F.count(F.lit(1)).alias("_of"))
+    alike = (F.col("_m") > 0) & (F.col("_all_m") > F.col("_m")) & ~_differ(F.col("_b"), F.col("_m"), F.col("_all_b"), F.col("_all_m"), z)
+    branches = branches.withColumn("_final", F.when(alike, F.concat("_node", F.lit("/~"))).otherwise(F.col("_branch")))
+    merged = branches.groupBy("_final").agg(F.sum("_b").alias("_fb"), F.sum("_m").alias("_fm"), F.any_value("_above").alias("_fa"), F.count(F.lit(1)).alias("_ff")).withColumn("_estimate", _estimate("_fb", "_fm", "_fa"))
+    finals = join_groups(branches.select("_branch", "_final", "_of"), merged.select("_final", "_ff", "_estimate"), "_final", "_ff", total)
+    return join_groups(at.select("_branch", "_kid", "_n", "_all_n"), finals, "_branch", "_of", total).select("_kid", "_n", "_all_n", "_final", "_estimate")
 
-    One round per level. A node of no more than ``max_children`` paths cannot have a wide node below it: its paths are
-    finished at once, so that rounds go on only where many paths share a long prefix.
-    """
+
+def _templates(urls: DataFrame, max_children: int, support: int, z: float) -> DataFrame:
+    """``urls`` with the template of each path and its estimate. A template is kept with its host before it, as hosts hold no ``/``."""
+    labelled = F.col("n_block") + F.col("n_allow")
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    tree = urls.withColumn("_segs", F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s)))
-    tree = stage(tree.withColumns({"template": F.lit(""), "_parent": F.lit(""), "_open": F.size("_segs") > 0}), "url-tree")
+    segments = F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
+    total = urls.count()
+    hosts = urls.groupBy("host").agg(F.sum("n_block").alias("_b"), F.sum(labelled).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    hosts = hosts.select("host", "_n", _estimate("_b", "_m", F.lit(0.5)).alias("purity"))
+    tree = join_groups(urls.withColumn("_segs", segments), hosts, "host", "_n", total).withColumn("_node", F.col("host")).drop("_n")
+    tree = stage(tree.withColumn("_open", F.size("_segs") > 0), "url-tree")
     columns, done, level = tree.columns, tree.where(~F.col("_open")), 0
     while not (tree := tree.where("_open")).isEmpty():
-        tree = tree.withColumn("_seg", F.get("_segs", F.lit(level)))
-        labelled = F.col("n_block") + F.col("n_allow")
-        kids = tree.groupBy("host", "template", "_seg").agg(F.count(F.lit(1)).alias("_n"), F.count_if(labelled > 0).alias("_l"), F.sum("n_block").alias("_b"), F.sum(labelled).alias("_m"))
-        kids = stage(kids, "url-nodes")
-        nodes = kids.groupBy(F.col("host").alias("_n_host"), F.col("template").alias("_n_prefix")).agg(F.count(F.lit(1)).alias("_kids"), *[F.sum(c).alias(f"_all{c}") for c in ("_n", "_l", "_b", "_m")])
-        node = (F.col("host") == F.col("_n_host")) & (F.col("template") == F.col("_n_prefix"))
-        apart = _differ(F.col("_b"), F.col("_m"), F.col("_all_b"), F.col("_all_m"), z) | _differ(F.col("_l"), F.col("_n"), F.col("_all_l"), F.col("_all_n"), z)
-        stay = kids.where(F.col("_n") >= support).join(nodes.where(F.col("_kids") > max_children).hint("merge"), node).where(apart)
-        stay = stay.select(F.col("host").alias("_s_host"), F.col("template").alias("_s_prefix"), F.col("_seg").alias("_s_seg"))
-        tree = tree.join(nodes.select("_n_host", "_n_prefix", "_kids", "_all_n").hint("merge"), node)
-        tree = tree.join(stay.hint("merge"), (F.col("host") == F.col("_s_host")) & (F.col("template") == F.col("_s_prefix")) & (F.col("_seg") == F.col("_s_seg")), "left")
-        seg = F.when(F.col("_kids") <= max_children, F.col("_seg")).when(F.col("_s_seg").isNull(), F.lit("*")).when(F.col("_seg") == "*", F.lit("#")).otherwise(F.col("_seg"))
-        small, left = F.col("_all_n") <= max_children, F.size("_segs") - level
-        down = lambda n: F.concat("template", F.array_join(F.transform(F.slice("_segs", F.lit(level + 1), n), lambda s: F.concat(F.lit("/"), s)), ""))
-        tree = tree.withColumns({
-            "_parent": F.when(small, down(left - 1)).otherwise(F.col("template")),
-            "template": F.when(small, down(left)).otherwise(F.concat("template", F.lit("/"), seg)),
-            "_open": ~small & (left > 1),
-        }).select(columns)
-        tree = stage(tree, "url-tree")
-        done, level = done.unionByName(tree.where(~F.col("_open"))), level + 1
-    return done.drop("_segs", "_open")
+        tree = tree.withColumn("_seg", F.get("_segs", F.lit(level))).withColumn("_kid", F.concat("_node", F.lit("/"), "_seg"))
+        counts = [F.count(F.lit(1)).alias("_n"), F.count_if(labelled > 0).alias("_l"), F.sum("n_block").alias("_b"), F.sum(labelled).alias("_m")]
+        kids = stage(tree.groupBy("_kid").agg(F.any_value("_node").alias("_node"), F.any_value("_seg").alias("_seg"), F.any_value("purity").alias("_above"), *counts), "url-nodes")
+        tree = stage(join_groups(tree, _branches(kids, total, max_children, support, z), "_kid", "_n", total), "url-tree")
+        unstage(kids)
+        left = F.size("_segs") - level
+        rest = F.array_join(F.transform(F.slice("_segs", F.lit(level + 1), left), lambda s: F.concat(F.lit("/"), s)), "")
+        leaf = W.partitionBy("_node")  # no more than max_children rows
+        small = tree.where(F.col("_all_n") <= max_children).withColumns({"_node": F.concat("_node", rest), "_open": F.lit(False)})
+        small = small.withColumns({"_b": F.sum("n_block").over(leaf), "_m": F.sum(labelled).over(leaf)}).withColumn("purity", _estimate("_b", "_m", "purity"))
+        tree = tree.where(F.col("_all_n") > max_children).withColumns({"_node": F.col("_final"), "purity": F.col("_estimate"), "_open": left > 1}).select(columns)
+        done, level = done.unionByName(small.select(columns)).unionByName(tree.where(~F.col("_open"))), level + 1
+    return done.withColumn("template", F.col("_node").substr(F.length("host") + 1, F.length("_node"))).drop("_segs", "_open", "_node")
 
 
 def template_verdicts(urls: DataFrame, max_children: int = 30, support: int = 3, z: float = 1.96, purity: float = 0.8) -> DataFrame:
-    """Template, purity and verdict of each (host, path). ``urls``: host, path, n_block, n_allow, one row per (host, path).
-
-    At the default purity, a segment of fewer labelled paths than ``support`` cannot reject a wildcard by itself.
-    """
-    tree = _templates(urls, max_children, support, z)
-    leaves = tree.groupBy("host", "_parent", "template").agg(F.sum("n_block").alias("b"), F.sum(F.col("n_block") + F.col("n_allow")).alias("m"))
-    # a branch is merged with its siblings if its block rate does not differ from theirs
-    kin = W.partitionBy("host", "_parent")
-    leaves = leaves.withColumns({"_bs": F.sum("b").over(kin), "_ms": F.sum("m").over(kin)})
-    own, rest = F.col("b") / F.col("m"), (F.col("_bs") - F.col("b")) / (F.col("_ms") - F.col("m"))
-    pool = F.col("_bs") / F.col("_ms")
-    spread = F.sqrt(pool * (1 - pool) * (1 / F.col("m") + 1 / (F.col("_ms") - F.col("m"))))
-    both = (F.col("m") > 0) & (F.col("_ms") > F.col("m"))
-    leaves = leaves.withColumn("_merged", F.when(both, F.abs(own - rest) <= z * spread).otherwise(F.lit(False)))
-    group = W.partitionBy("host", "_parent", F.when(F.col("_merged"), F.lit("{merged}")).otherwise(F.col("template")))
-    smooth = (F.sum("b").over(group) + 1) / (F.sum("m").over(group) + 2)
-    leaves = leaves.withColumn("purity", smooth).withColumn("verdict", F.when(F.col("purity") >= purity, "block").otherwise("allow"))
-    leaves = leaves.select(F.col("host").alias("_l_host"), F.col("template").alias("_l_template"), F.col("_parent").alias("_l_parent"), "purity", "verdict")
-    same = (F.col("host") == F.col("_l_host")) & (F.col("template") == F.col("_l_template")) & (F.col("_parent") == F.col("_l_parent"))
-    return tree.join(leaves.hint("merge"), same).select("host", "path", "template", "purity", "verdict")
+    """Template, purity (its estimate) and verdict of each (host, path). ``urls``: host, path, n_block, n_allow, one row per (host, path)."""
+    judged = _templates(urls, max_children, support, z)
+    return judged.withColumn("verdict", F.when(F.col("purity") >= purity, "block").otherwise("allow")).select("host", "path", "template", "purity", "verdict")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", **tree) -> DataFrame:
