@@ -1,11 +1,16 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network is trained in numpy by backpropagation through time on a bounded sample of labelled documents. It labels
-every byte position of every whole text; a document's probabilities are the mean of those of its positions. Texts are
-read in spans of SPAN bytes, each from a zero state in both directions, so a very long text costs no more memory.
+The network is trained in numpy by backpropagation through time on the whole texts of a bounded sample of labelled
+documents. It labels every byte position of every whole text; a document's probabilities are the mean of those of its
+positions. Texts are read in spans of SPAN bytes, each from a zero state in both directions, so a very long text costs
+no more memory.
 
-Edge cases: null texts and texts without a letter are ``und`` with score 0; rows that repeat an id are judged each;
-without a labelled document all are ``und``; other columns are carried through, those named like the results are
+Beside the languages there is a class for noise, learned from sampled texts whose characters are shuffled and from random
+characters. It never is the prediction, but ``noise`` tells its probability, by which a filter can reject texts that are
+in none of the languages.
+
+Edge cases: null texts and texts without a letter are ``und`` with score and noise 0; rows that repeat an id are judged
+each; without a labelled document all are ``und``; other columns are carried through, those named like the results are
 replaced.
 """
 
@@ -21,16 +26,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tarnfield.llm.common import text_or_empty
+from tarnfield.llm.common import free_names, text_or_empty
 
 UNKNOWN = "und"
-SAMPLE_DOCS = 3000  #: labelled documents of which the network is fitted, one snippet each
-LEAST_DOCS = 200  #: the sample is filled up to so many of each language, or all that it has
-SNIPPET = 256  #: characters of a snippet
+SAMPLE_DOCS = 1000  #: labelled documents on which the network is fitted
+LEAST_DOCS = 100  #: the sample is filled up to so many of each language, or all that it has
+SAMPLE_TEXT_BYTES = 1_000_000  #: longer labelled texts are not drawn into the sample, as the driver holds it
+TRAIN_BYTES = 6_000_000  #: the sample is read again until about so much has been, MAX_EPOCHS times at most
+MAX_EPOCHS = 30
 SPAN = 64  #: bytes that are read from a zero state
 WIDTH = 8  #: states of each direction
 SPANS_AT_ONCE = 512
 BYTES_AT_ONCE = 2_000_000
+ONE_SPACE = bytes(32 if 9 <= k <= 13 else k for k in range(256))  #: white space is read as a space
 
 
 @dataclass(frozen=True)
@@ -39,7 +47,7 @@ class Network:
     #: For each direction: inputs by byte (256, 3 WIDTH), reset and update weights (WIDTH, 2 WIDTH), candidate weights.
     forward: tuple[np.ndarray, np.ndarray, np.ndarray]
     backward: tuple[np.ndarray, np.ndarray, np.ndarray]
-    out: np.ndarray  #: (2 WIDTH, languages)
+    out: np.ndarray  #: (2 WIDTH, languages and noise)
     bias: np.ndarray
 
 
@@ -99,24 +107,36 @@ def spans_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = np.zeros(len(owner) * SPAN, np.uint8)
     starts = (np.cumsum(counts) - counts) * SPAN
     at = np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-    flat[at] = np.frombuffer(b"".join(texts), np.uint8)
+    flat[at] = np.frombuffer(b"".join(texts).translate(ONE_SPACE), np.uint8)
     used = np.full(len(owner), SPAN, np.int64)
     ends = np.cumsum(counts) - 1
     used[ends[counts > 0]] = (sizes - (counts - 1) * SPAN)[counts > 0]
     return flat.reshape(-1, SPAN), used, owner
 
 
-def train(texts: list[bytes], labels: list[str], epochs: int = 8, batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network:
-    """Fit a network: Adam on the cross entropy of every position, languages weighted alike."""
-    languages = tuple(sorted(set(labels)))
+def noise_of(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
+    """Every third text with its characters in random order, and of every ninth so many random characters."""
+    shuffled = ["".join(rng.permutation(list(t.decode()))) for t in texts[::3]]
+    drawn = [rng.integers(33, 127, len(t), dtype=np.uint8).tobytes() for t in texts[::9]]
+    return [*(t.encode() for t in shuffled), *drawn]
+
+
+def train(texts: list[bytes], labels: list[str], batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network:
+    """Fit a network: Adam on the cross entropy of every position, all classes weighted alike."""
+    names = sorted(set(labels))
+    languages = tuple(names)
     rng = np.random.default_rng(seed)
+    noise = noise_of(texts, rng)
+    texts, labels, names = [*texts, *noise], [*labels, *[UNKNOWN] * len(noise)], [*names, UNKNOWN]
+    epochs = max(1, min(MAX_EPOCHS, TRAIN_BYTES // max(1, sum(map(len, texts)))))
     new = lambda *shape, scale: (rng.normal(size=shape) * scale).astype(np.float32)
     params = [w for _ in range(2) for w in (new(256, 3 * WIDTH, scale=0.3), new(WIDTH, 2 * WIDTH, scale=0.3), new(WIDTH, WIDTH, scale=0.3))]
-    params += [new(2 * WIDTH, len(languages), scale=0.3), np.zeros(len(languages), np.float32)]
+    params += [new(2 * WIDTH, len(names), scale=0.3), np.zeros(len(names), np.float32)]
     spans, used, owner = spans_of(texts)
-    y = np.array([languages.index(x) for x in labels])[owner]
-    share = np.bincount(y, minlength=len(languages)) / max(1, len(y))
-    weight = (1 / np.maximum(share, 1e-9) / len(languages)).astype(np.float32)
+    # the noise comes last, also if a language has the name of the unknown
+    y = np.array([len(languages) if k >= len(texts) - len(noise) else languages.index(x) for k, x in enumerate(labels)])[owner]
+    share = np.bincount(y, minlength=len(names)) / max(1, len(y))
+    weight = (1 / np.maximum(share, 1e-9) / len(names)).astype(np.float32)
     first, second, step = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     for epoch in range(epochs):
         order = rng.permutation(len(spans))
@@ -132,9 +152,9 @@ def train(texts: list[bytes], labels: list[str], epochs: int = 8, batch: int = 1
             dl *= (live * weight[target] / max(1, live.sum()))[:, :, None]
             dh = dl @ params[6].T
             grads = [*_back(x, params[:3], *f, dh[:, :, :WIDTH]), *_back(x[::-1], params[3:6], *b, dh[::-1, :, WIDTH:])]
-            grads += [states.reshape(-1, 2 * WIDTH).T @ dl.reshape(-1, len(languages)), dl.sum((0, 1))]
+            grads += [states.reshape(-1, 2 * WIDTH).T @ dl.reshape(-1, len(names)), dl.sum((0, 1))]
             step += 1
-            now = rate * (1 - epoch / epochs)
+            now = rate * (1 - (epoch + low / len(order)) / epochs)
             for p, g, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
@@ -164,9 +184,9 @@ def _states(x: np.ndarray, weights: tuple[np.ndarray, ...], out: np.ndarray, bac
 
 
 def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
-    """Mean over its positions of the label probabilities of each text (texts, languages); zeros for an empty text."""
+    """Mean over its positions of the label probabilities of each text (texts, languages and noise); zeros for an empty text."""
     spans, used, owner = spans_of(texts)
-    total = np.zeros((len(texts), len(net.languages)))
+    total = np.zeros((len(texts), len(net.languages) + 1))
     w_f, w_b = (np.ascontiguousarray(w.T) for w in (net.out[:WIDTH], net.out[WIDTH:]))
     for low in range(0, len(spans), SPANS_AT_ONCE):
         x = np.ascontiguousarray(spans[low : low + SPANS_AT_ONCE].T)
@@ -185,14 +205,10 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """Train on the SAMPLE_DOCS documents with the smallest hash of their id and, of each language, on the LEAST_DOCS with the smallest.
-
-    Of each document one snippet is taken, from a place given by that hash.
-    """
+    """Train on the SAMPLE_DOCS documents with the smallest hash of their id and, of each language, on the LEAST_DOCS with the smallest."""
     key = F.xxhash64(F.col(id_col), F.lit(1))
-    start = 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.greatest(F.lit(1), F.length(text_col) - SNIPPET + 1))
-    usable = docs.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    usable = usable.select(key.alias("key"), F.col(text_col).substr(start.cast("int"), F.lit(SNIPPET)).alias("snippet"), F.col(lang_col).cast("string").alias("lang"))
+    usable = docs.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= SAMPLE_TEXT_BYTES))
+    usable = usable.select(key.alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
     if not sizes:
         return None
@@ -200,14 +216,14 @@ def fit(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col: st
     total = sum(r.n for r in sizes)
     shares = [(r.lang, max(2 * SAMPLE_DOCS / total, 2 * LEAST_DOCS / r.n)) for r in sizes]
     limits = docs.sparkSession.createDataFrame([(lang, min(2**63 - 1, int(-(2**63) + 2**64 * share))) for lang, share in shares], "lang string, _limit bigint")
-    cut = usable.join(F.broadcast(limits), "lang").where("key <= _limit").select("key", "snippet", "lang")
-    rows = cut.orderBy("key", "snippet").limit(SAMPLE_DOCS).collect()
+    cut = usable.join(F.broadcast(limits), "lang").where("key <= _limit").select("key", "text", "lang")
+    rows = cut.orderBy("key", "text").limit(SAMPLE_DOCS).collect()
     if len(rows) < total:
-        nth = F.row_number().over(W.partitionBy("lang").orderBy("key", "snippet"))
-        last = (rows[-1].key, rows[-1].snippet)
-        least = cut.withColumn("_nth", nth).where(F.col("_nth") <= LEAST_DOCS).where(F.col("key") >= last[0]).select("key", "snippet", "lang").collect()
-        rows += sorted((r for r in least if (r.key, r.snippet) > last), key=lambda r: (r.key, r.snippet))
-    return train([r.snippet.encode() for r in rows], [r.lang for r in rows])
+        nth = F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))
+        last = (rows[-1].key, rows[-1].text)
+        least = cut.withColumn("_nth", nth).where(F.col("_nth") <= LEAST_DOCS).where(F.col("key") >= last[0]).select("key", "text", "lang").collect()
+        rows += sorted((r for r in least if (r.key, r.text) > last), key=lambda r: (r.key, r.text))
+    return train([r.text.encode() for r in rows], [r.lang for r in rows])
 
 
 def _label(net: Network, text_at: int):
@@ -215,7 +231,7 @@ def _label(net: Network, text_at: int):
         names = np.array(net.languages, object)
         for b in batches:
             texts = b.column(text_at).cast(pa.binary()).to_pylist()
-            langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+            langs, scores, noise = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts)), np.zeros(len(texts))
             low = 0
             while low < len(texts):
                 high, size = low, 0
@@ -224,20 +240,23 @@ def _label(net: Network, text_at: int):
                     high += 1
                 p = probabilities(net, [t or b"" for t in texts[low:high]])
                 known = np.array([bool(t) for t in texts[low:high]])
+                noise[low:high][known] = np.clip(p[:, -1], 0, 1)[known]
+                p = p[:, :-1]
                 langs[low:high][known] = names[p.argmax(1)][known]
                 scores[low:high][known] = np.clip(p.max(1), 0, 1)[known]
                 low = high
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if k != text_at), pa.array(langs, pa.string()), pa.array(scores)], [*(n for k, n in enumerate(b.schema.names) if k != text_at), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(b.num_columns) if k != text_at), pa.array(langs, pa.string()), pa.array(scores), pa.array(noise)], [*(n for k, n in enumerate(b.schema.names) if k != text_at), "lang_pred", "score", "noise"])
 
     return run
 
 
 def identify(docs: DataFrame, net: Network | None, text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs`` with lang_pred and score."""
-    docs = docs.drop(*({"lang_pred", "score", "_lettered"} & set(docs.columns)))
+    """All rows and columns of ``docs`` with lang_pred, score and noise."""
+    docs = docs.drop(*({"lang_pred", "score", "noise"} & set(docs.columns)))
     if net is None:
-        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0), "noise": F.lit(0.0)})
     # a text without a letter is not read; whole texts go in as they are
-    seen = docs.withColumn("_lettered", F.when(text_or_empty(text_col).rlike(r"\p{L}"), F.col(text_col)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    (lettered,) = free_names(docs, "_lettered")
+    seen = docs.withColumn(lettered, F.when(text_or_empty(text_col).rlike(r"\p{L}"), F.col(text_col)))
+    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("noise", T.DoubleType())])
     return seen.mapInArrow(_label(net, len(docs.columns)), schema)
