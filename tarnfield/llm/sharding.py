@@ -17,13 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tarnfield.llm.common import stage, text_or_empty
+from tarnfield.llm.common import free_names, stage, text_or_empty, unstage
 
 LOW, HIGH = -(2**63), 2**63 - 1
+PART_BYTES = 64_000_000  #: of a part of a shard, which one task sorts
+SMALL = 100_000  #: parts whose places go out by broadcast; more are joined by a shuffle
+INTERNAL = {"_id", "_hash", "_shard", "_part", "_splits", "_first", "_before", "_split", "_at"}
 
 
 def _histogram(keys: DataFrame, probes: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -100,20 +103,63 @@ def find_splitters(keys: DataFrame, parts: int, strict_every: int = 1, tolerance
     return [p[:2] for p in done], [p[3] for p in done]
 
 
-def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, parts_per_shard: int = 8, tolerance: float = 0.005) -> DataFrame:
+def _within(shard: Column, cuts: list[tuple[int, int]], parts: list[int]) -> Column:
+    """Number of a row's part in its shard: even stretches of the shard's hashes, or of its ids where it holds but one hash."""
+    ends = [(LOW, LOW), *cuts, (HIGH, HIGH)]
+    spans = [(0, a[0], z[0]) if z[0] > a[0] else (1, a[1], z[1]) for a, z in zip(ends, ends[1:], strict=False)]
+    of = lambda values: F.get(F.array(*[F.lit(float(v)) for v in values]), shard)
+    value = F.when(of(k for k, _, _ in spans) == 0, F.col("_hash")).otherwise(F.col("_id")).cast("double")
+    low, width = of(a for _, a, _ in spans), of(float(z) - float(a) + 1.0 for _, a, z in spans)
+    return F.least(of(parts) - 1, F.floor((value - low) / width * of(parts))).cast("int")
+
+
+def _layout(keys: DataFrame, shards: int, tolerance: float) -> tuple[Column, Column, DataFrame, int]:
+    """The shard and part of a row, as columns; where each part lies (shard, part, splits, first partition, rows before); partitions of a shard."""
+    cuts, _ = find_splitters(keys, shards, 1, tolerance)
+    key = F.struct(F.col("_hash").alias("h"), F.col("_id").alias("i"))
+    literal = F.array(*[F.struct(F.lit(h).cast("bigint").alias("h"), F.lit(i).cast("bigint").alias("i")) for h, i in cuts])
+    shard = F.size(F.filter(literal, lambda cut: cut <= key)) if cuts else F.lit(0)
+    keys = keys.withColumnsRenamed({"hash": "_hash", "id": "_id"}).withColumn("_shard", shard)
+    held = {r._shard: r.n for r in keys.groupBy("_shard").agg(F.sum("size").alias("n")).collect()}  # one row a shard
+    part = _within(shard, cuts, [max(1, -(-held.get(k, 0) // PART_BYTES)) for k in range(shards)])
+    keys = keys.withColumn("_part", part)
+    # a text that fills a part by itself is split by a hash of its ids
+    sizes = keys.groupBy("_shard", "_part").agg(F.sum("size").alias("n"))
+    sizes = sizes.withColumn("_splits", F.when(F.col("n") > 2 * PART_BYTES, F.ceil(F.col("n") / PART_BYTES)).otherwise(F.lit(1)).cast("int"))
+    order = W.partitionBy("_shard").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = stage(sizes.select("_shard", "_part", "_splits", F.coalesce(F.sum("_splits").over(order), F.lit(0)).cast("int").alias("_first")), "shard-parts")
+    small = sizes.count() <= SMALL
+    split = keys.join(F.broadcast(sizes) if small else sizes, ["_shard", "_part"]).groupBy("_shard", "_part", _split().alias("_split")).agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy("_shard").orderBy("_part", "_split").rowsBetween(W.unboundedPreceding, -1)
+    before = split.select("_shard", "_part", F.struct("_split", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("n")).alias("x")).groupBy("_shard", "_part").agg(F.map_from_entries(F.collect_list("x")).alias("_before"))
+    layout = stage(sizes.join(before, ["_shard", "_part"]), "shard-layout")
+    most = layout.agg(F.max(F.col("_first") + F.col("_splits"))).first()[0] or 1
+    return shard, part, F.broadcast(layout) if small else layout, most
+
+
+def _split() -> Column:
+    return F.pmod(F.xxhash64("_id"), F.col("_splits")).cast("int")
+
+
+def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, tolerance: float = 0.005) -> DataFrame:
     """All rows and columns of ``docs`` with size, shard and slot (0, 1, ... in each shard).
 
-    ``parts_per_shard`` cuts each shard's key range further for the exchange, so that no task holds a whole shard.
+    A shard is dealt out in parts of about PART_BYTES, one partition each, sorted by (hash, id); the parts go to their
+    partitions by number, in the one exchange. A row's slot is its place in the partition after the rows of the parts before.
     """
-    docs = docs.drop(*({"size", "shard", "slot", "_hash", "_id", "_part"} & set(docs.columns)))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOW + 1)), "_hash": F.xxhash64(text_or_empty(text_col)), "size": F.octet_length(text_or_empty(text_col)).cast("bigint") + overhead})
+    docs = docs.drop(*({"size", "shard", "slot"} & set(docs.columns)))
+    given = [c for c in docs.columns if c.lower() in INTERNAL]
+    own = dict(zip(given, free_names(docs, *(f"_own{c}" for c in given)), strict=True))
+    docs, id_col, text_col = docs.withColumnsRenamed(own), own.get(id_col, id_col), own.get(text_col, text_col)
+    text = text_or_empty(text_col)
+    keyed = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(LOW + 1)), "_hash": F.xxhash64(text), "size": F.octet_length(text).cast("bigint") + overhead})
     keys = stage(keyed.select(F.col("_hash").alias("hash"), F.col("_id").alias("id"), "size"), "shard-keys")
-    cuts, rows = find_splitters(keys, shards * parts_per_shard, parts_per_shard, tolerance)
-    key = F.struct(F.col("_hash").alias("h"), F.col("_id").alias("i"))
-    literal = F.array(*[F.struct(F.lit(h).cast("bigint").alias("h"), F.lit(i).cast("bigint").alias("i")) for h, i in cuts])
-    part = F.size(F.filter(literal, lambda cut: cut <= key)) if cuts else F.lit(0)
-    below = [0, *rows]
-    before = F.array(*[F.lit(below[k] - below[k - k % parts_per_shard]).cast("bigint") for k in range(len(below))])
-    order = W.partitionBy("_part").orderBy("_hash", "_id")
-    placed = keyed.withColumn("_part", part).withColumn("slot", (F.row_number().over(order) - 1).cast("bigint") + F.get(before, F.col("_part")))
-    return placed.withColumn("shard", F.floor(F.col("_part") / parts_per_shard).cast("int")).drop("_hash", "_id", "_part")
+    shard, part, layout, most = _layout(keys, shards, tolerance)
+    unstage(keys)
+    placed = keyed.withColumn("_shard", shard).withColumn("_part", part).join(layout, ["_shard", "_part"])
+    placed = placed.withColumn("_split", _split()).withColumns({"_at": F.col("_shard") * most + F.col("_first") + F.col("_split"), "_before": F.col("_before")[F.col("_split")]})
+    placed = placed.drop("_part", "_splits", "_first", "_split").repartitionById(shards * most, "_at").sortWithinPartitions("_hash", "_id")
+    # the low 33 bits count the rows of a partition
+    slot = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    placed = placed.withColumns({"slot": slot, "shard": F.col("_shard").cast("int")}).drop("_hash", "_id", "_shard", "_before", "_at")
+    return placed.select(*docs.columns, "size", "shard", "slot").withColumnsRenamed({v: k for k, v in own.items()})
