@@ -5,7 +5,8 @@ All pieces form one automaton; each document is streamed through it once, and ea
 bit-parallel distance on the stretch around it.
 
 Texts and items are compared lower-cased with white space runs as one space. Edge cases: null and empty items match
-nothing; items under ``min_chars`` characters allow no edit and match whole words only; equal items are all reported;
+nothing; items under ``min_chars`` characters allow no edit and match whole words only; equal items, and items that share
+an id, are all reported;
 null and empty texts match nothing; rows that repeat an id are judged each; very long texts are streamed whole.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import text_or_empty
+from tarnfield.llm.common import stage, text_or_empty
 
 #: Bytes of items that go to the tasks at once; a larger benchmark takes several passes over the documents.
 ITEM_BYTES = 16_000_000
@@ -82,14 +83,16 @@ def find_items(text: str, items: tuple[Item, ...]) -> dict[int, tuple[int, int]]
         return {}
     text = normalised(text)
     found: dict[int, tuple[int, int]] = {}
-    tried: dict[int, list[int]] = {}
+    tried: dict[tuple[int, int], int] = {}  # (item, start // step) -> start: starts in one bucket lie near enough to each other
     for end, (length, places) in _automaton(items).iter(text):
         for k, offset in places:
             _, item, errors = items[k]
             start = end + 1 - length - offset  # where the item would begin
-            if k in found and found[k][0] == 0 or any(abs(start - s) <= errors // 2 for s in tried.get(k, ())):
+            near = errors // 2
+            at = start // (near + 1)
+            if k in found and found[k][0] == 0 or any(abs(start - s) <= near for s in map(tried.get, ((k, at - 1), (k, at), (k, at + 1))) if s is not None):
                 continue
-            tried.setdefault(k, []).append(start)
+            tried[k, at] = start
             if not errors:
                 whole = (start <= 0 or text[start - 1] == " ") and (end + 1 >= len(text) or text[end + 1] == " ")
                 got = (0, end + 1) if whole else None
@@ -102,15 +105,19 @@ def find_items(text: str, items: tuple[Item, ...]) -> dict[int, tuple[int, int]]
     return found
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, error_rate: float, min_chars: int) -> Iterator[tuple[Item, ...]]:
-    """The items, in blocks of about ITEM_BYTES: their text is known to fit a task."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, error_rate: float, min_chars: int) -> tuple[int, Iterator[tuple[Item, ...]]]:
+    """Number of blocks and the blocks: items of about ITEM_BYTES, which fit a task. The driver holds one block at a time."""
     rows = benchmark.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = size // ITEM_BYTES + 1
-    for k in range(count):
-        part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows
-        texts = sorted(((r.id, normalised(r.text)) for r in part.collect()), key=lambda x: (x[1], x[0] is not None, x[0] or 0))
-        yield tuple((i, t, budget(len(t), error_rate, min_chars)) for i, t in texts if t)
+
+    def blocks() -> Iterator[tuple[Item, ...]]:
+        for k in range(count):
+            part = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k) if count > 1 else rows
+            texts = sorted(((r.id, normalised(r.text)) for r in part.collect()), key=lambda x: (x[1], x[0] is not None, x[0] or 0))
+            yield tuple((i, t, budget(len(t), error_rate, min_chars)) for i, t in texts if t)
+
+    return count, blocks()
 
 
 def _hits(items: tuple[Item, ...]):
@@ -129,9 +136,11 @@ def _hits(items: tuple[Item, ...]):
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.06, min_chars: int = 24) -> DataFrame:
     """One row per document and benchmark item found in it: both ids, the edit distance, the item's length, where it ends."""
     plain = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    out = None
-    for items in item_blocks(benchmark, item_col, item_text_col, error_rate, min_chars):
+    out, (count, blocks) = None, item_blocks(benchmark, item_col, item_text_col, error_rate, min_chars)
+    for items in blocks:
         part = plain.mapInArrow(_hits(items), "doc bigint, item bigint, distance bigint, item_chars bigint, end_char bigint")
+        if count > 1:  # written, so that the block can go
+            part = stage(part, "benchmark-hits")
         out = part if out is None else out.unionByName(part)
     return out.withColumnsRenamed({"doc": id_col, "item": item_col})
 
@@ -146,6 +155,9 @@ def _clean(items: tuple[Item, ...], text_at: int):
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", error_rate: float = 0.06, min_chars: int = 24) -> DataFrame:
     """The documents in which no item is found. Nothing is shuffled."""
-    for items in item_blocks(benchmark, item_col, item_text_col, error_rate, min_chars):
+    count, blocks = item_blocks(benchmark, item_col, item_text_col, error_rate, min_chars)
+    for k, items in enumerate(blocks, 1):
         docs = docs.mapInArrow(_clean(items, docs.columns.index(text_col)), docs.schema)
+        if k < count:
+            docs = stage(docs, "decontaminated")
     return docs

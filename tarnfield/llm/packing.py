@@ -65,8 +65,13 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, start bigint, length bigint, ids binary, doc_tokens bigint, _nth bigint, _task int"
     pieces = stage(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).mapInArrow(_pieces(tokenizer_path, end_id, max_length), schema), "pieces")
     counts = stage(pieces.groupBy("_task", "length").agg(F.max("_nth").alias("n")), "piece-counts")
-    before = F.coalesce(F.sum(F.col("n") + 1).over(W.orderBy(F.desc("length"), "_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("_task", "length", before.alias("_before"))
+    # longer pieces first, as many lengths as max_length has binary digits; within a length by task
+    base, bases = 0, {}
+    for r in sorted(counts.groupBy("length").agg(F.sum(F.col("n") + 1).alias("n")).collect(), key=lambda r: -r.length):
+        bases[r.length], base = base, base + r.n
+    start = F.create_map(*[F.lit(x) for pair in bases.items() for x in pair])[F.col("length")] if bases else F.lit(0)
+    before = F.coalesce(F.sum(F.col("n") + 1).over(W.partitionBy("length").orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_task", "length", (before + start).alias("_before"))
     if counts.count() <= SMALL:
         starts = F.broadcast(starts)
     placed = pieces.join(starts, ["_task", "length"])

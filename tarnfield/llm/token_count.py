@@ -3,7 +3,7 @@
 A huge text is cut into chunks that overlap; each chunk is encoded with offsets, in a task of its own. Two neighbours
 are spliced at a position of their overlap at which both start a token and which is proven stable: an ASCII space after
 a non-space, where every encoding has a boundary. Where an overlap has none, the text is cut again with wider chunks
-and overlaps, in the end as one chunk.
+and overlaps, in the end as one chunk. For a vocabulary of which that isn't known (``cuts_spaces``) texts are encoded whole.
 
 Edge cases: null and empty texts have 0 tokens; repeated rows are counted each; other columns are carried through, and
 those named like the results are replaced.
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tarnfield.llm.common import stage, text_or_empty
-from tarnfield.llm.tokens import UnitCounts, load
+from tarnfield.llm.common import free_names, stage, text_or_empty
+from tarnfield.llm.tokens import UnitCounts, cuts_spaces, load
 from tarnfield.llm.words import portions
 
 CANDIDATES = 8  #: stable positions that a chunk reports for each side
@@ -112,12 +112,15 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     docs = docs.drop(*({"n_bytes", "n_tokens", "over_limit"} & set(docs.columns)))
     docs = docs.withColumn(text_col, text_or_empty(text_col)).withColumn("n_bytes", F.octet_length(text_col).cast("bigint"))
     carried = [c for c in docs.columns if c != text_col]
+    chunks = cuts_spaces(load(tokenizer_path))
     # no text of over ``huge`` characters has fewer bytes
-    short = docs.where((F.col("n_bytes") <= huge) | (F.length(text_col) <= huge))
+    short = docs.where((F.col("n_bytes") <= huge) | (F.length(text_col) <= huge)) if chunks else docs
     schema = T.StructType([*(docs.schema[c] for c in carried), T.StructField("n_tokens", T.LongType())])
     counted = short.mapInArrow(_count_short(tokenizer_path, docs.columns.index(text_col)), schema)
-    long = stage(docs.where((F.col("n_bytes") > huge) & (F.length(text_col) > huge)).withColumn("_row", F.monotonically_increasing_id()), "huge-texts")
-    if not long.isEmpty():
-        sums = resynchronised_counts(long.select(F.col("_row").alias("row"), F.col(text_col).alias("text")), tokenizer_path, chunk, overlap)
-        counted = counted.unionByName(long.join(sums.withColumnRenamed("row", "_row"), "_row").select(*carried, "n_tokens"))
+    if chunks:
+        (row,) = free_names(docs, "_row")
+        long = stage(docs.where((F.col("n_bytes") > huge) & (F.length(text_col) > huge)).withColumn(row, F.monotonically_increasing_id()), "huge-texts")
+        if not long.isEmpty():
+            sums = resynchronised_counts(long.select(F.col(row).alias("row"), F.col(text_col).alias("text")), tokenizer_path, chunk, overlap)
+            counted = counted.unionByName(long.join(sums.withColumnRenamed("row", row), row).select(*carried, "n_tokens"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

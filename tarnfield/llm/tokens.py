@@ -1,7 +1,8 @@
 """Tokenizing inside tasks: one tokenizer per Python worker, and bounded memories of what short units encode to.
 
-Both vocabularies never form a token across a change from a non-space to an ASCII space, so the encoding of a text is
-the encodings of its units, cut there, one after the other. Most units recur; only new ones reach the library.
+Vocabularies of the two kinds that ``cuts_spaces`` and ``cuts_words`` tell never form a token across a change from a
+non-space to an ASCII space, so the encoding of a text is the encodings of its units, cut there, one after the other.
+Most units recur; only new ones reach the library. With any other vocabulary whole texts go to the library.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from itertools import chain
 
 import numpy as np
 
-#: Entries of a worker's memory of units.
-MEMORY = 400_000
+#: Entries of a worker's memory of units, and the bytes of the longest that it keeps.
+MEMORY, MEMORY_BYTES = 400_000, 64
 SPACE = rb" \t\n\r\x0b\x0c"
 #: An ASCII space run with the non-spaces that follow it.
 UNIT = re.compile(rb"[%s]*[^%s]+|[%s]+" % (SPACE, SPACE, SPACE))
@@ -59,19 +60,30 @@ class Memory(dict):
         every = set(units)
         new = list(every.difference(self))
         found = dict(zip(new, find(new), strict=True))
-        if len(self) + len(found) <= MEMORY:
+        if len(self) + len(found) <= MEMORY and max(map(len, found), default=0) <= MEMORY_BYTES:
             self.update(found)
             return self
-        return {u: self[u] for u in every.difference(found)} | found
+        self.update((u, x) for u, x in found.items() if len(self) < MEMORY and len(u) <= MEMORY_BYTES)
+        return found | {u: self[u] for u in every.difference(found)}
+
+
+def cuts_spaces(tokenizer) -> bool:
+    """Whether a tokenizer works on the bytes of texts as they are, cut into words that carry one leading space."""
+    config = json.loads(tokenizer.to_str())
+    cuts = config.get("pre_tokenizer") or {}
+    return not config.get("normalizer") and cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space")
 
 
 class UnitCounts:
-    """Token counts of texts for a byte-level vocabulary whose words carry their leading space."""
+    """Token counts of texts, by units for a byte-level vocabulary whose words carry their leading space."""
 
     def __init__(self, path: str, separator: str = "<|endoftext|>"):
         self.tokenizer, self.seen, self.separator = load(path), Memory(), separator
+        self.units = cuts_spaces(self.tokenizer)
 
     def count(self, texts: list[bytes]) -> list[int]:
+        if not self.units:
+            return [len(self.tokenizer.encode(t.decode(), add_special_tokens=False)) for t in texts]
         cut = [None if WIDE_SPACE.search(t) else UNIT.findall(t) for t in texts]
         known = self.seen.recall(chain.from_iterable(filter(None, cut)), lambda new: list(map(len, encode_apart(self.tokenizer, new, self.separator))))
         return [sum(map(known.__getitem__, units)) if units is not None else len(self.tokenizer.encode(t.decode(), add_special_tokens=False)) for t, units in zip(texts, cut, strict=True)]
@@ -111,7 +123,7 @@ class UnitIds:
     def _part(self, part: str) -> bytes:
         text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode()))
         ids = array("I", [t.id for t in self.tokenize(text)]).tobytes()
-        if len(self.parts) < MEMORY:
+        if len(self.parts) < MEMORY and len(part) <= MEMORY_BYTES:
             self.parts[part] = ids
         return ids
 
@@ -119,7 +131,7 @@ class UnitIds:
         """New units: letters and the signs after them go to the model as they are, all others through the whole library."""
         out, odd, known, match, part = [], [], self.parts.get, CORE.fullmatch, self._part
         for unit in units:
-            cut = match(unit.decode()) if self.words else None
+            cut = match(unit.decode())
             if cut is None:
                 odd.append(len(out))
                 out.append(b"")
@@ -133,6 +145,8 @@ class UnitIds:
         return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        if not self.words:
+            return [array("I", self.tokenizer.encode(t.decode(), add_special_tokens=False).ids).tobytes() for t in texts]
         cut = [t.split() for t in texts]  # bytes.split(): ASCII white space only
         known = self.seen.recall(chain.from_iterable(cut), self._find)
         return [b"".join(map(known.__getitem__, units)) for units in cut]
