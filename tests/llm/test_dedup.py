@@ -60,12 +60,31 @@ def test_index_outlives_batches(spark):
     assert "bucket" in spark.sql(f"DESCRIBE EXTENDED {index.table}").toPandas().to_string().lower()
 
 
+def test_index_by_path_outlives_the_catalog(spark, tmp_path):
+    first = exact_dedup.DigestIndex(spark, buckets=4, path=f"file://{tmp_path}/index")
+    first.add(frame(spark, [(1, "a b"), (2, "c")]))
+    spark.sql(f"DROP TABLE {first.table}")  # as when the session ends; the files stay
+    again = exact_dedup.DigestIndex(spark, buckets=4, path=f"file://{tmp_path}/index")
+    assert [(r.doc_id, r.keep_id, r.kept) for r in sorted(again.add(frame(spark, [(7, "a  b"), (8, "d")])).collect())] == [(7, 1, False), (8, 8, True)]
+    assert again.read().count() == 3
+    again.drop()
+    assert not spark.catalog.tableExists(again.table) and not (tmp_path / "index" / "4-buckets").exists()
+
+
 def test_exact_edge_cases(spark):
-    out = exact_dedup.DigestIndex(spark, buckets=2).add(frame(spark, EDGES).withColumn("digest", F.lit("clash")).withColumn("extra", F.lit(1)))
-    assert out.count() == len(EDGES) and "extra" in out.columns
-    kept = out.where("kept").select("doc_id", "text").collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 3, 4, 4]
+    before = {t.name for t in spark.catalog.listTables()}
+    index = exact_dedup.DigestIndex(spark, buckets=2)
+    out = index.add(frame(spark, EDGES).withColumn("digest", F.lit("clash")).withColumn("extra", F.lit(1)))
+    index.drop()
+    # a null text is the empty one; rows without an id stay where their group has none, and keep no other
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out.collect()), key=repr)
+    assert got == sorted([(1, 1, 3, True), (2, 1, 3, False), (3, 3, 1, True), (4, 4, 3, True), (4, 4, 3, True), (5, 4, 3, False), (None, None, 1, True), (None, 1, 3, False)], key=repr)
+    assert out.columns == ["doc_id", "extra", "digest", "keep_id", "group_size", "kept"]
+    kept = exact_dedup.deduplicate(frame(spark, EDGES).withColumns({"digest": F.lit("own"), "_ID": F.lit(3)}))
+    assert kept.columns == ["doc_id", "text", "digest", "_ID"] and {r.digest for r in kept.collect()} == {"own"}
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([EDGES[0], EDGES[2], EDGES[3], EDGES[3], EDGES[5]], key=repr)
     assert exact_dedup.deduplicate(frame(spark, [])).count() == 0
+    assert {t.name for t in spark.catalog.listTables()} == before  # temporary indexes are gone
 
 
 def test_heavy_group_is_whole(spark):

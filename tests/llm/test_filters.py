@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tarnfield.llm import decontaminate, language_id, url_filter
+from tarnfield.llm import common, decontaminate, language_id, url_filter
 from tarnfield.llm.queries import URL_RULES
 
 
@@ -107,7 +108,10 @@ def test_templates_reject_by_purity(spark):
     pages = [(k, f"http://spam.org/ads/item{k}/view") for k in range(10, 99)] + [(k, f"http://spam.org/docs/page-{k}") for k in range(100, 130)] + [(k, f"http://wiki.org/{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}/x") for k in range(200, 280)]
     out = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string"), rules).collect()}
     assert all(out[k].verdict == "block" and out[k].template == "/ads/*/view" for k in range(10, 99))
-    assert all(out[k].verdict == "allow" and out[k].template == "/docs/*" for k in range(100, 130))
+    # a branch without labels has the estimate of its host, of whose labelled urls all are blocked
+    assert all(out[k].verdict == "block" and out[k].template == "/docs/*" and abs(out[k].purity - 51 / 52) < 1e-9 for k in range(100, 130))
+    kept = url_filter.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string"), [*rules, *(("allow", f"spam.org/docs/page-{k}") for k in range(100, 120))]).collect()
+    assert all(r.verdict == "allow" for r in kept if 100 <= r.page_id < 130)  # labels of its own count for more
     assert all(out[k].template == "/*/x" for k in range(200, 280))
 
 
@@ -125,12 +129,46 @@ def test_templates_follow_the_labels(spark):
     out = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string"), rules).collect()}
     assert len(out) == len(pages)
     assert all(out[k].verdict == "block" and out[k].template == "/en/*" for k in range(40))
-    assert all(out[k].verdict == "allow" and out[k].template == "/*/*" for k in range(100, 200))
+    # no label of their own: the estimate of the host, of whose labelled urls all are blocked
+    assert all(out[k].template == "/*/*" and out[k].verdict == "block" and abs(out[k].purity - 41 / 42) < 1e-9 for k in range(100, 200))
     assert all(out[k].verdict == "block" and out[k].template == "/w/x/y/bad/*/view" for k in [*range(300, 360), 600])
     assert all(out[k].verdict == "allow" and out[k].template == "/w/x/y/good/*/view" for k in range(400, 460))
     assert all(out[k].verdict == "allow" and out[k].template == "/w/x/y/*/z" for k in range(500, 540))
     assert out[700].template == "/#" and out[700].verdict == "block"
-    assert all(out[k].template == "/*" and out[k].verdict == "allow" for k in range(800, 840))
+    assert all(out[k].template == "/*" and out[k].verdict == "block" for k in range(800, 840))  # as the host
+
+
+def test_estimates_come_from_branches_above(spark):
+    """Sibling evidence reaches branches without labels, drawn towards the branch above by counts; alike branches merge at every level."""
+    two = lambda k: chr(97 + k % 26) + chr(97 + k // 26)
+    pages = [(k, f"http://h.org/a/x/{two(k)}/{k}") for k in range(40)]  # all blocked
+    pages += [(100 + k, f"http://h.org/a/y/{two(k)}") for k in range(5)]  # no label
+    pages += [(200 + k, f"http://h.org/b/z/{k}") for k in range(40)]  # all allowed
+    pages += [(300 + k, f"http://h.org/b/w/{two(k)}") for k in range(5)]  # no label
+    pages += [(400 + k, f"http://h.org/c/{k}") for k in range(5)]  # no label
+    pages += [(500 + k, f"http://m.org/s{'xyz'[k % 3]}/p/{two(k // 3)}") for k in range(60)]  # three sections alike
+    rules = [("block", "h.org/a/x/"), ("allow", "h.org/b/z/")] + [("block", f"m.org/s{'xyz'[k % 3]}/p/{two(k // 3)}") for k in range(30)]
+    out = {r.page_id: r for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id bigint, url string"), rules).collect()}
+    host = (40 + 2 * 0.5) / (80 + 2)
+    a, b = (40 + 2 * host) / 42, 2 * host / 42
+    for first, template, purity, verdict in ((100, "/a/y", a, "block"), (300, "/b/w", b, "allow")):
+        assert all(out[first + k].template == f"{template}/{two(k)}" and abs(out[first + k].purity - purity) < 1e-9 and out[first + k].verdict == verdict for k in range(5))
+    assert all(out[400 + k].template == "/c/*" and abs(out[400 + k].purity - host) < 1e-9 and out[400 + k].verdict == "allow" for k in range(5))
+    assert {out[500 + k].template.split("/")[1] for k in range(60)} == {"~"}
+
+
+def test_repeated_urls_and_a_large_host(spark, monkeypatch):
+    """Repeated urls count as often as they occur; nothing depends on how large keys are looked up."""
+    pages = [(k, f"http://one.net/p/{k % 40}") for k in range(400)] + [(1000 + k, f"http://h{k}.net/q/{k}") for k in range(60)]
+    rules = [("block", "one.net/p/1"), ("block", "net/q/1")]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string")
+    get = lambda: sorted((r.page_id, r.template, r.purity, r.verdict) for r in url_filter.filter_urls(frame, rules).collect())
+    plain = get()
+    monkeypatch.setattr(common, "LIGHT", 3)
+    assert get() == plain
+    labelled = 11 * 10  # /p/1 and /p/10 to /p/19, ten times each
+    host = (labelled + 1) / (labelled + 2)
+    assert next(x for x in plain if x[0] == 0)[2] == pytest.approx((labelled + 2 * ((labelled + 2 * host) / (labelled + 2))) / (labelled + 2))
 
 
 WORDS = {"en": "the and of with house water people think", "fr": "le la et avec maison été où garçon", "de": "der und mit haus wässer straße größe nicht"}
@@ -193,6 +231,49 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     assert all(x.lang_pred == x.lang for x in held)
 
 
+def brute_probabilities(net, text):
+    """Position by position in plain loops: a GRU in each direction over spans of SPAN bytes, softmax, mean."""
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def read(span, weights):
+        inputs, gates, candidate = (w.astype(float) for w in weights)
+        d, h, out = len(candidate), np.zeros(len(candidate)), []
+        for x in span:
+            r, z = sig(h @ gates[:, :d] + inputs[x, :d]), sig(h @ gates[:, d:] + inputs[x, d : 2 * d])
+            h = (1 - z) * h + z * np.tanh((r * h) @ candidate + inputs[x, 2 * d :])
+            out.append(h)
+        return out
+
+    total = np.zeros(len(net.languages) + 1)
+    text = text.translate(language_id.ONE_SPACE)
+    for at in range(0, len(text), language_id.SPAN):
+        span = text[at : at + language_id.SPAN]
+        padded = span + bytes(language_id.SPAN - len(span))
+        for f, b in list(zip(read(padded, net.forward), read(padded[::-1], net.backward)[::-1], strict=True))[: len(span)]:
+            logits = np.exp(np.concatenate([f, b]) @ net.out + net.bias)
+            total += logits / logits.sum()
+    return total / len(text)
+
+
+def test_probabilities_against_plain_loops():
+    data = sample(60, 3)
+    net = language_id.train([t.encode() for _, _, t in data], [lang for _, lang, _ in data])
+    texts = [t.encode() for _, _, t in data[:8]] + ["größe 東京".encode(), b"x", b"\x00\xff" * 70, b"a\nb\tc"]
+    got = language_id.probabilities(net, texts)
+    assert np.allclose(got, [brute_probabilities(net, t) for t in texts], atol=1e-4) and np.allclose(got.sum(1), 1, atol=1e-5)
+
+
+def test_noise_is_told_from_languages(spark):
+    data = sample(400, 1)
+    docs = spark.createDataFrame([(k, t, lang) for k, lang, t in data], "doc_id bigint, text string, lang string")
+    net = language_id.fit(docs, F.lit(True))
+    r = random.Random(2)
+    junk = [(k, "".join(r.sample(t, len(t)))) for k, _, t in sample(40, 5) if len(t) > 80] + [(900, "".join(chr(r.randint(33, 126)) for _ in range(400)) + "a")]
+    assert all(x.noise > 0.5 for x in language_id.identify(spark.createDataFrame(junk, "doc_id bigint, text string"), net).collect())
+    clean = spark.createDataFrame([(k, t) for k, _, t in sample(100, 7)], "doc_id bigint, text string")
+    assert all(x.noise < 0.5 and 0 <= x.score <= 1 for x in language_id.identify(clean, net).collect())
+
+
 def test_spans_cover_every_byte():
     texts = [b"", b"a" * 64, b"b" * 65, b"", b"c"]
     spans, used, owner = language_id.spans_of(texts)
