@@ -1,6 +1,6 @@
 """The corpus pipeline: each stage applies one corpus operator to all that the stage before it kept.
 
-Language ID rejects documents without letters and those that the network finds no language for; exact and near
+Language ID rejects documents without letters and those that the network takes for noise; exact and near
 duplicates leave one document of each group; documents that hold a benchmark item go; what stays is packed.
 
 Each stage passes on rows with null ids or texts as its operator defines it and works on empty tables.
@@ -14,22 +14,19 @@ from pyspark.sql import functions as F
 from tarnfield.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
 from tarnfield.llm.common import crc32_of_id, fresh_path
 
-#: A best language must be so far on the way from chance, 1 / number of languages, to certainty (0.3 with four languages).
-MARGIN = 1 / 15
-
-
-def least_score(languages: int) -> float:
-    """Below this the best of ``languages`` probabilities is hardly more than chance; a single one tells nothing."""
-    return (1 + MARGIN * (languages - 1)) / languages if languages > 1 else 0.0
+#: A document goes if noise has a larger share of its positions.
+MOST_NOISE = 0.8
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not ``und``, and a probability of ``least_score`` or more. All, if no label was there to learn from."""
+    """Documents in a language: with a letter, and with no more noise than MOST_NOISE. All, if no label was there to learn from."""
     net = language_id.fit(docs, F.coalesce(crc32_of_id("doc_id") % 5 != 0, F.lit(True)))
     if net is None:
         return docs
-    least = least_score(len(net.languages))
-    return language_id.identify(docs, net).where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    own = {c: f"_own_{c}" for c in ("lang_pred", "score", "noise") if c in docs.columns}
+    judged = language_id.identify(docs.withColumnsRenamed(own), net)
+    judged = judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("noise") <= MOST_NOISE)).drop("lang_pred", "score", "noise")
+    return judged.withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
