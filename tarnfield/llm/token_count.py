@@ -107,7 +107,7 @@ def resynchronised_counts(texts: DataFrame, tokenizer_path: str, chunk: int = 32
         chunk, overlap = chunk * 8, overlap * 8
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 1024, huge: int = 65_536, chunk: int = 32_768, overlap: int = 512) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", limit: int = 1024, huge: int = 32_768, chunk: int = 16_384, overlap: int = 512) -> DataFrame:
     """All rows of ``docs`` without the text, with n_bytes, n_tokens and over_limit. Texts of over ``huge`` characters go by chunks."""
     docs = docs.drop(*({"n_bytes", "n_tokens", "over_limit"} & set(docs.columns)))
     docs = docs.withColumn(text_col, text_or_empty(text_col)).withColumn("n_bytes", F.octet_length(text_col).cast("bigint"))

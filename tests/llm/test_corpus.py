@@ -224,6 +224,19 @@ def test_score_does_not_depend_on_partitions(spark, monkeypatch):
             assert got[0][k][3] == pytest.approx(brute_lm(text or "", vocabulary, model), rel=1e-4)
 
 
+def test_very_long_texts_are_scored_and_packed_whole(spark):
+    long = " ".join(f"w{k % 700}" for k in range(60_000))
+    docs = docs_of(spark, [long, "w1 w2 w3", None])
+    scored = {r.doc_id: r for r in language_model.score(docs, F.lit(True)).collect()}
+    assert (scored[0].n_tokens, scored[0].n_known, scored[0].train_tokens) == (60_001, 60_001, 60_006) and math.isfinite(scored[0].score)
+    c = Counter([*long.split(), "w1", "w2", "w3", *[None] * 3])
+    base = sum(math.log10((c[w] + 0.5) / (60_006 + 0.5 * (len(c) + 1))) for w in [*long.split(), None])
+    assert scored[0].base_score == pytest.approx(base)
+    out = packing.pack(docs, PIECES).where("doc_id = 0").orderBy("start").collect()
+    ids = [x for r in out for x in np.frombuffer(bytes(r.ids), "<u4").tolist()]
+    assert ids == [*load(PIECES).encode(long, add_special_tokens=False).ids, 1] and [r.length for r in out] == packing.piece_lengths(len(ids), 2048)
+
+
 def test_contexts_do_not_cross_texts():
     one, two = language_model.contexts(np.array([5, 6, 9, 9, 7, 9]), 9, np.array([2, 3, 5]))
     assert one.tolist() == [9, 5, 6, 9, 9, 7] and two.tolist() == [9, 9, 5, 9, 9, 9]

@@ -72,6 +72,20 @@ def test_decontaminate_edge_cases(spark):
     assert decontaminate.decontaminate(docs, items.limit(0)).count() == 6
 
 
+def test_items_that_share_an_id(spark):
+    items = spark.createDataFrame([(1, "first text of the item number one"), (1, "second text of the same item here")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "so first text of the item number one so second text of the same item here"), (2, "only second text of the same item here")], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.item_id, r.item_chars) for r in decontaminate.contaminated(docs, items).collect())
+    assert got == [(1, 1, 33), (1, 1, 33), (2, 1, 33)]
+
+
+def test_one_piece_repeated_through_a_long_text():
+    """Hits of a piece without the rest of its item are tried once per place, in linear time."""
+    item = "abcdefghij " * 2 + "the end of it all is never reached"
+    items = ((1, item, 3),)
+    assert decontaminate.find_items(item[: len(item) // 4] * 20_000, items) == {}
+
+
 def test_large_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "ITEM_BYTES", 100)
     items = spark.createDataFrame([(k, f"benchmark item number {k} with some words in it") for k in range(20)], "item_id bigint, text string")
