@@ -80,14 +80,14 @@ def _branches(kids: DataFrame, total: int, max_children: int, support: int, z: f
     at = join_groups(kids, nodes, "_node", "_kids", total)
     apart = _differ(F.col("_b"), F.col("_m"), F.col("_all_b"), F.col("_all_m"), z) | _differ(F.col("_l"), F.col("_n"), F.col("_all_l"), F.col("_all_n"), z)
     general = F.when(F.col("_kids") <= max_children, F.col("_seg")).when(~((F.col("_n") >= support) & apart), F.lit("*")).when(F.col("_seg") == "*", F.lit("#")).otherwise(F.col("_seg"))
-    at = at.withColumn("_branch", F.concat("_node", F.lit("/"), general))
+    at = stage(at.withColumn("_branch", F.concat("_node", F.lit("/"), general)), "url-branches")
     # branches alike are merged
     branches = at.groupBy("_branch").agg(F.any_value("_node").alias("_node"), F.any_value("_above").alias("_above"), F.any_value("_all_b").alias("_all_b"), F.any_value("_all_m").alias("_all_m"), F.sum("_b").alias("_b"), F.sum("_m").alias("_m"), F.count(F.lit(1)).alias("_of"))
     alike = (F.col("_m") > 0) & (F.col("_all_m") > F.col("_m")) & ~_differ(F.col("_b"), F.col("_m"), F.col("_all_b"), F.col("_all_m"), z)
-    branches = branches.withColumn("_final", F.when(alike, F.concat("_node", F.lit("/~"))).otherwise(F.col("_branch")))
+    branches = stage(branches.withColumn("_final", F.when(alike, F.concat("_node", F.lit("/~"))).otherwise(F.col("_branch"))), "url-branches")
     merged = branches.groupBy("_final").agg(F.sum("_b").alias("_fb"), F.sum("_m").alias("_fm"), F.any_value("_above").alias("_fa"), F.count(F.lit(1)).alias("_ff")).withColumn("_estimate", _estimate("_fb", "_fm", "_fa"))
     finals = join_groups(branches.select("_branch", "_final", "_of"), merged.select("_final", "_ff", "_estimate"), "_final", "_ff", total)
-    return join_groups(at.select("_branch", "_kid", "_n", "_all_n"), finals, "_branch", "_of", total).select("_kid", "_n", "_all_n", "_final", "_estimate")
+    return stage(join_groups(at.select("_branch", "_kid", "_n", "_all_n"), finals, "_branch", "_of", total).select("_kid", "_n", "_all_n", "_final", "_estimate"), "url-kids")
 
 
 def _templates(urls: DataFrame, max_children: int, support: int, z: float) -> DataFrame:
@@ -131,6 +131,6 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", **tre
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "_rule_verdict": verdict})
     counts = judged.groupBy("host", "path").agg(F.count_if(F.col("_rule_verdict") == "block").alias("n_block"), F.count_if(F.col("_rule_verdict") == "allow").alias("n_allow"))
-    learnt = template_verdicts(counts, **tree).withColumnsRenamed({"host": "_t_host", "path": "_t_path"})
+    learnt = template_verdicts(stage(counts, "url-counts"), **tree).withColumnsRenamed({"host": "_t_host", "path": "_t_path"})
     out = judged.join(learnt, (F.col("host") == F.col("_t_host")) & (F.col("path") == F.col("_t_path")), "left").drop("_t_host", "_t_path")
     return out.withColumn("verdict", F.coalesce("_rule_verdict", "verdict")).drop("_rule_verdict")
