@@ -79,10 +79,17 @@ def map_fingerprint(c: ColumnOrName) -> Column:
 
 
 def canonical_json(variant: ColumnOrName) -> Column:
-    """JSON text of a flat object with sorted keys and ``", "`` and ``": "`` between; null stays null."""
-    entries = F.map_entries(F.try_variant_get(col(variant), "$", "map<string,variant>"))
-    text = F.transform(F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("k"), F.to_json(e["value"]).alias("v")))), lambda e: F.concat(F.lit('"'), e["k"], F.lit('": '), e["v"]))
-    return F.concat(F.lit("{"), F.array_join(text, ", "), F.lit("}"))
+    """JSON text with the keys of all objects sorted, ``", "`` and ``": "`` between, non-ASCII characters as \\u escapes; null stays null."""
+    tokens = F.regexp_extract_all(F.to_json(col(variant)), F.lit(r'"(?:[^"\\]|\\.)*"|[^"]'), F.lit(0))
+    spaced = F.array_join(F.transform(tokens, lambda t: F.when(t == ",", F.lit(", ")).when(t == ":", F.lit(": ")).otherwise(t)), "")
+    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+
+    def escaped(ch: Column) -> Column:
+        code = F.ascii(ch)
+        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)
+        return F.when(code < 0x80, ch).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
+
+    return F.when(spaced.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(spaced, ""), escaped), "")).otherwise(spaced)
 
 
 def adjusted_skewness(c: ColumnOrName) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tarnfield.functions import finite, number, quantile
+from tarnfield.operators.order import exact_quantiles
 
 
 def valid_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -44,11 +45,12 @@ def typed_fill(df: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
 
 
 def medians(df: DataFrame, cols: Sequence[str], approximate: int | None = None) -> dict[str, float | None]:
-    """The median of each column, null for a column without values; one aggregate."""
+    """The median of each column, null for a column without values."""
     if not cols:
         return {}
-    row = df.agg(*[quantile(c, 0.5, approximate).alias(c) for c in cols]).first()
-    return row.asDict()
+    if approximate is None:
+        return {c: q and q[0] for c, q in exact_quantiles(df, cols, [0.5]).items()}
+    return df.agg(*[quantile(c, 0.5, approximate).alias(c) for c in cols]).first().asDict()
 
 
 def median_impute(df: DataFrame, cols: Sequence[str], approximate: int | None = None) -> tuple[DataFrame, dict[str, float]]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 
 from tarnfield.functions import finite, quantile, safe_ratio
 from tarnfield.operators.clean import zero_fill
+from tarnfield.sources.tables import ContractError
 
 STATE = ("row_count", "sum_level", "sum_ratio", "count_ratio")
 
@@ -104,3 +106,14 @@ def valid_rates(df: DataFrame, c: str, low: float = 0.0, high: float = 1.0) -> t
     """(rows with a rate in range, one row with the numbers kept and dropped)."""
     good = F.coalesce(F.col(c).between(low, high) & ~F.isnan(F.col(c).cast("double")), F.lit(False))
     return df.where(good), df.agg(F.count_if(good).alias("n_kept"), F.count_if(~good).alias("n_dropped"))
+
+
+def require_rates(df: DataFrame, c: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
+    """``valid_rates`` that runs at once: a warning with the number dropped, an error if nothing is left."""
+    good, counts = valid_rates(df, c, low, high)
+    row = counts.first()
+    if not row.n_kept:
+        raise ContractError(f"no row has a {c} from {low:g} to {high:g}")
+    if row.n_dropped:
+        warnings.warn(f"{row.n_dropped} rows without a {c} from {low:g} to {high:g} are dropped", UserWarning, stacklevel=2)
+    return good

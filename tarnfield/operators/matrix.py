@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.functions import quantile
+from tarnfield.operators.order import exact_quantiles
 
 
 def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -20,7 +21,8 @@ def standard_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def robust_scale(df: DataFrame, cols: Sequence[str], approximate: int | None = None) -> DataFrame:
     """(x - median) / interquartile range; a column without range is only centred."""
-    row = df.agg(*[quantile(c, [0.25, 0.5, 0.75], approximate).alias(c) for c in cols]).first()
+    at = [0.25, 0.5, 0.75]
+    row = exact_quantiles(df, cols, at) if approximate is None else df.agg(*[quantile(c, at, approximate).alias(c) for c in cols]).first()
     return df.withColumns({c: (F.col(c).cast("double") - F.lit(row[c][1])) / F.lit((row[c][2] - row[c][0]) or 1.0) for c in cols})
 
 
@@ -53,5 +55,5 @@ def distance_outliers(df: DataFrame, key: str, cols: Sequence[str], share: float
     scaled = robust_scale(df, cols)
     centre = scaled.agg(*[F.avg(c).alias(c) for c in cols]).first()
     far = scaled.select(key, F.sqrt(sum((F.pow(F.col(c) - F.lit(centre[c]), 2) for c in cols[1:]), F.pow(F.col(cols[0]) - F.lit(centre[cols[0]]), 2))).alias("distance"))
-    limit = far.agg(quantile("distance", share)).first()[0]
-    return far.where(F.col("distance") > limit)
+    (limit,) = exact_quantiles(far, ["distance"], [share])["distance"] or [None]
+    return far.where(F.col("distance") > F.lit(limit))

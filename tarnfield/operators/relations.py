@@ -9,6 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Rows of a table that may go out by broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, with a broadcast hint if it has no more than SMALL rows; this reads so many rows at most."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
 def coverage_gap(left: DataFrame, right: DataFrame, key: str, samples: int = 5) -> DataFrame:
     """One row: n_missing, different left keys that the right table lacks, and the first few of them."""
     gap = left.select(key).where(F.col(key).isNotNull()).distinct().join(right.select(key).distinct(), key, "left_anti")
@@ -45,11 +54,11 @@ def resolve_symbols(symbols: DataFrame, names: DataFrame, c: str, name: str, key
 
 
 def pairwise_segments(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Every row of small tables of ranges alone and with every row of each other table; missing columns are null."""
+    """Every row of tables of ranges alone and with every row of each other table (the product is the result); missing columns are null."""
     names = list(tables)
     parts = [tables[n] for n in names]
     for i, a in enumerate(names):
-        parts += [tables[a].crossJoin(F.broadcast(tables[b])) for b in names[i + 1 :]]
+        parts += [tables[a].crossJoin(small(tables[b])) for b in names[i + 1 :]]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)

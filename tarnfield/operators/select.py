@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tarnfield.functions import quantile
-from tarnfield.operators.clean import median_impute
+from tarnfield.operators.clean import keep_first, median_impute
+from tarnfield.operators.order import exact_quantiles
 from tarnfield.sources.tables import ContractError, require_columns
 
 
@@ -51,11 +52,29 @@ def join_keep_left(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return left.join(right.drop(*[c for c in right.columns if c in left.columns and c not in on]), list(on), how)
 
 
+def join_suffixed(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str, how: str = "left") -> DataFrame:
+    """Join; where both have a column, the right one gets ``suffix``."""
+    return left.join(right.withColumnsRenamed({c: f"{c}{suffix}" for c in right.columns if c in left.columns and c not in on}), list(on), how)
+
+
+def require_absent(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` itself; an error if it has one of ``columns``."""
+    if found := [c for c in columns if c in df.columns]:
+        raise ContractError(f"columns that must not be there: {', '.join(found)}")
+    return df
+
+
 def column_difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(column_name, side) for the columns that only one of two tables has."""
-    spark = left.sparkSession
-    only = [(c, "left") for c in left.columns if c not in right.columns] + [(c, "right") for c in right.columns if c not in left.columns]
-    return spark.createDataFrame(only, "column_name string, side string")
+    """(column_name, side, n_values) for the columns that only one of two tables has, with their values that are not null."""
+
+    def only(df: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        cols = [c for c in df.columns if c not in other.columns]
+        if not cols:
+            return df.sparkSession.createDataFrame([], "column_name string, side string, n_values bigint")
+        counts = df.agg(*[F.count(F.col(c)).alias(c) for c in cols])
+        return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(side).alias("side"), F.col(c).alias("n_values")) for c in cols])))
+
+    return only(left, right, "left").unionByName(only(right, left, "right"))
 
 
 def high_cardinality(df: DataFrame, cols: Sequence[str], share: float = 0.9) -> list[str]:
@@ -70,7 +89,8 @@ def clustering_matrix(df: DataFrame, key: str, cols: Sequence[str], names: Seque
     numeric = [c for c in available if c in numeric_columns(df)]
     if not numeric:
         raise ContractError("no numeric column to cluster by")
-    base = keyed = df.select(key, *numeric).dropDuplicates([key])
+    # of rows with one key that with the smallest values stays
+    base = keyed = keep_first(df.select(key, *numeric), [key], numeric)
     matrix, found = median_impute(keyed, numeric, approximate)
     n = base.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in numeric]).select(
         "n_rows", F.lit(len(cols)).alias("n_requested"), F.lit(len(available)).alias("n_available"), F.lit(len(cols) - len(available)).alias("n_missing"),
@@ -82,4 +102,4 @@ def clustering_matrix(df: DataFrame, key: str, cols: Sequence[str], names: Seque
 
 def cutoffs(df: DataFrame, c: str, at: Sequence[float] = (1 / 3, 2 / 3), approximate: int | None = None) -> list[float]:
     """Quantiles of a target, as class thresholds."""
-    return list(df.agg(quantile(c, list(at), approximate)).first()[0])
+    return exact_quantiles(df, [c], at)[c] if approximate is None else list(df.agg(quantile(c, list(at), approximate)).first()[0])

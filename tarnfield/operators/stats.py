@@ -1,8 +1,8 @@
 """Profiles and statistics of a dataset, as tables with a row per feature, value, class or pair.
 
 Everything about one dataset's columns comes from one aggregate where it can. Ranks and value counts work on the
-long form (feature, value), so that their exchange is keyed by both. Exact quantiles are the default; ``approximate``
-gives an accuracy for columns too large for them.
+long form (feature, value), so that their exchange is keyed by both. Quantiles are exact, and those of whole columns
+need no task that holds all values (``order``); ``approximate`` gives an accuracy instead.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tarnfield.functions import adjusted_kurtosis, adjusted_skewness, concept, number, quantile, safe_ratio
 from tarnfield.operators.clean import medians
 from tarnfield.operators.features import average_rank
+from tarnfield.operators.order import cuts, exact_quantiles, running_total
 
 Metric = Callable[[Column], Column]
 
@@ -33,6 +35,12 @@ def long_form(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> D
     return df.select(*keep, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])))
 
 
+def with_quantiles(summary: DataFrame, df: DataFrame, cols: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """``summary`` (a row per feature) with q, the exact quantiles of the columns of ``df``."""
+    rows = list(exact_quantiles(df, cols, at).items())
+    return summary.join(F.broadcast(df.sparkSession.createDataFrame(rows, "feature string, q array<double>")), "feature")
+
+
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """``df`` with the columns of a table of exactly one row."""
     return df.crossJoin(F.broadcast(one_row))
@@ -43,12 +51,13 @@ def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 def numeric_summary(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), approximate: int | None = None) -> DataFrame:
     """n, min, max, mean, std (0 for one value), p25, p50, p75, p95, iqr, cv (null for mean 0); what is no number is left out."""
-    clean = df.select(*keys, *[number(c).alias(c) for c in cols])
+    clean, at = df.select(*keys, *[number(c).alias(c) for c in cols]), [0.25, 0.5, 0.75, 0.95]
     out = per_column(clean, cols, {
         "n": F.count, "min_value": F.min, "max_value": F.max, "mean_value": F.avg,
         "std_value": lambda x: F.when(F.count(x) > 1, F.stddev_samp(x)).when(F.count(x) == 1, F.lit(0.0)),
-        "q": lambda x: quantile(x, [0.25, 0.5, 0.75, 0.95], approximate),
-    }, keys)
+    } | ({"q": lambda x: quantile(x, at, approximate)} if keys or approximate else {}), keys)
+    if not keys and not approximate:
+        out = with_quantiles(out, clean, cols, at)
     q = {f"p{p}": F.get("q", F.lit(k)) for k, p in enumerate((25, 50, 75, 95))}
     return out.withColumns(q).drop("q").withColumns({"iqr": F.col("p75") - F.col("p25"), "cv": safe_ratio("std_value", "mean_value")})
 
@@ -56,8 +65,8 @@ def numeric_summary(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()
 def describe(df: DataFrame, cols: Sequence[str], tails: Sequence[float] = (0.01, 0.05, 0.95, 0.99)) -> DataFrame:
     """Count, mean, std, min, quartiles, tail percentiles, max."""
     at = [0.25, 0.5, 0.75, *tails]
-    out = per_column(df, cols, {"n": F.count, "mean_value": F.avg, "std_value": lambda x: F.stddev_samp(x.cast("double")), "min_value": lambda x: F.min(x.cast("double")), "max_value": lambda x: F.max(x.cast("double")), "q": lambda x: quantile(x, at)})
-    return out.withColumns({f"p{p * 100:g}".replace(".", "_"): F.get("q", F.lit(k)) for k, p in enumerate(at)}).drop("q")
+    out = per_column(df, cols, {"n": F.count, "mean_value": F.avg, "std_value": lambda x: F.stddev_samp(x.cast("double")), "min_value": lambda x: F.min(x.cast("double")), "max_value": lambda x: F.max(x.cast("double"))})
+    return with_quantiles(out, df, cols, at).withColumns({f"p{p * 100:g}".replace(".", "_"): F.get("q", F.lit(k)) for k, p in enumerate(at)}).drop("q")
 
 
 def categorical_distribution(df: DataFrame, c: str, rare: float = 0.01) -> DataFrame:
@@ -152,11 +161,15 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def mode_frequency(df: DataFrame, cols: Sequence[str], count_nulls: bool = True, constant: float = 0.95, low_variance: float = 1e-6) -> DataFrame:
-    """Share of the commonest value, nearly_constant, zero_variance, low_variance of each column."""
-    rows = long_form(df, cols)
+    """Share of the commonest value, nearly_constant, zero_variance, low_variance of each column, whatever its type.
+
+    The two on variance are null for columns that are not numeric.
+    """
+    rows = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])))
     rows = rows if count_nulls else rows.where(F.col("value").isNotNull())
     top = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")).groupBy("feature").agg(F.max("n").alias("mode_n"), F.sum("n").alias("n"))
-    spread = per_column(df, cols, {"variance": lambda x: F.var_samp(x.cast("double"))})
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    spread = per_column(df.select(*[F.col(c).cast("double") if c in numeric else F.lit(None).cast("double").alias(c) for c in cols]), cols, {"variance": F.var_samp})
     out = top.join(F.broadcast(spread), "feature").withColumn("mode_share", safe_ratio("mode_n", "n"))
     return out.select("feature", "mode_n", "mode_share", (F.col("mode_share") >= constant).alias("nearly_constant"), (F.col("variance") == 0).alias("zero_variance"), (F.col("variance") < low_variance).alias("low_variance"))
 
@@ -170,7 +183,7 @@ def cardinality(df: DataFrame, cols: Sequence[str], share: float = 0.9, rsd: flo
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], factor: float = 1.5, approximate: int | None = None) -> DataFrame:
     """Bounds quartile -/+ factor * iqr, values outside and their share; the bounds of the first aggregate are literals of the second."""
-    q = df.agg(*[quantile(c, [0.25, 0.75], approximate).alias(c) for c in cols]).first()
+    q = exact_quantiles(df, cols, [0.25, 0.75]) if approximate is None else df.agg(*[quantile(c, [0.25, 0.75], approximate).alias(c) for c in cols]).first()
     bounds = {c: (q[c][0] - factor * (q[c][1] - q[c][0]), q[c][1] + factor * (q[c][1] - q[c][0])) if q[c] else (None, None) for c in cols}
     aggs = []
     for k, c in enumerate(cols):
@@ -202,18 +215,19 @@ def ranked(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> Data
     """(keep, feature, value, avg_rank): ranks over the whole column from counts of its different values."""
     rows = long_form(df, cols, keep).where(F.col("value").isNotNull())
     counts = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
-    upto = F.sum("_n").over(W.partitionBy("feature").orderBy("value"))
-    ranks = counts.select("feature", "value", (upto - (F.col("_n") - 1) / F.lit(2.0)).alias("avg_rank"), F.col("_n").alias("ties"))
+    ranks = running_total(counts, cuts(df, cols), "_n").select("feature", "value", (F.col("upto") - (F.col("_n") - 1) / F.lit(2.0)).alias("avg_rank"), F.col("_n").alias("ties"))
     return rows.join(ranks, ["feature", "value"])
 
 
 def target_correlation(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """Pearson and Spearman of each feature with the target, over rows that have both."""
     rows = long_form(df, cols, [F.col(target).cast("double").alias("_y")]).where(F.col("value").isNotNull() & F.col("_y").isNotNull())
-    for x, out in (("value", "_rx"), ("_y", "_ry")):
+    edges = cuts(df, [target, *cols])
+    of_target = edges.where(F.col("feature") == target).select("cuts")
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
+    for x, out, at in (("value", "_rx", edges), ("_y", "_ry", every.crossJoin(F.broadcast(of_target)))):  # a row per column
         counts = rows.groupBy("feature", x).agg(F.count(F.lit(1)).alias("_n"))
-        upto = F.sum("_n").over(W.partitionBy("feature").orderBy(x))
-        rows = rows.join(counts.select("feature", x, (upto - (F.col("_n") - 1) / F.lit(2.0)).alias(out)), ["feature", x])
+        rows = rows.join(running_total(counts, at, "_n", x).select("feature", x, (F.col("upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(out)), ["feature", x])
     return rows.groupBy("feature").agg(safe_corr("value", "_y").alias("pearson"), safe_corr("_rx", "_ry").alias("spearman"))
 
 
@@ -243,8 +257,7 @@ def kruskal_h(df: DataFrame, cls: str, cols: Sequence[str], larger_than: int = 5
     large = rows.groupBy("feature", "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > larger_than).select("feature", "_c")
     rows = rows.join(large, ["feature", "_c"], "left_semi")
     counts = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t"))
-    upto = F.sum("t").over(W.partitionBy("feature").orderBy("value"))
-    ranks = counts.select("feature", "value", (upto - (F.col("t") - 1) / F.lit(2.0)).alias("r"))
+    ranks = running_total(counts, cuts(df, cols), "t").select("feature", "value", (F.col("upto") - (F.col("t") - 1) / F.lit(2.0)).alias("r"))
     ties = counts.groupBy("feature").agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"), F.sum("t").alias("n"))
     sums = rows.join(ranks, ["feature", "value"]).groupBy("feature", "_c").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
     h = sums.groupBy("feature").agg(F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q"), (F.count(F.lit(1)) - 1).alias("df")).join(ties, "feature")
@@ -282,7 +295,7 @@ def binned_mutual_information(df: DataFrame, cols: Sequence[str], target: str, b
     """Mutual information (nats) of each feature, cut at its ``bins`` quantiles, with a class or a cut target."""
     at = [k / bins for k in range(1, bins)]
     used = [*cols, *([target] if bin_target else [])]
-    q = df.agg(*[quantile(c, at).alias(c) for c in used]).first()
+    q = exact_quantiles(df, used, at)
 
     def cut(c: str) -> Column:
         points = F.array(*[F.lit(float(x)) for x in q[c] or []]).cast("array<double>")
@@ -306,6 +319,12 @@ def group_spearman(df: DataFrame, group: str, target: str, variables: Sequence[s
     return ranks.groupBy(group, "feature").agg(safe_corr("_rx", "_ry").alias("rho")).where(F.col("rho").isNotNull())
 
 
+#: Limits of the proxy classes.
+TOO_DIRECT_MEDIAN, TOO_DIRECT_SHARE = 0.95, 0.8
+PROXY_MEDIAN, PROXY_SHARE = 0.8, 0.5
+NEAR_ONE = 0.9
+
+
 def proxy_audit(df: DataFrame, group: str, target: str, variables: Sequence[str], banned: Sequence[str] = ()) -> DataFrame:
     """How closely variables stand in for the target inside groups: median rho, 90th percentile of abs(rho), share above 0.9, class.
 
@@ -313,15 +332,15 @@ def proxy_audit(df: DataFrame, group: str, target: str, variables: Sequence[str]
     INSUFFICIENT_DATA without a usable group; EXCLUDE for banned names. Classes come from unrounded values.
     """
     rho = group_spearman(df, group, target, variables)
-    sums = rho.groupBy("feature").agg(quantile("rho", 0.5).alias("median_rho"), quantile(F.abs("rho"), 0.9).alias("p90_abs_rho"), F.avg(F.when(F.abs("rho") > 0.9, 1.0).otherwise(0.0)).alias("share_above"), F.count(F.lit(1)).alias("n_groups"))
+    sums = rho.groupBy("feature").agg(quantile("rho", 0.5).alias("median_rho"), quantile(F.abs("rho"), 0.9).alias("p90_abs_rho"), F.avg(F.when(F.abs("rho") > NEAR_ONE, 1.0).otherwise(0.0)).alias("share_above"), F.count(F.lit(1)).alias("n_groups"))
     every = df.sparkSession.createDataFrame([(v,) for v in variables], "feature string")
     out = every.join(F.broadcast(sums), "feature", "left")
     middle = F.abs("median_rho")
     kind = (
         F.when(F.col("feature").isin(list(banned)), "EXCLUDE")
         .when(F.col("median_rho").isNull(), "INSUFFICIENT_DATA")
-        .when((middle >= 0.95) & (F.col("share_above") >= 0.8), "TOO_DIRECT")
-        .when((middle >= 0.8) | (F.col("share_above") >= 0.5), "POTENTIAL PROXY")
+        .when((middle >= TOO_DIRECT_MEDIAN) & (F.col("share_above") >= TOO_DIRECT_SHARE), "TOO_DIRECT")
+        .when((middle >= PROXY_MEDIAN) | (F.col("share_above") >= PROXY_SHARE), "POTENTIAL PROXY")
         .otherwise("SAFE")
     )
     return out.select("feature", F.coalesce("n_groups", F.lit(0)).alias("n_groups"), *[F.bround(c, 4).alias(c) for c in ("median_rho", "p90_abs_rho", "share_above")], kind.alias("classification"))
@@ -330,11 +349,23 @@ def proxy_audit(df: DataFrame, group: str, target: str, variables: Sequence[str]
 # audit --------------------------------------------------------------------------------------------------------------
 
 
-def warnings(distributions: Mapping[str, DataFrame], missing_table: DataFrame, sizes: DataFrame | None = None, dominance: float = 0.4, missing_limit: float = 10.0, top1: float = 0.5) -> DataFrame:
-    """(rule, field, value): dominant values, missing fields and one group that is too large."""
+#: Shares above which the audit warns.
+DOMINANCE_LIMIT = 0.4
+LOCATION_LIMIT = 0.3
+WITHOUT_GROUP_LIMIT = 30.0
+MISSING_LIMIT = 10.0
+TOP1_LIMIT = 0.5
+
+
+def warnings(distributions: Mapping[str, DataFrame], missing_table: DataFrame, sizes: DataFrame | None = None, totals: DataFrame | None = None, locations: Sequence[str] = ("location",), dominance: float = DOMINANCE_LIMIT, location: float = LOCATION_LIMIT, without_group: float = WITHOUT_GROUP_LIMIT, missing_limit: float = MISSING_LIMIT, top1: float = TOP1_LIMIT) -> DataFrame:
+    """(rule, field, value in percent): dominant values, dominant locations, missing fields, rows without a group, one group that is too large."""
     rows = missing_table.where(F.col("missing_pct") > missing_limit).select(F.lit("missing").alias("rule"), F.col("feature").alias("field"), F.col("missing_pct").alias("value"))
     for name, d in distributions.items():
-        rows = rows.unionByName(d.where(F.col("is_dominant") & (F.col("share") > dominance)).select(F.lit("dominance").alias("rule"), F.lit(name).alias("field"), (100 * F.col("share")).alias("value")))
+        rule, limit = ("location", location) if name in locations else ("dominance", dominance)
+        rows = rows.unionByName(d.where(F.col("is_dominant") & (F.col("share") > limit)).select(F.lit(rule).alias("rule"), F.lit(name).alias("field"), (100 * F.col("share")).alias("value")))
+    if totals is not None:
+        share = 100 * safe_ratio("n_without", "n_rows")
+        rows = rows.unionByName(totals.where(share > without_group).select(F.lit("without_group").alias("rule"), F.lit("groups").alias("field"), share.alias("value")))
     if sizes is not None:
         rows = rows.unionByName(sizes.where(F.col("top1_share") > top1).select(F.lit("top1").alias("rule"), F.lit("groups").alias("field"), (100 * F.col("top1_share")).alias("value")))
     return rows
@@ -342,6 +373,7 @@ def warnings(distributions: Mapping[str, DataFrame], missing_table: DataFrame, s
 
 def coverage_grade(metrics: DataFrame) -> DataFrame:
     """``metrics`` (one row: n_rows, mean_missing_pct, dominance, top1, without_group, the last three in percent) with a grade."""
+    # fixed values: the limits of the grades
     m = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("n_rows", "mean_missing_pct", "dominance", "top1", "without_group")}
     grade = (
         F.when(m["n_rows"] < 1000, "Limited")
@@ -354,8 +386,14 @@ def coverage_grade(metrics: DataFrame) -> DataFrame:
 
 
 def manifest(df: DataFrame, target: str | None = None) -> DataFrame:
-    """One row: row_count, feature_count, target, content_hash (does not depend on the order of rows)."""
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(len(df.columns) - bool(target)).alias("feature_count"), F.lit(target).cast("string").alias("target"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("content_hash"))
+    """One row: row_count, feature_count, target, content_hash.
+
+    The hash is the sum over all rows of 60 bits of the md5 of a row's values as text (null: ``\\N``), parted by a unit separator:
+    it does not depend on the order of rows, and repeated rows count as often as they occur.
+    """
+    text = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in df.columns])
+    bits = F.conv(F.substring(F.md5(F.encode(text, "UTF-8")), 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(len(df.columns) - bool(target)).alias("feature_count"), F.lit(target).cast("string").alias("target"), F.coalesce(F.sum(bits), F.lit(0)).cast("string").alias("content_hash"))
 
 
 def top_rows(df: DataFrame, c: str, n: int = 10, tie: Sequence[str] = ()) -> DataFrame:

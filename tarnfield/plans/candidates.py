@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.functions import map_fingerprint, rename_keys
-from tarnfield.operators.relations import cooldown_candidates, resolve_symbols
+from tarnfield.operators.relations import cooldown_candidates, resolve_symbols, small
 
 EVERYWHERE = "global"
 COOLDOWN_MINUTES = 43_200
@@ -28,6 +28,6 @@ def candidate_table(symbols: DataFrame, symbol: str, names: DataFrame, name: str
     regions = resolve_symbols(symbols, names, symbol, name, key).select(_location("resolved").alias("location")).distinct()
     filters = F.map_filter(F.create_map(*[x for c in segments.columns for x in (F.lit(c), F.col(c).cast("bigint"))]), lambda k, v: v.isNotNull())
     options = segments.select(filters.alias("filters")).withColumn("fingerprint", map_fingerprint("filters"))
-    pool = regions.crossJoin(F.broadcast(options))
+    pool = regions.crossJoin(small(options))
     log = history.select(_location("location_id").alias("location"), map_fingerprint(rename_keys("filters", renames)).alias("fingerprint"), "used_at")
     return cooldown_candidates(pool, log, ["location", "fingerprint"], "used_at", now, minutes, ["location"], per_region, "fingerprint").select("location", "filters", "fingerprint")

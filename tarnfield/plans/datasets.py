@@ -60,16 +60,22 @@ def player_features(t: Tables, null_level: str = "zero") -> DataFrame:
     return features.entity_features(base, "player_tag", parts, derived)
 
 
+def _first_by_all(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key: of several, the first by all other columns, so that it is always the same."""
+    return clean.keep_first(df, keys, [c for c in df.columns if c not in keys] or keys)
+
+
 def role_dataset(t: Tables, players: DataFrame) -> DataFrame:
     """A row per (clan, player): relative features, clan context, player features, target ``role``. Members without a profile stay."""
-    members = clean.keep_first(t["clan_members"], ["clan_tag", "player_tag"], ["player_tag"])
     ids = ["clan_tag", "player_tag"]
-    joined = members.select(*ids, "role", "trophies", "exp_level", "town_hall_level", "capital_contributions", "donations", "donations_received").join(players.select("player_tag", "war_stars", "attack_wins", "defense_wins"), "player_tag", "left")
+    members = _first_by_all(t["clan_members"], ids)
+    joined = members.select(*ids, "trophies", "exp_level", "town_hall_level", "capital_contributions", "donations", "donations_received").join(players.select("player_tag", "war_stars", "attack_wins", "defense_wins"), "player_tag", "left")
     joined = clean.clean_infinite(joined, ["war_stars", "attack_wins", "defense_wins"])
     relative = features.group_relative(joined, "clan_tag", S.ROLE_RELATIVE, S.ROLE_PERCENTILES, name="clan").drop(*S.ROLE_RELATIVE)
     context = select.whitelist(t["clans"], ["clan_tag", *S.CLAN_CONTEXT])
-    out = select.join_keep_left(select.join_keep_left(relative, context, ["clan_tag"]), players, ["player_tag"])
-    return out.select(*ids, *[c for c in out.columns if c not in (*ids, "role")], "role")
+    out = select.join_suffixed(select.join_keep_left(relative, context, ["clan_tag"]), players, ["player_tag"], "_player")
+    roles = t["clan_members"].select(*ids, "role").distinct()
+    return out.select(*ids, *[c for c in out.columns if c not in ids]).join(roles, ids, "left")
 
 
 def rank_datasets(t: Tables, players: DataFrame) -> dict[str, DataFrame]:
@@ -83,6 +89,7 @@ def rank_datasets(t: Tables, players: DataFrame) -> dict[str, DataFrame]:
     out = {"audit": audit}
     for name, banned in (("with_trophies", [b for b in (*S.RANK_BANNED, *direct) if b != "trophies"]), ("without_trophies", [*S.RANK_BANNED, *direct, *S.TROPHY_BANNED])):
         kept = select.ban(full.drop(*ids), banned).columns
+        select.require_absent(full.select(*kept), ["clan_rank", "previous_clan_rank", "role"])
         out[name] = full.select(*ids, *kept, "clan_rank")
     return out
 
@@ -91,7 +98,7 @@ def war_dataset(t: Tables, players: DataFrame, minimum: int = 5) -> DataFrame:
     """A row per clan with a history of ``minimum`` wars: context, composition of its members, target ``war_success_rate``."""
     tables_io.require_unique(players, ["player_tag"])
     valid = features.rate_target(t["clans"], "war_wins", ["war_wins", "war_losses", "war_ties"], minimum, "war_success_rate")
-    valid = clean.keep_first(valid, ["clan_tag"], ["clan_tag"])
+    valid = _first_by_all(valid, ["clan_tag"])
     bridge = t["clan_members"].select("clan_tag", "player_tag").distinct().join(valid.select("clan_tag"), "clan_tag", "left_semi")
     profiles = bridge.join(players, "player_tag", "left")
     shares = {"th18_percentage": F.col("town_hall_level") >= 18, "th17_plus_percentage": F.col("town_hall_level") >= 17}
@@ -108,7 +115,8 @@ def war_dataset(t: Tables, players: DataFrame, minimum: int = 5) -> DataFrame:
 def class_dataset(war: DataFrame, low: float | None = None, high: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(dataset with ``performance_class``, numbers kept and dropped). Thresholds default to the target's terciles."""
     tables_io.require_unique(war, ["clan_tag"])
-    valid, counts = features.valid_rates(war, "war_success_rate")
+    _, counts = features.valid_rates(war, "war_success_rate")
+    valid = features.require_rates(war, "war_success_rate")
     if low is None or high is None:
         low, high = select.cutoffs(valid, "war_success_rate")
     if not 0 <= low < high <= 1:
@@ -120,3 +128,20 @@ def class_dataset(war: DataFrame, low: float | None = None, high: float | None =
 def clustering_dataset(players: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(player_tag and whitelisted numeric columns, median-imputed; the selection report)."""
     return select.clustering_matrix(select.key_column(players, "player_tag"), "player_tag", S.CLUSTER_FEATURES, *S.CLUSTER_EXCLUDED)
+
+
+def build_datasets(t: Tables, folder: str, low: float | None = None, high: float | None = None) -> dict[str, DataFrame]:
+    """Make the player features and the five datasets from stored tables and write each as Parquet; what was written. ``low`` and ``high`` as in ``class_dataset``."""
+    players = player_features(t)
+    tables_io.write_tables({"player_features": players}, folder)
+    spark = players.sparkSession
+    players = spark.read.parquet(f"{folder}/player_features.parquet")
+    ranks, war = rank_datasets(t, players), war_dataset(t, players)
+    tables_io.write_tables({"war_performance": war}, folder)
+    war = spark.read.parquet(f"{folder}/war_performance.parquet")
+    made = {
+        "role_classification": role_dataset(t, players), "clan_rank_with_trophies": ranks["with_trophies"], "clan_rank_without_trophies": ranks["without_trophies"],
+        "proxy_audit": ranks["audit"], "performance_classification": class_dataset(war, low, high)[0], "player_clustering": clustering_dataset(players)[0],
+    }
+    tables_io.write_tables(made, folder)
+    return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in ("player_features", "war_performance", *made)}

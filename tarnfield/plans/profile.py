@@ -36,7 +36,7 @@ def profile(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], t
         "groups": stats.group_profile(zeros, rules or {}),
         "missing": stats.missing(df, [*numeric, *categorical]),
         "cardinality": stats.cardinality(df, [*numeric, *categorical]),
-        "mode": stats.mode_frequency(df, numeric),
+        "mode": stats.mode_frequency(df, [*numeric, *categorical]),
         "outliers": stats.iqr_outliers(df, numeric),
         "target_correlation": stats.target_correlation(df, target, others),
         "correlation_pairs": stats.correlation_pairs(df, others, "spearman", 0.85),
@@ -59,4 +59,4 @@ def raw_audit(entities: DataFrame, numeric: Sequence[str], categorical: Sequence
         totals.select("n_rows", (100 * F.col("n_without") / F.nullif("n_rows", F.lit(0))).alias("without_group")),
         gaps.agg(F.avg("missing_pct").alias("mean_missing_pct"))), dominance.agg(F.max("x").alias("dominance"))),
         sizes.select((100 * F.col("top1_share")).alias("top1")))
-    return {"numeric": stats.numeric_summary(entities, numeric), "missing": gaps, "sizes": sizes, "totals": totals, "warnings": stats.warnings(distributions, gaps, sizes), "grade": stats.coverage_grade(metrics)} | {f"distribution_{c}": d for c, d in distributions.items()}
+    return {"numeric": stats.numeric_summary(entities, numeric), "missing": gaps, "sizes": sizes, "totals": totals, "warnings": stats.warnings(distributions, gaps, sizes, totals), "grade": stats.coverage_grade(metrics)} | {f"distribution_{c}": d for c, d in distributions.items()}

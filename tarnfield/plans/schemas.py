@@ -1,73 +1,310 @@
-"""Stored tables and the paths of their columns in the raw documents."""
+"""Stored tables and the paths of their columns in the raw documents, and the columns of the datasets.
+
+Everything down to ``schema_of`` is a fixed value: names, paths and limits that results must have.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_KINDS = {"s": ("string", T.StringType()), "n": ("bigint", T.LongType()), "b": ("boolean", T.BooleanType())}
+# fixed values: column -> (path in the document, type)
+CLANS = {
+    "clan_tag": ("$.tag", "string"),
+    "name": ("$.name", "string"),
+    "description": ("$.description", "string"),
+    "clan_level": ("$.clanLevel", "bigint"),
+    "clan_points": ("$.clanPoints", "bigint"),
+    "clan_builder_base_points": ("$.clanBuilderBasePoints", "bigint"),
+    "clan_capital_points": ("$.clanCapitalPoints", "bigint"),
+    "members": ("$.members", "bigint"),
+    "required_trophies": ("$.requiredTrophies", "bigint"),
+    "war_frequency": ("$.warFrequency", "string"),
+    "war_win_streak": ("$.warWinStreak", "bigint"),
+    "war_wins": ("$.warWins", "bigint"),
+    "war_ties": ("$.warTies", "bigint"),
+    "war_losses": ("$.warLosses", "bigint"),
+    "war_log_public": ("$.warLogPublic", "boolean"),
+    "location_id": ("$.location.id", "bigint"),
+    "location_name": ("$.location.name", "string"),
+    "type": ("$.type", "string"),
+    "is_family_friendly": ("$.isFamilyFriendly", "boolean"),
+}
 
+#: Nested objects that are kept as canonical text; they stand before the location.
+CLAN_TEXTS = {
+    "war_league": "$.warLeague",
+    "capital_league": "$.capitalLeague",
+}
 
-def _camel(name: str) -> str:
-    head, *rest = name.split("_")
-    return head + "".join(p.capitalize() for p in rest)
+MEMBERS = {
+    "player_tag": ("$.tag", "string"),
+    "name": ("$.name", "string"),
+    "role": ("$.role", "string"),
+    "town_hall_level": ("$.townHallLevel", "bigint"),
+    "exp_level": ("$.expLevel", "bigint"),
+    "league_id": ("$.league.id", "bigint"),
+    "league_name": ("$.league.name", "string"),
+    "league_tier_id": ("$.leagueTier.id", "bigint"),
+    "league_tier_name": ("$.leagueTier.name", "string"),
+    "trophies": ("$.trophies", "bigint"),
+    "builder_base_trophies": ("$.builderBaseTrophies", "bigint"),
+    "clan_rank": ("$.clanRank", "bigint"),
+    "previous_clan_rank": ("$.previousClanRank", "bigint"),
+    "donations": ("$.donations", "bigint"),
+    "donations_received": ("$.donationsReceived", "bigint"),
+    "capital_contributions": ("$.clanCapitalContributions", "bigint"),
+}
 
+PLAYERS = {
+    "player_tag": ("$.tag", "string"),
+    "name": ("$.name", "string"),
+    "town_hall_level": ("$.townHallLevel", "bigint"),
+    "exp_level": ("$.expLevel", "bigint"),
+    "trophies": ("$.trophies", "bigint"),
+    "best_trophies": ("$.bestTrophies", "bigint"),
+    "war_stars": ("$.warStars", "bigint"),
+    "attack_wins": ("$.attackWins", "bigint"),
+    "defense_wins": ("$.defenseWins", "bigint"),
+    "builder_hall_level": ("$.builderHallLevel", "bigint"),
+    "builder_base_trophies": ("$.builderBaseTrophies", "bigint"),
+    "best_builder_base_trophies": ("$.bestBuilderBaseTrophies", "bigint"),
+    "donations": ("$.donations", "bigint"),
+    "donations_received": ("$.donationsReceived", "bigint"),
+    "clan_capital_contributions": ("$.clanCapitalContributions", "bigint"),
+    "clan_tag": ("$.clan.tag", "string"),
+    "clan_name": ("$.clan.name", "string"),
+    "clan_level": ("$.clan.clanLevel", "bigint"),
+}
 
-def _fields(spec: str, paths: dict[str, str] | None = None) -> dict[str, tuple[str, str]]:
-    """``name:kind`` words as {column: (path, type)}; a path is the name in camel case unless given."""
-    pairs = [w.split(":") for w in spec.split()]
-    return {n: ((paths or {}).get(n, f"$.{_camel(n)}"), _KINDS[k][0]) for n, k in pairs}
+#: table -> (path of its list, name of its name column)
+PROGRESSION = {
+    "player_troops": ("$.troops", "troop_name"),
+    "player_heroes": ("$.heroes", "hero_name"),
+    "player_hero_equipment": ("$.heroEquipment", "equipment_name"),
+    "player_spells": ("$.spells", "spell_name"),
+}
 
+ACHIEVEMENTS = {
+    "achievement_name": ("$.name", "string"),
+    "stars": ("$.stars", "bigint"),
+    "value": ("$.value", "bigint"),
+    "target": ("$.target", "bigint"),
+    "village": ("$.village", "string"),
+}
 
-CLANS = _fields(
-    "clan_tag:s name:s description:s clan_level:n clan_points:n clan_builder_base_points:n clan_capital_points:n members:n required_trophies:n war_frequency:s "
-    "war_win_streak:n war_wins:n war_ties:n war_losses:n war_log_public:b location_id:n location_name:s type:s is_family_friendly:b",
-    {"clan_tag": "$.tag", "location_id": "$.location.id", "location_name": "$.location.name"},
-)
-#: Nested objects that are kept as canonical text, and the place in the table after which they stand.
-CLAN_TEXTS = {"war_league": "$.warLeague", "capital_league": "$.capitalLeague"}
+#: table -> prefix of its aggregates
+PREFIXES = {
+    "player_troops": "troop",
+    "player_heroes": "hero",
+    "player_spells": "spell",
+    "player_hero_equipment": "equipment",
+}
 
-MEMBERS = _fields(
-    "player_tag:s name:s role:s town_hall_level:n exp_level:n league_id:n league_name:s league_tier_id:n league_tier_name:s trophies:n builder_base_trophies:n clan_rank:n "
-    "previous_clan_rank:n donations:n donations_received:n capital_contributions:n",
-    {"player_tag": "$.tag", "league_id": "$.league.id", "league_name": "$.league.name", "league_tier_id": "$.leagueTier.id", "league_tier_name": "$.leagueTier.name", "capital_contributions": "$.clanCapitalContributions"},
-)
+# fixed values: columns of the features and datasets
+PLAYER_BASE = [
+    "town_hall_level",
+    "exp_level",
+    "trophies",
+    "best_trophies",
+    "war_stars",
+    "attack_wins",
+    "defense_wins",
+    "builder_hall_level",
+    "builder_base_trophies",
+    "best_builder_base_trophies",
+    "donations",
+    "donations_received",
+    "clan_capital_contributions",
+]
 
-PLAYERS = _fields(
-    "player_tag:s name:s town_hall_level:n exp_level:n trophies:n best_trophies:n war_stars:n attack_wins:n defense_wins:n builder_hall_level:n builder_base_trophies:n "
-    "best_builder_base_trophies:n donations:n donations_received:n clan_capital_contributions:n clan_tag:s clan_name:s clan_level:n",
-    {"player_tag": "$.tag", "clan_tag": "$.clan.tag", "clan_name": "$.clan.name", "clan_level": "$.clan.clanLevel"},
-)
+ROLE_RELATIVE = [
+    "trophies",
+    "exp_level",
+    "town_hall_level",
+    "war_stars",
+    "capital_contributions",
+    "donations",
+    "donations_received",
+    "attack_wins",
+    "defense_wins",
+]
 
-#: table -> (path of its list, name of its name column)
-PROGRESSION = {"player_troops": ("$.troops", "troop_name"), "player_heroes": ("$.heroes", "hero_name"), "player_hero_equipment": ("$.heroEquipment", "equipment_name"), "player_spells": ("$.spells", "spell_name")}
-ACHIEVEMENTS = {"achievement_name": ("$.name", "string"), "stars": ("$.stars", "bigint"), "value": ("$.value", "bigint"), "target": ("$.target", "bigint"), "village": ("$.village", "string")}
+ROLE_PERCENTILES = [
+    "trophies",
+    "exp_level",
+    "war_stars",
+]
+
+CLAN_CONTEXT = [
+    "clan_level",
+    "clan_points",
+    "clan_capital_points",
+    "members",
+    "required_trophies",
+    "war_frequency",
+    "war_league",
+    "capital_league",
+    "type",
+    "is_family_friendly",
+]
 
-PREFIXES = {"player_troops": "troop", "player_heroes": "hero", "player_spells": "spell", "player_hero_equipment": "equipment"}
+RANK_RELATIVE = [
+    "trophies",
+    "exp_level",
+    "town_hall_level",
+    "donations",
+    "donations_received",
+    "capital_contributions",
+    "war_stars",
+    "attack_wins",
+    "defense_wins",
+]
 
-PLAYER_BASE = "town_hall_level exp_level trophies best_trophies war_stars attack_wins defense_wins builder_hall_level builder_base_trophies best_builder_base_trophies donations donations_received clan_capital_contributions".split()
+RANK_BANNED = [
+    "clan_rank",
+    "previous_clan_rank",
+    "role",
+]
 
-ROLE_RELATIVE = "trophies exp_level town_hall_level war_stars capital_contributions donations donations_received attack_wins defense_wins".split()
-ROLE_PERCENTILES = ["trophies", "exp_level", "war_stars"]
-CLAN_CONTEXT = "clan_level clan_points clan_capital_points members required_trophies war_frequency war_league capital_league type is_family_friendly".split()
+TROPHY_BANNED = [
+    "trophies",
+    "trophies_diff_from_clan_mean",
+    "trophies_ratio_to_clan_mean",
+    "trophies_clan_pct",
+    "best_trophies",
+    "progression_ratio_trophies",
+    "clan_mean_trophies",
+    "required_trophies",
+]
 
-RANK_RELATIVE = "trophies exp_level town_hall_level donations donations_received capital_contributions war_stars attack_wins defense_wins".split()
-RANK_BANNED = ["clan_rank", "previous_clan_rank", "role"]
-TROPHY_BANNED = ["trophies", "trophies_diff_from_clan_mean", "trophies_ratio_to_clan_mean", "trophies_clan_pct", "best_trophies", "progression_ratio_trophies", "clan_mean_trophies", "required_trophies"]
-PROXY_VARIABLES = "trophies town_hall_level exp_level war_stars attack_wins defense_wins donations donations_received capital_contributions builder_base_trophies".split()
+PROXY_VARIABLES = [
+    "trophies",
+    "town_hall_level",
+    "exp_level",
+    "war_stars",
+    "attack_wins",
+    "defense_wins",
+    "donations",
+    "donations_received",
+    "capital_contributions",
+    "builder_base_trophies",
+]
+
+WAR_CONTEXT = [
+    "clan_level",
+    "clan_points",
+    "clan_capital_points",
+    "members",
+    "required_trophies",
+    "war_frequency",
+    "war_league",
+    "capital_league",
+    "type",
+    "is_family_friendly",
+    "location_id",
+    "location_name",
+]
+
+WAR_STATS = [
+    "town_hall_level",
+    "exp_level",
+    "trophies",
+    "donations",
+    "donations_received",
+    "clan_capital_contributions",
+]
+
+WAR_MEANS = [
+    "troop_mean_level",
+    "troop_mean_completion_ratio",
+    "hero_mean_level",
+    "hero_mean_completion_ratio",
+    "spell_mean_level",
+    "spell_mean_completion_ratio",
+    "equipment_mean_level",
+    "equipment_mean_completion_ratio",
+    "achievement_completion_ratio",
+]
+
+WAR_SUMS = [
+    "donations",
+    "donations_received",
+    "clan_capital_contributions",
+]
+
+WAR_LEAKS = [
+    "war_wins",
+    "war_losses",
+    "war_ties",
+    "war_win_streak",
+    "war_points",
+    "war_total",
+    "war_success_rate",
+    "win_rate",
+    "loss_rate",
+    "tie_rate",
+]
+
+#: Lower edges and labels of the bins of war totals.
+WAR_BINS = (
+    [0, 1, 2, 3, 4, 5, 10, 20, 50, 100],
+    ["0", "1", "2", "3", "4", "5-9", "10-19", "20-49", "50-99", "100+"],
+)
 
-WAR_CONTEXT = "clan_level clan_points clan_capital_points members required_trophies war_frequency war_league capital_league type is_family_friendly location_id location_name".split()
-WAR_STATS = ["town_hall_level", "exp_level", "trophies", "donations", "donations_received", "clan_capital_contributions"]
-WAR_MEANS = [f"{p}_{m}" for p in ("troop", "hero", "spell", "equipment") for m in ("mean_level", "mean_completion_ratio")] + ["achievement_completion_ratio"]
-WAR_SUMS = ["donations", "donations_received", "clan_capital_contributions"]
-WAR_LEAKS = "war_wins war_losses war_ties war_win_streak war_points war_total war_success_rate win_rate loss_rate tie_rate".split()
-WAR_BINS = ([0, 1, 2, 3, 4, 5, 10, 20, 50, 100], ["0", "1", "2", "3", "4", "5-9", "10-19", "20-49", "50-99", "100+"])
+CLUSTER_FEATURES = [
+    "town_hall_level",
+    "builder_hall_level",
+    "exp_level",
+    "trophies",
+    "best_trophies",
+    "war_stars",
+    "attack_wins",
+    "defense_wins",
+    "donations",
+    "donations_received",
+    "clan_capital_contributions",
+    "troop_count",
+    "troop_mean_level",
+    "troop_mean_completion_ratio",
+    "hero_count",
+    "hero_mean_level",
+    "hero_mean_completion_ratio",
+    "spell_count",
+    "spell_mean_level",
+    "spell_mean_completion_ratio",
+    "equipment_count",
+    "equipment_mean_level",
+    "equipment_mean_completion_ratio",
+    "achievement_count",
+    "achievement_completion_ratio",
+    "donation_balance",
+    "donation_ratio",
+    "combat_activity_total",
+    "progression_ratio_trophies",
+    "builder_progression_ratio",
+]
 
-CLUSTER_FEATURES = (
-    "town_hall_level builder_hall_level exp_level trophies best_trophies war_stars attack_wins defense_wins donations donations_received clan_capital_contributions".split()
-    + [f"{p}_{m}" for p in ("troop", "hero", "spell", "equipment") for m in ("count", "mean_level", "mean_completion_ratio")]
-    + "achievement_count achievement_completion_ratio donation_balance donation_ratio combat_activity_total progression_ratio_trophies builder_progression_ratio".split()
+#: Names, and parts of names, of columns that are no features.
+CLUSTER_EXCLUDED = (
+    [
+        "player_tag",
+        "clan_tag",
+        "role",
+        "clan_rank",
+        "previous_clan_rank",
+        "war_success_rate",
+        "war_win_rate",
+        "performance_class",
+    ],
+    [
+        "target",
+        "label",
+        "prediction",
+        "cluster",
+        "clan_rank",
+        "role",
+    ],
 )
-CLUSTER_EXCLUDED = ("player_tag clan_tag role clan_rank previous_clan_rank war_success_rate war_win_rate performance_class".split(), "target label prediction cluster clan_rank role".split())
 
 
 def schema_of(fields: dict[str, tuple[str, str]], first: str = "", texts: tuple[str, ...] = ()) -> T.StructType:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tarnfield import functions as fn
 from tarnfield.operators import clean, features, matrix, relations, select, stats
 from tarnfield.plans import candidates, datasets, profile
+from tarnfield.plans import schemas as S
 from tarnfield.session import table
 from tarnfield.sources import documents as docs_io
 from tarnfield.sources import tables as tables_io
@@ -208,9 +209,12 @@ def banned_columns(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(select.whitelist(select.exclude(rows, ["l_partkey"], ["DATE", "flag", "status"]), ["l_orderkey", "l_linenumber", "l_quantity", "l_absent"]))
 
 
-@query("SELECT * FROM (VALUES ('o_custkey', 'right'), ('o_orderdate', 'right'), ('o_orderpriority', 'right'), ('o_orderstatus', 'right'), ('o_totalprice', 'right'), ('c_acctbal', 'left'), ('c_custkey', 'left'), ('c_mktsegment', 'left'), ('c_name', 'left'), ('c_nationkey', 'left'), ('o_orderkey', 'right')) t(column_name, side)")
+_ONLY = {"left": ("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]), "right": ("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"])}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, '{side}' AS side, count({c}) AS n_values FROM {t}" for side, (t, cols) in _ONLY.items() for c in cols))
 def column_difference(spark: SparkSession, sf: str) -> DataFrame:
-    """Columns that only one of two tables has."""
+    """Columns that only one of two tables has, with the number of their values."""
     return select.column_difference(table(spark, sf, "customer"), table(spark, sf, "orders"))
 
 
@@ -279,12 +283,14 @@ def _order_documents(spark: SparkSession, sf: str) -> DataFrame:
     return docs_io.parse_documents(texts)[0]
 
 
-@query("SELECT o_orderkey AS tag, o_custkey AS owner_id, o_orderstatus AS owner_name, '{\"id\": ' || o_custkey || ', \"name\": \"' || o_orderstatus || '\"}' AS owner_json FROM orders")
+@query("""SELECT o_orderkey AS tag, o_custkey AS owner_id, o_orderstatus AS owner_name, '{"id": ' || o_custkey || ', "name": "' || o_orderstatus || '"}' AS owner_json,
+'{"a, b": [' || o_custkey || ', {"x": "\\u00e9: ' || o_orderstatus || '", "y": null}], "z": true}' AS nested_json FROM orders""")
 def flatten_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Nested objects of parsed documents as columns, one of them as canonical text."""
     docs = _order_documents(spark, sf).withColumn("owner", docs_io.get("v", "$.owner", "variant"))
     flat = docs_io.flatten(docs, {"tag": ("$.tag", "bigint"), "owner_id": ("$.owner.id", "bigint"), "owner_name": ("$.owner.name", "string")}, ("owner",))
-    return flat.select("tag", "owner_id", "owner_name", fn.canonical_json("owner").alias("owner_json"))
+    nested = F.concat(F.lit('{"z":true,"a, b":['), F.col("owner_id").cast("string"), F.lit(',{"y":null,"x":"\u00e9: '), "owner_name", F.lit('"}]}'))
+    return flat.select("tag", "owner_id", "owner_name", fn.canonical_json("owner").alias("owner_json"), fn.canonical_json(F.parse_json(nested)).alias("nested_json"))
 
 
 @query("SELECT l_orderkey AS key_from_file, l_partkey AS item_name, round(l_quantity, 6) AS level, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL")
@@ -395,40 +401,29 @@ def binned(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH d AS (SELECT 'status' AS field, max(n) / CAST(sum(n) AS DOUBLE) AS share FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)
   UNION ALL SELECT 'priority', max(n) / CAST(sum(n) AS DOUBLE) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderpriority)),
+l AS (SELECT max(n) / CAST(sum(n) AS DOUBLE) AS share FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_linestatus)),
+w AS (SELECT 100.0 * count(*) FILTER (flag IS NULL) / count(*) AS pct FROM ({_SPARSE})),
 m AS (SELECT 'tax' AS field, 100.0 * count(*) FILTER (tax IS NULL) / count(*) AS pct FROM ({_SPARSE}) UNION ALL SELECT 'flag', 100.0 * count(*) FILTER (flag IS NULL) / count(*) FROM ({_SPARSE}))
 SELECT 'dominance' AS rule, field, round(100 * share, 6) AS value FROM d WHERE share > 0.4 UNION ALL SELECT 'missing', field, round(pct, 6) FROM m WHERE pct > 10
+UNION ALL SELECT 'location', 'location', round(100 * share, 6) FROM l WHERE share > 0.3 UNION ALL SELECT 'without_group', 'groups', round(pct, 6) FROM w WHERE pct > 30
 """)
 def audit_warnings(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules on dominance, missing fields and the largest group."""
-    orders = table(spark, sf, "orders")
-    found = {"status": stats.categorical_distribution(orders, "o_orderstatus"), "priority": stats.categorical_distribution(orders, "o_orderpriority")}
-    return rounded(stats.warnings(found, stats.missing(_sparse(spark, sf), ["tax", "flag"]), stats.group_sizes(orders, "o_custkey")))
-
-
-@query(f"""
-WITH m AS (SELECT count(*) AS n_rows, (100.0 * count(*) FILTER (tax IS NULL) / count(*) + 100.0 * count(*) FILTER (flag IS NULL) / count(*)) / 2 AS miss FROM ({_SPARSE})),
-d AS (SELECT 100.0 * max(n) / sum(n) AS dominance FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_linestatus)), t AS (SELECT 100.0 * max(n) / sum(n) AS top1 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey))
-SELECT n_rows, round(miss, 6) AS mean_missing_pct, round(dominance, 6) AS dominance, round(top1, 6) AS top1, CASE WHEN n_rows < 1000 THEN 'Limited coverage'
-  WHEN n_rows >= 10000 AND miss < 5 AND dominance < 40 AND top1 < 40 THEN 'Excellent coverage' WHEN n_rows >= 5000 AND miss < 10 AND dominance < 50 AND top1 < 50 THEN 'Good coverage' WHEN miss < 15 THEN 'Moderate coverage' ELSE 'Limited coverage' END AS grade FROM m, d, t
-""")
-def coverage_grade(spark: SparkSession, sf: str) -> DataFrame:
-    """Grade of a dataset by its size, gaps, dominance and concentration."""
-    rows = _sparse(spark, sf)
-    lines = table(spark, sf, "lineitem")
-    gaps = stats.missing(rows, ["tax", "flag"]).agg(F.avg("missing_pct").alias("mean_missing_pct"))
-    top = stats.categorical_distribution(lines, "l_linestatus").agg((100 * F.max("share")).alias("dominance"))
-    one = stats.group_sizes(lines, "l_orderkey").select((100 * F.col("top1_share")).alias("top1"))
-    metrics = stats.with_row(stats.with_row(stats.with_row(rows.agg(F.count(F.lit(1)).alias("n_rows")), gaps), top), one)
-    return rounded(stats.coverage_grade(metrics.withColumn("without_group", F.lit(0.0))).drop("without_group"))
+    """Rules on dominance, locations, missing fields, rows without a group and the largest group."""
+    orders, rows = table(spark, sf, "orders"), _sparse(spark, sf)
+    found = {"status": stats.categorical_distribution(orders, "o_orderstatus"), "priority": stats.categorical_distribution(orders, "o_orderpriority"), "location": stats.categorical_distribution(table(spark, sf, "lineitem"), "l_linestatus")}
+    return rounded(stats.warnings(found, stats.missing(rows, ["tax", "flag"]), stats.group_sizes(orders, "o_custkey"), stats.association_totals(rows, "l_orderkey", "flag")))
 
 
 # shape, constancy, outliers -----------------------------------------------------------------------------------------
 
 
-@query(f"SELECT feature, round(skewness(x), 6) + 0.0 AS skew, round(kurtosis(x), 6) + 0.0 AS kurt, round(kurtosis_pop(x), 6) + 0.0 AS kurt_pop FROM ({_LONG}) GROUP BY feature")
+@query(f"""
+WITH m AS (SELECT feature, avg(x) AS m FROM ({_LONG}) GROUP BY feature), p AS (SELECT feature, avg((x - m) ^ 3) / pow(avg((x - m) ^ 2), 1.5) AS skew_pop FROM ({_LONG}) JOIN m USING (feature) GROUP BY feature)
+SELECT feature, round(skewness(x), 6) + 0.0 AS skew, round(kurtosis(x), 6) + 0.0 AS kurt, round(any_value(skew_pop), 6) + 0.0 AS skew_pop, round(kurtosis_pop(x), 6) + 0.0 AS kurt_pop FROM ({_LONG}) JOIN p USING (feature) GROUP BY feature
+""")
 def shape(spark: SparkSession, sf: str) -> DataFrame:
     """Skewness and kurtosis, bias-adjusted and of the population."""
-    return rounded(stats.shape(table(spark, sf, "lineitem"), _AUDIT_COLS).drop("skew_pop"))
+    return rounded(stats.shape(table(spark, sf, "lineitem"), _AUDIT_COLS))
 
 
 _PROFILE = f"""SELECT feature, 100.0 * count(*) FILTER (x = 0) / count(*) AS zero_pct, 100.0 * count(*) FILTER (x IS NULL) / count(*) AS missing_pct, skewness(x) AS skew FROM ({_LONG}) GROUP BY feature"""
@@ -455,10 +450,12 @@ def duplicates(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""
 WITH c AS (SELECT feature, x, count(*) AS n FROM ({_LONG}) GROUP BY feature, x), t AS (SELECT feature, max(n) AS mode_n, sum(n) AS n FROM c GROUP BY feature), v AS (SELECT feature, var_samp(x) AS v FROM ({_LONG}) GROUP BY feature)
 SELECT feature, mode_n, round(mode_n / CAST(n AS DOUBLE), 6) AS mode_share, mode_n / CAST(n AS DOUBLE) >= 0.95 AS nearly_constant, v = 0 AS zero_variance, v < 1e-6 AS low_variance FROM t JOIN v USING (feature)
+UNION ALL SELECT 'flag', max(n), round(max(n) / CAST(sum(n) AS DOUBLE), 6), max(n) / CAST(sum(n) AS DOUBLE) >= 0.95, NULL, NULL FROM (SELECT count(*) AS n FROM ({_SPARSE}) GROUP BY flag)
 """)
 def mode_frequency(spark: SparkSession, sf: str) -> DataFrame:
     """Columns that hardly vary."""
-    return rounded(stats.mode_frequency(table(spark, sf, "lineitem"), _AUDIT_COLS))
+    rows = table(spark, sf, "lineitem").withColumn("flag", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
+    return rounded(stats.mode_frequency(rows, [*_AUDIT_COLS, "flag"]))
 
 
 @query("SELECT 'o_orderkey' AS feature, count(DISTINCT o_orderkey) AS n_distinct, count(DISTINCT o_orderkey) > 0.9 * count(*) AS high_cardinality FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), count(DISTINCT o_custkey) > 0.9 * count(*) FROM orders UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus), count(DISTINCT o_orderstatus) > 0.9 * count(*) FROM orders")
@@ -511,6 +508,17 @@ def correlation_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.correlation_pairs(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], threshold=0.0001))
 
 
+@query("""
+WITH r AS (SELECT """ + ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / CAST(2 AS DOUBLE) AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount")) + """ FROM lineitem),
+p AS (SELECT 'l_quantity' AS feature_a, 'l_extendedprice' AS feature_b, corr(l_quantity, l_extendedprice) AS r FROM r UNION ALL SELECT 'l_quantity', 'l_discount', corr(l_quantity, l_discount) FROM r
+  UNION ALL SELECT 'l_extendedprice', 'l_discount', corr(l_extendedprice, l_discount) FROM r)
+SELECT feature_a, feature_b, round(r, 6) + 0.0 AS r FROM p WHERE abs(r) > 0.0001
+""")
+def rank_correlation_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of ranks."""
+    return rounded(stats.correlation_pairs(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], "spearman", 0.0001))
+
+
 @query("""
 WITH l AS (SELECT 'l_quantity' AS feature, l_returnflag AS c, l_quantity AS x FROM lineitem UNION ALL SELECT 'l_extendedprice', l_returnflag, l_extendedprice FROM lineitem),
 g AS (SELECT feature, c, count(x) AS n, avg(x) AS m, var_pop(x) AS v FROM l GROUP BY feature, c), w AS (SELECT feature, sum(n * m) / sum(n) AS gm, sum(n) AS n, count(*) AS k FROM g GROUP BY feature)
@@ -521,18 +529,29 @@ def anova_f(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(stats.anova_f(table(spark, sf, "lineitem"), "l_returnflag", ["l_quantity", "l_extendedprice"]), digits=4)
 
 
-@query("""
+_KRUSKAL = """
 WITH l AS (SELECT 'l_quantity' AS feature, l_returnflag AS c, l_quantity AS x FROM lineitem UNION ALL SELECT 'l_discount', l_returnflag, l_discount FROM lineitem),
 r AS (SELECT feature, c, x, rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / CAST(2 AS DOUBLE) AS r FROM l),
 s AS (SELECT feature, c, sum(r) AS s, count(*) AS k FROM r GROUP BY feature, c), q AS (SELECT feature, sum(s * s / k) AS q, sum(k) AS n, count(*) - 1 AS df FROM s GROUP BY feature),
 t AS (SELECT feature, sum(CAST(t AS DOUBLE) ^ 3 - t) AS ties FROM (SELECT feature, x, count(*) AS t FROM l GROUP BY feature, x) GROUP BY feature)
-SELECT feature, round((12 / (CAST(n AS DOUBLE) * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) ^ 3 - n)), 4) AS h, df FROM q JOIN t USING (feature)
-""")
+SELECT feature, (12 / (CAST(n AS DOUBLE) * (n + 1)) * q - 3 * (n + 1)) / (1 - ties / (CAST(n AS DOUBLE) ^ 3 - n)) AS h, df FROM q JOIN t USING (feature)
+"""
+
+
+@query(f"SELECT feature, round(h, 4) AS h, df FROM ({_KRUSKAL})")
 def kruskal_h(spark: SparkSession, sf: str) -> DataFrame:
     """Rank test of features over classes, corrected for ties."""
     return rounded(stats.kruskal_h(table(spark, sf, "lineitem"), "l_returnflag", ["l_quantity", "l_discount"]), digits=4)
 
 
+# three classes, so two degrees of freedom: the tail of chi-squared is exp(-h / 2)
+@query(f"SELECT feature, round(h, 4) AS h, df, round(exp(-h / 2), 6) AS p, round(2 * exp(-h / 2), 6) AS p_bonferroni FROM ({_KRUSKAL})")
+def kruskal_p(spark: SparkSession, sf: str) -> DataFrame:
+    """The rank test with its probabilities, corrected for the number of features."""
+    tested = stats.with_p_values(stats.kruskal_h(table(spark, sf, "lineitem"), "l_returnflag", ["l_quantity", "l_discount"]))
+    return rounded(rounded(tested, ["h"], 4), ["p", "p_bonferroni"])
+
+
 @query("""
 WITH q AS (SELECT quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM lineitem),
 r AS (SELECT len(list_filter(q, lambda p: p < l_extendedprice)) AS x, l_returnflag AS y FROM lineitem, q), n AS (SELECT x, y, count(*) AS n FROM r GROUP BY x, y),
@@ -597,11 +616,17 @@ def group_spearman(spark: SparkSession, sf: str) -> DataFrame:
 # tables, rankings, sets ---------------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) AS row_count, 8 AS feature_count, 'l_quantity' AS target FROM (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag FROM lineitem)")
+_MANIFEST = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "flag"]
+
+
+@query(f"""
+SELECT count(*) AS row_count, 5 AS feature_count, 'l_returnflag' AS target, CAST(sum(CAST('0x' || md5(concat_ws(chr(31), {", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(92) || 'N')" for c in _MANIFEST)}))[:15] AS BIGINT)) AS VARCHAR) AS content_hash
+FROM (SELECT *, CASE WHEN l_returnflag <> 'N' THEN l_returnflag END AS flag FROM lineitem)
+""")
 def manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts of a dataset; its content hash is compared in the tests."""
-    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag")
-    return stats.manifest(rows, "l_quantity").drop("content_hash")
+    """Counts and content hash of a dataset."""
+    rows = table(spark, sf, "lineitem").withColumn("flag", F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")))
+    return stats.manifest(rows.select(_MANIFEST), "l_returnflag")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
@@ -752,6 +777,29 @@ def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(matrix.pca_variance(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
+_PAIR = "SELECT abs(corr(l_quantity, l_extendedprice)) AS r, avg(l_quantity) AS ma, stddev_pop(l_quantity) AS sa, avg(l_extendedprice) AS mb, stddev_pop(l_extendedprice) AS sb, sign(corr(l_quantity, l_extendedprice)) AS s FROM lineitem"
+
+
+@query(f"SELECT CAST(1 AS INT) AS component, round((1 + r) / 2, 6) AS explained, round((1 + r) / 2, 6) AS cumulative FROM ({_PAIR}) UNION ALL SELECT 2, round((1 - r) / 2, 6), 1.0 FROM ({_PAIR})")
+def pca_pair_variance(spark: SparkSession, sf: str) -> DataFrame:
+    """Explained variance of two columns, which their correlation gives in closed form."""
+    return rounded(matrix.pca_variance(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"]))
+
+
+@query(f"SELECT CAST(CASE WHEN (1 + r) / 2 >= 0.9 THEN 1 ELSE 2 END AS INT) AS n_components FROM ({_PAIR})")
+def pca_pair_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components that carry nine tenths of the variance of two columns."""
+    return matrix.components_needed(matrix.pca_variance(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"]))
+
+
+@query(f"SELECT l_orderkey * 10 + l_linenumber AS line, round(abs((l_quantity - ma) / sa + s * (l_extendedprice - mb) / sb) / sqrt(2), 4) AS pc1, round(abs((l_quantity - ma) / sa - s * (l_extendedprice - mb) / sb) / sqrt(2), 4) AS pc2 FROM lineitem, ({_PAIR})")
+def pca_pair_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines on the two components of two columns; signs are arbitrary."""
+    lines = table(spark, sf, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    out = matrix.pca_project(lines, "line", ["l_quantity", "l_extendedprice"])
+    return rounded(out.select("line", F.abs("pc1").alias("pc1"), F.abs("pc2").alias("pc2")), digits=4)
+
+
 @query()
 def pca_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components that carry nine tenths of the variance."""
@@ -814,28 +862,103 @@ _PLAYER = """SELECT '#' || o_orderkey AS player_tag, '#' || o_custkey AS clan_ta
   CAST((o_orderkey * 7) % 131 AS DOUBLE) AS ws, CAST((o_orderkey * 7) % 701 AS DOUBLE) AS don, CAST((o_orderkey * 7) % 13 AS DOUBLE) AS rec, CAST((o_orderkey * 7) % 1009 AS DOUBLE) AS cap, o_orderpriority AS role FROM orders"""
 
 
-@query(f"""
-WITH p AS ({_PLAYER}), t AS (SELECT '#' || l_orderkey AS player_tag, count(*) AS n, coalesce(sum(CAST(trunc(l_quantity) AS BIGINT)), 0) / CAST(count(*) AS DOUBLE) AS lv, avg(CAST(trunc(l_quantity) AS DOUBLE) / nullif(round(l_tax * 100), 0)) AS r FROM lineitem WHERE l_linenumber % 4 = 0 GROUP BY 1),
-a AS (SELECT '#' || l_orderkey AS player_tag, count(*) AS n, avg(CAST(l_partkey AS DOUBLE) / nullif(l_suppkey, 0)) AS r FROM lineitem GROUP BY 1)
-SELECT p.player_tag, th AS town_hall_level, don - rec AS donation_balance, round(coalesce(don / nullif(rec, 0), 0), 6) AS donation_ratio, CAST(coalesce(t.n, 0) AS DOUBLE) AS troop_count, round(coalesce(t.lv, 0), 6) AS troop_mean_level, round(coalesce(t.r, 0), 6) AS troop_mean_completion_ratio,
-  CAST(coalesce(a.n, 0) AS DOUBLE) AS achievement_count, round(coalesce(a.r, 0), 6) AS achievement_completion_ratio FROM p LEFT JOIN t ON p.player_tag = t.player_tag LEFT JOIN a ON p.player_tag = a.player_tag
-""")
+def _raw_documents(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Customers as documents of clans, their orders as lists of members, orders with their lines as documents of players."""
+    orders, customers, lines = table(spark, sf, "orders"), table(spark, sf, "customer"), table(spark, sf, "lineitem")
+    tag = lambda c: F.concat(F.lit("#"), F.col(c).cast("string"))
+    named = lambda i, n: F.struct(i.alias("id"), n.alias("name"))
+    clan = F.struct(
+        tag("c_custkey").alias("tag"), F.col("c_name").alias("name"), (F.col("c_custkey") % 30).alias("clanLevel"), F.col("c_custkey").alias("warWins"), (F.col("c_nationkey") > 12).alias("warLogPublic"),
+        named(F.col("c_nationkey"), F.col("c_mktsegment")).alias("location"), named(F.col("c_nationkey"), F.lit("league")).alias("warLeague"), F.col("c_mktsegment").alias("type"),
+    )
+    member = F.struct(
+        tag("o_orderkey").alias("tag"), F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("role"), (F.col("o_orderkey") % 18).alias("townHallLevel"), named(F.col("o_custkey") % 7, F.lit("league")).alias("league"),
+        F.floor("o_totalprice").cast("bigint").alias("trophies"), (F.col("o_orderkey") % 50).alias("clanRank"), (F.col("o_orderkey") % 13).alias("donations"),
+    )
+    lists = orders.groupBy("o_custkey").agg(F.to_json(F.struct(F.collect_list(member).alias("items"))).alias("value"))
+    troop = F.struct(F.col("l_partkey").cast("string").alias("name"), F.col("l_linenumber").alias("level"), F.lit("home").alias("village"))
+    held = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(troop)).alias("troops"))
+    player = F.struct(tag("o_orderkey").alias("tag"), F.col("o_orderstatus").alias("name"), F.col("o_orderkey").alias("expLevel"), "troops")
+    people = orders.join(held, F.col("o_orderkey") == F.col("l_orderkey")).select(tag("o_orderkey").alias("key_from_file"), F.to_json(player).alias("value"))
+    texts = {
+        "clans": customers.select(tag("c_custkey").alias("key_from_file"), F.to_json(clan).alias("value")),
+        "members": lists.select(tag("o_custkey").alias("key_from_file"), "value"),
+        "players": people,
+    }
+    return {k: docs_io.parse_documents(v)[0] for k, v in texts.items()}
+
+
+def _columns_sql(fields: dict[str, tuple[str, str]], given: dict[str, str]) -> str:
+    """All of a table's columns as SQL: those given, null for the others."""
+    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "boolean": "BOOLEAN"}
+    return ", ".join(f"CAST({given.get(c, 'NULL')} AS {kinds[k]}) AS {c}" for c, (_, k) in fields.items())
+
+
+_CLAN_SQL = {"clan_tag": "'#' || c_custkey", "name": "c_name", "clan_level": "c_custkey % 30", "war_wins": "c_custkey", "war_log_public": "c_nationkey > 12", "location_id": "c_nationkey", "location_name": "c_mktsegment", "type": "c_mktsegment"}
+_MEMBER_SQL = {"player_tag": "'#' || o_orderkey", "name": "o_orderstatus", "role": "o_orderpriority", "town_hall_level": "o_orderkey % 18", "league_id": "o_custkey % 7", "league_name": "'league'", "trophies": "floor(o_totalprice)", "clan_rank": "o_orderkey % 50", "donations": "o_orderkey % 13"}
+
+
+@query(f"""SELECT {_columns_sql(S.CLANS, _CLAN_SQL)}, '{{"id": ' || c_nationkey || ', "name": "league"}}' AS war_league, CAST(NULL AS VARCHAR) AS capital_league FROM customer""")
+def normalised_clans(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of clans from raw documents, all of its columns."""
+    return datasets.normalised_tables(**_raw_documents(spark, sf))["clans"]
+
+
+@query(f"SELECT '#' || o_custkey AS clan_tag, {_columns_sql(S.MEMBERS, _MEMBER_SQL)} FROM orders")
+def normalised_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of members from lists in raw documents, all of its columns."""
+    return datasets.normalised_tables(**_raw_documents(spark, sf))["clan_members"]
+
+
+@query("SELECT '#' || l_orderkey AS player_tag, CAST(l_partkey AS VARCHAR) AS troop_name, min(CAST(l_linenumber AS BIGINT)) AS level, CAST(NULL AS BIGINT) AS max_level, 'home' AS village FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey, l_partkey")
+def normalised_troops(spark: SparkSession, sf: str) -> DataFrame:
+    """A progression table from lists inside raw documents: of repeated names the first stays."""
+    return datasets.normalised_tables(**_raw_documents(spark, sf))["player_troops"]
+
+
+#: The base columns of a player as SQL over orders.
+_BASE = {c: f"(o_orderkey * 7 + {k}) % {n}" for c, n, k in (
+    ("town_hall_level", 18, 1), ("exp_level", 97, 0), ("war_stars", 131, 0), ("attack_wins", 53, 0), ("defense_wins", 11, 0), ("builder_hall_level", 10, 0), ("builder_base_trophies", 3001, 0),
+    ("best_builder_base_trophies", 5, 0), ("donations", 701, 0), ("donations_received", 13, 0), ("clan_capital_contributions", 1009, 0),
+)} | {"trophies": "floor(o_totalprice)", "best_trophies": "floor(o_totalprice) + (o_orderkey * 7) % 1000"}
+_PART = """SELECT '#' || l_orderkey AS player_tag, count(*) AS {0}_count, coalesce(sum(CAST(trunc(l_quantity) AS BIGINT)), 0) / CAST(count(*) AS DOUBLE) AS {0}_mean_level,
+  avg(CAST(trunc(l_quantity) AS DOUBLE) / nullif(round(l_tax * 100), 0)) AS {0}_mean_completion_ratio FROM lineitem WHERE l_linenumber % 4 = {1} GROUP BY 1"""
+_PARTS = {"troop": 0, "hero": 1, "spell": 2, "equipment": 3}
+_DERIVED = {
+    "donation_balance": "donations - donations_received", "donation_ratio": "donations / nullif(donations_received, 0)", "combat_activity_total": "attack_wins + defense_wins",
+    "progression_ratio_trophies": "trophies / nullif(best_trophies, 0)", "builder_progression_ratio": "builder_base_trophies / nullif(best_builder_base_trophies, 0)",
+}
+_PARTED = [*(f"{p}_{m}" for p in _PARTS for m in ("count", "mean_level", "mean_completion_ratio")), "achievement_count", "achievement_completion_ratio"]
+_FEATURES = [*_BASE, *_DERIVED, *_PARTED]
+_FEATURE_SQL = f"""
+SELECT p.player_tag, clan_tag, role, {", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in [*_BASE, *_PARTED])}, {", ".join(f"CAST(coalesce({e}, 0) AS DOUBLE) AS {c}" for c, e in _DERIVED.items())}
+FROM (SELECT '#' || o_orderkey AS player_tag, '#' || o_custkey AS clan_tag, o_orderpriority AS role, {", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in _BASE.items())} FROM orders) p
+{" ".join(f"LEFT JOIN ({_PART.format(n, k)}) x{k} ON p.player_tag = x{k}.player_tag" for n, k in _PARTS.items())}
+LEFT JOIN (SELECT '#' || l_orderkey AS player_tag, count(*) AS achievement_count, avg(CAST(l_partkey AS DOUBLE) / nullif(l_suppkey, 0)) AS achievement_completion_ratio FROM lineitem GROUP BY 1) a ON p.player_tag = a.player_tag"""
+_ROUND = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in _FEATURES)
+
+
+@query(f"SELECT player_tag, {_ROUND} FROM ({_FEATURE_SQL})")
 def player_feature_preset(spark: SparkSession, sf: str) -> DataFrame:
-    """Player features from six tables."""
-    out = datasets.player_features(game_tables(spark, sf))
-    return rounded(out.select("player_tag", "town_hall_level", "donation_balance", "donation_ratio", "troop_count", "troop_mean_level", "troop_mean_completion_ratio", "achievement_count", "achievement_completion_ratio"))
+    """Player features from six tables, all of their columns."""
+    return rounded(datasets.player_features(game_tables(spark, sf)))
+
+
+_RELATIVE = ["trophies", "exp_level", "town_hall_level", "war_stars", "capital_contributions", "donations", "donations_received", "attack_wins", "defense_wins"]
+_RANKED = ["trophies", "exp_level", "war_stars"]
 
 
 @query(f"""
-WITH p AS ({_PLAYER}), w AS (SELECT *, avg(tr) OVER g AS mt, avg(ws) OVER g AS mw, count(*) OVER g AS n, rank() OVER (PARTITION BY clan_tag ORDER BY ws) + (count(*) OVER (PARTITION BY clan_tag, ws) - 1) / CAST(2 AS DOUBLE) AS r FROM p WINDOW g AS (PARTITION BY clan_tag))
-SELECT w.clan_tag, w.player_tag, round(tr - mt, 6) + 0.0 AS trophies_diff_from_clan_mean, round(coalesce(ws / nullif(mw, 0), 0), 6) AS war_stars_ratio_to_clan_mean, round(r / n, 6) AS war_stars_clan_pct, c_mktsegment AS war_frequency, cap AS clan_capital_contributions, role
+WITH f AS (SELECT *, clan_capital_contributions AS capital_contributions FROM ({_FEATURE_SQL})),
+w AS (SELECT *, {", ".join(f"avg({c}) OVER g AS m_{c}" for c in _RELATIVE)}, count(*) OVER g AS n, {", ".join(f"rank() OVER (PARTITION BY clan_tag ORDER BY {c}) + (count(*) OVER (PARTITION BY clan_tag, {c}) - 1) / CAST(2 AS DOUBLE) AS r_{c}" for c in _RANKED)} FROM f WINDOW g AS (PARTITION BY clan_tag))
+SELECT w.clan_tag, w.player_tag, {", ".join(f"round({c} - m_{c}, 6) + 0.0 AS {c}_diff_from_clan_mean, round(coalesce({c} / nullif(m_{c}, 0), 0), 6) AS {c}_ratio_to_clan_mean" for c in _RELATIVE)},
+  {", ".join(f"round(r_{c} / n, 6) AS {c}_clan_pct" for c in _RANKED)}, (c_custkey * 7) % 30 AS clan_level, c_custkey AS clan_points, c_mktsegment AS war_frequency, {_ROUND}, role
 FROM w LEFT JOIN customer ON w.clan_tag = '#' || c_custkey
 """)
 def role_preset(spark: SparkSession, sf: str) -> DataFrame:
-    """The role dataset: relative features, clan context, player features, target."""
+    """The role dataset with all columns: relative features, clan context, player features, target."""
     t = game_tables(spark, sf)
-    out = datasets.role_dataset(t, datasets.player_features(t))
-    return rounded(out.select("clan_tag", "player_tag", "trophies_diff_from_clan_mean", "war_stars_ratio_to_clan_mean", "war_stars_clan_pct", "war_frequency", "clan_capital_contributions", "role"))
+    return rounded(datasets.role_dataset(t, datasets.player_features(t)))
 
 
 @query(f"""
@@ -875,14 +998,26 @@ def class_preset(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.class_dataset(datasets.war_dataset(t, datasets.player_features(t)))[0].select("clan_tag", "performance_class")
 
 
-@query(f"SELECT player_tag, th AS town_hall_level, xp AS exp_level, ws AS war_stars, round(coalesce(don / nullif(rec, 0), 0), 6) AS donation_ratio FROM ({_PLAYER})")
+@query(f"SELECT player_tag, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in S.CLUSTER_FEATURES)} FROM ({_FEATURE_SQL})")
 def clustering_preset(spark: SparkSession, sf: str) -> DataFrame:
-    """The clustering matrix of player features."""
-    out, _ = datasets.clustering_dataset(datasets.player_features(game_tables(spark, sf)))
-    return rounded(out.select("player_tag", "town_hall_level", "exp_level", "war_stars", "donation_ratio"))
+    """The clustering matrix of player features, all of its columns."""
+    return rounded(datasets.clustering_dataset(datasets.player_features(game_tables(spark, sf)))[0])
 
 
-@query()
+_OTHERS = ["l_quantity", "l_discount", "l_tax"]
+
+
+@query(f"""
+WITH x AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, l_extendedprice AS y FROM lineitem" for c in _OTHERS)}),
+r AS (SELECT feature, x, y, {_RANKS.format("x")} AS rx, {_RANKS.format("y")} AS ry FROM x), c AS (SELECT feature, corr(x, y) AS pearson, corr(rx, ry) AS spearman FROM r GROUP BY feature),
+q AS (SELECT feature, quantile_cont(x, 0.25) AS a, quantile_cont(x, 0.75) AS b, quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qx FROM x GROUP BY feature),
+t AS (SELECT quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS qy FROM lineitem),
+o AS (SELECT feature, a - 1.5 * (b - a) AS lo, b + 1.5 * (b - a) AS hi, count(*) FILTER (x < a - 1.5 * (b - a) OR x > b + 1.5 * (b - a)) AS n_outliers, count(x) AS n FROM x JOIN q USING (feature) GROUP BY feature, a, b),
+k AS (SELECT feature, len(list_filter(qx, lambda p: p < x)) AS kx, len(list_filter(qy, lambda p: p < y)) AS ky FROM x JOIN q USING (feature), t), n AS (SELECT feature, kx, ky, count(*) AS n FROM k GROUP BY ALL),
+w AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature, kx) AS nx, sum(n) OVER (PARTITION BY feature, ky) AS ny, sum(n) OVER (PARTITION BY feature) AS s FROM n),
+m AS (SELECT feature, sum(n / CAST(s AS DOUBLE) * ln(CAST(n AS DOUBLE) * s / (CAST(nx AS DOUBLE) * ny))) AS mi FROM w GROUP BY feature)
+SELECT feature, round(lo, 4) AS lower_bound, round(hi, 4) AS upper_bound, n_outliers, round(100.0 * n_outliers / n, 4) AS outlier_pct, round(pearson, 4) + 0.0 AS pearson, round(spearman, 4) + 0.0 AS spearman, round(mi, 4) AS mi FROM o JOIN c USING (feature) JOIN m USING (feature)
+""")
 def profile_preset(spark: SparkSession, sf: str) -> DataFrame:
     """Headlines of the exploratory profile of lines: outliers, correlation and information per feature."""
     found = profile.profile(table(spark, sf, "lineitem"), _AUDIT_COLS, ["l_returnflag"], "l_extendedprice", {"money": "price"})

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfield import functions as fn
-from tarnfield.operators import relations
+from tarnfield.operators import features, relations, select
 from tarnfield.plans import datasets, schemas
 from tarnfield.sources import documents as io
 from tarnfield.sources import tables as tio
@@ -168,3 +168,32 @@ def test_stream_state_equals_batch(spark, rows, tmp_path):
     assert rows(state.read_features(spark, f"{tmp_path}/state", "k", "x")) == whole
     state.compact(spark, f"{tmp_path}/state", f"{tmp_path}/small", "k")
     assert rows(state.read_features(spark, f"{tmp_path}/small", "k", "x")) == whole
+
+
+def test_canonical_json(spark):
+    values = [{"b": [1, {"y": None, "x": 'é "q", a: b \\ 😀'}], "a": {"d": True, "c": "x,y:z"}, "n": -3}, {}, [1, "a, b", []], None]
+    df = spark.createDataFrame([(k, json.dumps(v) if v is not None else None) for k, v in enumerate(values)], "k int, v string")
+    got = {r.k: r.j for r in df.select("k", fn.canonical_json(F.parse_json("v")).alias("j")).collect()}
+    assert got == {k: json.dumps(v, sort_keys=True) if v is not None else None for k, v in enumerate(values)}
+
+
+def test_written_datasets(spark, rows, raw, tmp_path):
+    t, _ = datasets.build_tables(spark, str(raw), str(tmp_path / "out"))
+    made = datasets.build_datasets(t, str(tmp_path / "sets"), 0.4, 0.7)
+    assert set(made) == {"player_features", "role_classification", "clan_rank_with_trophies", "clan_rank_without_trophies", "proxy_audit", "war_performance", "performance_classification", "player_clustering"}
+    assert {n: len(made[n].columns) for n in ("player_features", "role_classification", "war_performance", "player_clustering")} == {"player_features": 33, "role_classification": 66, "war_performance": 51, "player_clustering": 31}
+    assert spark.read.parquet(str(tmp_path / "sets" / "role_classification.parquet")).count() == made["role_classification"].count() == 2
+
+
+def test_checks_of_datasets(spark, rows):
+    with pytest.raises(tio.ContractError, match="clan_rank"):
+        select.require_absent(spark.createDataFrame([(1, 2)], "a int, clan_rank int"), ["clan_rank", "role"])
+    rates = spark.createDataFrame([(0.5,), (2.0,), (None,)], "r double")
+    with pytest.warns(UserWarning, match="2 rows"):
+        assert features.require_rates(rates, "r").count() == 1
+    with pytest.raises(tio.ContractError, match="no row"):
+        features.require_rates(rates.where("r > 1"), "r")
+    left, right = spark.createDataFrame([(1, 2)], "k int, x int"), spark.createDataFrame([(1, 3, 4)], "k int, x int, y int")
+    assert select.join_suffixed(left, right, ["k"], "_player").columns == ["k", "x", "x_player", "y"]
+    found = select.column_difference(left, right.unionByName(right.withColumn("y", F.lit(None).cast("int"))))
+    assert rows(found) == [("y", "right", 1)]

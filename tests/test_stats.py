@@ -7,7 +7,7 @@ import statistics as st
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfield.operators import matrix, stats
+from tarnfield.operators import matrix, order, stats
 
 VALUES = [1, 2, 2, 7, 9, 30]
 
@@ -153,3 +153,48 @@ def test_matrix(spark, rows):
     assert matrix.components_needed(matrix.pca_variance(df, ["x", "y"]), 0.99).first()[0] == 2
     assert [x.id for x in matrix.distance_outliers(df, "id", ["x"]).collect()] == [100]
     assert matrix.pca_project(df, "id", ["x", "y"]).count() == 101
+
+
+@pytest.mark.parametrize("buffer", [1_000_000, 10])
+def test_exact_quantiles(spark, monkeypatch, buffer):
+    """The same from one buffer and from stretches that are put in order apart."""
+    monkeypatch.setattr(order, "BUFFER_VALUES", buffer)
+    r = random.Random(3)
+    data = [(r.choice([0.0, 1.0, r.gauss(0, 5)]), r.randrange(400), None if k % 3 else float(k), None) for k in range(997)]
+    df = spark.createDataFrame(data, "a double, b int, c double, none double")
+    at = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = order.exact_quantiles(df, ["a", "b", "c", "none"], at)
+    for k, c in enumerate("abc"):
+        values = sorted(x[k] for x in data if x[k] is not None)
+        for p, q in zip(at, got[c], strict=True):
+            low = int(p * (len(values) - 1))
+            high = min(low + 1, len(values) - 1)
+            assert q == pytest.approx(values[low] + (values[high] - values[low]) * (p * (len(values) - 1) - low))
+    assert got["none"] is None and order.exact_quantiles(df, [], at) == {}
+
+
+def test_running_totals(spark):
+    data = [("x", float(k % 37), 1 + k % 3) for k in range(37)] + [("y", float(-k), 2) for k in range(90)]
+    df = spark.createDataFrame([(float(k % 37), float(-k)) for k in range(90)], "x double, y double")
+    out = order.running_total(spark.createDataFrame(data, "feature string, value double, n int"), order.cuts(df, ["x", "y"]), "n").collect()
+    for f in "xy":
+        total = 0
+        for row in sorted((r for r in out if r.feature == f), key=lambda r: r.value):
+            total += row.n
+            assert row.upto == total
+    assert len(out) == len(data)
+
+
+def test_audit_rules_on_locations_and_groups(spark):
+    df = spark.createDataFrame([("a", None if k % 2 else k, "p" if k < 4 else f"p{k}") for k in range(10)], "v string, g int, place string")
+    out = stats.warnings({"v": stats.categorical_distribution(df, "v"), "location": stats.categorical_distribution(df, "place")}, stats.missing(df, ["v"]), None, stats.association_totals(df, "v", "g"))
+    assert sorted((r.rule, r.field, r.value) for r in out.collect()) == [("dominance", "v", 100.0), ("location", "location", 40.0), ("without_group", "groups", 50.0)]
+
+
+def test_mode_of_text_and_hash_of_repeated_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), (None, None)], "t string, n int")
+    m = {r.feature: r for r in stats.mode_frequency(df, ["t", "n"]).collect()}
+    assert (m["t"].mode_n, m["t"].zero_variance, m["n"].mode_share, m["n"].zero_variance) == (2, None, 0.75, True)
+    twice = lambda v: spark.createDataFrame([(v,), (v,)], "x string")
+    hashes = {stats.manifest(d).first().content_hash for d in (twice("a"), twice("b"), twice(None), twice("a").limit(1))}
+    assert len(hashes) == 4 and stats.manifest(df).first().content_hash == stats.manifest(df.orderBy("t")).first().content_hash
