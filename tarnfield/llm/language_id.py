@@ -121,7 +121,7 @@ def noise_of(texts: list[bytes], rng: np.random.Generator) -> list[bytes]:
     return [*(t.encode() for t in shuffled), *drawn]
 
 
-def train(texts: list[bytes], labels: list[str], batch: int = 128, rate: float = 0.01, seed: int = 5) -> Network:
+def train(texts: list[bytes], labels: list[str], batch: int = 48, rate: float = 0.02, seed: int = 5) -> Network:
     """Fit a network: Adam on the cross entropy of every position, all classes weighted alike."""
     names = sorted(set(labels))
     languages = tuple(names)
