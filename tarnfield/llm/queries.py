@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import decontaminate, exact_dedup, language_id, language_model, near_dedup, packing, phrase_dedup, sharding, token_count, url_filter
+from tarnfield.llm import align_tokens, conversations, decontaminate, exact_dedup, fit_packing, language_id, language_model, near_dedup, packing, phrase_dedup, sharding, token_count, url_filter
 from tarnfield.llm.common import crc32_of_id, text_or_empty
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -74,7 +74,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_token_counts, op4_url_filter, op5_sharding, op6_exact_dedup, op7_phrase_dedup, op8_language_id, op9_lm_score, op10_packing)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens.link_statistics(_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = fit_packing.pack_best_fit(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    done = conversations.repair(conversations.damage(rows))
+    every = rows.select(F.col("conv_id").alias("_id")).distinct()
+    same = F.col("_id").eqNullSafe(F.col("conv_id"))
+    out = every.join(done.summary, same, "left").drop("conv_id").join(conversations.digests(done.messages), same, "left")
+    zeros = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(F.col("_id").alias("conv_id"), *zeros, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_token_counts, op4_url_filter, op5_sharding, op6_exact_dedup, op7_phrase_dedup, op8_language_id, op9_lm_score, op10_packing, op11_token_alignment, op12_best_fit_packing, op13_conversation_repair)}
 
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

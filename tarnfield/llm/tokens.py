@@ -150,3 +150,77 @@ class UnitIds:
         cut = [t.split() for t in texts]  # bytes.split(): ASCII white space only
         known = self.seen.recall(chain.from_iterable(cut), self._find)
         return [b"".join(map(known.__getitem__, units)) for units in cut]
+
+
+#: Fixed value: how a byte-level vocabulary cuts a text.
+BYTE_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: UTF-8 of a character from U+0100 on, but for dashes, quotation marks, bullets and dots: how such are classed may differ between libraries.
+RARE = re.compile(rb"[\xc4-\xe1\xe3-\xff]|\xe2(?!\x80[\x90-\xa7])")
+
+
+def merge_ranks(tokenizer) -> dict[bytes, int] | None:
+    """Bytes and ids of a byte-level BPE whose ids follow its merges, so that ids serve as ranks; else None."""
+    model, value = json.loads(tokenizer.to_str())["model"], {c: b for b, c in byte_letters().items()}
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return None
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    merged = set(made)
+    tokens = {t: k for t, k in model["vocab"].items() if k in merged or len(t) == 1}
+    if any(a >= b for a, b in zip(made, made[1:], strict=False)) or any(c not in value for t in tokens for c in t):
+        return None
+    ranks = {bytes(map(value.__getitem__, t)): k for t, k in tokens.items()}
+    return ranks if all(bytes([b]) in ranks for b in range(256)) else None
+
+
+class ByteIds:
+    """Ids (little-endian unsigned 32 bit, as bytes) of whole texts for a byte-level vocabulary.
+
+    Texts of common characters without the marks of special tokens go to tiktoken, which runs the same vocabulary several
+    times faster; all others go to the library itself. ``as_text``: the strings of special tokens are plain text.
+    """
+
+    def __init__(self, path: str, as_text: bool = False):
+        import tiktoken
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        ranks = merge_ranks(self.tokenizer) if cuts_spaces(self.tokenizer) else None
+        self.fast = ranks and tiktoken.Encoding("ranks", pat_str=BYTE_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        added = json.loads(self.tokenizer.to_str()).get("added_tokens") or []
+        self.marks = re.compile(b"|".join(re.escape(t["content"].encode()) for t in added)) if added and not as_text else None
+        self.tokenizer.encode_special_tokens = as_text
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        out, fast = [], self.fast
+        for t in texts:
+            easy = fast and not RARE.search(t) and not WIDE_SPACE.search(t) and not (self.marks and self.marks.search(t))
+            out.append(array("I", fast(t.decode()) if easy else self.tokenizer.encode(t.decode(), add_special_tokens=False).ids).tobytes())
+        return out
+
+
+@lru_cache(maxsize=4)
+def byte_ids(path: str, as_text: bool = False) -> ByteIds:
+    """One encoder for all tasks of a Python worker."""
+    return ByteIds(path, as_text)
+
+
+def byte_tokens(path: str) -> list[bytes]:
+    """The bytes of each id of a byte-level vocabulary."""
+    vocabulary, value = load(path).get_vocab(), {c: b for b, c in byte_letters().items()}
+    out = [b""] * (max(vocabulary.values()) + 1)
+    for token, k in vocabulary.items():
+        out[k] = bytes(map(value.__getitem__, token)) if all(c in value for c in token) else token.encode()
+    return out
+
+
+@lru_cache(maxsize=4)
+def load_pieces(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
+def piece_tokens(path: str) -> list[bytes]:
+    """The bytes of each id of a sentencepiece model: U+2581 is a space, ``<0xHH>`` the byte HH."""
+    model = load_pieces(path)
+    return [bytes([int(p[3:5], 16)]) if model.is_byte(k) else p.replace("\u2581", " ").encode() for k, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))]
