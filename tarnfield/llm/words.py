@@ -10,13 +10,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BYTES_AT_ONCE = 1_000_000
 _RANDOM = np.random.default_rng(20_240_601)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 4096
 #: Odd multipliers for the places of a shingle; values of bytes; powers of an odd number for the places in a word.
 PLACES = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 BYTE_VALUES = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
-POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15 | 5, np.uint64))
+POWERS = np.cumprod(np.full(LONG_WORD, 0x9E3779B97F4A7C15 | 5, np.uint64))
 IS_WORD = np.ones(256, bool)
 IS_WORD[[9, 10, 11, 12, 13, 32]] = False
 
@@ -50,9 +53,11 @@ def words_of(texts: list[bytes]) -> Words:
     lengths = ends - starts
     first = np.cumsum(lengths) - lengths
     place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
-    place &= 4095  # a word of over 4096 bytes uses the powers again
-    hashes = np.add.reduceat(BYTE_VALUES[raw[word]] * POWERS[place], first)
-    return Words(buffer, starts, ends, mix(hashes + lengths.astype(np.uint64)), bounds)
+    np.minimum(place, LONG_WORD - 1, out=place)
+    hashes = mix(np.add.reduceat(BYTE_VALUES[raw[word]] * POWERS[place], first) + lengths.astype(np.uint64))
+    for k in np.flatnonzero(lengths > LONG_WORD).tolist():
+        hashes[k] = xxhash.xxh3_64_intdigest(buffer[starts[k] : ends[k]])
+    return Words(buffer, starts, ends, hashes, bounds)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -232,3 +232,14 @@ def test_passages_edge_cases(spark, rows):
     data = [*EDGES, (20, long), (21, f"begin {long} end"), (22, same), (22, same), (23, ties), (24, f"b {ties} c"), (25, same + " é—x"), (26, None), (None, same), (None, same)]
     assert rows(phrase_dedup.remove_repeated_passages(frame(spark, data).withColumn("n_words", F.lit(0)))) == brute_passages(data)
     assert phrase_dedup.remove_repeated_passages(frame(spark, [])).count() == 0
+
+
+def test_long_words_are_hashed_whole(spark):
+    """Words that differ by exchanged blocks of 4,096 bytes are different words, for near copies and for passages."""
+    r = random.Random(8)
+    a, b = ("".join(r.choice("abcdefghij") for _ in range(4096)) for _ in range(2))
+    near = near_dedup.near_duplicates(frame(spark, [(1, a + b), (2, b + a), (3, a + b)])).collect()
+    assert sorted((x.doc_id, x.component_id) for x in near) == [(1, 1), (2, 2), (3, 1)]
+    same = " ".join(f"w{k}" for k in range(12))
+    data = frame(spark, [(1, f"{same} {a + b}"), (2, f"{same} {b + a}"), (3, f"x {same} {a + b}")])
+    assert sorted((x.doc_id, x.n_removed) for x in phrase_dedup.remove_repeated_passages(data).collect()) == [(1, 0), (2, 0), (3, 13)]
