@@ -13,7 +13,6 @@ null and empty texts match nothing; rows that repeat an id are judged each; very
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -64,8 +63,8 @@ def myers(pattern: str, text: str, limit: int) -> tuple[int, int] | None:
     return best
 
 
-@lru_cache(maxsize=1)
-def _automaton(items: tuple[Item, ...]) -> ahocorasick.Automaton:
+def piece_automaton(items: tuple[Item, ...]) -> ahocorasick.Automaton:
+    """The pieces of all items, with the items and offsets that they stand for."""
     places: dict[str, list[tuple[int, int]]] = {}
     for k, (_, text, errors) in enumerate(items):
         for offset, piece in pieces(text, errors + 1):
@@ -77,14 +76,14 @@ def _automaton(items: tuple[Item, ...]) -> ahocorasick.Automaton:
     return automaton
 
 
-def find_items(text: str, items: tuple[Item, ...]) -> dict[int, tuple[int, int]]:
-    """Position in ``items`` -> (distance, end in the normalised text) of its best stretch."""
+def find_items(text: str, items: tuple[Item, ...], automaton: ahocorasick.Automaton) -> dict[int, tuple[int, int]]:
+    """Position in ``items`` -> (distance, end in the normalised text) of its best stretch; ``automaton``: their pieces."""
     if not items:
         return {}
     text = normalised(text)
     found: dict[int, tuple[int, int]] = {}
     tried: dict[tuple[int, int], int] = {}  # (item, start // step) -> start: starts in one bucket lie near enough to each other
-    for end, (length, places) in _automaton(items).iter(text):
+    for end, (length, places) in automaton.iter(text):
         for k, offset in places:
             _, item, errors = items[k]
             start = end + 1 - length - offset  # where the item would begin
@@ -122,10 +121,11 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, error_rate: fl
 
 def _hits(items: tuple[Item, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = piece_automaton(items)
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for k, (distance, end) in find_items(text, items).items():
+                for k, (distance, end) in find_items(text, items, automaton).items():
                     for to, x in zip(out, (doc, items[k][0], distance, len(items[k][1]), end), strict=True):
                         to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["doc", "item", "distance", "item_chars", "end_char"])
@@ -147,8 +147,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def _clean(items: tuple[Item, ...], text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = piece_automaton(items)
         for b in batches:
-            yield b.filter(pa.array([not find_items(t or "", items) for t in b.column(text_at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not find_items(t or "", items, automaton) for t in b.column(text_at).to_pylist()], pa.bool_()))
 
     return run
 
