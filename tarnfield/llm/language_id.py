@@ -32,6 +32,7 @@ UNKNOWN = "und"
 SAMPLE_DOCS = 1000  #: labelled documents on which the network is fitted
 LEAST_DOCS = 100  #: the sample is filled up to so many of each language, or all that it has
 SAMPLE_TEXT_BYTES = 1_000_000  #: longer labelled texts are not drawn into the sample, as the driver holds it
+SAMPLE_BYTES = 16_000_000  #: of all texts of the sample: beyond it, fewer whole documents are drawn
 TRAIN_BYTES = 6_000_000  #: the sample is read again until about so much has been, MAX_EPOCHS times at most
 MAX_EPOCHS = 30
 SPAN = 64  #: bytes that are read from a zero state
@@ -204,8 +205,18 @@ def probabilities(net: Network, texts: list[bytes]) -> np.ndarray:
     return total / sizes[:, None]
 
 
+def _within(rows: list, most: int) -> list:
+    """The first of ``rows`` whose sizes sum up to ``most`` bytes; one at least."""
+    total = 0
+    for k, r in enumerate(rows):
+        total += r.size
+        if total > most and k:
+            return rows[:k]
+    return rows
+
+
 def fit(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """Train on the SAMPLE_DOCS documents with the smallest hash of their id and, of each language, on the LEAST_DOCS with the smallest."""
+    """Train on the SAMPLE_DOCS documents with the smallest hash of their id and, of each language, on the LEAST_DOCS with the smallest; fewer where their texts exceed SAMPLE_BYTES."""
     key = F.xxhash64(F.col(id_col), F.lit(1))
     usable = docs.where(trainable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}") & (F.octet_length(text_col) <= SAMPLE_TEXT_BYTES))
     usable = usable.select(key.alias("key"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -217,12 +228,17 @@ def fit(docs: DataFrame, trainable: Column, text_col: str = "text", lang_col: st
     shares = [(r.lang, max(2 * SAMPLE_DOCS / total, 2 * LEAST_DOCS / r.n)) for r in sizes]
     limits = docs.sparkSession.createDataFrame([(lang, min(2**63 - 1, int(-(2**63) + 2**64 * share))) for lang, share in shares], "lang string, _limit bigint")
     cut = usable.join(F.broadcast(limits), "lang").where("key <= _limit").select("key", "text", "lang")
-    rows = cut.orderBy("key", "text").limit(SAMPLE_DOCS).collect()
+    cut = cut.withColumn("size", F.octet_length("text"))
+    rows = _within(cut.select("key", "size").orderBy("key", "size").limit(SAMPLE_DOCS).collect(), SAMPLE_BYTES)
+    picked = cut.where(F.col("key") <= rows[-1].key)
     if len(rows) < total:
-        nth = F.row_number().over(W.partitionBy("lang").orderBy("key", "text"))
-        last = (rows[-1].key, rows[-1].text)
-        least = cut.withColumn("_nth", nth).where(F.col("_nth") <= LEAST_DOCS).where(F.col("key") >= last[0]).select("key", "text", "lang").collect()
-        rows += sorted((r for r in least if (r.key, r.text) > last), key=lambda r: (r.key, r.text))
+        nth = F.row_number().over(W.partitionBy("lang").orderBy("key", "size"))
+        rest = cut.where(F.col("key") > rows[-1].key)
+        least = cut.select("key", "lang", "size").withColumn("_nth", nth).where((F.col("_nth") <= LEAST_DOCS) & (F.col("key") > rows[-1].key)).collect()
+        by_lang = {lang: _within(sorted((r for r in least if r.lang == lang), key=lambda r: r.key), SAMPLE_BYTES // len(sizes)) for lang in {r.lang for r in least}}
+        lasts = docs.sparkSession.createDataFrame([(lang, own[-1].key) for lang, own in by_lang.items()], "lang string, _last bigint")
+        picked = picked.unionByName(rest.join(F.broadcast(lasts), "lang").where("key <= _last").select(picked.columns))
+    rows = sorted(picked.select("key", "text", "lang").collect(), key=lambda r: (r.key, r.text))
     return train([r.text.encode() for r in rows], [r.lang for r in rows])
 
 

@@ -1,6 +1,7 @@
 """Decontamination, URL filter, language ID."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -83,7 +84,7 @@ def test_one_piece_repeated_through_a_long_text():
     """Hits of a piece without the rest of its item are tried once per place, in linear time."""
     item = "abcdefghij " * 2 + "the end of it all is never reached"
     items = ((1, item, 3),)
-    assert decontaminate.find_items(item[: len(item) // 4] * 20_000, items) == {}
+    assert decontaminate.find_items(item[: len(item) // 4] * 20_000, items, decontaminate.piece_automaton(items)) == {}
 
 
 def test_large_benchmark_in_blocks(spark, monkeypatch):
@@ -269,6 +270,27 @@ def brute_probabilities(net, text):
     return total / len(text)
 
 
+def test_sample_is_bounded_in_bytes(spark, monkeypatch):
+    """Whole texts are drawn until the bytes are used up, and each language has its share."""
+    monkeypatch.setattr(language_id, "SAMPLE_BYTES", 20_000)
+    drawn = []
+    monkeypatch.setattr(language_id, "train", lambda texts, labels: drawn.append((texts, labels)))
+    rows = [(k, "word " * 600, "en") for k in range(300)] + [(1000 + k, "mot " * 50, "fr") for k in range(9)]
+    language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), F.lit(True))
+    texts, labels = drawn[0]
+    assert sum(map(len, texts)) <= 2 * 20_000 and set(labels) == {"en", "fr"} and {len(t) for t in texts} == {3000, 200}
+
+
+def test_cost_of_a_document_does_not_follow_the_items(spark):
+    """The automaton of 100,000 items is built once a task."""
+    items = tuple((k, f"item number {k} of a very long list", 0) for k in range(100_000))
+    automaton = decontaminate.piece_automaton(items)
+    began = time.perf_counter()
+    for k in range(2000):
+        decontaminate.find_items(f"text {k} without any", items, automaton)
+    assert time.perf_counter() - began < 1
+
+
 def test_probabilities_against_plain_loops():
     data = sample(60, 3)
     net = language_id.train([t.encode() for _, _, t in data], [lang for _, lang, _ in data])
