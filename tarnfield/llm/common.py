@@ -86,7 +86,8 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     values = [c for c in groups.columns if c != key]
     marked = rows.join(F.broadcast(heavy.select(key, "_heavy", *[F.col(c).alias(f"_h_{c}") for c in values])), key, "left")
     marked = marked.withColumn("_salt", F.when(F.col("_heavy"), F.lit(1) + F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(4096))).otherwise(F.lit(0)))
-    rest = groups.where(F.col(size) <= most).withColumn("_salt", F.lit(0).cast("bigint"))
+    # a salt that Catalyst cannot tell is 0: it takes literals out of join keys
+    rest = groups.where(F.col(size) <= most).withColumn("_salt", F.least(F.col(size), F.lit(0)).cast("bigint"))
     joined = marked.join(rest.hint("merge"), [key, "_salt"], "left")
     out = [F.coalesce(F.col(f"_h_{c}"), F.col(c)).alias(c) for c in values]
     return joined.select(*rows.columns, *out)
