@@ -79,17 +79,12 @@ def map_fingerprint(c: ColumnOrName) -> Column:
 
 
 def canonical_json(variant: ColumnOrName) -> Column:
-    """JSON text with the keys of all objects sorted, ``", "`` and ``": "`` between, non-ASCII characters as \\u escapes; null stays null."""
-    tokens = F.regexp_extract_all(F.to_json(col(variant)), F.lit(r'"(?:[^"\\]|\\.)*"|[^"]'), F.lit(0))
-    spaced = F.array_join(F.transform(tokens, lambda t: F.when(t == ",", F.lit(", ")).when(t == ":", F.lit(": ")).otherwise(t)), "")
-    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
-
-    def escaped(ch: Column) -> Column:
-        code = F.ascii(ch)
-        high, low = F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code - 0x10000).bitwiseAND(0x3FF)
-        return F.when(code < 0x80, ch).when(code < 0x10000, unit(code)).otherwise(F.concat(unit(high), unit(low)))
-
-    return F.when(spaced.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(spaced, ""), escaped), "")).otherwise(spaced)
+    """JSON text with the keys of all objects sorted, ``", "`` and ``": "`` between, all but printing ASCII as \\u escapes; null stays null."""
+    # a separator with all strings and other text since the one before it; possessive repeats take no stack
+    spaced = F.regexp_replace(F.to_json(col(variant)), r'(?s)\G((?:"(?:[^"\\]++|\\.)*+"|[^",:]++)*+[,:])', "$1 ")
+    runs = F.regexp_extract_all(spaced, F.lit(r"[\x00-~]++|[^\x00-~]++"), F.lit(0))
+    units = lambda t: F.regexp_replace(F.lower(F.hex(F.encode(t, "UTF-16BE"))), "(.{4})", r"\\u$1")
+    return F.when(spaced.rlike(r"[^\x00-~]"), F.array_join(F.transform(runs, lambda t: F.when(t < "\x7f", t).otherwise(units(t))), "")).otherwise(spaced)
 
 
 def adjusted_skewness(c: ColumnOrName) -> Column:

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tarnfield.functions import finite, quantile, safe_ratio
+from tarnfield.operators import order
 from tarnfield.operators.clean import zero_fill
+from tarnfield.operators.order import attach, average_ranks, cuts, largest_group, quantiles_by, value_counts
 from tarnfield.sources.tables import ContractError
+from tarnfield.staging import staged
 
 STATE = ("row_count", "sum_level", "sum_ratio", "count_ratio")
 
@@ -71,29 +74,63 @@ def average_rank(c: str, group: Sequence[str]) -> Column:
 
 
 def group_relative(df: DataFrame, group: str, cols: Sequence[str], pct_cols: Sequence[str] = (), emit_means: bool = False, fill: float | None = 0.0, name: str = "group") -> DataFrame:
-    """Adds ``<c>_diff_from_<name>_mean``, ``<c>_ratio_to_<name>_mean`` and, for ``pct_cols``, ``<c>_<name>_pct``. One exchange serves all."""
-    w = W.partitionBy(group)
-    means = {c: F.avg(F.col(c).cast("double")).over(w) for c in cols}
-    out = df.withColumns({f"{name}_mean_{c}": m for c, m in means.items()})
+    """Adds ``<c>_diff_from_<name>_mean``, ``<c>_ratio_to_<name>_mean`` and, for ``pct_cols``, ``<c>_<name>_pct``.
+
+    One exchange serves all, unless a group has more than ``order.GROUP_ROWS`` rows: then means and ranks come from
+    aggregates, and no task takes a group. The sizes of the groups are looked at when this is called.
+    """
+    if largest_group(df, [group]) > order.GROUP_ROWS:
+        out = _with_group_statistics(df, group, cols, pct_cols, name)
+        ranks = {f"{c}_{name}_pct": F.col(f"_{c}_pct") for c in pct_cols}
+    else:
+        w = W.partitionBy(group)
+        out = df.withColumns({f"{name}_mean_{c}": F.avg(F.col(c).cast("double")).over(w) for c in cols})
+        ranks = {f"{c}_{name}_pct": percentile_rank(c, [group]) for c in pct_cols}
     new = {f"{c}_diff_from_{name}_mean": F.col(c) - F.col(f"{name}_mean_{c}") for c in cols}
-    new |= {f"{c}_ratio_to_{name}_mean": safe_ratio(c, f"{name}_mean_{c}") for c in cols}
-    new |= {f"{c}_{name}_pct": percentile_rank(c, [group]) for c in pct_cols}
-    out = out.withColumns(new)
+    new |= {f"{c}_ratio_to_{name}_mean": safe_ratio(c, f"{name}_mean_{c}") for c in cols} | ranks
+    out = out.withColumns(new).drop(*[f"_{c}_pct" for c in pct_cols])
     if fill is not None:
         out = out.withColumns({c: finite(c, fill) for c in new})
     return out if emit_means else out.drop(*[f"{name}_mean_{c}" for c in cols])
 
 
+def _with_group_statistics(df: DataFrame, group: str, cols: Sequence[str], pct_cols: Sequence[str], name: str) -> DataFrame:
+    """``df`` with the means of its groups and ``_<c>_pct``, by tables of a row per group and per value of a group."""
+    out = df.withColumn("_key", F.struct(group))
+    means = out.groupBy("_key").agg(*[F.avg(F.col(c).cast("double")).alias(f"{name}_mean_{c}") for c in cols], F.count(F.lit(1)).alias("_size"))
+    kept = list(df.columns)
+    if pct_cols:
+        ranks = staged(average_ranks(value_counts(out, pct_cols, ["_key"]), cuts(df, pct_cols), ["_key"]), "group-ranks")
+    out = attach(out, staged(means, "group-means"), ["_key"], "_size").drop("_size")
+    kept += [f"{name}_mean_{c}" for c in cols]
+    for c in pct_cols:
+        own = ranks.where(F.col("feature") == c).select("_key", F.col("value").alias("_value"), "n", (F.col("avg_rank") / F.col("total")).alias(f"_{c}_pct"))
+        ranked = attach(out.where(F.col(c).isNotNull()).withColumn("_value", F.col(c).cast("double")), own, ["_key", "_value"], "n")
+        kept.append(f"_{c}_pct")
+        out = ranked.select("_key", *kept).unionByName(out.where(F.col(c).isNull()).withColumn(f"_{c}_pct", F.lit(None).cast("double")).select("_key", *kept))
+    return out.select(*kept)
+
+
 def group_composition(df: DataFrame, group: str, stat_cols: Sequence[str] = (), mean_cols: Sequence[str] = (), shares: Mapping[str, Column] | None = None, sum_cols: Sequence[str] = (), count: str = "member_count") -> DataFrame:
-    """Per group, in one aggregate: mean, median and sample deviation; means; shares of rows (null counts as no); sums (0 if there is nothing to add); the row count."""
+    """Per group: mean, median and sample deviation; means; shares of rows (null counts as no); sums (0 if there is nothing to add); the row count.
+
+    One aggregate, unless a group has more than ``order.GROUP_ROWS`` rows: then its medians come from running totals.
+    """
+    df = df.where(F.col(group).isNotNull())
+    large = stat_cols and largest_group(df, [group]) > order.GROUP_ROWS
     aggs = [F.count(F.lit(1)).alias(count)]
     for c in stat_cols:
         x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"mean_{c}"), quantile(c, 0.5).alias(f"median_{c}"), F.stddev_samp(x).alias(f"std_{c}")]
+        aggs += [F.avg(x).alias(f"mean_{c}"), *([] if large else [quantile(c, 0.5).alias(f"median_{c}")]), F.stddev_samp(x).alias(f"std_{c}")]
     aggs += [F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in mean_cols]
     aggs += [F.avg(F.when(cond, 1.0).otherwise(0.0)).alias(k) for k, cond in (shares or {}).items()]
     aggs += [F.coalesce(F.sum(c), F.lit(0)).alias(f"sum_{c}") for c in sum_cols]
-    return df.where(F.col(group).isNotNull()).groupBy(group).agg(*aggs)
+    out = df.groupBy(group).agg(*aggs)
+    if not large:
+        return out
+    medians = quantiles_by(df, [group], stat_cols, [0.5]).groupBy(group).agg(*[F.max(F.when(F.col("feature") == c, F.get("q", F.lit(0)))).alias(f"median_{c}") for c in stat_cols])
+    names = [x for c in stat_cols for x in (f"mean_{c}", f"median_{c}", f"std_{c}")]
+    return out.join(medians, group).select(group, count, *names, *[c for c in out.columns if c not in (group, count, *names)])
 
 
 def rate_target(df: DataFrame, win: str, parts: Sequence[str], min_total: int, out: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Exact order statistics of whole columns: quantiles and running totals in value order, without one task that sees all values.
+"""Exact order statistics of columns and groups: quantiles, ranks and running totals, without one task that sees all values.
 
 A column's values are cut into stretches at approximate quantiles, which one mergeable aggregate gives. Stretches are
 counted and ordered apart; what lies before a stretch is the sum of the stretches below it. The results are exact
@@ -37,19 +37,102 @@ def cuts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "feature string, cuts array<double>")
 
 
+def text_cuts(values: DataFrame, c: str) -> list:
+    """Where a column of any ordered type is cut: every 16th of a sample of its values, drawn by hash, of a size that the number of stretches gives."""
+    n = _stretches(values)
+    different = values.agg(F.approx_count_distinct(c)).first()[0]
+    drawn = F.pmod(F.xxhash64(c), F.lit(max(1, different // (16 * n)))) == 0
+    sample = sorted(r[0] for r in values.where(F.col(c).isNotNull() & drawn).select(c).distinct().collect())
+    return sample[16::16]
+
+
 def _with_stretch(counts: DataFrame, edges: DataFrame, value: str) -> DataFrame:
     stretch = F.size(F.filter("cuts", lambda c: c < F.col(value)))
     return counts.join(F.broadcast(edges), "feature").withColumn("_stretch", stretch).drop("cuts")
 
 
-def running_total(counts: DataFrame, edges: DataFrame, n: str, value: str = "value") -> DataFrame:
-    """``counts`` (feature, value, n, one row per different value) with ``upto``, the sum of n of the feature's values up to this one."""
+def running_total(counts: DataFrame, edges: DataFrame, n: str, value: str = "value", keys: Sequence[str] = ()) -> DataFrame:
+    """``counts`` (keys, feature, value, n, one row per different value) with ``upto``, the sum of n up to this value, and ``total``, that of all.
+
+    No task takes more of a key than one stretch of a feature's values. Keys are not null; a struct of a null is a key.
+    """
+    by = [*keys, "feature"]
     cut = _with_stretch(counts, edges, value)
-    totals = cut.groupBy("feature", "_stretch").agg(F.sum(n).alias("_in"))
-    below = F.coalesce(F.sum("_in").over(W.partitionBy("feature").orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    totals = totals.select("feature", "_stretch", below.alias("_below"))  # as many rows as there are stretches
-    within = F.sum(n).over(W.partitionBy("feature", "_stretch").orderBy(value))
-    return cut.withColumn("_within", within).join(F.broadcast(totals), ["feature", "_stretch"]).withColumn("upto", F.col("_within") + F.col("_below")).drop("_stretch", "_within", "_below")
+    sums = cut.groupBy(*by, "_stretch").agg(F.sum(n).alias("_in"))
+    whole = W.partitionBy(*by)  # as many rows as there are stretches
+    below = F.coalesce(F.sum("_in").over(whole.orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(*by, "_stretch", below.alias("_below"), F.sum("_in").over(whole).alias("total"))
+    within = F.sum(n).over(W.partitionBy(*by, "_stretch").orderBy(value))
+    both = cut.withColumn("_within", within).join(sums if keys else F.broadcast(sums), [*by, "_stretch"])
+    return both.withColumn("upto", F.col("_within") + F.col("_below")).drop("_stretch", "_within", "_below")
+
+
+def value_counts(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, feature, value, n): the different values of the columns, as doubles, from one exchange of counts."""
+    long = df.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), _double(c).alias("value")) for c in cols])))
+    return long.where(F.col("value").isNotNull()).groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def average_ranks(counts: DataFrame, edges: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``counts`` with avg_rank, that of equal values, and total."""
+    out = running_total(counts, edges, "n", keys=keys)
+    return out.withColumn("avg_rank", F.col("upto") - (F.col("n") - 1) / F.lit(2.0)).drop("upto")
+
+
+#: Rows of a table that may go out by broadcast.
+SMALL = 500_000
+#: A value with more than LIGHT rows, and more than 1 / HEAVY_PARTS of all, is heavy: at most HEAVY_PARTS are.
+LIGHT, HEAVY_PARTS = 1000, 4096
+
+
+def attach(rows: DataFrame, per_value: DataFrame, on: Sequence[str], size: str) -> DataFrame:
+    """``rows`` with the columns of ``per_value`` (a row per value of ``on``, of which ``rows`` has ``size``); rows without a match go.
+
+    A small table goes out by broadcast. Of a larger one the heavy values do, and their rows are spread over the tasks of the
+    join that serves all others. ``per_value`` is read several times: a staged table.
+    """
+    on = list(on)
+    n, total = per_value.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    if n <= SMALL:
+        return rows.join(F.broadcast(per_value), on)
+    heavy = F.col(size) > max(LIGHT, total // HEAVY_PARTS)
+    values = F.struct(*[c for c in per_value.columns if c not in on])
+    marked = rows.join(F.broadcast(per_value.where(heavy).select(*on, values.alias("_heavy"))), on, "left")
+    marked = marked.withColumn("_salt", F.when(F.col("_heavy").isNotNull(), F.lit(1) + F.pmod(F.xxhash64(*rows.columns), F.lit(HEAVY_PARTS))).otherwise(F.lit(0)).cast("bigint"))
+    # a salt that Catalyst cannot tell is 0: it takes literals out of join keys
+    light = per_value.where(~heavy).select(*on, values.alias("_light"), F.least(F.col(size), F.lit(0)).cast("bigint").alias("_salt"))
+    joined = marked.join(light.hint("merge"), [*on, "_salt"], "left").withColumn("_found", F.coalesce("_heavy", "_light"))
+    return joined.where(F.col("_found").isNotNull()).select(*rows.columns, "_found.*")
+
+
+#: Rows of a group that one task orders, or one buffer takes. Larger groups are cut into stretches.
+GROUP_ROWS = 1_000_000
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; runs at once."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
+def quantiles_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """(keys, feature, q): exact quantiles of the columns in each group, with linear interpolation; groups without values have null.
+
+    Where a group has more than GROUP_ROWS rows, the values of all are counted, and found by running totals: no task or
+    buffer holds a group.
+    """
+    points = F.array(*[F.lit(float(p)) for p in at])
+    if largest_group(df, keys) <= GROUP_ROWS:
+        each = [F.struct(F.lit(c).alias("feature"), F.percentile(_double(c), points).alias("q")).alias(f"_{k}") for k, c in enumerate(cols)]
+        return df.groupBy(*keys).agg(*each).select(*keys, F.inline(F.array(*[f"_{k}" for k in range(len(cols))])))
+    keyed = df.withColumn("_key", F.struct(*keys))
+    run = running_total(value_counts(keyed, cols, ["_key"]), cuts(df, cols), "n", keys=["_key"])
+    held = lambda rank: F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value")))
+    places = [F.lit(float(p)) * (F.col("total") - 1) for p in at]
+    ends = [held(f(x)).alias(f"_{side}{k}") for k, x in enumerate(places) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    found = run.groupBy("_key", "feature", "total").agg(*ends)
+    q = F.array(*[F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (x - F.floor(x)) for k, x in enumerate(places)])
+    every = keyed.select("_key", F.explode(F.array(*map(F.lit, cols))).alias("feature")).distinct()
+    return every.join(found.select("_key", "feature", q.alias("q")), ["_key", "feature"], "left").select(*[F.col("_key")[k].alias(k) for k in keys], "feature", "q")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) -> dict[str, list[float] | None]:
@@ -57,8 +140,10 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) ->
     cols, points = list(dict.fromkeys(cols)), F.array(*[F.lit(float(p)) for p in at])
     if not cols:
         return {}
-    sizes = df.agg(*[F.approx_count_distinct(_double(c)).alias(f"_{k}") for k, c in enumerate(cols)]).first()
-    small = [c for c, n in zip(cols, sizes, strict=True) if n <= BUFFER_VALUES]
+    small = cols
+    if df.count() > BUFFER_VALUES:  # else no column has more values
+        sizes = df.agg(*[F.approx_count_distinct(_double(c)).alias(f"_{k}") for k, c in enumerate(cols)]).first()
+        small = [c for c, n in zip(cols, sizes, strict=True) if n <= BUFFER_VALUES]
     large = [c for c in cols if c not in small]
     out: dict[str, list[float] | None] = {}
     if small:

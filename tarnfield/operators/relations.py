@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tarnfield.staging import fresh_name, shared_folder, staged
 
 #: Rows of a table that may go out by broadcast.
 SMALL = 100_000
@@ -65,23 +66,44 @@ def pairwise_segments(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def expand_frontier(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, member: str = "member", group: str = "group") -> DataFrame:
+def _bucketed(df: DataFrame, by: str, buckets: int, name: str) -> str:
+    """A new external table of the session's catalog with ``df``, bucketed by a column; its files are in the shared folder."""
+    made = fresh_name(name)
+    writer = df.repartition(buckets, by).write.bucketBy(buckets, by).format("parquet")  # hashes like the buckets: a file each
+    writer.option("path", f"{shared_folder(df.sparkSession)}/{made}").saveAsTable(made)
+    return made
+
+
+def frontier_round(by_group: DataFrame, by_member: DataFrame, frontier: DataFrame, reached: DataFrame, member: str, group: str) -> DataFrame:
+    """Groups that share a member with ``frontier`` and are not ``reached``. Both tables of edges are read by their buckets: the frontier and its members alone are shuffled."""
+    members = by_group.join(frontier, group, "left_semi").select(member).distinct()
+    return by_member.join(members, member, "left_semi").select(group).distinct().join(reached, group, "left_anti")
+
+
+def expand_frontier(edges: DataFrame, seeds: DataFrame, rounds: int | None = None, member: str = "member", group: str = "group", buckets: int | None = None) -> DataFrame:
     """(group, round): groups reached from ``seeds`` over shared members, with the round that reached them (seeds 0).
 
-    Rounds go on until one finds no new group, or for ``rounds`` of them. Each runs at once and is cut by a checkpoint
-    where the session has a checkpoint folder; without one, only few rounds are possible.
+    Rounds go on until one finds no new group, or for ``rounds`` of them; they run at once. The different edges are written
+    twice, bucketed by group and by member, and what is reached is appended to a third table, bucketed by group. Choose
+    ``buckets`` so that a bucket fits a task; it defaults to the number of shuffle partitions. Null members connect nothing.
     """
-    edges = edges.where(F.col(group).isNotNull())  # a null would be new in every round
-    reached = seeds.select(group).distinct().withColumn("round", F.lit(0))
-    frontier, k = reached, 0
+    spark = edges.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = edges.select(group, member).where(F.col(group).isNotNull() & F.col(member).isNotNull()).distinct()
+    by_group = _bucketed(edges, group, buckets, "edges_by_group")
+    by_member = _bucketed(spark.table(by_group), member, buckets, "edges_by_member")
+    frontier = staged(seeds.select(group).distinct().withColumn("round", F.lit(0)), "frontier")
+    kind = dict(frontier.dtypes)[group]
+    reached, k = _bucketed(frontier, group, buckets, "reached"), 0
+    found = spark.table(reached)
     while rounds is None or k < rounds:
         k += 1
-        members = edges.join(frontier.select(group), group, "left_semi").select(member).distinct()
-        found = edges.join(members, member, "left_semi").select(group).distinct().join(reached.select(group), group, "left_anti")
-        frontier = found.withColumn("round", F.lit(k))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            frontier = frontier.checkpoint()  # else the plan grows with each round
+        new = frontier_round(spark.table(by_group), spark.table(by_member), frontier.select(group), spark.table(reached).select(group), member, group)
+        frontier = staged(new.select(F.col(group).cast(kind).alias(group), F.lit(k).alias("round")), "frontier")
         if frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier)
-    return reached
+        frontier.repartition(buckets, group).write.bucketBy(buckets, group).format("parquet").mode("append").saveAsTable(reached)
+    found = spark.read.schema(found.schema).parquet(f"{shared_folder(spark)}/{reached}")
+    for table in (by_group, by_member, reached):  # the files stay in the shared folder
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return found

@@ -8,6 +8,7 @@ need no task that holds all values (``order``); ``approximate`` gives an accurac
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -19,7 +20,9 @@ from pyspark.sql import Window as W
 from tarnfield.functions import adjusted_kurtosis, adjusted_skewness, concept, number, quantile, safe_ratio
 from tarnfield.operators.clean import medians
 from tarnfield.operators.features import average_rank
-from tarnfield.operators.order import cuts, exact_quantiles, running_total
+from tarnfield.operators import order
+from tarnfield.operators.order import attach, average_ranks, cuts, exact_quantiles, largest_group, quantiles_by, running_total, text_cuts, value_counts
+from tarnfield.staging import staged
 
 Metric = Callable[[Column], Column]
 
@@ -52,11 +55,16 @@ def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 def numeric_summary(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), approximate: int | None = None) -> DataFrame:
     """n, min, max, mean, std (0 for one value), p25, p50, p75, p95, iqr, cv (null for mean 0); what is no number is left out."""
     clean, at = df.select(*keys, *[number(c).alias(c) for c in cols]), [0.25, 0.5, 0.75, 0.95]
+    apart = keys and not approximate
     out = per_column(clean, cols, {
         "n": F.count, "min_value": F.min, "max_value": F.max, "mean_value": F.avg,
         "std_value": lambda x: F.when(F.count(x) > 1, F.stddev_samp(x)).when(F.count(x) == 1, F.lit(0.0)),
-    } | ({"q": lambda x: quantile(x, at, approximate)} if keys or approximate else {}), keys)
-    if not keys and not approximate:
+    } | ({"q": lambda x: quantile(x, at, approximate)} if approximate else {}), keys)
+    if apart:
+        by = quantiles_by(clean, keys, cols, at).withColumnsRenamed({k: f"_{k}" for k in keys}).withColumnRenamed("feature", "_feature")
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("feature") == F.col("_feature"))
+        out = out.join(by, same).drop("_feature", *[f"_{k}" for k in keys])
+    elif not approximate:
         out = with_quantiles(out, clean, cols, at)
     q = {f"p{p}": F.get("q", F.lit(k)) for k, p in enumerate((25, 50, 75, 95))}
     return out.withColumns(q).drop("q").withColumns({"iqr": F.col("p75") - F.col("p25"), "cv": safe_ratio("std_value", "mean_value")})
@@ -129,8 +137,8 @@ def histogram(df: DataFrame, c: str, bins: int = 20, log: bool = False, keys: Se
 
 def five_number(df: DataFrame, cls: str, c: str) -> DataFrame:
     """Box-plot data: minimum, quartiles and maximum of ``c`` by class."""
-    out = df.groupBy(cls).agg(quantile(c, [0, 0.25, 0.5, 0.75, 1]).alias("_q"))
-    return out.select(cls, *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("min_value", "q1", "median", "q3", "max_value"))])
+    out = quantiles_by(df, [cls], [c], [0, 0.25, 0.5, 0.75, 1])
+    return out.select(cls, *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("min_value", "q1", "median", "q3", "max_value"))])
 
 
 # shape, constancy, outliers -----------------------------------------------------------------------------------------
@@ -212,33 +220,69 @@ def safe_corr(x: str, y: str) -> Column:
 
 
 def ranked(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep, feature, value, avg_rank): ranks over the whole column from counts of its different values."""
+    """(keep, feature, value, avg_rank, ties): ranks over the whole column from counts of its different values."""
     rows = long_form(df, cols, keep).where(F.col("value").isNotNull())
-    counts = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("_n"))
-    ranks = running_total(counts, cuts(df, cols), "_n").select("feature", "value", (F.col("upto") - (F.col("_n") - 1) / F.lit(2.0)).alias("avg_rank"), F.col("_n").alias("ties"))
-    return rows.join(ranks, ["feature", "value"])
+    ranks = staged(average_ranks(value_counts(df, cols), cuts(df, cols)).select("feature", "value", "avg_rank", F.col("n").alias("ties")), "ranks")
+    return attach(rows, ranks, ["feature", "value"], "ties")
+
+
+def pair_ranks(rows: DataFrame, edges: DataFrame, target: str, keys: Sequence[str] = ()) -> DataFrame:
+    """``rows`` (keys, feature, value, _y) with _rx and _ry, the average ranks of both over the rows of their key and feature.
+
+    Ranks come from counts of the different values, of which ``edges`` cuts each feature's, and the target's, into stretches.
+    """
+    own = f"\0{target}"
+    edges = edges.unionByName(edges.where(F.col("feature") == target).withColumn("feature", F.lit(own)))
+    sides = F.array(F.struct(F.col("feature").alias("axis"), "value"), F.struct(F.lit(own).alias("axis"), F.col("_y").alias("value")))
+    counts = rows.select(*keys, F.col("feature").alias("_of"), F.inline(sides)).groupBy(*keys, "_of", F.col("axis").alias("feature"), "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = staged(average_ranks(counts, edges, [*keys, "_of"]), "pair-ranks")
+    x = ranks.where(F.col("feature") != own).select(*keys, F.col("_of").alias("feature"), "value", F.col("avg_rank").alias("_rx"), F.col("n").alias("_nx"))
+    y = ranks.where(F.col("feature") == own).select(*keys, F.col("_of").alias("feature"), F.col("value").alias("_y"), F.col("avg_rank").alias("_ry"), F.col("n").alias("_ny"))
+    return attach(attach(rows, x, [*keys, "feature", "value"], "_nx"), y, [*keys, "feature", "_y"], "_ny").drop("_nx", "_ny")
 
 
 def target_correlation(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     """Pearson and Spearman of each feature with the target, over rows that have both."""
     rows = long_form(df, cols, [F.col(target).cast("double").alias("_y")]).where(F.col("value").isNotNull() & F.col("_y").isNotNull())
-    edges = cuts(df, [target, *cols])
-    of_target = edges.where(F.col("feature") == target).select("cuts")
-    every = df.sparkSession.createDataFrame([(c,) for c in cols], "feature string")
-    for x, out, at in (("value", "_rx", edges), ("_y", "_ry", every.crossJoin(F.broadcast(of_target)))):  # a row per column
-        counts = rows.groupBy("feature", x).agg(F.count(F.lit(1)).alias("_n"))
-        rows = rows.join(running_total(counts, at, "_n", x).select("feature", x, (F.col("upto") - (F.col("_n") - 1) / F.lit(2.0)).alias(out)), ["feature", x])
+    rows = pair_ranks(rows, cuts(df, list(dict.fromkeys([target, *cols]))), target)
     return rows.groupBy("feature").agg(safe_corr("value", "_y").alias("pearson"), safe_corr("_rx", "_ry").alias("spearman"))
 
 
+#: Products that one aggregate sums up.
+PRODUCTS = 200
+
+
+def rank_correlations(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float]:
+    """Spearman of each pair of columns without nulls: the Gram matrix of their centred ranks, PRODUCTS entries at a time.
+
+    A column's ranks are looked up by value, from a broadcast table or, for a column of many values, by one exchange.
+    """
+    ranks = staged(average_ranks(value_counts(df, cols), cuts(df, cols)), "column-ranks")
+    wide = df.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(cols)])
+    for k, c in enumerate(cols):
+        own = ranks.where(F.col("feature") == c).select(F.col("value").alias(f"_{k}"), (F.col("avg_rank") - (F.col("total") + 1) / F.lit(2.0)).alias(f"_r{k}"), "n")
+        wide = attach(wide, own, [f"_{k}"], "n").drop("n", f"_{k}")
+    entries = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+    if len(entries) > PRODUCTS:
+        wide = staged(wide, "rank-columns")
+    sums: dict[tuple[int, int], float] = {}
+    for low in range(0, len(entries), PRODUCTS):
+        part = entries[low : low + PRODUCTS]
+        sums |= dict(zip(part, wide.agg(*[F.sum(F.col(f"_r{i}") * F.col(f"_r{j}")).alias(f"s{i}_{j}") for i, j in part]).first(), strict=True))
+    return {(cols[i], cols[j]): sums[i, j] / (sums[i, i] * sums[j, j]) ** 0.5 for i, j in entries if i < j and sums[i, i] and sums[j, j]}
+
+
 def correlation_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson", threshold: float = 0.0) -> DataFrame:
     """(feature_a, feature_b, r) with a before b in ``cols`` and abs(r) > threshold; nulls are medians first. The matrix alone reaches the driver."""
     middle = medians(df, cols)
     used = [c for c in cols if middle[c] is not None]
     filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(middle[c])).alias(c) for c in used])
-    vectors = VectorAssembler(inputCols=used, outputCol="v").transform(filled).select("v")
-    m = Correlation.corr(vectors, "v", method).first()[0].toArray()
-    pairs = [(used[i], used[j], float(m[i, j])) for i in range(len(used)) for j in range(i + 1, len(used)) if abs(m[i, j]) > threshold]
+    if method == "spearman":
+        r = rank_correlations(filled, used)
+    else:
+        m = Correlation.corr(VectorAssembler(inputCols=used, outputCol="v").transform(filled).select("v"), "v", method).first()[0].toArray()
+        r = {(used[i], used[j]): float(m[i, j]) for i in range(len(used)) for j in range(i + 1, len(used))}
+    pairs = [(a, b, x) for (a, b), x in r.items() if abs(x) > threshold]
     return df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")
 
 
@@ -256,10 +300,10 @@ def kruskal_h(df: DataFrame, cls: str, cols: Sequence[str], larger_than: int = 5
     rows = long_form(df, cols, [F.col(cls).alias("_c")]).where(F.col("value").isNotNull() & F.col("_c").isNotNull())
     large = rows.groupBy("feature", "_c").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > larger_than).select("feature", "_c")
     rows = rows.join(large, ["feature", "_c"], "left_semi")
-    counts = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t"))
-    ranks = running_total(counts, cuts(df, cols), "t").select("feature", "value", (F.col("upto") - (F.col("t") - 1) / F.lit(2.0)).alias("r"))
-    ties = counts.groupBy("feature").agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"), F.sum("t").alias("n"))
-    sums = rows.join(ranks, ["feature", "value"]).groupBy("feature", "_c").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
+    counts = rows.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranks = staged(average_ranks(counts, cuts(df, cols)).select("feature", "value", F.col("avg_rank").alias("r"), F.col("n").alias("t")), "kruskal-ranks")
+    ties = ranks.groupBy("feature").agg(F.sum(F.pow(F.col("t"), 3) - F.col("t")).alias("ties"), F.sum("t").alias("n"))
+    sums = attach(rows, ranks, ["feature", "value"], "t").groupBy("feature", "_c").agg(F.sum("r").alias("s"), F.count(F.lit(1)).alias("k"))
     h = sums.groupBy("feature").agg(F.sum(F.col("s") * F.col("s") / F.col("k")).alias("q"), (F.count(F.lit(1)) - 1).alias("df")).join(ties, "feature")
     n = F.col("n").cast("double")
     raw = F.lit(12.0) / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
@@ -315,7 +359,10 @@ def binned_mutual_information(df: DataFrame, cols: Sequence[str], target: str, b
 def group_spearman(df: DataFrame, group: str, target: str, variables: Sequence[str]) -> DataFrame:
     """(group, feature, rho): Spearman of each variable with the target inside each group, over rows that have both; null groups and those without spread are left out."""
     rows = long_form(df, variables, [group, F.col(target).cast("double").alias("_y")]).where(F.col("value").isNotNull() & F.col("_y").isNotNull() & F.col(group).isNotNull())
-    ranks = rows.select(group, "feature", average_rank("value", [group, "feature"]).alias("_rx"), average_rank("_y", [group, "feature"]).alias("_ry"))
+    if largest_group(df, [group]) > order.GROUP_ROWS:
+        ranks = pair_ranks(rows, cuts(df, list(dict.fromkeys([target, *variables]))), target, [group])
+    else:
+        ranks = rows.select(group, "feature", average_rank("value", [group, "feature"]).alias("_rx"), average_rank("_y", [group, "feature"]).alias("_ry"))
     return ranks.groupBy(group, "feature").agg(safe_corr("_rx", "_ry").alias("rho")).where(F.col("rho").isNotNull())
 
 
@@ -331,8 +378,11 @@ def proxy_audit(df: DataFrame, group: str, target: str, variables: Sequence[str]
     TOO_DIRECT: abs(median) >= 0.95 and share >= 0.8; POTENTIAL PROXY: abs(median) >= 0.8 or share >= 0.5; else SAFE;
     INSUFFICIENT_DATA without a usable group; EXCLUDE for banned names. Classes come from unrounded values.
     """
-    rho = group_spearman(df, group, target, variables)
-    sums = rho.groupBy("feature").agg(quantile("rho", 0.5).alias("median_rho"), quantile(F.abs("rho"), 0.9).alias("p90_abs_rho"), F.avg(F.when(F.abs("rho") > NEAR_ONE, 1.0).otherwise(0.0)).alias("share_above"), F.count(F.lit(1)).alias("n_groups"))
+    rho = staged(group_spearman(df, group, target, variables), "rho").select(F.col("feature").alias("variable"), "rho", F.abs("rho").alias("abs_rho"))
+    at = quantiles_by(rho, ["variable"], ["rho", "abs_rho"], [0.5, 0.9])
+    middles = at.groupBy("variable").agg(F.max(F.when(F.col("feature") == "rho", F.get("q", F.lit(0)))).alias("median_rho"), F.max(F.when(F.col("feature") == "abs_rho", F.get("q", F.lit(1)))).alias("p90_abs_rho"))
+    sums = rho.groupBy("variable").agg(F.avg(F.when(F.col("abs_rho") > NEAR_ONE, 1.0).otherwise(0.0)).alias("share_above"), F.count(F.lit(1)).alias("n_groups"))
+    sums = sums.join(middles, "variable").withColumnRenamed("variable", "feature")
     every = df.sparkSession.createDataFrame([(v,) for v in variables], "feature string")
     out = every.join(F.broadcast(sums), "feature", "left")
     middle = F.abs("median_rho")
@@ -406,6 +456,9 @@ def rank_features(scores: DataFrame, c: str, n: int = 15, absolute: bool = False
 
 
 def encode_category(df: DataFrame, c: str, out: str) -> DataFrame:
-    """``c`` as whole numbers from 0 in the order of its values; null stays null. The different values alone are ranked."""
-    codes = df.where(F.col(c).isNotNull()).select(c).distinct().withColumn(out, F.dense_rank().over(W.orderBy(c)) - 1)
-    return df.join(codes, c, "left")
+    """``c`` as whole numbers from 0 in the order of its values; null stays null. The different values alone are ranked, in stretches."""
+    values = staged(df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("_n")).withColumns({"feature": F.lit(c), "_one": F.lit(1)}), "categories")
+    edges = df.sparkSession.createDataFrame([(c, text_cuts(values, "value"))], T.StructType([T.StructField("feature", T.StringType()), T.StructField("cuts", T.ArrayType(values.schema["value"].dataType))]))
+    codes = staged(running_total(values, edges, "_one").select(F.col("value").alias(c), (F.col("upto") - 1).cast("int").alias(out), "_n"), "category-codes")
+    empty = df.where(F.col(c).isNull()).withColumn(out, F.lit(None).cast("int"))
+    return attach(df.drop(out), codes, [c], "_n").drop("_n").select(*df.drop(out).columns, out).unionByName(empty.select(*df.drop(out).columns, out))

@@ -736,13 +736,14 @@ def pairwise_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS m FROM lineitem WHERE l_quantity < 3), r(g, round) AS (SELECT 1, 0 UNION SELECT b.g, r.round + 1 FROM r JOIN e a ON a.g = r.g JOIN e b ON a.m = b.m WHERE r.round < 2)
-SELECT CAST(g AS BIGINT) AS "group", CAST(min(round) AS INT) AS round FROM r GROUP BY g
+WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS g, l_partkey AS m FROM lineitem), r(g, round) USING KEY (g) AS (SELECT min(s_suppkey), 0 FROM supplier UNION
+SELECT DISTINCT b.g, r.round + 1 FROM r JOIN e a ON a.g = r.g JOIN e b ON a.m = b.m WHERE r.round < 1 AND NOT EXISTS (SELECT 1 FROM recurring.r x WHERE x.g = b.g))
+SELECT g AS "group", round FROM r
 """)
 def expand_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers reached from one over shared parts, in two rounds."""
-    edges = table(spark, sf, "lineitem").where("l_quantity < 3").select(F.col("l_suppkey").alias("group"), F.col("l_partkey").alias("member")).distinct()
-    return relations.expand_frontier(edges, edges.select("group").where("group = 1").unionByName(spark.range(1, 2).select(F.col("id").alias("group"))), 2)
+    """Suppliers that share a part with the first one: one round over all lines."""
+    edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("group"), F.col("l_partkey").alias("member"))
+    return relations.expand_frontier(edges, table(spark, sf, "supplier").agg(F.min("s_suppkey").alias("group")), 1)
 
 
 @query("""

@@ -197,3 +197,33 @@ def test_checks_of_datasets(spark, rows):
     assert select.join_suffixed(left, right, ["k"], "_player").columns == ["k", "x", "x_player", "y"]
     found = select.column_difference(left, right.unionByName(right.withColumn("y", F.lit(None).cast("int"))))
     assert rows(found) == [("y", "right", 1)]
+
+
+def test_canonical_json_of_long_and_deep_values(spark):
+    """Strings of a million characters and a hundred nested levels: no stack and no entry for each character."""
+    deep = 1
+    for _ in range(100):
+        deep = {"k": [deep, "a,b:c"]}
+    values = ["x" * 1_000_000, {"b": 1, "a": "é, " * 100_000}, deep, {"c": ["é", "日本🙂", None, True, 1.5], "a": 'x, y: "q" \\ z'}, [], {}, "", "\x7f\x80", 'a\\"b,c:d']
+    df = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "k int, t string").select("k", fn.canonical_json(F.parse_json("t")).alias("j"))
+    assert {r.k: r.j for r in df.collect()} == {k: json.dumps(v, sort_keys=True) for k, v in enumerate(values)}
+
+
+def test_frontier_rounds_shuffle_no_edges(spark):
+    """In a round, both tables of edges are read by their buckets; what is shuffled is the frontier and what follows from it."""
+    edges = spark.range(2000).select((F.col("id") % 50).alias("group"), (F.col("id") % 333).alias("member"))
+    names = [relations._bucketed(edges, c, 4, "edges_test") for c in ("group", "member", "group")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = relations.frontier_round(spark.table(names[0]), spark.table(names[1]), spark.range(1).select(F.col("id").alias("group")), spark.table(names[2]).select("group"), "member", "group")
+        plan = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    exchanges = [k for k, line in enumerate(plan) if "Exchange" in line]
+    assert len(exchanges) == 3  # the frontier, its members, the groups that hold them
+    for k, line in enumerate(plan):
+        if "Scan parquet" in line:
+            above = next(x for x in range(k, -1, -1) if "Join" in plan[x] or "Exchange" in plan[x])
+            assert "Bucketed: true" in line and "Join" in plan[above]

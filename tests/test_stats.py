@@ -7,7 +7,8 @@ import statistics as st
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfield.operators import matrix, order, stats
+from tarnfield import staging
+from tarnfield.operators import features, matrix, order, stats
 
 VALUES = [1, 2, 2, 7, 9, 30]
 
@@ -198,3 +199,77 @@ def test_mode_of_text_and_hash_of_repeated_rows(spark):
     twice = lambda v: spark.createDataFrame([(v,), (v,)], "x string")
     hashes = {stats.manifest(d).first().content_hash for d in (twice("a"), twice("b"), twice(None), twice("a").limit(1))}
     assert len(hashes) == 4 and stats.manifest(df).first().content_hash == stats.manifest(df.orderBy("t")).first().content_hash
+
+
+# groups and values of any size --------------------------------------------------------------------------------------
+
+
+@pytest.fixture
+def large_groups(spark):
+    """Rows of which one group holds most, with one value in nine of ten of them."""
+    r = random.Random(7)
+    data = [(r.choice([1, 1, 1, 1, 2, 3, None]), 0.0 if r.random() < 0.9 else round(r.random(), 2), r.choice([None, 1.0, 2.5, r.random()]), k) for k in range(1500)]
+    return spark.createDataFrame(data, "g int, x double, y double, k int")
+
+
+def same_both_ways(monkeypatch, build, *cols):
+    """The result with whole groups in a task and with stretches of them."""
+    key = lambda t: [repr(x) for x in t]
+    got = []
+    for bound in (1_000_000, 10):
+        monkeypatch.setattr(order, "GROUP_ROWS", bound)
+        monkeypatch.setattr(order, "SMALL", bound)
+        got.append(sorted((tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in build().select(*cols).collect()), key=key))
+    assert got[0] == got[1] and got[0]
+
+
+def test_quantiles_of_large_groups(large_groups, monkeypatch):
+    df = large_groups.where("g is not null")
+    same_both_ways(monkeypatch, lambda: stats.numeric_summary(large_groups, ["x", "y"], ["g"]), "g", "feature", "n", "p25", "p50", "p75", "p95", "iqr")
+    same_both_ways(monkeypatch, lambda: stats.five_number(df, "g", "y"), "g", "min_value", "q1", "median", "q3", "max_value")
+    same_both_ways(monkeypatch, lambda: features.group_composition(large_groups, "g", ["x", "y"], ["k"], {"zero": F.col("x") == 0}, ["k"]), "*")
+    same_both_ways(monkeypatch, lambda: stats.proxy_audit(large_groups, "g", "k", ["x", "y"]), "*")
+
+
+def test_ranks_of_large_groups(large_groups, monkeypatch):
+    same_both_ways(monkeypatch, lambda: features.group_relative(large_groups, "g", ["x", "y"], ["x", "y"], emit_means=True), "*")
+    same_both_ways(monkeypatch, lambda: stats.group_spearman(large_groups, "g", "k", ["x", "y"]), "*")
+    same_both_ways(monkeypatch, lambda: stats.target_correlation(large_groups, "k", ["x", "y", "k"]), "*")
+    same_both_ways(monkeypatch, lambda: stats.kruskal_h(large_groups, "g", ["x", "y"]), "*")
+    same_both_ways(monkeypatch, lambda: stats.correlation_pairs(large_groups, ["x", "y", "k"], "spearman"), "*")
+
+
+def test_no_task_holds_a_large_group(large_groups, monkeypatch):
+    """Windows are keyed by stretches besides the group, and no buffer collects its values."""
+    monkeypatch.setattr(order, "GROUP_ROWS", 10)
+    plan = order.quantiles_by(large_groups, ["g"], ["x", "y"], [0.5])._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.split("\n") if "Window [" in line]
+    assert windows and "percentile(" not in plan
+    assert all("_stretch" in line.split("], [")[1] or "_in" in line for line in windows)
+
+
+def test_heavy_values_are_spread(spark, monkeypatch):
+    """Nine of ten values are 0: their rows go to many tasks, and have the ranks of all the others."""
+    monkeypatch.setattr(order, "SMALL", 10)
+    df = spark.range(40_000).select(F.when(F.col("id") % 10 != 0, 0.0).otherwise(F.col("id").cast("double")).alias("x"), "id")
+    ranks = order.average_ranks(order.value_counts(df, ["x"]), order.cuts(df, ["x"]))
+    ranks = staging.staged(ranks, "ranks")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = order.attach(df.select(F.lit("x").alias("feature"), F.col("x").alias("value"), "id"), ranks, ["feature", "value"], "n")
+        parts = [r["count"] for r in joined.where("value = 0").groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(parts) == 4 and max(parts) < 0.4 * sum(parts) and sum(parts) == 36_001
+    assert {r.avg_rank for r in joined.where("value = 0").select("avg_rank").distinct().collect()} == {18_001.0}
+
+
+def test_category_codes_without_one_task(spark):
+    r = random.Random(3)
+    values = [r.choice([None, "", "é", "zz", f"v{r.randint(0, 3000)}"]) for _ in range(6000)]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v string")
+    out = stats.encode_category(df, "v", "code")
+    codes = {v: k for k, v in enumerate(sorted({v for v in values if v is not None}, key=lambda v: v.encode()))}
+    assert {x.k: x.code for x in out.collect()} == {k: codes.get(v) for k, v in enumerate(values)}
+    assert out.columns == ["k", "v", "code"] and "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert stats.encode_category(df.limit(0), "v", "code").count() == 0
