@@ -15,7 +15,8 @@ rows are aligned and counted each; an empty table gives an empty result; of othe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,7 @@ from tarnfield.llm.tokens import byte_ids, byte_tokens, load_pieces, piece_token
 from tarnfield.llm.words import portions
 
 #: Windows that a Python worker remembers, and the ids of the longest of them.
-MEMORY, MEMORY_IDS = 400_000, 24
+MEMORY, MEMORY_IDS = 100_000, 24
 #: Windows that are looked up at a time, and bytes of text that are encoded together.
 WINDOWS_AT_ONCE, TEXTS_AT_ONCE = 100_000, 2_000_000
 
@@ -47,7 +48,9 @@ class Aligner:
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = Vocabulary(byte_tokens(a_path)), Vocabulary(piece_tokens(b_path))
-        self.encode_a, self.pieces = byte_ids(a_path, as_text=True).encode, load_pieces(b_path)
+        encoder = byte_ids(a_path, as_text=True)
+        self.encode_a, self.pieces, self.a_whole = encoder.encode, load_pieces(b_path), encoder.fast is not None  # every byte is a token there
+        self.texts = [b"%d%b" % (k, sign) for v, last in ((self.a, b"|"), (self.b, b";")) for k in range(len(v.tokens)) for sign in (b",", last)]
         self.seen: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -55,27 +58,32 @@ class Aligner:
         spaced = [b" " + t if t else b"" for t in texts]
         out = []
         for text, a, b in zip(spaced, self.encode_a(spaced), self.pieces.encode([t.decode() for t in texts], num_threads=1), strict=True):
-            a, b = np.frombuffer(a, "<u4"), np.array(b, "<u4")
-            whole = text and all(b"".join(map(v.tokens.__getitem__, ids.tolist())) == text for v, ids in ((self.a, a), (self.b, b)))
-            out.append((a, b) if whole else (a[:0], b[:0]))
+            whole = text and self._joined(self.b, b) == text and (self.a_whole or self._joined(self.a, array("I", a)) == text)
+            out.append((np.frombuffer(a, "<u4"), np.array(b, "<u4")) if whole else (np.zeros(0, "<u4"), np.zeros(0, "<u4")))
         return out
 
-    def _align(self, a: list[int], b: list[int]) -> tuple[bytes, bytes]:
-        """(groups as text, pairs) of one window: ids of A and B over the same bytes."""
-        groups, pairs, i, j, at_a, at_b = [], [], 0, 0, 0, 0
-        begin_a = begin_b = 0
-        while i < len(a) or j < len(b):
-            if at_a <= at_b:
-                at_a += len(self.a.tokens[a[i]])
-                i += 1
-            else:
-                at_b += len(self.b.tokens[b[j]])
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, a[begin_a:i]))}|{','.join(map(str, b[begin_b:j]))}")
-                pairs.append(a[i - 1] * len(self.b.tokens) + b[j - 1])
-                begin_a, begin_b = i, j
-        return ";".join(groups).encode(), np.array(pairs, np.uint64).tobytes()
+    @staticmethod
+    def _joined(vocabulary: Vocabulary, ids: Iterable[int]) -> bytes:
+        return b"".join(map(vocabulary.tokens.__getitem__, ids))
+
+    def _align(self, keys: list[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
+        """(groups as text, pairs) of windows, each the ids of A and B over the same bytes."""
+        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), "<u4") for side in (0, 1))
+        ends_a, ends_b = (np.cumsum([len(k[side]) // 4 for k in keys]) for side in (0, 1))
+        _, x, y = np.intersect1d(np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b]), assume_unique=True, return_indices=True)  # last tokens of groups
+        pairs = (a[x].astype(np.uint64) * np.uint64(len(self.b.tokens)) + b[y]).tobytes()
+        # the ids as text, a group's of A before its of B, each with the sign that follows it
+        of_a, of_b = (np.repeat(np.arange(len(x)), np.diff(last, prepend=-1)) for last in (x, y))
+        signs_a, signs_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        signs_a[x], signs_b[y] = 1, 1
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.append(0, y[:-1] + 1)[of_a]] = 2 * a + signs_a
+        codes[np.arange(len(b)) + (x + 1)[of_b]] = 2 * (len(self.a.tokens) + b.astype(np.int64)) + signs_b
+        parts = list(map(self.texts.__getitem__, codes.tolist()))
+        low = from_pair = 0
+        for high, to_pair in zip((ends_a + ends_b).tolist(), (8 * np.searchsorted(x, ends_a)).tolist(), strict=True):
+            yield b"".join(parts[low:high])[:-1], pairs[from_pair:to_pair]
+            low, from_pair = high, to_pair
 
     def windows(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where windows begin among the ids of A and of B, and where the last ones end."""
@@ -93,14 +101,15 @@ class Aligner:
         groups, pairs = [], []
         for low in range(0, len(at_a) - 1, WINDOWS_AT_ONCE):
             ends_a, ends_b = ((4 * x[low : low + WINDOWS_AT_ONCE + 1]).tolist() for x in (at_a, at_b))
-            found = []
-            for key in zip((raw_a[x:y] for x, y in zip(ends_a, ends_a[1:], strict=False)), (raw_b[x:y] for x, y in zip(ends_b, ends_b[1:], strict=False)), strict=True):
-                window = seen.get(key)
-                if window is None:
-                    window = self._align(*(np.frombuffer(k, "<u4").tolist() for k in key))
+            keys = list(zip([raw_a[x:y] for x, y in zip(ends_a, ends_a[1:], strict=False)], [raw_b[x:y] for x, y in zip(ends_b, ends_b[1:], strict=False)], strict=True))
+            found = list(map(seen.get, keys))
+            if None in found:
+                fresh = list(dict.fromkeys(key for key, window in zip(keys, found, strict=True) if window is None))
+                new = dict(zip(fresh, self._align(fresh), strict=True))
+                found = [window or new[key] for key, window in zip(keys, found, strict=True)]
+                for key, window in new.items():
                     if len(seen) < MEMORY and len(key[0]) + len(key[1]) <= 4 * MEMORY_IDS:
                         seen[key] = window
-                found.append(window)
             groups.append(b";".join([w[0] for w in found]))
             pairs.append(b"".join([w[1] for w in found]))
         return b";".join(groups), b"".join(pairs)

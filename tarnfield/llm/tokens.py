@@ -185,7 +185,7 @@ class ByteIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         ranks = merge_ranks(self.tokenizer) if cuts_spaces(self.tokenizer) else None
-        self.fast = ranks and tiktoken.Encoding("ranks", pat_str=BYTE_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.fast = None if ranks is None else tiktoken.Encoding("ranks", pat_str=BYTE_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         added = json.loads(self.tokenizer.to_str()).get("added_tokens") or []
         self.marks = re.compile(b"|".join(re.escape(t["content"].encode()) for t in added)) if added and not as_text else None
         self.tokenizer.encode_special_tokens = as_text
@@ -193,7 +193,7 @@ class ByteIds:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out, fast = [], self.fast
         for t in texts:
-            easy = fast and not RARE.search(t) and not WIDE_SPACE.search(t) and not (self.marks and self.marks.search(t))
+            easy = fast is not None and not RARE.search(t) and not WIDE_SPACE.search(t) and not (self.marks and self.marks.search(t))
             out.append(array("I", fast(t.decode()) if easy else self.tokenizer.encode(t.decode(), add_special_tokens=False).ids).tobytes())
         return out
 
@@ -206,7 +206,7 @@ def byte_ids(path: str, as_text: bool = False) -> ByteIds:
 
 def byte_tokens(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
-    vocabulary, value = load(path).get_vocab(), {c: b for b, c in byte_letters().items()}
+    vocabulary, value = byte_ids(path, True).tokenizer.get_vocab(), {c: b for b, c in byte_letters().items()}
     out = [b""] * (max(vocabulary.values()) + 1)
     for token, k in vocabulary.items():
         out[k] = bytes(map(value.__getitem__, token)) if all(c in value for c in token) else token.encode()
