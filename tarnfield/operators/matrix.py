@@ -29,8 +29,8 @@ def robust_scale(df: DataFrame, cols: Sequence[str], approximate: int | None = N
 def pca_variance(df: DataFrame, cols: Sequence[str], components: int = 20) -> DataFrame:
     """(component, explained, cumulative) of the standard-scaled columns; component from 1."""
     k = min(components, len(cols))
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(standard_scale(df, cols)).select("v")
-    shares = [float(x) for x in PCA(k=k, inputCol="v", outputCol="p").fit(vectors).explainedVariance]
+    vectors = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(standard_scale(df, cols)).select("_v")
+    shares = [float(x) for x in PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors).explainedVariance]
     total, rows = 0.0, []
     for n, x in enumerate(shares, 1):
         total += x
@@ -45,9 +45,9 @@ def components_needed(variance: DataFrame, share: float = 0.9) -> DataFrame:
 
 def pca_project(df: DataFrame, key: str, cols: Sequence[str], k: int = 2) -> DataFrame:
     """(key, pc1, ..., pck) of the standard-scaled columns; the sign of a component is arbitrary."""
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(standard_scale(df, cols)).select(key, "v")
-    p = vector_to_array(F.col("p"))
-    return PCA(k=k, inputCol="v", outputCol="p").fit(vectors).transform(vectors).select(key, *[p[i].alias(f"pc{i + 1}") for i in range(k)])
+    vectors = VectorAssembler(inputCols=list(cols), outputCol="_v").transform(standard_scale(df, cols)).select(key, "_v")
+    p = vector_to_array(F.col("_p"))
+    return PCA(k=k, inputCol="_v", outputCol="_p").fit(vectors).transform(vectors).select(key, *[p[i].alias(f"pc{i + 1}") for i in range(k)])
 
 
 def distance_outliers(df: DataFrame, key: str, cols: Sequence[str], share: float = 0.99) -> DataFrame:

@@ -114,6 +114,15 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
+def picked_quantiles(run: DataFrame, by: Sequence[str], at: Sequence[float]) -> DataFrame:
+    """(by, q): quantiles with linear interpolation from the ``running_total`` of each group's values."""
+    held = lambda rank: F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value")))
+    places = [F.lit(float(p)) * (F.col("total") - 1) for p in at]
+    ends = [held(f(x)).alias(f"_{side}{k}") for k, x in enumerate(places) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    q = F.array(*[F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (x - F.floor(x)) for k, x in enumerate(places)])
+    return run.groupBy(*by, "total").agg(*ends).select(*by, q.alias("q"))
+
+
 def quantiles_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], at: Sequence[float]) -> DataFrame:
     """(keys, feature, q): exact quantiles of the columns in each group, with linear interpolation; groups without values have null.
 
@@ -126,13 +135,9 @@ def quantiles_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], at: Se
         return df.groupBy(*keys).agg(*each).select(*keys, F.inline(F.array(*[f"_{k}" for k in range(len(cols))])))
     keyed = df.withColumn("_key", F.struct(*keys))
     run = running_total(value_counts(keyed, cols, ["_key"]), cuts(df, cols), "n", keys=["_key"])
-    held = lambda rank: F.max(F.when((rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n")), F.col("value")))
-    places = [F.lit(float(p)) * (F.col("total") - 1) for p in at]
-    ends = [held(f(x)).alias(f"_{side}{k}") for k, x in enumerate(places) for side, f in (("lo", F.floor), ("hi", F.ceil))]
-    found = run.groupBy("_key", "feature", "total").agg(*ends)
-    q = F.array(*[F.col(f"_lo{k}") + (F.col(f"_hi{k}") - F.col(f"_lo{k}")) * (x - F.floor(x)) for k, x in enumerate(places)])
+    found = picked_quantiles(run, ["_key", "feature"], at)
     every = keyed.select("_key", F.explode(F.array(*map(F.lit, cols))).alias("feature")).distinct()
-    return every.join(found.select("_key", "feature", q.alias("q")), ["_key", "feature"], "left").select(*[F.col("_key")[k].alias(k) for k in keys], "feature", "q")
+    return every.join(found, ["_key", "feature"], "left").select(*[F.col("_key")[k].alias(k) for k in keys], "feature", "q")
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) -> dict[str, list[float] | None]:

@@ -100,7 +100,11 @@ def missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def group_sizes(df: DataFrame, key: str, tops: Sequence[int] = (1, 10, 50, 100)) -> DataFrame:
     """One row: n_groups, mean, median, min and max size, and the share of all rows in the largest groups."""
-    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return size_summary(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")), key, tops)
+
+
+def size_summary(sizes: DataFrame, key: str, tops: Sequence[int] = (1, 10, 50, 100)) -> DataFrame:
+    """``group_sizes`` from the sizes (key, n) themselves."""
     stats = sizes.agg(F.count(F.lit(1)).alias("n_groups"), F.sum("n").alias("_total"), F.avg("n").alias("mean_size"), quantile("n", 0.5).alias("median_size"), F.min("n").alias("min_size"), F.max("n").alias("max_size"))
     largest = sizes.orderBy(F.desc("n"), key).limit(max(tops)).agg(F.sort_array(F.collect_list("n"), False).alias("_n"))
     top = {f"top{k}_share": safe_ratio(F.aggregate(F.slice("_n", 1, k), F.lit(0).cast("bigint"), lambda s, x: s + x), F.col("_total")) for k in tops}
@@ -113,12 +117,12 @@ def association_totals(df: DataFrame, key: str, association: str) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.count_if(has).alias("n_with"), F.count_if(~has).alias("n_without"))
 
 
-def binned(df: DataFrame, c: str, edges: Sequence[float], labels: Sequence[str]) -> DataFrame:
-    """Left-closed bins [edge, next edge), the last open; empty bins stay. bin, label, n, pct of rows, share at or above the bin."""
+def binned(df: DataFrame, c: str, edges: Sequence[float], labels: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Left-closed bins [edge, next edge), the last open; empty bins stay. bin, label, n, pct of rows, share at or above the bin. ``weight``: a row counts so often."""
     if len(edges) != len(labels):
         raise ValueError("one label per edge is needed")
     at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col(c).cast("double"))) - 1
-    counts = df.where(F.col(c).isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).where("bin >= 0")
+    counts = df.where(F.col(c).isNotNull()).groupBy(at.alias("bin")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("n")).where("bin >= 0")
     bins = df.sparkSession.createDataFrame(list(enumerate(labels)), "bin int, label string")
     full = bins.join(F.broadcast(counts), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -280,7 +284,7 @@ def correlation_pairs(df: DataFrame, cols: Sequence[str], method: str = "pearson
     if method == "spearman":
         r = rank_correlations(filled, used)
     else:
-        m = Correlation.corr(VectorAssembler(inputCols=used, outputCol="v").transform(filled).select("v"), "v", method).first()[0].toArray()
+        m = Correlation.corr(VectorAssembler(inputCols=used, outputCol="_v").transform(filled).select("_v"), "_v", method).first()[0].toArray()
         r = {(used[i], used[j]): float(m[i, j]) for i in range(len(used)) for j in range(i + 1, len(used))}
     pairs = [(a, b, x) for (a, b), x in r.items() if abs(x) > threshold]
     return df.sparkSession.createDataFrame(pairs, "feature_a string, feature_b string, r double")

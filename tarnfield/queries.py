@@ -1021,8 +1021,8 @@ SELECT feature, round(lo, 4) AS lower_bound, round(hi, 4) AS upper_bound, n_outl
 """)
 def profile_preset(spark: SparkSession, sf: str) -> DataFrame:
     """Headlines of the exploratory profile of lines: outliers, correlation and information per feature."""
-    found = profile.profile(table(spark, sf, "lineitem"), _AUDIT_COLS, ["l_returnflag"], "l_extendedprice", {"money": "price"})
-    return rounded(found["outliers"].join(found["target_correlation"], "feature").join(found["mutual_information"], "feature"), digits=4)
+    found = profile.Profile(table(spark, sf, "lineitem"), _AUDIT_COLS, ["l_returnflag"], "l_extendedprice", {"money": "price"})
+    return rounded(found.table("outliers").join(found.table("target_correlation"), "feature").join(found.table("mutual_information"), "feature"), digits=4)
 
 
 @query("""
