@@ -117,6 +117,37 @@ t{k + 1} AS (SELECT host, path, n_block, n_allow, segs, node || '/' || fin AS no
   UNION ALL SELECT host, path, n_block, n_allow, segs, leaf, (sum(n_block) OVER w + 2 * est) / (sum(n_block + n_allow) OVER w + 2), false FROM j{k} WHERE an <= 30 WINDOW w AS (PARTITION BY host, leaf)),"""
 
 
+def _repair_sql() -> str:
+    """SQL of conversation repair: crc32 bit by bit, then the best prefix for each state (e, s, u, a), message by message."""
+    crc = "xor(list_reduce(list_transform(range(1, length(at_text) + 1), lambda i: CAST(ascii(substr(at_text, i, 1)) AS BIGINT)), lambda c, b: list_reduce([0::BIGINT, 1, 2, 3, 4, 5, 6, 7], lambda x, j: xor(x >> 1, (x & 1) * 3988292384::BIGINT), xor(c, b)), 4294967295::BIGINT), 4294967295::BIGINT)"
+    white = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+    def step(state: str, edit: str, cost: str, line: str | None, when: str = "true") -> str:
+        more = f" || chr(10) || {line}" if line else ""
+        return f"{{'c': {state}.c + {cost} + CASE WHEN {when} THEN 0 ELSE 1000000 END, 'a': {state}.a || '{edit}', 'l': {state}.l{more}}}"
+
+    insert_u = "least(u, " + ", ".join(step(x, "I", "2", "'user:'") for x in "esa") + ")"
+    insert_a = f"least(a, {step('u1', 'I', '2', repr('assistant:'))})"
+    keep = lambda state, initial: step(state, "K", "w", "role || ':' || text", f"free AND initial = '{initial}'")
+    rerole = lambda state, role: step(state, "R", "2 + w", f"'{role}:' || text", "free")
+    drop = lambda state: step(state, "D", "3", None)
+    none = "{'c': 1000000, 'a': '', 'l': ''}"
+    return f"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS at_text FROM conversations),
+b AS (SELECT *, {crc} % 20 AS kind FROM k),
+d AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM b WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS place, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, rtrim(text, {white}) AS body FROM d),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair FROM o),
+v AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS place, {{'c': 0, 'a': '', 'l': ''}} AS e, {none} AS s, {none} AS u, {none} AS a FROM f
+UNION ALL SELECT conv_id, place + 1, {drop("e")}, least({drop("s")}, {keep("e", "s")}), least({drop("u1")}, {", ".join(keep(x, "u") for x in ("e", "s", "a1"))}, {", ".join(rerole(x, "user") for x in ("e", "s", "a1"))}), least({drop("a1")}, {keep("u1", "a")}, {rerole("u1", "assistant")})
+FROM (SELECT *, {insert_a} AS a1 FROM (SELECT v.*, {insert_u} AS u1, f.role, f.text, f.initial, CAST(f.fault = 'truncated' AS INT) AS w, f.fault NOT IN ('blank', 'duplicate') AS free FROM v JOIN f ON f.conv_id IS NOT DISTINCT FROM v.conv_id AND f.place = v.place + 1))),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS place FROM f GROUP BY conv_id),
+z AS (SELECT conv_id, place, least(e, {insert_a}) AS best FROM (SELECT *, {insert_u} AS u1 FROM v)),
+m AS (SELECT n.*, best FROM n JOIN z ON n.conv_id IS NOT DISTINCT FROM z.conv_id AND n.place = z.place)
+SELECT i.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.l, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN m ON i.conv_id IS NOT DISTINCT FROM m.conv_id"""
+
+
 _RULE_SQL = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '/{p}') THEN '{r}'" for _, r in sorted(URL_RULES, key=lambda x: -len(x[1])) for h, _, p in [r.partition("/")]) + " END"
 _VERDICT_SQL = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in URL_RULES) + " END"
 
@@ -153,4 +184,5 @@ g AS (SELECT DISTINCT doc_id, unnest(range(k, k + 13)) AS at FROM p JOIN f ON p.
 x AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at FROM w),
 k AS (SELECT x.doc_id, count(g.at) AS n, string_agg(word, ' ' ORDER BY x.at) FILTER (g.at IS NULL) AS kept FROM x LEFT JOIN g ON x.doc_id = g.doc_id AND x.at = g.at GROUP BY x.doc_id)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON w.doc_id = k.doc_id""",
+    "op13_conversation_repair": _repair_sql(),
 }
