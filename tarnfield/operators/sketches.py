@@ -84,6 +84,11 @@ def merge_frequent(*states: DataFrame, capacity: int = 256) -> DataFrame:
     for k, s in enumerate(states):
         part = s.withColumn("_batch", F.lit(k))
         every = part if every is None else every.unionByName(part)
+    return merge_frequent_batches(every, capacity)
+
+
+def merge_frequent_batches(every: DataFrame, capacity: int = 256) -> DataFrame:
+    """``merge_frequent`` of states in one table, told apart by ``_batch``."""
     totals = every.groupBy("feature", "_batch").agg(F.max("error").alias("error"), F.max("rows").alias("rows")).groupBy("feature").agg(F.sum("error").alias("error"), F.sum("rows").alias("rows"))
     counts = every.groupBy("feature", "value").agg(F.sum("n").alias("n"))
     return _reduced(counts.join(F.broadcast(totals), "feature"), capacity)

@@ -46,6 +46,16 @@ class Profile:
     def counts(self) -> DataFrame:
         return staged(counted.without_key(self.by_class), "value-counts")
 
+    def executive(self) -> DataFrame:
+        """(metric, value): rows, repeated rows, mean missing share, class imbalance."""
+        twice = stats.duplicates(self.df.select(self.key) if self.key else self.df)
+        return (
+            _metric("rows", twice, "n_rows")
+            .unionByName(_metric("duplicates", twice, "n_duplicates"))
+            .unionByName(_metric("mean_missing_pct", counted.missing(self.counts).agg(F.avg("missing_pct").alias("x")), "x"))
+            .unionByName(_metric("imbalance_ratio", counted.class_balance(self.counts, self.cls).agg(F.max("imbalance_ratio").alias("x")), "x"))
+        )
+
     def table(self, name: str) -> DataFrame:
         return self.makers()[name]()
 
@@ -65,6 +75,7 @@ class Profile:
             "outliers": lambda: counted.iqr_outliers(self.counts),
             "histograms": lambda: counted.histograms(self.counts),
             "duplicates": lambda: stats.duplicates(df),
+            "scale_dispersion": lambda: stats.describe(counted.numeric_summary(self.counts), ["std_value", "iqr"]),
             "target_correlation": lambda: stats.target_correlation(df, target, others),
             "correlation_pairs": lambda: stats.correlation_pairs(df, others, "spearman", 0.85),
             "mutual_information": lambda: stats.binned_mutual_information(df, others, target, bin_target=True),
@@ -77,6 +88,7 @@ class Profile:
             out |= {"five_numbers": lambda: counted.five_numbers(self.by_class), "anova": lambda: counted.anova_f(self.by_class), "kruskal": lambda: stats.with_p_values(counted.kruskal_h(self.by_class))}
             if self.cls in self.categorical:
                 out["class_balance"] = lambda: counted.class_balance(self.counts, self.cls)
+                out["executive"] = self.executive
         if self.key:
             out["distances"] = lambda: matrix.distance_outliers(df.na.drop(subset=others), self.key, others)
         return out

@@ -158,6 +158,36 @@ def profile_distances(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(far.crossJoin(F.broadcast(limit)).where(F.col("distance") > F.col("_limit") - 1).agg(F.count(F.lit(1)).alias("n_outliers"), F.min("distance").alias("least"), F.max("distance").alias("most")), digits=4)
 
 
+@query(ORACLE_SQL["scale_dispersion"])
+def profile_scale_dispersion(spark: SparkSession, sf: str) -> DataFrame:
+    """How much the scales of the columns differ, from counted values."""
+    return rounded(_lines_profile(spark, sf).table("scale_dispersion").select("feature", "n", "mean_value", "min_value", "max_value"), digits=4)
+
+
+@query(f"""
+WITH m AS (SELECT avg(pct) AS x FROM (SELECT 100.0 * count(*) FILTER (x IS NULL) / count(*) AS pct FROM ({_EVERY}) GROUP BY feature)), c AS (SELECT count(*) AS n FROM lineitem GROUP BY l_returnflag)
+SELECT 'rows' AS metric, CAST(count(*) AS DOUBLE) AS value FROM lineitem UNION ALL SELECT 'duplicates', CAST(count(*) - count(DISTINCT l_orderkey * 10 + l_linenumber) AS DOUBLE) FROM lineitem UNION ALL SELECT 'mean_missing_pct', round(x, 6) FROM m UNION ALL SELECT 'imbalance_ratio', round(max(n) / CAST(min(n) AS DOUBLE), 6) FROM c
+""")
+def profile_executive(spark: SparkSession, sf: str) -> DataFrame:
+    """The headline numbers of the profile."""
+    return rounded(_lines_profile(spark, sf).table("executive"))
+
+
+_TENTHS = "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"
+_PAIRED = " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, l_extendedprice AS y FROM lineitem" for c in ("l_quantity", "l_discount", "l_tax"))
+
+
+@query(f"""
+WITH x AS ({_PAIRED}), q AS (SELECT feature, quantile_cont(x, {_TENTHS}) AS qx FROM x GROUP BY feature), t AS (SELECT quantile_cont(l_extendedprice, {_TENTHS}) AS qy FROM lineitem),
+k AS (SELECT feature, len(list_filter(qx, lambda p: p < x)) AS kx, len(list_filter(qy, lambda p: p < y)) AS ky FROM x JOIN q USING (feature), t), n AS (SELECT feature, kx, ky, count(*) AS n FROM k GROUP BY ALL),
+w AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature, kx) AS nx, sum(n) OVER (PARTITION BY feature, ky) AS ny, sum(n) OVER (PARTITION BY feature) AS s FROM n)
+SELECT feature, round(sum(n / CAST(s AS DOUBLE) * ln(CAST(n AS DOUBLE) * s / (CAST(nx AS DOUBLE) * ny))), 6) AS mi FROM w GROUP BY feature
+""")
+def profile_mutual_information(spark: SparkSession, sf: str) -> DataFrame:
+    """Information of all columns on the target."""
+    return rounded(_lines_profile(spark, sf).table("mutual_information"))
+
+
 @query()
 def profile_pca(spark: SparkSession, sf: str) -> DataFrame:
     """Explained variance of all columns but the target."""
@@ -393,9 +423,9 @@ _MEMBERS_SQL = f"SELECT *, clan_capital_contributions AS capital_contributions F
 _MEMBER_BASE = ["town_hall_level", "exp_level", "trophies", "builder_base_trophies", "donations", "donations_received", "capital_contributions"]
 
 
-def _doubles(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
-    """All numbers but ``keep`` as rounded doubles."""
-    return rounded(df.select(*[F.col(c) if c in keep or kind == "string" else F.col(c).cast("double").alias(c) for c, kind in df.dtypes]), digits=digits)
+def _doubles(df: DataFrame, *keep: str, digits: int = 6, shift: float = 0.0) -> DataFrame:
+    """All numbers but ``keep`` as rounded doubles; a small ``shift``, as in the SQL, keeps halves from being rounded either way."""
+    return rounded(df.select(*[F.col(c) if c in keep or kind == "string" else (F.col(c).cast("double") + F.lit(shift)).alias(c) for c, kind in df.dtypes]), digits=digits)
 
 
 def _rank_sql(banned: list[str]) -> str:
@@ -433,7 +463,7 @@ _TEAM = {
     "member_count": "CAST(count(*) AS DOUBLE)", "donation_balance": "sum(donations) - sum(donations_received)", "donation_ratio": "coalesce(sum(donations) / nullif(sum(donations_received), 0), 0)",
     "donation_rate": "sum(donations) / count(*)", "capital_contribution_rate": "sum(clan_capital_contributions) / count(*)",
 }
-_WAR_SQL = f"""WITH v AS ({_WAR}), f AS ({_FEATURE_SQL}), t AS (SELECT f.clan_tag, {", ".join(f"round({e}, 5) + 0.0 AS {c}" for c, e in _TEAM.items())} FROM f JOIN v ON f.clan_tag = v.clan_tag GROUP BY f.clan_tag)
+_WAR_SQL = f"""WITH v AS ({_WAR}), f AS ({_FEATURE_SQL}), t AS (SELECT f.clan_tag, {", ".join(f"round({e} + 1e-7, 5) + 0.0 AS {c}" for c, e in _TEAM.items())} FROM f JOIN v ON f.clan_tag = v.clan_tag GROUP BY f.clan_tag)
 SELECT t.*, c_mktsegment AS war_frequency, CAST((c_custkey * 7) % 30 AS DOUBLE) AS clan_level, CAST(c_custkey AS DOUBLE) AS clan_points, CAST(c_nationkey AS DOUBLE) AS location_id, {{0}} FROM t JOIN v ON t.clan_tag = v.clan_tag JOIN customer ON t.clan_tag = '#' || c_custkey"""
 
 
@@ -442,16 +472,16 @@ def _wars(spark: SparkSession, sf: str) -> DataFrame:
     return datasets.war_dataset(t, datasets.player_features(t))
 
 
-@query(_WAR_SQL.format("round(win_rate, 5) AS war_success_rate"))
+@query(_WAR_SQL.format("round(win_rate + 1e-7, 5) AS war_success_rate"))
 def war_columns(spark: SparkSession, sf: str) -> DataFrame:
     """The war dataset, all of its columns."""
-    return _doubles(_wars(spark, sf), digits=5)
+    return _doubles(_wars(spark, sf), digits=5, shift=1e-7)
 
 
 @query(_WAR_SQL.format("CASE WHEN win_rate < (SELECT quantile_cont(win_rate, 1.0 / 3) FROM v) THEN 'low' WHEN win_rate < (SELECT quantile_cont(win_rate, 2.0 / 3) FROM v) THEN 'medium' ELSE 'high' END AS performance_class"))
 def class_columns(spark: SparkSession, sf: str) -> DataFrame:
     """The dataset of performance classes, all of its columns."""
-    return _doubles(datasets.class_dataset(_wars(spark, sf))[0], digits=5)
+    return _doubles(datasets.class_dataset(_wars(spark, sf))[0], digits=5, shift=1e-7)
 
 
 def _player_documents(spark: SparkSession, sf: str) -> dict[str, DataFrame]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarnfield.operators import counted, sketches, stats
 from tarnfield.plans.audit import Audit, document_facts
 from tarnfield.plans.profile import Profile, profile
+from tarnfield.streaming import state
 
 
 @pytest.fixture(scope="module")
@@ -119,3 +120,21 @@ def test_frequent_values_keep_their_bounds(spark, capacity):
     for v, (low, high) in own.items():
         assert low <= true[v] <= high and high - low <= len(values) / (capacity + 1)
     assert [(x.value, x.at_least, x.at_most, x.is_dominant) for x in found if x.feature == "one"] == [("x", 3000, 3000, True)]
+
+
+def test_sketches_of_a_stream(spark, tmp_path):
+    """Batches of a stream, one of them delivered twice, give the sketches of all rows once."""
+    r = random.Random(5)
+    rows = [(k % 3, r.random() * 100, r.choice("abbc")) for k in range(900)]
+    df = spark.createDataFrame(rows, "g int, x double, s string").withColumn("k", F.monotonically_increasing_id())
+    write = state.sketch_writer(str(tmp_path / "sketches"), ["x"], ["s"], ["g"], 2)
+    for batch in (0, 1, 2, 1):
+        write(df.where(F.pmod(F.col("k"), F.lit(3)) == batch), batch)
+    numeric, frequent = state.read_sketches(spark, str(tmp_path / "sketches"), ["g"], 2)
+    out = {x.g: x for x in sketches.numeric_from_state(numeric).collect()}
+    for g in range(3):
+        own = [x for k, x, _ in rows if k == g]
+        assert out[g].n == 300 and math.isclose(out[g].mean_value, sum(own) / 300) and (out[g].min_value, out[g].max_value) == (min(own), max(own))
+    found = {x.value: (x.at_least, x.at_most) for x in sketches.frequent_values(frequent).collect()}
+    true = Counter(s for *_, s in rows)
+    assert len(found) <= 2 and "b" in found and all(low <= true[v] <= high for v, (low, high) in found.items())
