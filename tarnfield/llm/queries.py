@@ -109,12 +109,12 @@ def _tree_level(k: int) -> str:
 k{k} AS (SELECT host, node, est, segs[{k + 1}] AS seg, count(*) AS n, count(*) FILTER (n_block + n_allow > 0) AS l, sum(n_block) AS b, sum(n_block + n_allow) AS m FROM t{k} WHERE open GROUP BY ALL),
 w{k} AS (SELECT *, count(*) OVER w AS kids, sum(n) OVER w AS an, sum(l) OVER w AS al, sum(b) OVER w AS ab, sum(m) OVER w AS am FROM k{k} WINDOW w AS (PARTITION BY host, node)),
 g{k} AS (SELECT *, CASE WHEN kids <= 30 THEN seg WHEN NOT (n >= 3 AND ({rate} OR {share})) THEN '*' WHEN seg = '*' THEN '#' ELSE seg END AS gen FROM w{k}),
-b{k} AS (SELECT host, node, est, gen, ab, am, sum(b) AS b, sum(m) AS m FROM g{k} GROUP BY ALL),
+b{k} AS (SELECT *, (coalesce(sum(CASE WHEN m > 0 THEN CAST(b AS DOUBLE) / m END) OVER w, 0) + 2 * est) / (count(*) FILTER (m > 0) OVER w + 2) AS given FROM (SELECT host, node, est, gen, ab, am, sum(b) AS b, sum(m) AS m FROM g{k} GROUP BY ALL) WINDOW w AS (PARTITION BY host, node)),
 f{k} AS (SELECT *, CASE WHEN m > 0 AND am > m AND NOT {rate} THEN '~' ELSE gen END AS fin FROM b{k}),
-e{k} AS (SELECT *, (sum(b) OVER w + 2 * est) / (sum(m) OVER w + 2) AS fest FROM f{k} WINDOW w AS (PARTITION BY host, node, fin)),
-j{k} AS (SELECT t.*, g.an, e.fin, e.fest, t.node || '/' || array_to_string(segs[{k + 1}:], '/') AS leaf FROM t{k} t JOIN g{k} g ON t.host = g.host AND t.node = g.node AND segs[{k + 1}] = g.seg JOIN e{k} e ON e.host = g.host AND e.node = g.node AND e.gen = g.gen WHERE t.open),
-t{k + 1} AS (SELECT host, path, n_block, n_allow, segs, node || '/' || fin AS node, fest AS est, len(segs) > {k + 1} AS open FROM j{k} WHERE an > 30
-  UNION ALL SELECT host, path, n_block, n_allow, segs, leaf, (sum(n_block) OVER w + 2 * est) / (sum(n_block + n_allow) OVER w + 2), false FROM j{k} WHERE an <= 30 WINDOW w AS (PARTITION BY host, leaf)),"""
+e{k} AS (SELECT *, (sum(b) OVER w + 2 * given) / (sum(m) OVER w + 2) AS fest FROM f{k} WINDOW w AS (PARTITION BY host, node, fin)),
+j{k} AS (SELECT t.*, g.an, e.fin, e.fest, e.given, t.node || '/' || array_to_string(segs[{k + 1}:], '/') AS leaf FROM t{k} t JOIN g{k} g ON t.host = g.host AND t.node = g.node AND segs[{k + 1}] = g.seg JOIN e{k} e ON e.host = g.host AND e.node = g.node AND e.gen = g.gen WHERE t.open),
+t{k + 1} AS (SELECT host, path, n_block, n_allow, segs, node || '/' || fin AS node, CASE WHEN len(segs) > {k + 1} THEN given ELSE fest END AS est, len(segs) > {k + 1} AS open FROM j{k} WHERE an > 30
+  UNION ALL SELECT host, path, n_block, n_allow, segs, leaf, (sum(n_block) OVER w + 2 * given) / (sum(n_block + n_allow) OVER w + 2), false FROM j{k} WHERE an <= 30 WINDOW w AS (PARTITION BY host, leaf)),"""
 
 
 def _repair_sql() -> str:
@@ -166,13 +166,12 @@ WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, str
 h AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 j AS (SELECT *, {_VERDICT_SQL} AS own FROM (SELECT *, {_RULE_SQL} AS rule FROM h)),
 c AS (SELECT host, path, count(*) FILTER (own = 'block') AS n_block, count(*) FILTER (own = 'allow') AS n_allow FROM j GROUP BY host, path),
-r0 AS (SELECT host, (sum(n_block) + 2 * CAST(0.5 AS DOUBLE)) / (sum(n_block + n_allow) + 2) AS est FROM c GROUP BY host),
 s0 AS (SELECT host, path, n_block, n_allow, list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS segs FROM c),
-t0 AS (SELECT s0.*, '' AS node, est, len(segs) > 0 AS open FROM s0 JOIN r0 ON s0.host = r0.host),
+t0 AS (SELECT s0.*, '' AS node, CASE WHEN len(segs) > 0 THEN CAST(0.5 AS DOUBLE) ELSE (sum(n_block) OVER w + 2 * CAST(0.5 AS DOUBLE)) / (sum(n_block + n_allow) OVER w + 2) END AS est, len(segs) > 0 AS open FROM s0 WINDOW w AS (PARTITION BY host, len(segs) > 0)),
 {_tree_level(0)}{_tree_level(1)}{_tree_level(2)}{_tree_level(3)}
 tree AS ({" UNION ALL ".join(f"SELECT * FROM t{k} WHERE NOT open" for k in range(5))})
 SELECT page_id, j.host, j.path, rule, coalesce(own, CASE WHEN est >= 0.8 THEN 'block' ELSE 'allow' END) AS verdict, node AS template, round(est, 6) AS purity
-FROM j JOIN tree ON j.host = tree.host AND j.path = tree.path""",
+FROM j LEFT JOIN tree ON j.host = tree.host AND j.path = tree.path""",
     "op6_exact_dedup": r"""
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents) WINDOW w AS (PARTITION BY t)""",

@@ -8,9 +8,10 @@ Per host, the segments of a path form a tree, which is built from the root down,
    other segments of that node become one wildcard (that of segments with a digit, if it stays, is then ``#``).
 2. At every level, branches with labels whose block rate does not differ from that of their siblings are merged into
    one branch, ``~``, which is then descended as one.
-3. The estimate of a branch is its smoothed labelled purity, (blocked + K * parent) / (labelled + K): its parent counts
-   like K labelled urls. A host's own parent is 0.5. A branch without labels so has the estimate of the nearest branch
-   above it that has some, or of its host; one with few is drawn towards it.
+3. The estimate of a branch is its smoothed labelled purity, (blocked + K * given) / (labelled + K). What a node gives its
+   branches counts labelled *branches*, not urls: the mean purity of those that have labels, smoothed alike, (sum of
+   purities + K * given) / (labelled branches + K), from 0.5 above a host down. Labels inside one branch, however many,
+   are one piece of evidence about its siblings: it takes several branches that agree to reject one without labels.
 4. A template is rejected if its estimate reaches ``purity``.
 
 A node of no more than ``max_children`` paths is not generalised: its paths are templates at once, which keeps the
@@ -33,7 +34,7 @@ from pyspark.sql import Window as W
 from tarnfield.llm.common import join_groups, lower_ascii, stage, unstage
 
 Rule = tuple[str, str]  #: (verdict, host + path)
-PARENT_WEIGHT = 2.0  #: K: the labelled urls that the estimate of the branch above counts for
+PARENT_WEIGHT = 2.0  #: K: the labelled urls, or branches, that what is given from above counts for
 
 
 def url_parts(url: str | Column) -> tuple[Column, Column]:
@@ -74,7 +75,7 @@ def _estimate(b: str, m: str, parent: str | Column) -> Column:
 
 
 def _branches(kids: DataFrame, total: int, max_children: int, support: int, z: float) -> DataFrame:
-    """Of each kid of a node (node, parent's estimate, _seg, counts): the branch ``_seg`` goes to, its estimate, and the node's paths."""
+    """Of each kid of a node (node, what the node was given, _seg, counts): the branch ``_seg`` goes to, its estimate, what the node gives, and the node's paths."""
     sums = [F.sum(c).alias(f"_all{c}") for c in ("_n", "_l", "_b", "_m")]
     nodes = kids.groupBy("_node").agg(F.count(F.lit(1)).alias("_kids"), *sums)
     at = join_groups(kids, nodes, "_node", "_kids", total)
@@ -84,22 +85,30 @@ def _branches(kids: DataFrame, total: int, max_children: int, support: int, z: f
     # branches alike are merged
     branches = at.groupBy("_branch").agg(F.any_value("_node").alias("_node"), F.any_value("_above").alias("_above"), F.any_value("_all_b").alias("_all_b"), F.any_value("_all_m").alias("_all_m"), F.sum("_b").alias("_b"), F.sum("_m").alias("_m"), F.count(F.lit(1)).alias("_of"))
     alike = (F.col("_m") > 0) & (F.col("_all_m") > F.col("_m")) & ~_differ(F.col("_b"), F.col("_m"), F.col("_all_b"), F.col("_all_m"), z)
-    branches = stage(branches.withColumn("_final", F.when(alike, F.concat("_node", F.lit("/~"))).otherwise(F.col("_branch"))), "url-branches")
-    merged = branches.groupBy("_final").agg(F.sum("_b").alias("_fb"), F.sum("_m").alias("_fm"), F.any_value("_above").alias("_fa"), F.count(F.lit(1)).alias("_ff")).withColumn("_estimate", _estimate("_fb", "_fm", "_fa"))
-    finals = join_groups(branches.select("_branch", "_final", "_of"), merged.select("_final", "_ff", "_estimate"), "_final", "_ff", total)
-    return stage(join_groups(at.select("_branch", "_kid", "_n", "_all_n"), finals, "_branch", "_of", total).select("_kid", "_n", "_all_n", "_final", "_estimate"), "url-kids")
+    branches = branches.withColumn("_final", F.when(alike, F.concat("_node", F.lit("/~"))).otherwise(F.col("_branch")))
+    given = branches.groupBy("_node").agg(F.count(F.lit(1)).alias("_wide"), F.coalesce(F.sum(F.when(F.col("_m") > 0, F.col("_b") / F.col("_m"))), F.lit(0.0)).alias("_rates"), F.count_if(F.col("_m") > 0).alias("_rated"), F.any_value("_above").alias("_from"))
+    given = given.select("_node", "_wide", _estimate("_rates", "_rated", "_from").alias("_given"))
+    branches = stage(join_groups(branches, given, "_node", "_wide", total), "url-branches")
+    merged = branches.groupBy("_final").agg(F.sum("_b").alias("_fb"), F.sum("_m").alias("_fm"), F.any_value("_given").alias("_given"), F.count(F.lit(1)).alias("_ff")).withColumn("_estimate", _estimate("_fb", "_fm", "_given"))
+    finals = join_groups(branches.select("_branch", "_final", "_of"), merged.select("_final", "_ff", "_estimate", "_given"), "_final", "_ff", total)
+    return stage(join_groups(at.select("_branch", "_kid", "_n", "_all_n"), finals, "_branch", "_of", total).select("_kid", "_n", "_all_n", "_final", "_estimate", "_given"), "url-kids")
 
 
 def _templates(urls: DataFrame, max_children: int, support: int, z: float) -> DataFrame:
-    """``urls`` with the template of each path and its estimate. A template is kept with its host before it, as hosts hold no ``/``."""
+    """``urls`` with the template of each path and its estimate. A template is kept with its host before it, as hosts hold no ``/``.
+
+    While a path is open, ``purity`` is what its node was given.
+    """
     labelled = F.col("n_block") + F.col("n_allow")
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     segments = F.transform(segments, lambda s: F.when(s.rlike("[0-9]"), F.lit("*")).otherwise(s))
     total = urls.count()
-    hosts = urls.groupBy("host").agg(F.sum("n_block").alias("_b"), F.sum(labelled).alias("_m"), F.count(F.lit(1)).alias("_n"))
-    hosts = hosts.select("host", "_n", _estimate("_b", "_m", F.lit(0.5)).alias("purity"))
-    tree = join_groups(urls.withColumn("_segs", segments), hosts, "host", "_n", total).withColumn("_node", F.col("host")).drop("_n")
-    tree = stage(tree.withColumn("_open", F.size("_segs") > 0), "url-tree")
+    urls = urls.withColumn("_segs", segments)
+    bare = F.size("_segs") == 0  # paths of the host itself
+    hosts = urls.groupBy("host").agg(F.coalesce(F.sum(F.when(bare, F.col("n_block"))), F.lit(0)).alias("_b"), F.coalesce(F.sum(F.when(bare, labelled)), F.lit(0)).alias("_m"), F.count(F.lit(1)).alias("_n"))
+    hosts = hosts.select("host", "_n", _estimate("_b", "_m", F.lit(0.5)).alias("_own"))
+    tree = join_groups(urls, hosts, "host", "_n", total).withColumns({"_node": F.col("host"), "_open": ~bare, "purity": F.when(bare, F.col("_own")).otherwise(F.lit(0.5))})
+    tree = stage(tree.drop("_n", "_own"), "url-tree")
     columns, done, level = tree.columns, tree.where(~F.col("_open")), 0
     while not (tree := tree.where("_open")).isEmpty():
         tree = tree.withColumn("_seg", F.get("_segs", F.lit(level))).withColumn("_kid", F.concat("_node", F.lit("/"), "_seg"))
@@ -111,8 +120,8 @@ def _templates(urls: DataFrame, max_children: int, support: int, z: float) -> Da
         rest = F.array_join(F.transform(F.slice("_segs", F.lit(level + 1), left), lambda s: F.concat(F.lit("/"), s)), "")
         leaf = W.partitionBy("_node")  # no more than max_children rows
         small = tree.where(F.col("_all_n") <= max_children).withColumns({"_node": F.concat("_node", rest), "_open": F.lit(False)})
-        small = small.withColumns({"_b": F.sum("n_block").over(leaf), "_m": F.sum(labelled).over(leaf)}).withColumn("purity", _estimate("_b", "_m", "purity"))
-        tree = tree.where(F.col("_all_n") > max_children).withColumns({"_node": F.col("_final"), "purity": F.col("_estimate"), "_open": left > 1}).select(columns)
+        small = small.withColumns({"_b": F.sum("n_block").over(leaf), "_m": F.sum(labelled).over(leaf)}).withColumn("purity", _estimate("_b", "_m", "_given"))
+        tree = tree.where(F.col("_all_n") > max_children).withColumns({"_node": F.col("_final"), "purity": F.when(left > 1, F.col("_given")).otherwise(F.col("_estimate")), "_open": left > 1}).select(columns)
         done, level = done.unionByName(small.select(columns)).unionByName(tree.where(~F.col("_open"))), level + 1
     return done.withColumn("template", F.col("_node").substr(F.length("host") + 1, F.length("_node"))).drop("_segs", "_open", "_node")
 
@@ -130,7 +139,11 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url", **tre
     judged = pages.withColumns({"host": host, "path": path})
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
     judged = judged.withColumns({"rule": rule, "_rule_verdict": verdict})
-    counts = judged.groupBy("host", "path").agg(F.count_if(F.col("_rule_verdict") == "block").alias("n_block"), F.count_if(F.col("_rule_verdict") == "allow").alias("n_allow"))
-    learnt = template_verdicts(stage(counts, "url-counts"), **tree).withColumnsRenamed({"host": "_t_host", "path": "_t_path"})
-    out = judged.join(learnt, (F.col("host") == F.col("_t_host")) & (F.col("path") == F.col("_t_path")), "left").drop("_t_host", "_t_path")
+    counts = judged.groupBy("host", "path").agg(F.count_if(F.col("_rule_verdict") == "block").alias("n_block"), F.count_if(F.col("_rule_verdict") == "allow").alias("n_allow"), F.count(F.lit(1)).alias("_size"))
+    counts = stage(counts, "url-counts")
+    learnt = template_verdicts(counts.drop("_size"), **tree).withColumnsRenamed({"host": "_t_host", "path": "_t_path"})
+    # a url may be that of a third of all rows: its key is salted
+    sizes = counts.groupBy().agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    learnt = learnt.join(counts.select(F.col("host").alias("_t_host"), F.col("path").alias("_t_path"), "_size"), ["_t_host", "_t_path"]).select(F.struct(F.col("_t_host").alias("host"), F.col("_t_path").alias("path")).alias("_url"), "_size", "template", "purity", "verdict")
+    out = join_groups(judged.withColumn("_url", F.struct("host", "path")), learnt, "_url", "_size", sizes).drop("_url", "_size")
     return out.withColumn("verdict", F.coalesce("_rule_verdict", "verdict")).drop("_rule_verdict")
