@@ -20,7 +20,7 @@ def plain(x):
     return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
-@pytest.mark.parametrize("name", ["entity_features", "group_relative", "performance_class", "numeric_summary", "proxy_audit", "expand_frontier", "war_preset", "binned"])
+@pytest.mark.parametrize("name", ["entity_features", "group_relative", "performance_class", "numeric_summary", "proxy_audit", "expand_frontier", "war_preset", "binned", "profile_five_numbers", "raw_audit_warnings", "merged_sketches", "canonical_texts"])
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):

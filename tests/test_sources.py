@@ -223,7 +223,11 @@ def test_frontier_rounds_shuffle_no_edges(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     exchanges = [k for k, line in enumerate(plan) if "Exchange" in line]
     assert len(exchanges) == 3  # the frontier, its members, the groups that hold them
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
     for k, line in enumerate(plan):
         if "Scan parquet" in line:
-            above = next(x for x in range(k, -1, -1) if "Join" in plan[x] or "Exchange" in plan[x])
-            assert "Bucketed: true" in line and "Join" in plan[above]
+            at, above = k, None
+            while above is None:  # the nearest join or exchange among its ancestors
+                at = next(x for x in range(at - 1, -1, -1) if depth[x] < depth[at])
+                above = plan[at] if "Join" in plan[at] or "Exchange" in plan[at] else None
+            assert "Bucketed: true" in line and "Join" in above
