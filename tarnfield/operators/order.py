@@ -8,14 +8,17 @@ wherever the cuts fall.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from math import ceil, floor
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Different values of a column that one aggregation buffer may hold; columns with more are cut into stretches.
-BUFFER_VALUES = 1_000_000
+#: Different values that one aggregation buffer may hold, of all its columns: one task merges the buffers of all others. Columns with more are cut into stretches.
+BUFFER_VALUES = 20_000
+#: Relative accuracy of the approximate quantiles between which an exact one is looked for.
+ACCURACY = 10_000
 #: Most stretches of a column.
 MOST_STRETCHES = 1000
 
@@ -145,10 +148,12 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) ->
     cols, points = list(dict.fromkeys(cols)), F.array(*[F.lit(float(p)) for p in at])
     if not cols:
         return {}
-    small = cols
-    if df.count() > BUFFER_VALUES:  # else no column has more values
-        sizes = df.agg(*[F.approx_count_distinct(_double(c)).alias(f"_{k}") for k, c in enumerate(cols)]).first()
-        small = [c for c, n in zip(cols, sizes, strict=True) if n <= BUFFER_VALUES]
+    n, *sizes = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(_double(c)).alias(f"_{k}") for k, c in enumerate(cols)]).first()
+    small, held = [], 0
+    for size, c in sorted((min(n, size), c) for size, c in zip(sizes, cols, strict=True)):
+        held += size
+        if held <= BUFFER_VALUES:
+            small.append(c)
     large = [c for c in cols if c not in small]
     out: dict[str, list[float] | None] = {}
     if small:
@@ -157,24 +162,31 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) ->
     return out | (_large_quantiles(df, large, at) if large else {})
 
 
-def _large_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) -> dict[str, list[float]]:
-    """Of each column only the stretches that hold a wanted rank are put in order."""
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), _double(c).alias("value")) for c in cols]))).where("value is not null")
-    counts = _with_stretch(long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")), cuts(df, cols), "value")
-    sizes: dict[str, list[tuple[int, int]]] = {c: [] for c in cols}
-    for r in counts.groupBy("feature", "_stretch").agg(F.sum("n").alias("n")).collect():  # a row a stretch
-        sizes[r.feature].append((r._stretch, r.n))
-    wanted, places = [], {}
+def _large_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) -> dict[str, list[float] | None]:
+    """Of each column only the stretches between approximate quantiles on both sides of the wanted ones are counted and put in order; no other value is shuffled."""
+    near = F.array(*[F.lit(min(1.0, max(0.0, p + side / ACCURACY))) for p in at for side in (-2, 2)])
+    row = df.agg(*[F.percentile_approx(_double(c), near, F.lit(ACCURACY)).alias(f"_{k}") for k, c in enumerate(cols)]).first()
+    ends = {c: sorted({x for x in row[k] or [] if x == x}) for k, c in enumerate(cols)}
+    upto = [F.count(_double(c)) if e is None else F.count_if(_double(c) <= e) for c in cols for e in [*ends[c], None]]
+    found_upto = iter(df.agg(*[x.alias(f"_{k}") for k, x in enumerate(upto)]).first())
+    wanted, places, kept = [], {}, []
     for c in cols:
-        total, below = sum(n for _, n in sizes[c]), 0
-        places[c] = [p * (total - 1) for p in at]
-        ranks = sorted({f(x) for x in places[c] for f in (floor, ceil)})
-        for stretch, n in sorted(sizes[c]):
-            wanted += [(c, stretch, r, r - below) for r in ranks if below <= r < below + n]
-            below += n
+        sums = [next(found_upto) for _ in range(len(ends[c]) + 1)]
+        places[c] = [p * (sums[-1] - 1) for p in at] if sums[-1] else None
+        ranks = sorted({f(x) for x in places[c] or [] for f in (floor, ceil)})
+        for stretch, (below, top) in enumerate(zip([0, *sums], sums, strict=False)):
+            own = [(c, stretch, r, r - below) for r in ranks if below <= r < top]
+            if own:
+                wanted += own
+                bounds = [_double(c) > ends[c][stretch - 1]] * (stretch > 0) + [_double(c) <= ends[c][stretch]] * (stretch < len(ends[c]))
+                inside = reduce(lambda x, y: x & y, bounds, _double(c).isNotNull())
+                kept.append(F.when(inside, F.struct(F.lit(c).alias("feature"), F.lit(stretch).alias("_stretch"), _double(c).alias("value"))))
+    if not kept:
+        return dict.fromkeys(cols)
+    counts = df.select(F.inline(F.array_compact(F.array(*kept)))).groupBy("feature", "_stretch", "value").agg(F.count(F.lit(1)).alias("n"))
     asked = df.sparkSession.createDataFrame(wanted, "feature string, _stretch int, _rank bigint, _at bigint")
     within = F.sum("n").over(W.partitionBy("feature", "_stretch").orderBy("value"))
-    held = counts.join(F.broadcast(asked.select("feature", "_stretch").distinct()), ["feature", "_stretch"], "left_semi").withColumn("_upto", within)
-    hit = held.join(F.broadcast(asked), ["feature", "_stretch"]).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("n") <= F.col("_at")))
+    hit = counts.withColumn("_upto", within).join(F.broadcast(asked), ["feature", "_stretch"]).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("n") <= F.col("_at")))
     found = {(r.feature, r._rank): r.value for r in hit.select("feature", "_rank", "value").collect()}
-    return {c: [(found[c, floor(x)] + (found[c, ceil(x)] - found[c, floor(x)]) * (x - floor(x))) for x in places[c]] for c in cols}
+    between = lambda c, x: found[c, floor(x)] + (found[c, ceil(x)] - found[c, floor(x)]) * (x - floor(x))
+    return {c: places[c] and [between(c, x) for x in places[c]] for c in cols}

@@ -12,6 +12,7 @@ from tarnfield.functions import quantile
 from tarnfield.operators.clean import keep_first, median_impute
 from tarnfield.operators.order import exact_quantiles
 from tarnfield.sources.tables import ContractError, require_columns
+from tarnfield.staging import staged
 
 
 def whitelist(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -89,8 +90,8 @@ def clustering_matrix(df: DataFrame, key: str, cols: Sequence[str], names: Seque
     numeric = [c for c in available if c in numeric_columns(df)]
     if not numeric:
         raise ContractError("no numeric column to cluster by")
-    # of rows with one key that with the smallest values stays
-    base = keyed = keep_first(df.select(key, *numeric), [key], numeric)
+    # of rows with one key that with the smallest values stays; written once, as the medians read it several times
+    base = keyed = staged(keep_first(df.select(key, *numeric), [key], numeric), "clustering")
     matrix, found = median_impute(keyed, numeric, approximate)
     n = base.agg(F.count(F.lit(1)).alias("n_rows"), *[F.count_if(F.col(c).isNull()).alias(f"m_{c}") for c in numeric]).select(
         "n_rows", F.lit(len(cols)).alias("n_requested"), F.lit(len(available)).alias("n_available"), F.lit(len(cols) - len(available)).alias("n_missing"),
