@@ -79,12 +79,13 @@ def group_relative(df: DataFrame, group: str, cols: Sequence[str], pct_cols: Seq
     One exchange serves all, unless a group has more than ``order.GROUP_ROWS`` rows: then means and ranks come from
     aggregates, and no task takes a group. The sizes of the groups are looked at when this is called.
     """
-    if largest_group(df, [group]) > order.GROUP_ROWS:
+    largest, rows = order.group_rows(df, [group])
+    if largest > order.GROUP_ROWS:
         out = _with_group_statistics(df, group, cols, pct_cols, name)
         ranks = {f"{c}_{name}_pct": F.col(f"_{c}_pct") for c in pct_cols}
     else:
         w = W.partitionBy(group)
-        out = df.withColumns({f"{name}_mean_{c}": F.avg(F.col(c).cast("double")).over(w) for c in cols})
+        out = order.dealt(df, rows, group).withColumns({f"{name}_mean_{c}": F.avg(F.col(c).cast("double")).over(w) for c in cols})
         ranks = {f"{c}_{name}_pct": percentile_rank(c, [group]) for c in pct_cols}
     new = {f"{c}_diff_from_{name}_mean": F.col(c) - F.col(f"{name}_mean_{c}") for c in cols}
     new |= {f"{c}_ratio_to_{name}_mean": safe_ratio(c, f"{name}_mean_{c}") for c in cols} | ranks

@@ -112,9 +112,24 @@ def attach(rows: DataFrame, per_value: DataFrame, on: Sequence[str], size: str)
 GROUP_ROWS = 1_000_000
 
 
+def group_rows(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """(rows of the largest group, all rows); runs at once."""
+    largest, rows = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, rows or 0
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the largest group; runs at once."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return group_rows(df, keys)[0]
+
+
+#: Rows that a task orders in about as many ways as there are columns.
+TASK_ROWS = 100_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df``, of so many rows, parted by ``keys`` for windows over them: the number of tasks grows with the rows, so that none orders more than about TASK_ROWS."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS)), *keys)
 
 
 def picked_quantiles(run: DataFrame, by: Sequence[str], at: Sequence[float]) -> DataFrame:
