@@ -246,10 +246,61 @@ def pair_ranks(rows: DataFrame, edges: DataFrame, target: str, keys: Sequence[st
 
 
 def target_correlation(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
-    """Pearson and Spearman of each feature with the target, over rows that have both."""
-    rows = long_form(df, cols, [F.col(target).cast("double").alias("_y")]).where(F.col("value").isNotNull() & F.col("_y").isNotNull())
-    rows = pair_ranks(rows, cuts(df, list(dict.fromkeys([target, *cols]))), target)
-    return rows.groupBy("feature").agg(safe_corr("value", "_y").alias("pearson"), safe_corr("_rx", "_ry").alias("spearman"))
+    """Pearson and Spearman of each feature with the target, over rows that have both.
+
+    Ranks of features of few values are added up by value of the target, whose own ranks come from the same counts: one
+    exchange of a row per value of the target, none of rows. Other features are looked up row by row (``pair_ranks``).
+    """
+    y, sizes = F.col(target).cast("double"), df.agg(*[F.approx_count_distinct(F.col(c).cast("double")).alias(f"_{k}") for k, c in enumerate(cols)]).first()
+    few = [c for c, n in zip(cols, sizes, strict=True) if n <= FEW]
+    many = [c for c in cols if c not in few]
+    parts = []
+    if few:
+        wide = df.where(y.isNotNull()).select(y.alias("_y"), *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(few)])
+        pearson = per_column_of(wide, few, lambda k: safe_corr(f"_x{k}", "_y").alias("pearson"))
+        parts.append(pearson.join(F.broadcast(_counted_spearman(wide, few)), "feature", "left"))
+    if many:
+        rows = long_form(df, many, [y.alias("_y")]).where(F.col("value").isNotNull() & F.col("_y").isNotNull())
+        rows = pair_ranks(rows, cuts(df, list(dict.fromkeys([target, *many]))), target)
+        parts.append(rows.groupBy("feature").agg(safe_corr("value", "_y").alias("pearson"), safe_corr("_rx", "_ry").alias("spearman")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Different values of a feature whose ranks stand in a map.
+FEW = 1000
+
+
+def per_column_of(wide: DataFrame, cols: Sequence[str], metric: Callable[[int], Column]) -> DataFrame:
+    """A row per column that has a row with both (``_x<k>``, not null) with its metric, from one aggregate."""
+    aggs = [F.struct(F.lit(c).alias("feature"), F.count(f"_x{k}").alias("_n"), metric(k)).alias(f"_{k}") for k, c in enumerate(cols)]
+    return wide.agg(*aggs).select(F.inline(F.array(*[f"_{k}" for k in range(len(cols))]))).where("_n > 0").drop("_n")
+
+
+def _counted_spearman(wide: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(feature, spearman) of columns ``_x<k>`` of few values with ``_y``, by their centred ranks over the rows that have both."""
+    names = [f"_x{k}" for k in range(len(cols))]
+    counts = value_counts(wide, names)
+    w = W.partitionBy("feature").orderBy("value")
+    place = (F.sum("n").over(w) - (F.col("n") - 1) / F.lit(2.0)) - (F.sum("n").over(W.partitionBy("feature")) + 1) / F.lit(2.0)
+    ranks: dict[str, dict[float, float]] = {c: {} for c in names}
+    spread = dict.fromkeys(names, 0.0)
+    for r in counts.select("feature", "value", "n", place.alias("r")).collect():  # at most some FEW a column
+        ranks[r.feature][r.value] = r.r
+        spread[r.feature] += r.r * r.r * r.n
+    used = [k for k, c in enumerate(names) if ranks[c]]
+    if not used:
+        return wide.sparkSession.createDataFrame([], "feature string, spearman double")
+    table = wide.sparkSession.createDataFrame([({c: ranks[c] for c in names if ranks[c]},)], "_ranks map<string,map<double,double>>")
+    rank = lambda k: F.try_element_at(F.try_element_at("_ranks", F.lit(names[k])), F.col(names[k]))
+    looked = with_row(wide, table).select("_y", *[rank(k).alias(f"_r{k}") for k in used])
+    by_y = looked.groupBy("_y").agg(*[x for k in used for x in (F.count(f"_r{k}").alias(f"_n{k}"), F.sum(f"_r{k}").alias(f"_s{k}"))])
+    long = by_y.select(F.col("_y").alias("value"), F.inline(F.array(*[F.struct(F.lit(names[k]).alias("feature"), F.col(f"_n{k}").alias("n"), F.col(f"_s{k}").alias("_s")) for k in used]))).where("n > 0")
+    long = staged(long, "target-values")
+    edges = cuts(long.select("value"), ["value"]).select("cuts").crossJoin(wide.sparkSession.createDataFrame([(names[k],) for k in used], "feature string"))
+    ry = F.col("avg_rank") - (F.col("total") + 1) / F.lit(2.0)
+    sums = average_ranks(long, edges, []).groupBy("feature").agg(F.sum(F.col("_s") * ry).alias("xy"), F.sum(F.col("n") * ry * ry).alias("yy"))
+    known = wide.sparkSession.createDataFrame([(names[k], cols[k], spread[names[k]]) for k in used], "feature string, _name string, xx double")
+    return sums.join(F.broadcast(known), "feature").select(F.col("_name").alias("feature"), (F.col("xy") / F.nullif(F.sqrt("xx") * F.sqrt("yy"), F.lit(0.0))).alias("spearman"))
 
 
 #: Products that one aggregate sums up.

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfield.operators import order, select
+from tarnfield.operators import features, order, select, stats
 
 
 @pytest.fixture
@@ -43,3 +43,19 @@ def test_quantiles_do_not_shuffle_a_column(spark, shuffled, at):
     assert all(abs(a - b) < 1e-6 for a, b in zip(q["x"], np.quantile(np.arange(50_000), at), strict=True))
     assert all(abs(a - b) < 1e-6 for a, b in zip(q["y"], np.quantile(np.arange(50_000) / 3, at), strict=True))
     assert q["few"] == [float(x) for x in np.quantile(np.arange(50_000) % 5, at)]
+
+
+def test_windows_of_groups_take_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(order, "TASK_ROWS", 1000, raising=False)
+    df = numbers(spark, 30_000).withColumn("g", F.col("x") % 3000)
+    out = features.group_relative(df, "g", ["y", "few"], ["y", "few"])
+    assert out.count() == 30_000 and out.select(F.spark_partition_id()).distinct().count() > 20
+
+
+def test_target_correlation_shuffles_values_not_rows(spark, shuffled, monkeypatch):
+    x = F.col("x")
+    df = numbers(spark, 20_000).select((x % 4999).alias("t"), F.when(x % 7 != 0, x % 11).alias("a"), "few", F.lit(1.0).alias("flat"), F.lit(None).cast("double").alias("none"))
+    find = lambda: {r.feature: (round(r.pearson, 9), round(r.spearman, 9)) if r.pearson is not None else None for r in stats.target_correlation(df, "t", ["a", "few", "flat", "none"]).collect()}
+    found, records = shuffled(find)
+    monkeypatch.setattr(stats, "FEW", 0, raising=False)
+    assert found == find() and found.keys() == {"a", "few", "flat"} and found["flat"] is None and records < 60_000
