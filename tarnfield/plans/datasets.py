@@ -117,6 +117,7 @@ def war_dataset(t: Tables, players: DataFrame, minimum: int = 5) -> DataFrame:
 
 def class_dataset(war: DataFrame, low: float | None = None, high: float | None = None) -> tuple[DataFrame, DataFrame]:
     """(dataset with ``performance_class``, numbers kept and dropped). Thresholds default to the target's terciles."""
+    war = staged(war, "war")  # a row per clan, made once for the checks, the terciles and the result
     tables_io.require_unique(war, ["clan_tag"])
     _, counts = features.valid_rates(war, "war_success_rate")
     valid = features.require_rates(war, "war_success_rate")

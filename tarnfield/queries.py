@@ -18,6 +18,7 @@ from tarnfield.plans import schemas as S
 from tarnfield.session import table
 from tarnfield.sources import documents as docs_io
 from tarnfield.sources import tables as tables_io
+from tarnfield.staging import staged
 from tarnfield.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -859,6 +860,11 @@ def game_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {"players": players, "clan_members": members, "clans": clans, "player_troops": part(0), "player_heroes": part(1), "player_spells": part(2), "player_hero_equipment": part(3), "player_achievements": line}
 
 
+def stored_features(t: dict[str, DataFrame]) -> DataFrame:
+    """Player features, written once for the datasets, which read them several times."""
+    return staged(datasets.player_features(t), "player-features")
+
+
 _PLAYER = """SELECT '#' || o_orderkey AS player_tag, '#' || o_custkey AS clan_tag, o_orderkey AS k, CAST((o_orderkey * 7 + 1) % 18 AS DOUBLE) AS th, CAST((o_orderkey * 7) % 97 AS DOUBLE) AS xp, CAST(floor(o_totalprice) AS DOUBLE) AS tr,
   CAST((o_orderkey * 7) % 131 AS DOUBLE) AS ws, CAST((o_orderkey * 7) % 701 AS DOUBLE) AS don, CAST((o_orderkey * 7) % 13 AS DOUBLE) AS rec, CAST((o_orderkey * 7) % 1009 AS DOUBLE) AS cap, o_orderpriority AS role FROM orders"""
 
@@ -959,7 +965,7 @@ FROM w LEFT JOIN customer ON w.clan_tag = '#' || c_custkey
 def role_preset(spark: SparkSession, sf: str) -> DataFrame:
     """The role dataset with all columns: relative features, clan context, player features, target."""
     t = game_tables(spark, sf)
-    return rounded(datasets.role_dataset(t, datasets.player_features(t)))
+    return rounded(datasets.role_dataset(t, stored_features(t)))
 
 
 @query(f"""
@@ -985,7 +991,7 @@ FROM v JOIN customer ON v.clan_tag = '#' || c_custkey JOIN p ON p.clan_tag = v.c
 def war_preset(spark: SparkSession, sf: str) -> DataFrame:
     """The war dataset: composition of each clan with enough history, and its success rate."""
     t = game_tables(spark, sf)
-    out = datasets.war_dataset(t, datasets.player_features(t))
+    out = datasets.war_dataset(t, stored_features(t))
     return rounded(out.select("clan_tag", "war_frequency", "member_count", "mean_trophies", "median_trophies", "std_trophies", "th17_plus_percentage", F.col("sum_donations").cast("double").alias("sum_donations"), "donation_rate", "war_success_rate"), digits=4)
 
 
@@ -996,7 +1002,7 @@ SELECT clan_tag, CASE WHEN win_rate < lo THEN 'low' WHEN win_rate < hi THEN 'med
 def class_preset(spark: SparkSession, sf: str) -> DataFrame:
     """Performance classes of the war dataset by terciles."""
     t = game_tables(spark, sf)
-    return datasets.class_dataset(datasets.war_dataset(t, datasets.player_features(t)))[0].select("clan_tag", "performance_class")
+    return datasets.class_dataset(datasets.war_dataset(t, stored_features(t)))[0].select("clan_tag", "performance_class")
 
 
 @query(f"SELECT player_tag, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in S.CLUSTER_FEATURES)} FROM ({_FEATURE_SQL})")

@@ -11,7 +11,7 @@ from tarnfield.plans import datasets
 from tarnfield.plans import schemas as S
 from tarnfield.plans.audit import Audit, document_facts
 from tarnfield.plans.profile import Profile
-from tarnfield.queries import _AUDIT_COLS, _FEATURE_SQL, _FEATURES, _LONG, _SPARSE, _WAR, ORACLE_SQL, _columns_sql, game_tables, query, rounded
+from tarnfield.queries import _AUDIT_COLS, _FEATURE_SQL, _FEATURES, _LONG, _SPARSE, _WAR, ORACLE_SQL, _columns_sql, game_tables, query, rounded, stored_features
 from tarnfield.session import table
 from tarnfield.sources import documents as docs_io
 from tarnfield.sources import tables as tables_io
@@ -469,7 +469,7 @@ SELECT t.*, c_mktsegment AS war_frequency, CAST((c_custkey * 7) % 30 AS DOUBLE)
 
 def _wars(spark: SparkSession, sf: str) -> DataFrame:
     t = game_tables(spark, sf)
-    return datasets.war_dataset(t, datasets.player_features(t))
+    return datasets.war_dataset(t, stored_features(t))
 
 
 @query(_WAR_SQL.format("round(win_rate + 1e-7, 5) AS war_success_rate"))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfield.operators import features, order, select, stats
+from tarnfield.plans import datasets
 
 
 @pytest.fixture
@@ -59,3 +60,9 @@ def test_target_correlation_shuffles_values_not_rows(spark, shuffled, monkeypatc
     found, records = shuffled(find)
     monkeypatch.setattr(stats, "FEW", 0, raising=False)
     assert found == find() and found.keys() == {"a", "few", "flat"} and found["flat"] is None and records < 60_000
+
+
+def test_classes_make_their_rows_once(spark, shuffled):
+    war = numbers(spark, 10_000).repartition(8).select(F.col("k").alias("clan_tag"), (F.col("x") / 10_000).alias("war_success_rate"), "few")
+    out, records = shuffled(lambda: datasets.class_dataset(war)[0].groupBy("performance_class").count().collect())
+    assert sum(r["count"] for r in out) == 10_000 and records < 25_000  # the rows come once, and are grouped once by key
