@@ -75,7 +75,7 @@ class Profile:
             "outliers": lambda: counted.iqr_outliers(self.counts),
             "histograms": lambda: counted.histograms(self.counts),
             "duplicates": lambda: stats.duplicates(df),
-            "scale_dispersion": lambda: stats.describe(counted.numeric_summary(self.counts), ["std_value", "iqr"]),
+            "scale_dispersion": lambda: stats.describe(staged(counted.numeric_summary(self.counts), "summary"), ["std_value", "iqr"]),
             "target_correlation": lambda: stats.target_correlation(df, target, others),
             "correlation_pairs": lambda: stats.correlation_pairs(df, others, "spearman", 0.85),
             "mutual_information": lambda: stats.binned_mutual_information(df, others, target, bin_target=True),
