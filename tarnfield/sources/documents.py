@@ -17,7 +17,8 @@ def is_object(v: Column) -> Column:
 
 def parse_documents(texts: DataFrame, text_col: str = "value", lenient: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with column v, rejected rows). Strict: an object per text. Lenient: a list gives a row per object in it."""
-    parsed = texts.withColumn("v", F.try_parse_json(F.col(text_col)))
+    # a generator of one row: filters on v and its fields are not pushed below it, where each would make and parse the text again
+    parsed = texts.select("*", F.explode(F.array(F.try_parse_json(F.col(text_col)))).alias("v"))
     corrupt = parsed.where(F.col("v").isNull()).withColumn("reason", F.lit("corrupt"))
     if not lenient:
         good = parsed.where(F.col("v").isNotNull() & is_object(F.col("v")))

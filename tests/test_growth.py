@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.operators import features, order, select, stats
 from tarnfield.plans import datasets
+from tarnfield.sources import documents
 
 
 @pytest.fixture
@@ -66,3 +67,9 @@ def test_classes_make_their_rows_once(spark, shuffled):
     war = numbers(spark, 10_000).repartition(8).select(F.col("k").alias("clan_tag"), (F.col("x") / 10_000).alias("war_success_rate"), "few")
     out, records = shuffled(lambda: datasets.class_dataset(war)[0].groupBy("performance_class").count().collect())
     assert sum(r["count"] for r in out) == 10_000 and records < 25_000  # the rows come once, and are grouped once by key
+
+
+def test_documents_are_parsed_once(spark):
+    texts = spark.range(5).select(F.to_json(F.struct(F.col("id").alias("tag"))).alias("value"))
+    docs = documents.flatten(documents.parse_documents(texts)[0], {"tag": ("$.tag", "bigint")}).where("tag > 1")
+    assert docs._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1 and docs.count() == 3
