@@ -1,9 +1,12 @@
 """Alignment of two tokenizers' tokens over the same bytes, with corpus-wide counts of the linked id pairs.
 
-A text is encoded whole by a byte-level vocabulary (A, of a space and the text) and by a sentencepiece model (B, which adds
-the space). Anchors are places where both vocabularies start a token that begins with a space, so that the tokens before
-them end together; they cut a document into windows of a few ids. A window's alignment depends on its ids alone and is
-remembered by them, up to a bound; windows beyond it are aligned anew.
+A text is encoded by a byte-level vocabulary (A, of a space and the text) and by a sentencepiece model (B, which adds the
+space). Anchors are places where both vocabularies start a token that begins with white space, so that the tokens before
+them end together; they cut a document into windows of a few ids. Where both vocabularies are known never to form a token
+across a change from a non-space to a space (``cuts_spaces``, ``cuts_pieces``), the windows are cut in the text: what a window
+encodes and aligns to is remembered by its bytes, up to a bound, and only new windows are encoded, many as one text. Any
+other text (other vocabularies, white space beyond ASCII) is encoded whole, cut at the anchors among its tokens, and its
+windows are remembered by their ids. Windows beyond the bounds are aligned anew.
 
 Places where tokens of both end cut the ids into groups, and the last tokens of a group are linked: no token is empty, so
 each shared end has one link. Of a linked pair, the bytes of one token end with those of the other. Hence there are no
@@ -18,6 +21,7 @@ from __future__ import annotations
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.llm.common import stage, text_or_empty, unstage
-from tarnfield.llm.tokens import byte_ids, byte_tokens, load_pieces, piece_tokens
+from tarnfield.llm.tokens import PIECE_UNIT, RARE, WIDE_SPACE, byte_ids, byte_tokens, cuts_pieces, load_pieces, piece_tokens
 from tarnfield.llm.words import portions
 
-#: Windows that a Python worker remembers, and the ids of the longest of them.
-MEMORY, MEMORY_IDS = 100_000, 24
+#: Windows that a Python worker remembers by their ids, and the ids of the longest of them; the same by their bytes.
+MEMORY, MEMORY_IDS = 20_000, 24
+UNITS, UNIT_BYTES = 100_000, 32
+#: New windows of a text that are encoded as one, after a word that begins them.
+UNITS_AT_ONCE, BEFORE = 2000, b"x"
 #: Windows that are looked up at a time, and bytes of text that are encoded together.
-WINDOWS_AT_ONCE, TEXTS_AT_ONCE = 100_000, 2_000_000
+WINDOWS_AT_ONCE, TEXTS_AT_ONCE = 100_000, 300_000
 
 
 class Vocabulary:
@@ -52,6 +59,9 @@ class Aligner:
         self.encode_a, self.pieces, self.a_whole = encoder.encode, load_pieces(b_path), encoder.fast is not None  # every byte is a token there
         self.texts = [b"%d%b" % (k, sign) for v, last in ((self.a, b"|"), (self.b, b";")) for k in range(len(v.tokens)) for sign in (b",", last)]
         self.seen: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+        ((a, b),) = self.encode([BEFORE])
+        self.before = len(a), len(b)
+        self.units: dict[bytes, tuple[int, int, bytes, bytes] | None] | None = {} if len(a) and self.a_whole and cuts_pieces(b_path) else None
 
     def encode(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
         """The ids of both of each text; none where a vocabulary does not give back a space and the text."""
@@ -66,10 +76,8 @@ class Aligner:
     def _joined(vocabulary: Vocabulary, ids: Iterable[int]) -> bytes:
         return b"".join(map(vocabulary.tokens.__getitem__, ids))
 
-    def _align(self, keys: list[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
-        """(groups as text, pairs) of windows, each the ids of A and B over the same bytes."""
-        a, b = (np.frombuffer(b"".join([k[side] for k in keys]), "<u4") for side in (0, 1))
-        ends_a, ends_b = (np.cumsum([len(k[side]) // 4 for k in keys]) for side in (0, 1))
+    def _align(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> Iterator[tuple[bytes, bytes]]:
+        """(groups as text, pairs) of windows that end at those places among the ids of A and B over the same bytes."""
         _, x, y = np.intersect1d(np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b]), assume_unique=True, return_indices=True)  # last tokens of groups
         pairs = (a[x].astype(np.uint64) * np.uint64(len(self.b.tokens)) + b[y]).tobytes()
         # the ids as text, a group's of A before its of B, each with the sign that follows it
@@ -105,7 +113,9 @@ class Aligner:
             found = list(map(seen.get, keys))
             if None in found:
                 fresh = list(dict.fromkeys(key for key, window in zip(keys, found, strict=True) if window is None))
-                new = dict(zip(fresh, self._align(fresh), strict=True))
+                ids = (np.frombuffer(b"".join([k[side] for k in fresh]), "<u4") for side in (0, 1))
+                ends = (np.cumsum([len(k[side]) // 4 for k in fresh]) for side in (0, 1))
+                new = dict(zip(fresh, self._align(*ids, *ends), strict=True))
                 found = [window or new[key] for key, window in zip(keys, found, strict=True)]
                 for key, window in new.items():
                     if len(seen) < MEMORY and len(key[0]) + len(key[1]) <= 4 * MEMORY_IDS:
@@ -115,6 +125,60 @@ class Aligner:
         return b";".join(groups), b"".join(pairs)
 
 
+    def _beside(self, units: list[bytes]) -> list[tuple[int, int, bytes, bytes] | None]:
+        """(ids of A, ids of B, groups as text, pairs) of units that are cut apart wherever they stand beside each other; None for one that is not given back."""
+        ((a, b),) = self.encode([BEFORE + b"".join(units)])
+        if not len(a):
+            return [x for u in units for x in self._beside([u])] if len(units) > 1 else [None]
+        a, b = a[self.before[0] :], b[self.before[1] :]
+        ends = np.cumsum([len(u) for u in units])
+        ends_a, ends_b = (np.searchsorted(np.cumsum(v.lengths[ids]), ends, "right") for v, ids in ((self.a, a), (self.b, b)))
+        groups, pairs = zip(*self._align(a, b, ends_a, ends_b), strict=True)
+        return list(zip(*(np.diff(x, prepend=0).tolist() for x in (ends_a, ends_b)), groups, pairs, strict=True))
+
+    def _find(self, units: list[bytes]) -> list[tuple[int, int, bytes, bytes] | None]:
+        """``_beside`` of any units: those that end in white space or that B does not give back stand alone, those of rare characters among themselves."""
+        kinds, every = {}, b"".join(units)
+        odd, rare = ("\u2581".encode() in every), RARE.search(every)
+        for k, u in enumerate(units):
+            kinds.setdefault(2 if u[-1] <= 32 or (odd and "\u2581".encode() in u) else 1 if rare and RARE.search(u) else 0, []).append(k)
+        out: list = [None] * len(units)
+        for kind, own in kinds.items():
+            most = 1 if kind == 2 else UNITS_AT_ONCE
+            for low in range(0, len(own), most):
+                some = own[low : low + most]
+                for k, x in zip(some, self._beside([units[k] for k in some]), strict=True):
+                    out[k] = x
+        return out
+
+    def documents(self, texts: list[bytes]) -> list[tuple[int, int, bytes, bytes]]:
+        """(ids of A, ids of B, groups as text, pairs) of each text; none where a vocabulary does not give back a space and the text."""
+        cut = [PIECE_UNIT.findall(b" " + t) if t and self.units is not None and not WIDE_SPACE.search(t) else None for t in texts]
+        known = {} if self.units is None else self.units
+        room = UNITS - len(known)
+        new = list(set(chain.from_iterable(filter(None, cut))).difference(known))
+        known.update(zip(new, self._find(new), strict=True))
+        whole = iter(self.encode([t for t, units in zip(texts, cut, strict=True) if units is None]))
+        out = []
+        for units in cut:
+            if units is None:
+                a, b = next(whole)
+                out.append((len(a), len(b), *self.align(a, b)))
+                continue
+            found = list(map(known.__getitem__, units))
+            if None in found:
+                out.append((0, 0, b"", b""))
+                continue
+            n_a, n_b, groups, pairs = zip(*found, strict=True)
+            out.append((sum(n_a), sum(n_b), b";".join(groups), b"".join(pairs)))
+        for u in new:  # what is met first stays
+            if room > 0 and len(u) <= UNIT_BYTES:
+                room -= 1
+            else:
+                del known[u]
+        return out
+
+
 @lru_cache(maxsize=2)
 def aligner(a_path: str, b_path: str) -> Aligner:
     """One aligner for all tasks of a Python worker."""
@@ -126,11 +190,9 @@ def _align(a_path: str, b_path: str):
         own = aligner(a_path, b_path)
         for batch in batches:
             for part, texts in portions(batch, 1, TEXTS_AT_ONCE):
-                ids = own.encode(texts)
-                done = [own.align(a, b) for a, b in ids]
+                n_a, n_b, groups, pairs = zip(*own.documents(texts), strict=True)
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), *(pa.array([len(x[k]) for x in ids], pa.int64()) for k in (0, 1)), pa.array([len(p) // 8 for _, p in done], pa.int64()),
-                    pa.array([g for g, _ in done], pa.binary()), pa.array([p for _, p in done], pa.binary()),
+                    part.column(0), pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array([len(p) // 8 for p in pairs], pa.int64()), pa.array(groups, pa.binary()), pa.array(pairs, pa.binary()),
                 ], ["id", "n_a", "n_b", "n_groups", "groups", "pairs"])
 
     return run

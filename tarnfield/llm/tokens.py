@@ -220,6 +220,23 @@ def load_pieces(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+#: Like UNIT, but a space run that begins with a carriage return belongs to what stands before it: pieces may hold both.
+PIECE_UNIT = re.compile(rb"[%s]*[^%s]+(?:\r[%s]*[^%s]*)*|[%s]+" % (SPACE, SPACE, SPACE, SPACE, SPACE))
+
+
+def cuts_pieces(path: str) -> bool:
+    """Whether a sentencepiece model merges the characters of texts as they are, never across the cuts of PIECE_UNIT."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(load_pieces(path).serialized_model_proto())
+    n, kinds = model.normalizer_spec, model.SentencePiece
+    as_is = n.add_dummy_prefix and n.escape_whitespaces and not n.remove_extra_whitespaces and not n.precompiled_charsmap and not model.trainer_spec.treat_whitespace_as_suffix
+    plain = all(p.type in (kinds.NORMAL, kinds.UNKNOWN, kinds.CONTROL, kinds.BYTE) for p in model.pieces)
+    across = re.compile("[^ \t-\r][ \t\n\x0b\x0c]")
+    return as_is and plain and model.trainer_spec.model_type == model.trainer_spec.BPE and not any(across.search(p.piece.replace("\u2581", " ")) for p in model.pieces)
+
+
 def piece_tokens(path: str) -> list[bytes]:
     """The bytes of each id of a sentencepiece model: U+2581 is a space, ``<0xHH>`` the byte HH."""
     model = load_pieces(path)

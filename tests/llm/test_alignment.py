@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,32 @@ def test_windows_split_at_verified_anchors():
     assert own.align(a, b) == first and len(own.seen) == met > 0  # the second time from memory
 
 
+def test_recurring_words_are_encoded_once(monkeypatch):
+    own, r = align_tokens.Aligner(BYTES, PIECES), random.Random(5)
+    words = ["".join(r.choice("abcdeé\n\r") for _ in range(9)) + "z" for _ in range(300)]
+    texts = [" ".join(r.choices(words, k=200)) for _ in range(100)]
+    encode, met = own.encode, []
+    monkeypatch.setattr(own, "encode", lambda raw: met.extend(raw) or encode(raw))
+    monkeypatch.setattr(align_tokens, "aligner", lambda *_: own)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([t.encode() for t in texts], pa.binary())], ["id", "text"])
+    (out,) = align_tokens._align(BYTES, PIECES)(iter([batch]))
+    assert [(x, y, g.decode()) for x, y, g in zip(*(out.column(k).to_pylist() for k in (1, 2, 4)), strict=True)] == [(len(a), len(b), g) for a, b, g, _ in brute_alignment(texts)]
+    assert sum(map(len, met)) < sum(map(len, texts)) / 10
+
+
+@pytest.mark.parametrize("bound", [0, 40])
+def test_windows_cut_in_texts_equal_whole_ones(monkeypatch, bound):
+    monkeypatch.setattr(align_tokens, "UNITS", bound)
+    monkeypatch.setattr(align_tokens, "UNITS_AT_ONCE", 5)
+    own, texts = align_tokens.Aligner(BYTES, PIECES), mixed(1500, 3) + ["a\r\n b\r c\r", ">\r\n\r {\r}", "\n x\n", "x \n ", "\r", "end\n\n"]
+    assert own.units is not None
+    for low in range(0, len(texts), 50):
+        some = texts[low : low + 50]
+        got = [(x, y, g.decode(), np.frombuffer(p, "<u8").tolist()) for x, y, g, p in own.documents([t.encode() for t in some])]
+        assert got == [(len(a), len(b), g, [x * len(own.b.tokens) + y for x, y in links]) for a, b, g, links in brute_alignment(some)]
+        assert len(own.units) <= bound
+
+
 def test_linked_bytes_end_alike(spark):
     """What bounds the broadcast table of pairs."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
