@@ -55,5 +55,5 @@ def distance_outliers(df: DataFrame, key: str, cols: Sequence[str], share: float
     scaled = robust_scale(df, cols)
     centre = scaled.agg(*[F.avg(c).alias(c) for c in cols]).first()
     far = scaled.select(key, F.sqrt(sum((F.pow(F.col(c) - F.lit(centre[c]), 2) for c in cols[1:]), F.pow(F.col(cols[0]) - F.lit(centre[cols[0]]), 2))).alias("distance"))
-    (limit,) = exact_quantiles(far, ["distance"], [share])["distance"] or [None]
+    (limit,) = exact_quantiles(far, ["distance"], [share], many=True)["distance"] or [None]
     return far.where(F.col("distance") > F.lit(limit))

@@ -158,11 +158,14 @@ def quantiles_by(df: DataFrame, keys: Sequence[str], cols: Sequence[str], at: Se
     return every.join(found, ["_key", "feature"], "left").select(*[F.col("_key")[k].alias(k) for k in keys], "feature", "q")
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) -> dict[str, list[float] | None]:
-    """Quantiles of whole columns with linear interpolation; None for a column without values. They pass the driver."""
+def exact_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float], many: bool = False) -> dict[str, list[float] | None]:
+    """Quantiles of whole columns with linear interpolation; None for a column without values. They pass the driver.
+
+    ``many``: the columns are known to have about as many values as rows, so that these need not be counted.
+    """
     cols, points = list(dict.fromkeys(cols)), F.array(*[F.lit(float(p)) for p in at])
-    if not cols:
-        return {}
+    if many or not cols:
+        return _large_quantiles(df, cols, at) if cols else {}
     n, *sizes = df.agg(F.count(F.lit(1)), *[F.approx_count_distinct(_double(c)).alias(f"_{k}") for k, c in enumerate(cols)]).first()
     small, held = [], 0
     for size, c in sorted((min(n, size), c) for size, c in zip(sizes, cols, strict=True)):
@@ -184,7 +187,7 @@ def _large_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) ->
     ends = {c: sorted({x for x in row[k] or [] if x == x}) for k, c in enumerate(cols)}
     upto = [F.count(_double(c)) if e is None else F.count_if(_double(c) <= e) for c in cols for e in [*ends[c], None]]
     found_upto = iter(df.agg(*[x.alias(f"_{k}") for k, x in enumerate(upto)]).first())
-    wanted, places, kept = [], {}, []
+    wanted, places, kept, sought = [], {}, [], []
     for c in cols:
         sums = [next(found_upto) for _ in range(len(ends[c]) + 1)]
         places[c] = [p * (sums[-1] - 1) for p in at] if sums[-1] else None
@@ -195,11 +198,14 @@ def _large_quantiles(df: DataFrame, cols: Sequence[str], at: Sequence[float]) ->
                 wanted += own
                 bounds = [_double(c) > ends[c][stretch - 1]] * (stretch > 0) + [_double(c) <= ends[c][stretch]] * (stretch < len(ends[c]))
                 inside = reduce(lambda x, y: x & y, bounds, _double(c).isNotNull())
+                sought.append(inside)
                 kept.append(F.when(inside, F.struct(F.lit(c).alias("feature"), F.lit(stretch).alias("_stretch"), _double(c).alias("value"))))
     if not kept:
         return dict.fromkeys(cols)
-    counts = df.select(F.inline(F.array_compact(F.array(*kept)))).groupBy("feature", "_stretch", "value").agg(F.count(F.lit(1)).alias("n"))
-    asked = df.sparkSession.createDataFrame(wanted, "feature string, _stretch int, _rank bigint, _at bigint")
+    few = df.where(reduce(lambda x, y: x | y, sought))  # structs are made of these rows alone
+    counts = few.select(F.inline(F.array_compact(F.array(*kept)))).groupBy("feature", "_stretch", "value").agg(F.count(F.lit(1)).alias("n"))
+    asked = [F.struct(F.lit(c).alias("feature"), F.lit(k).alias("_stretch"), F.lit(r).cast("bigint").alias("_rank"), F.lit(place).cast("bigint").alias("_at")) for c, k, r, place in wanted]
+    asked = df.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*asked)))
     within = F.sum("n").over(W.partitionBy("feature", "_stretch").orderBy("value"))
     hit = counts.withColumn("_upto", within).join(F.broadcast(asked), ["feature", "_stretch"]).where((F.col("_upto") > F.col("_at")) & (F.col("_upto") - F.col("n") <= F.col("_at")))
     found = {(r.feature, r._rank): r.value for r in hit.select("feature", "_rank", "value").collect()}

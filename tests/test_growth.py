@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfield.operators import features, order, select, stats
+from tarnfield.operators import features, matrix, order, select, stats
 from tarnfield.plans import datasets
 from tarnfield.sources import documents
 
@@ -27,6 +27,19 @@ def shuffled(spark):
     return measure
 
 
+def read_rows(spark, action):
+    """The rows that an action reads from files."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(k).inputRecords() for k in range(stages.size()))
+
+    before, out = total(), action()
+    return out, total() - before
+
+
 def numbers(spark, n):
     return spark.range(n).select(F.concat(F.lit("#"), "id").alias("k"), (F.col("id") * 7919 % n).cast("double").alias("x"), (F.col("id") * 104729 % n / 3).alias("y"), (F.col("id") % 5).cast("double").alias("few"))
 
@@ -73,3 +86,12 @@ def test_documents_are_parsed_once(spark):
     texts = spark.range(5).select(F.to_json(F.struct(F.col("id").alias("tag"))).alias("value"))
     docs = documents.flatten(documents.parse_documents(texts)[0], {"tag": ("$.tag", "bigint")}).where("tag > 1")
     assert docs._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") == 1 and docs.count() == 3
+
+
+def test_distances_take_few_passes(spark, tmp_path):
+    numbers(spark, 30_000).write.parquet(f"{tmp_path}/n")
+    df = spark.read.parquet(f"{tmp_path}/n")
+    out, rows = read_rows(spark, lambda: matrix.distance_outliers(df, "k", ["few", "x"]).collect())
+    assert len(out) == 300 and rows < 10.5 * 30_000  # 11 passes where distances are counted before their quantile
+    one = matrix.distance_outliers(df.where("x < 1"), "k", ["few", "x"])
+    assert one.count() == 0 and order.exact_quantiles(df.where("x < 0"), ["x"], [0.5], many=True) == {"x": None}
