@@ -397,10 +397,10 @@ def binned_mutual_information(df: DataFrame, cols: Sequence[str], target: str, b
     q = exact_quantiles(df, used, at)
 
     def cut(c: str) -> Column:
-        points = F.array(*[F.lit(float(x)) for x in q[c] or []]).cast("array<double>")
-        return F.when(F.col(c).isNotNull(), F.size(F.filter(points, lambda p: p < F.col(c).cast("double"))))
+        x = F.col(c).cast("double")  # comparisons, which Spark compiles; a function over an array it would interpret for each row
+        return F.when(F.col(c).isNotNull(), sum(((F.lit(float(p)) < x).cast("int") for p in q[c] or []), F.lit(0)))
 
-    y = cut(target).cast("string") if bin_target else F.col(target).cast("string")
+    y = cut(target) if bin_target else F.col(target).cast("string")
     rows = df.select(y.alias("y"), F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), cut(c).alias("x")) for c in cols]))).where("x is not null and y is not null")
     n = rows.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy

@@ -95,3 +95,11 @@ def test_distances_take_few_passes(spark, tmp_path):
     assert len(out) == 300 and rows < 10.5 * 30_000  # 11 passes where distances are counted before their quantile
     one = matrix.distance_outliers(df.where("x < 1"), "k", ["few", "x"])
     assert one.count() == 0 and order.exact_quantiles(df.where("x < 0"), ["x"], [0.5], many=True) == {"x": None}
+
+
+def test_cuts_of_information_are_compiled(spark):
+    df = numbers(spark, 2000).select("few", (F.col("y") * 2).alias("twice"), "y", F.lit(None).cast("double").alias("none"))
+    out = stats.binned_mutual_information(df, ["twice", "few", "none"], "y", bin_target=True)
+    found = {r.feature: r.mi for r in out.collect()}
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert found.keys() == {"twice", "few"} and abs(found["twice"] - np.log(10)) < 1e-9 and abs(found["few"]) < 0.1
