@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield import functions as fn
-from tarnfield.operators import clean, features, matrix, relations, select, stats
+from tarnfield.operators import clean, features, matrix, order, relations, select, stats
 from tarnfield.plans import candidates, datasets, profile
 from tarnfield.plans import schemas as S
 from tarnfield.session import table
@@ -278,7 +278,9 @@ def encode_category(spark: SparkSession, sf: str) -> DataFrame:
 
 def _order_documents(spark: SparkSession, sf: str) -> DataFrame:
     line = F.struct(F.col("l_partkey").alias("name"), F.col("l_quantity").alias("level"), F.col("l_linenumber").alias("rank"))
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("items"))
+    every = table(spark, sf, "lineitem")
+    parted = order.dealt(every, every.count(), "l_orderkey")  # no task collects more lines than TASK_ROWS or so, at any size of the table
+    lines = parted.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("items"))
     rows = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     texts = rows.select(F.col("o_orderkey").alias("key_from_file"), F.to_json(F.struct(F.col("o_orderkey").alias("tag"), F.struct(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("name")).alias("owner"), "items")).alias("value"))
     return docs_io.parse_documents(texts)[0]

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tarnfield import queries
 from tarnfield.operators import features, matrix, order, select, stats
 from tarnfield.plans import datasets
 from tarnfield.sources import documents
@@ -103,3 +104,10 @@ def test_cuts_of_information_are_compiled(spark):
     found = {r.feature: r.mi for r in out.collect()}
     assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
     assert found.keys() == {"twice", "few"} and abs(found["twice"] - np.log(10)) < 1e-9 and abs(found["few"]) < 0.1
+
+
+def test_lines_are_collected_in_tasks_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(order, "TASK_ROWS", 100)
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    plan = queries.explode_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert f"], {-(-n // 100)}" in "".join(line for line in plan.splitlines() if "RepartitionByExpression" in line)
