@@ -281,7 +281,7 @@ def _order_documents(spark: SparkSession, sf: str) -> DataFrame:
     every = table(spark, sf, "lineitem")
     parted = order.dealt(every, every.count(), "l_orderkey")  # no task collects more lines than TASK_ROWS or so, at any size of the table
     lines = parted.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("items"))
-    rows = table(spark, sf, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    rows = table(spark, sf, "orders").join(lines.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     texts = rows.select(F.col("o_orderkey").alias("key_from_file"), F.to_json(F.struct(F.col("o_orderkey").alias("tag"), F.struct(F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("name")).alias("owner"), "items")).alias("value"))
     return docs_io.parse_documents(texts)[0]
 
