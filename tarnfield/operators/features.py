@@ -73,19 +73,27 @@ def average_rank(c: str, group: Sequence[str]) -> Column:
     return F.when(F.col(c).isNotNull(), (F.rank().over(upto) + F.count(c).over(upto)) / F.lit(2.0))
 
 
-def group_relative(df: DataFrame, group: str, cols: Sequence[str], pct_cols: Sequence[str] = (), emit_means: bool = False, fill: float | None = 0.0, name: str = "group") -> DataFrame:
+def group_relative(df: DataFrame, group: str, cols: Sequence[str], pct_cols: Sequence[str] = (), emit_means: bool = False, fill: float | None = 0.0, name: str = "group", row: str | None = None) -> DataFrame:
     """Adds ``<c>_diff_from_<name>_mean``, ``<c>_ratio_to_<name>_mean`` and, for ``pct_cols``, ``<c>_<name>_pct``.
 
-    One exchange serves all, unless a group has more than ``order.GROUP_ROWS`` rows: then means and ranks come from
-    aggregates, and no task takes a group. The sizes of the groups are looked at when this is called.
+    One exchange serves all and leaves the rows parted by group, unless a group has more than ``order.GROUP_ROWS`` rows: then
+    means and ranks come from aggregates, and no task takes a group. The sizes of the groups are looked at when this is called.
+
+    ``row``: a column that numbers the rows of a staged ``df``. If a group has more than ``order.TASK_ROWS`` rows, only the
+    columns in question are ranked, and come back to the others by that number.
     """
     largest, rows = order.group_rows(df, [group])
+    used = list(dict.fromkeys([group, *cols, *pct_cols]))
+    if row is not None and largest > order.TASK_ROWS:
+        alone = group_relative(df.select(row, *used), group, cols, pct_cols, emit_means, fill, name)
+        return df.join(alone.drop(*used), row)
     if largest > order.GROUP_ROWS:
         out = _with_group_statistics(df, group, cols, pct_cols, name)
         ranks = {f"{c}_{name}_pct": F.col(f"_{c}_pct") for c in pct_cols}
     else:
         w = W.partitionBy(group)
-        out = order.dealt(df, rows, group).withColumns({f"{name}_mean_{c}": F.avg(F.col(c).cast("double")).over(w) for c in cols})
+        wide = -(-len(df.columns) // order.TASK_COLUMNS)
+        out = order.dealt(df, rows * wide, group).withColumns({f"{name}_mean_{c}": F.avg(F.col(c).cast("double")).over(w) for c in cols})
         ranks = {f"{c}_{name}_pct": percentile_rank(c, [group]) for c in pct_cols}
     new = {f"{c}_diff_from_{name}_mean": F.col(c) - F.col(f"{name}_mean_{c}") for c in cols}
     new |= {f"{c}_ratio_to_{name}_mean": safe_ratio(c, f"{name}_mean_{c}") for c in cols} | ranks

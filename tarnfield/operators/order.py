@@ -125,6 +125,8 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 #: Rows that a task orders in about as many ways as there are columns.
 TASK_ROWS = 100_000
+#: Columns of such rows; of wider ones a task orders fewer.
+TASK_COLUMNS = 20
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:

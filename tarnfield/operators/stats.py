@@ -413,12 +413,15 @@ def binned_mutual_information(df: DataFrame, cols: Sequence[str], target: str, b
 
 def group_spearman(df: DataFrame, group: str, target: str, variables: Sequence[str]) -> DataFrame:
     """(group, feature, rho): Spearman of each variable with the target inside each group, over rows that have both; null groups and those without spread are left out."""
-    rows = long_form(df, variables, [group, F.col(target).cast("double").alias("_y")]).where(F.col("value").isNotNull() & F.col("_y").isNotNull() & F.col(group).isNotNull())
+    df = df.select(*dict.fromkeys([group, target, *variables])).where(F.col(group).isNotNull() & F.col(target).cast("double").isNotNull())
     largest, n = order.group_rows(df, [group])
+    if largest <= order.GROUP_ROWS:  # rows are shuffled as they are, and put in long form in the tasks of their groups
+        df = order.dealt(df, n * len(variables) // 5, group)
+    rows = long_form(df, variables, [group, F.col(target).cast("double").alias("_y")]).where(F.col("value").isNotNull())
     if largest > order.GROUP_ROWS:
         ranks = pair_ranks(rows, cuts(df, list(dict.fromkeys([target, *variables]))), target, [group])
     else:
-        ranks = order.dealt(rows, n * len(variables) // 5, group, "feature").select(group, "feature", average_rank("value", [group, "feature"]).alias("_rx"), average_rank("_y", [group, "feature"]).alias("_ry"))
+        ranks = rows.select(group, "feature", average_rank("value", [group, "feature"]).alias("_rx"), average_rank("_y", [group, "feature"]).alias("_ry"))
     return ranks.groupBy(group, "feature").agg(safe_corr("_rx", "_ry").alias("rho")).where(F.col("rho").isNotNull())
 
 

@@ -82,12 +82,11 @@ def role_dataset(t: Tables, players: DataFrame) -> DataFrame:
 def rank_datasets(t: Tables, players: DataFrame) -> dict[str, DataFrame]:
     """Two leakage-controlled variants with target ``clan_rank``, with and without trophies; and the audit they rest on."""
     ids = ["clan_tag", "player_tag"]
-    # written once for the audit and both variants; what is ranked inside groups is narrow, and comes back to its row by number
+    # written once for the audit and both variants; clans stay together from their ranks to their context, so that the wide rows are shuffled once
     joined = staged(select.join_keep_left(t["clan_members"], players, ["player_tag"], "inner").withColumn("_row", F.monotonically_increasing_id()), "ranked-members")
     audit = stats.proxy_audit(joined, "clan_tag", "clan_rank", S.PROXY_VARIABLES, S.RANK_BANNED)
     direct = [r.feature for r in audit.where("classification in ('EXCLUDE', 'TOO_DIRECT')").collect()]
-    relative = features.group_relative(joined.select("_row", "clan_tag", *S.RANK_RELATIVE), "clan_tag", S.RANK_RELATIVE, S.RANK_RELATIVE, emit_means=True, name="clan")
-    relative = joined.join(relative.drop("clan_tag", *S.RANK_RELATIVE), "_row").drop("_row")
+    relative = features.group_relative(joined, "clan_tag", S.RANK_RELATIVE, S.RANK_RELATIVE, emit_means=True, name="clan", row="_row").drop("_row")
     full = select.join_keep_left(relative, select.whitelist(t["clans"], ["clan_tag", *S.CLAN_CONTEXT]), ["clan_tag"])
     out = {"audit": audit}
     for name, banned in (("with_trophies", [b for b in (*S.RANK_BANNED, *direct) if b != "trophies"]), ("without_trophies", [*S.RANK_BANNED, *direct, *S.TROPHY_BANNED])):

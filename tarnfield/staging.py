@@ -23,8 +23,17 @@ def fresh_name(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
+#: With this setting Spark deletes the shuffle files of an execution when it ends, not when the driver's heap happens to be collected.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read again: it is made once, and a lost executor takes nothing with it. The files stay until the folder is cleared."""
-    path = f"{shared_folder(df.sparkSession)}/{fresh_name(name)}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as Parquet and read again: it is made once, and a lost executor takes nothing with it. The files stay until the folder is cleared; what was shuffled to make them goes at once."""
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/{fresh_name(name)}", spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
+    return spark.read.schema(df.schema).parquet(path)

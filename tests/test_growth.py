@@ -1,10 +1,13 @@
 """What operators shuffle and make again: figures that must not grow faster than their input."""
 
+import glob
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfield import queries
+from tarnfield import queries, staging
 from tarnfield.operators import features, matrix, order, select, stats
 from tarnfield.plans import datasets
 from tarnfield.sources import documents
@@ -111,3 +114,37 @@ def test_lines_are_collected_in_tasks_by_rows(spark, monkeypatch):
     n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     plan = queries.explode_documents(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert f"], {-(-n // 100)}" in "".join(line for line in plan.splitlines() if "RepartitionByExpression" in line)
+
+
+def test_ranks_shuffle_their_rows_once(spark, shuffled):
+    """The rows of the rank dataset are shuffled to be joined, for the audit, and once for ranks, means and the context of clans too large to broadcast."""
+    t = queries.game_tables(spark, "/root/testdata/sf0.001")
+    n, players = t["clan_members"].count(), staging.staged(datasets.player_features(t), "players")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, records = shuffled(lambda: datasets.rank_datasets(t, players)["with_trophies"].write.format("noop").mode("overwrite").save())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert 4 * n < records < 8 * n  # 16 n where the audit shuffled a row per variable, and ranks went back to their rows by number
+
+
+def test_ranks_of_rows_come_back_by_number(spark, rows, monkeypatch):
+    df = numbers(spark, 300).withColumns({"g": F.when(F.col("x") % 3 > 0, F.col("x") % 3), "x": F.when(F.col("x") % 7 > 0, F.col("x"))})
+    df = staging.staged(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    find = lambda: rows(features.group_relative(df, "g", ["x", "few"], ["y"], emit_means=True, row="_row"), "k", "g", "y_group_pct", "x_diff_from_group_mean", "few_ratio_to_group_mean", "group_mean_x")
+    found = find()
+    for name in ("TASK_ROWS", "GROUP_ROWS"):
+        monkeypatch.setattr(order, name, 10)
+        assert find() == found and len(found) == 300
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    held = lambda: {f for f in glob.glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*.data", recursive=True)}
+    before = held()
+    out = staging.staged(numbers(spark, 20_000).repartition(4, "k"), "parted")
+    end = time.monotonic() + 20
+    while held() - before and time.monotonic() < end:
+        time.sleep(0.2)
+    assert not held() - before and out.count() == 20_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
