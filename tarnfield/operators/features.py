@@ -96,10 +96,10 @@ def group_relative(df: DataFrame, group: str, cols: Sequence[str], pct_cols: Seq
         out = order.dealt(df, rows * wide, group).withColumns({f"{name}_mean_{c}": F.avg(F.col(c).cast("double")).over(w) for c in cols})
         ranks = {f"{c}_{name}_pct": percentile_rank(c, [group]) for c in pct_cols}
     new = {f"{c}_diff_from_{name}_mean": F.col(c) - F.col(f"{name}_mean_{c}") for c in cols}
-    new |= {f"{c}_ratio_to_{name}_mean": safe_ratio(c, f"{name}_mean_{c}") for c in cols} | ranks
-    out = out.withColumns(new).drop(*[f"_{c}_pct" for c in pct_cols])
-    if fill is not None:
-        out = out.withColumns({c: finite(c, fill) for c in new})
+    new |= {f"{c}_ratio_to_{name}_mean": safe_ratio(c, f"{name}_mean_{c}") for c in cols}
+    for made in (new, ranks):  # apart, as one method for all would be too long for the JVM to compile
+        out = out.withColumns({c: e if fill is None else finite(e, fill) for c, e in made.items()})
+    out = out.drop(*[f"_{c}_pct" for c in pct_cols])
     return out if emit_means else out.drop(*[f"{name}_mean_{c}" for c in cols])
 
 

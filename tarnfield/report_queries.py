@@ -424,8 +424,14 @@ _MEMBER_BASE = ["town_hall_level", "exp_level", "trophies", "builder_base_trophi
 
 
 def _doubles(df: DataFrame, *keep: str, digits: int = 6, shift: float = 0.0) -> DataFrame:
-    """All numbers but ``keep`` as rounded doubles; a small ``shift``, as in the SQL, keeps halves from being rounded either way."""
-    return rounded(df.select(*[F.col(c) if c in keep or kind == "string" else (F.col(c).cast("double") + F.lit(shift)).alias(c) for c, kind in df.dtypes]), digits=digits)
+    """All numbers but ``keep`` as rounded doubles; a small ``shift``, as in the SQL, keeps halves from being rounded either way.
+
+    They are rounded as one array: an expression for each of many columns makes a method too long for the JVM to compile.
+    """
+    numbers = [c for c, kind in df.dtypes if c not in keep and kind != "string"]
+    values = F.transform(F.array(*[F.col(c).cast("double") for c in numbers]), lambda x: F.round(x + F.lit(shift), digits) + F.lit(0.0))
+    apart = df.select(*[c for c in df.columns if c not in numbers], values.alias("_rounded"))
+    return apart.select(*[F.get("_rounded", F.lit(numbers.index(c))).alias(c) if c in numbers else c for c in df.columns])
 
 
 def _rank_sql(banned: list[str]) -> str:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarnfield import queries, staging
+from tarnfield import queries, report_queries, staging
 from tarnfield.operators import features, matrix, order, select, stats
 from tarnfield.plans import datasets
 from tarnfield.sources import documents
@@ -148,3 +148,14 @@ def test_staged_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not held() - before and out.count() == 20_000
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_ranks_are_compiled(spark):
+    """The JVM interprets methods of more than 8,000 bytes for good."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = report_queries.rank_with_trophies(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    stages = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$").codegenStringSeq(plan)
+    assert stages.size() and max(stages.apply(k)._3().maxMethodCodeSize() for k in range(stages.size())) < 8000
